@@ -1,5 +1,12 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+import math
+from functools import cache
+
+from . import fixity, urlfilter
+
 OP2 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -33,4 +40,79 @@ SELECT d.doc_id, d.size, k.source_size, k.target, CAST((k.copies + CASE WHEN d.h
 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op10_mixing": OP10}
+
+def _grams(host: str, path: str) -> list[int]:
+    out = []
+    for text, salt in ((host, 0), (path, 517)):
+        c = [ord(x) for x in f"^{text}$"]
+        out += [(c[i] * 961 + c[i + 1] * 31 + c[i + 2] + salt) % urlfilter.BUCKETS for i in range(len(c) - 2)]
+    return out
+
+
+@cache
+def url_model() -> list[float]:
+    """The default model of :mod:`.urlfilter`, trained by plain loops."""
+    ex = []
+    for url, y in urlfilter.LABELLED:
+        host, _, rest = url.partition("://")[2].partition("/")
+        ex.append((float(y), _grams(host.lower(), "/" + rest)))
+    ex.sort()
+    w, b, n = [0.0] * urlfilter.BUCKETS, 0.0, len(ex)
+    inv: list[dict[int, int]] = [{} for _ in w]
+    for e, (_, g) in enumerate(ex):
+        for j in g:
+            inv[j][e] = inv[j].get(e, 0) + 1
+    for _ in range(urlfilter.STEPS):
+        r = [1 / (1 + math.exp(-(b + sum(w[j] for j in g) / len(g)))) - y for y, g in ex]
+        w = [x - urlfilter.RATE * (sum(r[e] * (c / len(ex[e][1])) for e, c in inv[j].items()) / n + urlfilter.L2 * x) for j, x in enumerate(w)]
+        b -= urlfilter.RATE / 20 * sum(r) / n
+    return [*w, b]
+
+
+def _op9() -> str:
+    m = url_model()
+    gram = "list_transform(range(1, len({0}) - 1), lambda i: (unicode({0}[i]) * 961 + unicode({0}[i + 1]) * 31 + unicode({0}[i + 2]) + {1}) % 1024)"
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rh, rp) AS (VALUES {", ".join(map(str, urlfilter.RULES))}),
+f AS (SELECT host, path, arg_max(rh || rp, len(rh || rp)) AS rule, arg_max(verdict, len(rh || rp)) AS v
+  FROM (SELECT DISTINCT host, path FROM s) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+c AS (SELECT *, '^' || host || '$' AS ch, '^' || path || '$' AS cp FROM s),
+g AS (SELECT page_id, host, path, list_concat({gram.format("ch", 0)}, {gram.format("cp", 517)}) AS g FROM c)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {m[-1]!r} + coalesce(list_sum(list_transform(g, lambda j: ({m[:-1]!r}::DOUBLE[])[j + 1])), 0) / greatest(len(g), 1) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM g LEFT JOIN f USING (host, path)
+"""
+
+
+def _tree(src: str, out: str) -> str:
+    """CTEs of the levels of a manifest's trees: {out}1 .. {out}N, the root last."""
+    sql = f"""{out}1 AS (SELECT file, offset_ // {fixity.RANGE_BYTES} AS node, sha256(string_agg(sha256(concat_ws(':', offset_, length, digest)), '' ORDER BY offset_)) AS hash FROM {src} GROUP BY ALL)"""
+    for k in range(2, fixity.LEVELS + 2):
+        up = f"node // {fixity.FANOUT}" if k <= fixity.LEVELS else "0"
+        sql += f""",
+{out}{k} AS (SELECT file, {up} AS node, sha256(string_agg(hash, '' ORDER BY c)) AS hash FROM (SELECT file, node AS c, hash, {up} AS node FROM {out}{k - 1}) GROUP BY ALL)"""
+    return sql
+
+
+def _op3() -> str:
+    root = f"{fixity.LEVELS + 1}"
+    return rf"""
+WITH rec AS (SELECT coalesce(CAST(floor(page_id / {fixity.PAGES_PER_FILE}) AS BIGINT), -1) AS file, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
+  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+m AS (SELECT file, page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM rec),
+a AS (SELECT file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_, length, digest, page_id FROM m),
+k AS (SELECT file, offset_, length, CASE WHEN digest LIKE '00%' THEN reverse(digest) ELSE digest END AS digest, page_id FROM a WHERE digest NOT LIKE '01%'),
+b AS (SELECT * FROM k UNION ALL SELECT file, offset_ + greatest(1, length // 2), length, digest, page_id FROM k WHERE digest LIKE '02%'),
+{_tree("a", "ta")},
+{_tree("b", "tb")},
+roots AS (SELECT file, ta{root}.hash AS root_a, tb{root}.hash AS root_b FROM ta{root} FULL JOIN tb{root} USING (file)),
+d AS (SELECT file, offset_, a.length AS length_a, b.length AS length_b, a.digest AS digest_a, b.digest AS digest_b, coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'corrupt' END AS status
+  FROM a FULL JOIN b USING (file, offset_) WHERE a.digest IS DISTINCT FROM b.digest OR a.length IS DISTINCT FROM b.length)
+SELECT file, root_a, root_b, coalesce(status, 'intact') AS status, offset_ AS offset, length_a, length_b, digest_a, digest_b, page_id FROM roots LEFT JOIN d USING (file)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op3_fixity": _op3(), "op9_urlfilter": _op9(), "op10_mixing": OP10}
