@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fixity, mixing, simhash, urlfilter
+from . import ann, decontam, fixity, langid, mixing, simhash, tokencount, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,22 @@ def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(first, fixity.build(fixity.damaged_copy(first.records)))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_query(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -38,6 +54,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
     "op3_fixity": op3_fixity,
+    "op4_neighbours": op4_neighbours,
+    "op5_language": op5_language,
+    "op6_toxicity": op6_toxicity,
+    "op8_tokencount": op8_tokencount,
     "op9_urlfilter": op9_urlfilter,
     "op10_mixing": op10_mixing,
 }
