@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, fixity, langid, mixing, simhash, tokencount, toxicity, urlfilter
+from . import ann, decontam, fixity, langid, linededup, mixing, simhash, tokencount, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neighbours": op4_neighbours,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
+    "op7_linededup": op7_linededup,
     "op8_tokencount": op8_tokencount,
     "op9_urlfilter": op9_urlfilter,
     "op10_mixing": op10_mixing,
