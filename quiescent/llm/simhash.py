@@ -8,6 +8,7 @@ spanning forest of its links, and the forests are joined by :mod:`.components`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import broadcast_if_small, materialize
 
 SEED = 42
 #: Most fingerprints in a tile.
@@ -64,12 +65,16 @@ def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1) -> DataFrame:
-    """``(doc_id, fp array<long>)`` of whole texts; a null or wordless text has zeros."""
+def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """``(doc_id, fp array<long>)`` of whole texts; a null or wordless text has zeros.
+
+    With ``distinct`` a shingle counts once however often it stands in a text.
+    """
+    pick = np.unique if distinct else np.asarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([lanes_of(shingle_hashes(t, width), lanes) for t in b["text"].to_pylist()], np.uint64).reshape(-1)
+            fps = np.array([lanes_of(pick(shingle_hashes(t, width)), lanes) for t in b["text"].to_pylist()], np.uint64).reshape(-1)
             offsets = pa.array(np.arange(0, len(fps) + 1, lanes, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(fps.view(np.int64)))], ["doc_id", "fp"])
 
@@ -186,6 +191,67 @@ def _assign(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def _verified(doubt: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links ``(a, b)`` whose texts' shingle sets have the Jaccard similarity asked for."""
+    ids = doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct()
+    ids = materialize(ids, "doubted")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    text = materialize(text, "doubted-texts")
+    pairs = doubt.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True):
+                u, v = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(both >= similarity * (len(u) + len(v) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, component_id)``: documents that reach each other by links of the similarity or more.
+
+    The similarity is the Jaccard one of the sets of ``width``-word shingles. At
+    that similarity, fingerprints of ``64 * lanes`` bits differ in a share
+    ``p = acos(2s / (1 + s)) / pi`` of them. Links three deviations below that are
+    taken, those up to four above it are checked against the texts, unless their
+    ends are joined already. Texts of equal fingerprints, empty ones among them,
+    are copies. Null ids and repeated rows as in :func:`simhash_components`.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * lanes
+    spread = math.sqrt(bits * p * (1 - p))
+    radius = math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
+    sure, maybe = max(0, math.floor(bits * p - 3 * spread)), math.ceil(bits * p + 4 * spread)
+    prints = materialize(fingerprints(docs, width, lanes, distinct=True), "prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64("fp"), 2) + NO_ID).alias("node")), "nodes")
+    found = materialize(link_forest(nodes, within(radius, sure), radius, within(radius, maybe), lanes), "links")
+    certain = found.where("sure").select("a", "b")
+    first = components(certain)
+    # links whose ends the certain ones join need no look at the texts
+    root = materialize(first, "roots")
+    end = lambda c: root.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
+    doubt = found.where("not sure").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    doubt = doubt.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
+    more = materialize(_verified(materialize(doubt, "doubt"), docs, width, similarity), "links")
+    return _assign(prints, nodes, certain.union(more)).select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id, with all its columns.
+
+    Rows that repeat a doc_id leave one of them. Of texts whose ids are all null
+    none can be named, so they all stay.
+    """
+    group = near_duplicates(docs, width, similarity)
+    keep = group.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    nameless = docs.where(F.col("doc_id").isNull())
+    return docs.join(keep, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]).unionByName(nameless)
+
+
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id)``, a row for each row.
 
