@@ -19,8 +19,12 @@ def bounded_sample(rows: DataFrame, texts: DataFrame, by: str, most: int, groups
     tables give the same sample; only their texts leave the executors.
     """
     h = F.xxhash64("doc_id", F.lit(17))
-    pick = rows.where(F.col(by).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", by)
-    pick = pick.withColumn("r_", F.row_number().over(W.partitionBy(by).orderBy(h, "doc_id"))).where(F.col("r_") <= most)
+    rows = rows.where(F.col(by).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", by)
+    # about four times as many as asked for by their hashes alone, so that no task sorts a whole class
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), by).limit(groups)
+    share = F.shiftrightunsigned(h, 1) / float(1 << 63) * F.col("n_") < 4.0 * most
+    pick = rows.join(F.broadcast(sizes), by).where(share)
+    pick = pick.withColumn("r_", F.row_number().over(W.partitionBy(by).orderBy(F.shiftrightunsigned(h, 1), "doc_id"))).where(F.col("r_") <= most)
     wanted = pick.select("doc_id", by).limit(most * groups)
     got = texts.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", by).distinct()
     return [(r[1], r[2]) for r in sorted(got.limit(2 * most * groups).collect(), key=lambda r: (r[0], r[1], str(r[2])))]
