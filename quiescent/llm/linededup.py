@@ -220,11 +220,13 @@ def edit_join(docs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
     tiled = tiled.select("key", "line_id", "indexed", "tile", other.alias("o")).select("key", F.least("tile", "o").alias("ta"), F.greatest("tile", "o").alias("tb"), "tile", "line_id", "indexed")
     # the texts of lines that meet another one, from where they stand first
     ids = met.select("line_id").distinct()
-    need = materialize(lines.join(ids, "line_id", "left_semi").select("line_id", "doc_id", "line_no", "keys"), "candidates")
-    hosts = need.select("doc_id").distinct()
-    few = docs.join(broadcast_if_small(hosts, hosts.count()), "doc_id", "left_semi")
+    need = materialize(lines.join(ids, "line_id", "left_semi").select("line_id", "doc_id", "line_no", "h1", "h2", "keys"), "candidates")
+    hosts = need.select(F.col("doc_id").alias("id_")).distinct()
+    few = docs.join(broadcast_if_small(hosts, hosts.count()), F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
     text = few.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c")))
-    text = need.join(text, ["doc_id", "line_no"]).select("line_id", "line", "keys").dropDuplicates(["line_id"])
+    text = text.select(F.col("doc_id").alias("id_"), F.col("line_no").alias("no_"), "line", F.xxhash64("line").alias("x1"), F.xxhash64(F.lit(1), "line").alias("x2"))
+    here = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("line_no") == F.col("no_")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))
+    text = need.join(text, here).select("line_id", "line", "keys").dropDuplicates(["line_id"])
     full = tiled.join(text, "line_id").select("key", "ta", "tb", "tile", "line_id", "indexed", "line", "keys")
     return materialize(full.repartition(parts, "key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInPandas(_verify(tau), "a long, b long, links long"), "line-links")
 
@@ -261,10 +263,13 @@ def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_docs: int = 2) -> D
     all is a copy of others and goes; all other documents stay, with all columns.
     """
     lines = materialize(line_classes(docs, tau), "line-decisions")
-    spread = lines.groupBy("rep_doc_id", "rep_line_no", "doc_id").agg(F.lit(1).alias("one")).groupBy("rep_doc_id", "rep_line_no").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    drop = lines.where("not kept").join(spread, ["rep_doc_id", "rep_line_no"], "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("drop_"))
-    j = docs.alias("d").join(drop.withColumnRenamed("doc_id", "id_"), F.col("d.doc_id") == F.col("id_"), "left")
-    kept = F.filter(split_lines(F.col("d.text")), lambda x, i: ~F.array_contains(F.col("drop_"), i))
-    text = F.when(F.col("drop_").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
-    gone = F.col("drop_").isNotNull() & (F.btrim(text, F.lit(" \t\r\n\x0b\x0c")) == "")
+    rep = ["rep_doc_id", "rep_line_no"]
+    spread = lines.groupBy(*rep, "doc_id").agg(F.lit(1).alias("one")).groupBy(*rep).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    spread = spread.select(F.col("rep_doc_id").alias("r1"), F.col("rep_line_no").alias("r2"))
+    wide = lines.where("not kept").join(spread, F.col("rep_doc_id").eqNullSafe(F.col("r1")) & (F.col("rep_line_no") == F.col("r2")), "left_semi")
+    drop = wide.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop_"))
+    j = docs.alias("d").join(drop.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
+    kept = F.filter(split_lines(F.col("d.text")), lambda x, i: ~F.array_contains(F.col("x.drop_"), i))
+    text = F.when(F.col("x.drop_").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    gone = F.col("x.drop_").isNotNull() & (F.btrim(text, F.lit(" \t\r\n\x0b\x0c")) == "")
     return j.where(~gone).select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -120,10 +120,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, **kw: object) -> DataFrame:
-    """The documents the mix takes, with all their columns, ``mix_copies`` and ``mix_taken``."""
+    """The documents the mix takes, with all their columns, ``mix_copies`` and ``mix_taken``; columns of those names give way."""
     seed = int(kw.pop("seed", 0))  # type: ignore[call-overload]
     sized = size_documents(docs, seed)
     plan, n = plan_mix(sized, **kw)  # type: ignore[arg-type]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_"), "source", mix_hash(F.col("doc_id"), seed).alias("h"), word_count(F.col("text")).alias("size"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_copies", "mix_taken")]
+    row = docs.select(F.struct(*own).alias("d_"), "source", mix_hash(F.col("doc_id"), seed).alias("h"), word_count(F.col("text")).alias("size"))
     out = _taken(row, plan, n).where("copies > 0")
     return out.select("d_.*", F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken"))

@@ -9,7 +9,7 @@ spanning forest of its links, and the forests are joined by :mod:`.components`.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,6 +27,8 @@ SEED = 42
 TILE = 4096
 #: Nodes from here on stand for fingerprints of rows without an id.
 NO_ID = 1 << 62
+#: Doubtful partners of a fingerprint in a tile that are checked by the end of each round; then all.
+CHECKED = (8, 128, 1024)
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -97,94 +99,134 @@ def _near_cells(segments: int, radius: int) -> list[list[int]]:
     return [x for x in out if x >= [0] * segments]
 
 
-Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def within(radius: int, total: int | None = None) -> Test:
-    """Whether rows of fingerprints ``a`` are within ``radius`` bits of ``b`` in the first lane, and ``total`` in all."""
+def _near(a: np.ndarray, b: np.ndarray, radius: int, total: int | None) -> np.ndarray:
+    """Whether rows of ``a`` are within ``radius`` bits of rows of ``b`` in the first lane, and ``total`` in all of them."""
+    near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius
+    if total is not None and near.any():
+        i, j = near.nonzero()
+        near[i, j] = _bits(a[i], b[j]) <= total
+    return near
 
-    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius
-        if total is not None and near.any():
-            i, j = near.nonzero()
-            near[i, j] = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int32) <= total
-        return near
 
-    return test
+class _Forest:
+    """Links that join what was apart."""
 
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.root = ids, np.arange(len(ids))
+        self.left: list[int] = []
+        self.right: list[int] = []
 
-def _forest(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, same: bool, sure: Test, maybe: Test | None) -> tuple[list[int], list[int], list[bool]]:
-    """Links that span the ``sure`` ones of two tiles, and the ``maybe`` ones that they do not already join."""
-    ids = na if same else np.concatenate([na, nb])
-    off = 0 if same else len(na)
-    root = np.arange(len(ids))
-    left: list[int] = []
-    right: list[int] = []
-    kind: list[bool] = []
-    doubt: list[tuple[int, np.ndarray]] = []
+    def join(self, i: int, js: np.ndarray) -> None:
+        for t in np.unique(self.root[js]):
+            if t != self.root[i]:
+                self.left.append(int(self.ids[i]))
+                self.right.append(int(self.ids[js[self.root[js] == t][0]]))
+                self.root[self.root == t] = self.root[i]
+
+
+def _neighbours(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of ``a`` with the rows of ``b`` near them, each pair once; blocks of a bounded size are compared at a time."""
     step = max(1, (1 << 20) // max(1, len(b)))
     for s in range(0, len(a), step):
-        near = (maybe or sure)(a[s : s + step], b)
+        near = _near(a[s : s + step], b, radius, total)
         if same:
             near &= np.arange(len(b))[None, :] > np.arange(s, s + len(near))[:, None]
-        rows = near.any(axis=1).nonzero()[0]
-        for r in rows:
-            js = near[r].nonzero()[0]
-            if maybe is not None:
-                ok = sure(a[s + r : s + r + 1], b[js])[0]
-                if not ok.all():
-                    doubt.append((s + r, js[~ok]))
-                js = js[ok]
-            for t in np.unique(root[js + off]):
-                if t != root[s + r]:
-                    left.append(int(ids[s + r]))
-                    right.append(int(ids[js[root[js + off] == t][0] + off]))
-                    kind.append(True)
-                    root[root == t] = root[s + r]
-    for i, js in doubt:
-        for j in js[root[js + off] != root[i]]:
-            left.append(int(ids[i]))
-            right.append(int(ids[j + off]))
-            kind.append(False)
-    return left, right, kind
-
-
-def link_forest(prints: DataFrame, sure: Test, radius: int, maybe: Test | None = None, lanes: int = 1) -> DataFrame:
-    """``prints(fp, node)``, each fp once, to ``(a, b, sure)`` nodes: forests of the links of all tile pairs.
-
-    ``radius`` bounds the first lane's difference in either test.
+        for r in near.any(axis=1).nonzero()[0]:
+            yield s + int(r), near[r].nonzero()[0]
+
+
+def _tile_pairs(rows: DataFrame, steps: list[list[int]], keep: list[str]) -> DataFrame:
+    """``rows(cell, fp, keep...)`` packed into tiles, and the pairs of tiles whose cells are a step apart.
+
+    A tile is ``(cell, part, fps, keep...)``, the other one's columns end in ``_a``.
+    Which tiles meet is settled on their keys; then each side's rows are fetched.
     """
-    segments = 4 if radius <= 3 else 1
-    cells = prints.select("fp", "node", F.array(*_cell(segments)).alias("cell"))
-    size = cells.groupBy("cell").agg(F.count("*").alias("n"))  # at most (64 / segments + 1) ** segments rows
-    cells = cells.join(F.broadcast(size.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))), "cell")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    tiles = cells.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct("node", "fp")).alias("t"))
-    tiles = materialize(tiles.select("cell", "part", F.col("t.node").alias("nodes"), F.flatten("t.fp").alias("fps")), "tiles")
-    steps = F.explode(F.array(*[F.array(*[F.lit(d) for d in x]) for x in _near_cells(segments, radius)]))
-    keys = tiles.select("cell", "part", steps.alias("d")).select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.zip_with("cell", "d", lambda x, d: x + d).alias("cell"))
-    # which tiles meet is settled on their keys; then each side's rows are fetched
+    size = rows.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    cells = rows.join(broadcast_if_small(size, size.count()), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = cells.groupBy("cell", "part").agg(F.collect_list(F.struct("fp", *keep)).alias("t"))
+    tiles = materialize(tiles.select("cell", "part", F.flatten("t.fp").alias("fps"), *[F.col(f"t.{c}").alias(c) for c in keep]), "tiles")
+    d = F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in y]) for y in steps]))
+    keys = tiles.select("cell", "part", d.alias("d")).select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.zip_with("cell", "d", lambda x, y: x + y).alias("cell"))
     meet = keys.join(tiles.select("cell", "part"), "cell").where("cell_a <> cell or part_a <= part")
-    one = tiles.select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("nodes").alias("nodes_a"), F.col("fps").alias("fps_a"))
-    pairs = meet.join(one, ["cell_a", "part_a"]).join(tiles, ["cell", "part"])
-    pairs = pairs.select(((F.col("cell") == F.col("cell_a")) & (F.col("part") == F.col("part_a"))).alias("same"), "nodes_a", "fps_a", "nodes", "fps")
+    pairs = meet.join(tiles.toDF(*[f"{c}_a" for c in tiles.columns]), ["cell_a", "part_a"]).join(tiles, ["cell", "part"])
+    same = (F.col("cell") == F.col("cell_a")) & (F.col("part") == F.col("part_a"))
+    return pairs.select(same.alias("same"), *[f"{c}_a" for c in ("fps", *keep)], "fps", *keep)
+
+
+def link_forest(prints: DataFrame, radius: int, lanes: int = 1, sure: int | None = None, maybe: int | None = None) -> DataFrame:
+    """``prints(fp, node)``, each fp once, to ``(a, b, sure)`` nodes: links that span those of each tile pair.
+
+    ``radius`` bounds the first lane's difference and ``maybe`` that of all lanes.
+    Two forests come back: of links up to ``sure`` bits, and of all up to ``maybe``.
+    With one lane there is one, of links up to ``radius``.
+    """
+    segments = 4 if radius <= 3 else 1
+    rows = prints.select("fp", "node", F.array(*[c.cast("long") for c in _cell(segments)]).alias("cell"))
+    pairs = _tile_pairs(rows, _near_cells(segments, radius), ["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left: list[int] = []
-            right: list[int] = []
-            kind: list[bool] = []
-            for i in range(len(b)):
-                na, fa, nb, fb = (b[c][i].values.to_numpy() for c in ("nodes_a", "fps_a", "nodes", "fps"))
-                x, y, z = _forest(fa.view(np.uint64).reshape(-1, lanes), na, fb.view(np.uint64).reshape(-1, lanes), nb, b["same"][i].as_py(), sure, maybe)
-                left += x
-                right += y
-                kind += z
+        for batch in batches:
+            out: list[_Forest] = []
+            for k in range(len(batch)):
+                na, fa, nb, fb = (batch[c][k].values.to_numpy() for c in ("node_a", "fps_a", "node", "fps"))
+                x, y, same = fa.view(np.uint64).reshape(-1, lanes), fb.view(np.uint64).reshape(-1, lanes), batch["same"][k].as_py()
+                ids, off = (na, 0) if same else (np.concatenate([na, nb]), len(na))
+                close, wide = _Forest(ids), _Forest(ids)
+                for i, js in _neighbours(x, y, same, radius, maybe):
+                    if maybe is None:
+                        close.join(i, js + off)
+                    else:
+                        wide.join(i, js + off)
+                        near = js[_bits(x[i], y[js]) <= sure]
+                        if len(near):
+                            close.join(i, near + off)
+                out += [close, wide]
+            left = [v for f in out for v in f.left]
+            right = [v for f in out for v in f.right]
+            kind = [k % 2 == 0 for k, f in enumerate(out) for _ in f.left]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(kind, pa.bool_())], ["a", "b", "sure"])
 
     return pairs.mapInArrow(run, "a long, b long, sure boolean")
 
 
+def doubtful_links(nodes: DataFrame, radius: int, lanes: int, maybe: int, first: int, last: int | None) -> DataFrame:
+    """``nodes(fp, node, group, old, root)`` to ``(a, b)``: links inside groups whose ends no other link joins.
+
+    A row of a tile ranks the partners that had another root at the start (``old``),
+    nearest first; those ranked ``first`` to ``last`` whose ``root`` still differs are
+    given. A row with partners behind ``last`` also gives itself with a null partner.
+    """
+    rows = nodes.select("fp", "node", "old", "root", F.array("group").alias("cell"))
+    pairs = _tile_pairs(rows, [[0]], ["node", "old", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left: list[int] = []
+            right: list[int | None] = []
+            for k in range(len(batch)):
+                g = {c: batch[c][k].values.to_numpy() for c in batch.schema.names if c != "same"}
+                x, y = g["fps_a"].view(np.uint64).reshape(-1, lanes), g["fps"].view(np.uint64).reshape(-1, lanes)
+                for i, js in _neighbours(x, y, batch["same"][k].as_py(), radius, maybe):
+                    js = js[g["old"][js] != g["old_a"][i]]
+                    js = js[np.lexsort((g["node"][js], _bits(x[i], y[js])))]
+                    behind = last is not None and len(js) > last and (g["root"][js[last:]] != g["root_a"][i]).any()
+                    js = js[first:last]
+                    for j in js[g["root"][js] != g["root_a"][i]]:
+                        left.append(int(g["node_a"][i]))
+                        right.append(int(g["node"][j]))
+                    if behind:
+                        left.append(int(g["node_a"][i]))
+                        right.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _assign(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(links)
     of = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -193,8 +235,7 @@ def _assign(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _verified(doubt: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links ``(a, b)`` whose texts' shingle sets have the Jaccard similarity asked for."""
-    ids = doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct()
-    ids = materialize(ids, "doubted")
+    ids = materialize(doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct(), "doubted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     text = materialize(text, "doubted-texts")
     pairs = doubt.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
@@ -211,15 +252,29 @@ def _verified(doubt: DataFrame, docs: DataFrame, width: int, similarity: float)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+def _rooted(nodes: DataFrame, links: DataFrame, out: str) -> DataFrame:
+    """``nodes`` with the component of each node in a column."""
+    c = components(links).withColumnRenamed("component", "c_")
+    return nodes.join(c, "node", "left").withColumn(out, F.coalesce("c_", "node")).drop("c_")
+
+
+def _open_groups(nodes: DataFrame) -> DataFrame:
+    """Rows of groups that have more than one root."""
+    mixed = nodes.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
+    return nodes.join(mixed, "group", "left_semi")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 16) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, component_id)``: documents that reach each other by links of the similarity or more.
 
     The similarity is the Jaccard one of the sets of ``width``-word shingles. At
     that similarity, fingerprints of ``64 * lanes`` bits differ in a share
     ``p = acos(2s / (1 + s)) / pi`` of them. Links three deviations below that are
-    taken, those up to four above it are checked against the texts, unless their
-    ends are joined already. Texts of equal fingerprints, empty ones among them,
-    are copies. Null ids and repeated rows as in :func:`simhash_components`.
+    taken. Those up to four above it are checked against the texts, nearest first
+    and in growing numbers, until their ends are joined or all have been checked: in
+    a large group most need no check, and none is left out. Texts of equal
+    fingerprints, empty ones among them, are copies. Null ids and repeated rows as
+    in :func:`simhash_components`.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * lanes
@@ -228,16 +283,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, la
     sure, maybe = max(0, math.floor(bits * p - 3 * spread)), math.ceil(bits * p + 4 * spread)
     prints = materialize(fingerprints(docs, width, lanes, distinct=True), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64("fp"), 2) + NO_ID).alias("node")), "nodes")
-    found = materialize(link_forest(nodes, within(radius, sure), radius, within(radius, maybe), lanes), "links")
-    certain = found.where("sure").select("a", "b")
-    first = components(certain)
-    # links whose ends the certain ones join need no look at the texts
-    root = materialize(first, "roots")
-    end = lambda c: root.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
-    doubt = found.where("not sure").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
-    doubt = doubt.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
-    more = materialize(_verified(materialize(doubt, "doubt"), docs, width, similarity), "links")
-    return _assign(prints, nodes, certain.union(more)).select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    found = materialize(link_forest(nodes, radius, lanes, sure, maybe), "links")
+    links = found.where("sure").select("a", "b")
+    state = _rooted(_rooted(nodes, found.where("not sure"), "group"), links, "root").withColumn("old", F.col("root"))
+    state = materialize(_open_groups(state), "open")
+    first = 0
+    for last in (*CHECKED, None):
+        got = materialize(doubtful_links(state, radius, lanes, maybe, first, last), "doubt")
+        new = materialize(_verified(got.where("b is not null").distinct(), docs, width, similarity), "links")
+        links = links.union(new)
+        if got.where("b is null").isEmpty():
+            break
+        state = materialize(_open_groups(_rooted(state.drop("root"), links, "root")), "open")
+        if state.isEmpty():
+            break
+        first = last
+    return _assign(prints, nodes, links).select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -264,7 +325,7 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> Data
     prints = materialize(fingerprints(docs, width), "prints")
     # null ids stand behind all others and come out as null again
     nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64("fp"), 2) + NO_ID).alias("node")), "nodes")
-    links = link_forest(nodes, within(radius), radius)
+    links = link_forest(nodes, radius)
     out = _assign(prints, nodes, links.select("a", "b"))
     hexed = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
     return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
