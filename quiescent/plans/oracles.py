@@ -266,6 +266,14 @@ SELECT round(2 * least(1 - (r - 0.5) / n, (r - 0.5) / n), 6) AS p FROM g""",
 SELECT c_custkey, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'dev' ELSE 'test' END AS part FROM u""",
     "sampled_queries": """WITH o AS (SELECT doc_id, toxic, md5(doc_id || '|0') AS h FROM labels), p AS (SELECT doc_id, toxic FROM o WHERE toxic = 1 ORDER BY h, doc_id LIMIT 20),
 r AS (SELECT doc_id, toxic FROM o WHERE doc_id NOT IN (SELECT doc_id FROM p) ORDER BY h, doc_id LIMIT 30) SELECT * FROM p UNION ALL SELECT * FROM r""",
+    "evoked_by_channel": f"WITH {TRIALS} SELECT channel, t, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, count(v) AS n FROM t GROUP BY ALL",
+    "grand_average": f"WITH {TRIALS}, o AS (SELECT user_id, t, avg(v) AS m FROM t GROUP BY ALL) SELECT t, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, count(*) AS n FROM o GROUP BY t",
+    "condition_comparison": f"""WITH {TRIALS}, o AS (SELECT user_id, t, avg(v) FILTER (channel = 'click') AS a, avg(v) FILTER (channel = 'view') AS b FROM t WHERE channel IN ('click', 'view') GROUP BY ALL)
+SELECT t, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS difference, round(stddev_samp(a - b), 6) AS sd, round(avg(a - b) / nullif(stddev_samp(a - b), 0) * sqrt(count(a - b)), 6) AS t_stat, count(a - b) AS n FROM o GROUP BY t""",
+    "block_average": f"WITH {E}, d AS (SELECT user_id, (i - 1) // 8 + 1 AS ep, (i - 1) % 8 + 1 AS t, v FROM e) SELECT user_id, t, round(sum(ep * 0.5 * v) / sum(ep * 0.5), 6) AS v FROM d WHERE ep BETWEEN 1 AND 5 GROUP BY ALL",
+    "event_correlation": f"WITH {TRIALS}, p AS (SELECT *, max(v) OVER (PARTITION BY user_id, trial) AS peak FROM t) SELECT channel, t, round(corr(peak, v), 6) AS r, count(*) AS n FROM p GROUP BY ALL",
+    "components_by_variance": f"WITH {E}, g AS (SELECT user_id, channel, var_samp(v) AS x FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x DESC NULLS LAST, channel) AS k FROM g) SELECT user_id, channel, round(x, 6) AS variance, CAST(k AS INT) AS rank FROM r WHERE x IS NOT NULL",
+    "slowest_worker": f"WITH {E}, g AS (SELECT user_id, max(v) AS t, count(DISTINCT channel) AS w FROM e GROUP BY user_id) SELECT round(quantile_cont(t, 0.5), 6) AS median, max(w) AS workers, count(*) AS n FROM g",
     "knn_l1": _knn(L1) + TOP,
     "knn_euclidean": _knn(L2) + TOP,
     "knn_cosine": _knn(COS) + TOP,

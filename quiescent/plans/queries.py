@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import distance, names
-from ..operators import detect, events, knn, montage, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
+from ..operators import averages, detect, events, knn, montage, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -584,6 +584,50 @@ def sampled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sample_queries(lab, "doc_id", 50, "toxic", 20)
 
 
+# ------------------------------------------------------------------ averages
+
+
+@query
+def evoked_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return averages.evoked(trials(spark, sf_dir), ["channel", "t"]).select("channel", "t", r6("mean"), r6("sd"), "n")
+
+
+@query
+def grand_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return averages.grand_average(trials(spark, sf_dir), "user_id", ["t"]).select("t", r6("mean"), r6("sd"), "n")
+
+
+@query
+def condition_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = averages.compare_conditions(trials(spark, sf_dir), "user_id", "channel", "click", "view", ["t"])
+    return d.select("t", r6("mean_a"), r6("mean_b"), r6("difference"), r6("sd"), r6("t_stat"), "n")
+
+
+@query
+def block_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = spark.range(1, 6).select(F.col("id").alias("epoch"), (F.col("id") * 0.5).alias("w"))
+    return averages.block_average(samples(spark, sf_dir), ["user_id"], 8, w).select("user_id", "t", r6("v"))
+
+
+@query
+def event_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trials(spark, sf_dir)
+    peak = t.groupBy("user_id", "trial").agg(F.max("v").alias("peak"))
+    return averages.event_correlation(t.join(peak, ["user_id", "trial"]), ["channel", "t"], "peak").select("channel", "t", r6("r"), "n")
+
+
+@query
+def components_by_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = averages.order_by_variance(samples(spark, sf_dir), ["user_id"], "channel").where("variance is not null")
+    return d.select("user_id", "channel", r6("variance"), "rank")
+
+
+@query
+def slowest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = averages.slowest_then_median(samples(spark, sf_dir), "user_id", "channel", "v")
+    return d.select(r6("median"), "workers", "n")
+
+
 # ------------------------------------------------------------------ neighbours
 
 DIM = 64
