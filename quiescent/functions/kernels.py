@@ -408,15 +408,21 @@ def max_xcorr(x: np.ndarray, y: np.ndarray, coeff: bool = False) -> float:
     return best
 
 
-def tile_xcorr(a: np.ndarray, b: np.ndarray, coeff: bool = False) -> np.ndarray:
-    """Largest cross-correlations of the rows of two matrices of one width."""
-    n = a.shape[1] + b.shape[1] - 1
+def tile_xcorr(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, coeff: bool = False) -> np.ndarray:
+    """Largest cross-correlations of the rows of two matrices, each row padded with zeros from its length on."""
+    wide = b.shape[1]
+    n = a.shape[1] + wide - 1
     m = 1 << int(np.ceil(np.log2(max(2, n))))
     fa, fb = np.fft.rfft(a, m), np.fft.rfft(b[:, ::-1], m)
-    best = np.stack([np.fft.irfft(x[None, :] * fb, m)[:, :n].max(axis=1) for x in fa])
+    lag = np.arange(n) - (wide - 1)
+    out = np.empty((len(a), len(b)))
+    for i, x in enumerate(fa):
+        r = np.fft.irfft(x[None, :] * fb, m)[:, :n]
+        # lags at which the samples, not the padding, overlap
+        out[i] = np.where((lag < na[i]) & (lag > -nb[:, None]), r, -np.inf).max(axis=1)
     if coeff:
-        best = best / np.maximum(np.sqrt((a**2).sum(axis=1))[:, None] * np.sqrt((b**2).sum(axis=1))[None, :], 1e-300)
-    return best
+        out = out / np.maximum(np.sqrt((a**2).sum(axis=1))[:, None] * np.sqrt((b**2).sum(axis=1))[None, :], 1e-300)
+    return out
 
 
 def dtw_many(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, window: int) -> np.ndarray:

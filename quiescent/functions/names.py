@@ -29,7 +29,8 @@ def parse_name(name: Column) -> Column:
 
 def name_timestamp(name: Column) -> Column:
     """Start time in a name, without a zone."""
-    return F.to_timestamp_ntz(F.regexp_replace(F.regexp_extract(name, r"(\d{8}[_T]\d{6})", 1), "T", "_"), F.lit("yyyyMMdd_HHmmss"))
+    found = F.regexp_replace(F.regexp_extract(name, r"(\d{8}[_T]\d{6})", 1), "T", "_")
+    return F.when(found != "", F.to_timestamp_ntz(found, F.lit("yyyyMMdd_HHmmss")))
 
 
 def end_time(start: Column, n_samples: Column, srate: float) -> Column:

@@ -114,7 +114,7 @@ def dirty_fraction(epochs: DataFrame, keys: list[str], flags: list[str], per: in
 
 
 def any_flag(df: DataFrame, flags: list[str], out: str = "reject") -> DataFrame:
-    return df.withColumn(out, F.greatest(*[F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags]) == 1)
+    return df.withColumn(out, reduce(lambda a, b: a | b, [F.coalesce(F.col(f), F.lit(False)) for f in flags]))
 
 
 def drop_rejected(trials: DataFrame, flagged: DataFrame, keys: list[str], trial: str) -> DataFrame:

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "array<double>": T.ArrayType(T.DoubleType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _s(**cols: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in cols.items()))
+    return T.StructType([T.StructField(k, _TYPES[v]) for k, v in cols.items()])
 
 
 SAMPLES = _s(rec_id="string", channel="string", i="bigint", v="double")
