@@ -428,29 +428,39 @@ def tile_xcorr(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, coe
 def dtw_many(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, window: int) -> np.ndarray:
     """Warping distances of row pairs padded to one width, absolute differences summed along the path.
 
-    Anti-diagonals of all pairs move on together. The window is widened to the
+    Anti-diagonals of all pairs move on together; a diagonal's cells are rows of
+    memory, so every step is on whole slices. The window is widened to the
     difference of the lengths.
     """
     p, n = x.shape
     m = y.shape[1]
+    if p > 512:  # what moves on together should stay in a core's cache
+        return np.concatenate([dtw_many(x[k : k + 512], y[k : k + 512], nx[k : k + 512], ny[k : k + 512], window) for k in range(0, p, 512)])
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
     wide = np.maximum(window, np.abs(nx - ny))
+    narrow = int(wide.min()) if p else 0
     out = np.full(p, np.inf)
-    prev2 = np.full((p, n + 1), np.inf)
-    prev = np.full((p, n + 1), np.inf)
-    prev2[:, 0] = 0.0  # the cell before the first of both
-    rows = np.arange(1, n + 1)
+    prev2, prev, cur = (np.full((n + 1, p), np.inf) for _ in range(3))
+    prev2[0] = 0.0  # the cell before the first of both
+    last = nx + ny
     for d in range(2, n + m + 1):
-        cur = np.full((p, n + 1), np.inf)
-        i = rows[(rows >= d - m) & (rows <= d - 1)]
-        if len(i):
-            j = d - i
-            cost = np.abs(x[:, i - 1] - y[:, j - 1])
-            best = np.minimum(np.minimum(prev[:, i - 1], prev[:, i]), prev2[:, i - 1])
-            v = np.where(np.abs(i - j)[None, :] <= wide[:, None], cost + best, np.inf)
-            cur[:, i] = v
-            end = (nx + ny == d).nonzero()[0]
-            out[end] = cur[end, nx[end]]
-        prev2, prev = prev, cur
+        lo, hi = max(1, d - m), min(n, d - 1)
+        cur[lo - 1] = np.inf
+        if hi < n:
+            cur[hi + 1] = np.inf
+        if lo <= hi:
+            cell = cur[lo : hi + 1]
+            np.minimum(prev[lo - 1 : hi], prev[lo : hi + 1], out=cell)
+            np.minimum(cell, prev2[lo - 1 : hi], out=cell)
+            cell += np.abs(xt[lo - 1 : hi] - yt[d - hi - 1 : d - lo][::-1])
+            off = np.abs(2 * np.arange(lo, hi + 1) - d)
+            if off.max() > narrow:
+                cell[off[:, None] > wide[None, :]] = np.inf
+            end = (last == d).nonzero()[0]
+            out[end] = cur[nx[end], end]
+        prev2, prev, cur = prev, cur, prev2
+        if d == 2:
+            prev2[0] = np.inf
     return out
 
 

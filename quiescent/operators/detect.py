@@ -36,11 +36,16 @@ def channel_vote(labels: DataFrame, keys: list[str], n_channels: int, z: str = "
     return g.withColumn("z", out).drop("on")
 
 
-def artifact_chunks(samples: DataFrame, keys: list[str], chunk: int, saturation: float, min_std: float, idx: str = "i", value: str = "v", channel: str = "channel") -> DataFrame:
-    """``(keys, chunk, is_artifact)`` of half-open chunks: any channel saturated or flat."""
+def artifact_chunks(samples: DataFrame, keys: list[str], chunk: int, saturation: float, min_std: float, idx: str = "i", value: str = "v", channel: str = "channel", muscle: str | None = None, muscle_std: float = 5.0) -> DataFrame:
+    """``(keys, chunk, is_artifact)`` of half-open chunks: any channel saturated or flat.
+
+    The channel ``muscle`` is judged by another rule: its deviation exceeds ``muscle_std``.
+    """
     by = samples.groupBy(*keys, channel, F.floor((F.col(idx) - 1) / chunk).alias("chunk"))
     ch = by.agg(F.max(F.abs(value)).alias("peak"), F.stddev_samp(value).alias("sd"))
     bad = (F.col("peak") > saturation) | F.coalesce(F.col("sd") < min_std, F.lit(False))
+    if muscle is not None:
+        bad = F.when(F.col(channel) == muscle, F.coalesce(F.col("sd") > muscle_std, F.lit(False))).otherwise(bad)
     return ch.groupBy(*keys, "chunk").agg(F.bool_or(bad).alias("is_artifact"))
 
 

@@ -63,23 +63,32 @@ def ema_variance_array(values: Column, beta: float) -> Column:
 
 
 def ema_variance_kernel(x: np.ndarray, beta: float, mu: float | None = None, var: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(means, variances) of one series, from a state if one is given; blocks by a triangular matrix."""
+    """(means, variances) of one series, from a state if one is given.
+
+    All blocks are multiplied by one triangular matrix at once; only a number for
+    each block is carried on one by one.
+    """
     if not len(x):
         return np.zeros(0), np.zeros(0)
+    size = _block_size(beta, 64)
+    k = np.arange(size)
+    lower = np.where(k[:, None] >= k, (1 - beta) * beta ** np.abs(k[:, None] - k), 0.0)
+    fade = beta ** (k + 1.0)
 
     def scan(v: np.ndarray, s: float) -> np.ndarray:
-        size = _block_size(beta)
-        k = np.arange(size)
-        lower = np.where(k[:, None] >= k, (1 - beta) * beta ** np.abs(k[:, None] - k), 0.0)
-        out = np.empty(len(v))
-        for i in range(0, len(v), size):
-            part = v[i : i + size]
-            n = len(part)
-            out[i : i + n] = lower[:n, :n] @ part + s * beta ** (k[:n] + 1)
-            s = out[i + n - 1]
-        return out
-
-    m = scan(x.astype(float), float(x[0]) if mu is None else mu)
+        n = -(-len(v) // size)
+        full = np.zeros(n * size)
+        full[: len(v)] = v
+        out = full.reshape(n, size) @ lower.T
+        start, step = np.empty(n), float(fade[-1])
+        for j, e in enumerate(out[:, -1].tolist()):
+            start[j] = s
+            s = step * s + e
+        out += start[:, None] * fade
+        return out.reshape(-1)[: len(v)]
+
+    x = x.astype(float)
+    m = scan(x, float(x[0]) if mu is None else mu)
     return m, scan((x - m) ** 2, var)
 
 

@@ -181,3 +181,44 @@ def matrix_op(df: DataFrame, keys: list[str], channel: str, fn: Callable[[np.nda
 
     kinds = dict(df.dtypes)
     return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"{out_channel} int", f"`{idx}` {kinds[idx]}", f"`{value}` double"]))
+
+
+def two_way_fir(df: DataFrame, keys: list[str], srate: float, lo: float, hi: float, order: int | None = None, idx: str = "i", value: str = "v") -> DataFrame:
+    """Least-squares FIR band filtering; 0 leaves an edge open. The order is three cycles of the lower edge unless given.
+
+    The coefficients are symmetric and their delay is taken out, which is what a
+    pass in each direction is for.
+    """
+    nyq, trans = srate / 2, 0.15
+    base = lo or hi
+    order = order or max(16, int(3 * srate / base) // 2 * 2)
+    order += order % 2
+    bands, gains = [], []
+    if lo:
+        bands += [0, (1 - trans) * lo]
+        gains += [0, 0]
+    bands += [lo or 0, hi or nyq]
+    gains += [1, 1]
+    if hi:
+        bands += [min(nyq, (1 + trans) * hi), nyq]
+        gains += [0, 0]
+    h = K.fir_least_squares(order, bands, gains, srate)
+    return apply_series(df, keys, lambda x: K.fir_apply(x, h), idx, value)
+
+
+def ica_clean(df: DataFrame, keys: list[str], max_kurtosis: float = 15.0, channel: str = "channel", idx: str = "i", value: str = "v", seed: int = 0) -> DataFrame:
+    """Samples without the independent components whose kurtosis exceeds the limit: heart beats, blinks, steps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot_table(index=channel, columns=idx, values=value)
+        x = m.to_numpy(float)
+        mean = x.mean(axis=1, keepdims=True)
+        w, s = K.fast_ica(x, seed=seed)
+        k = (s**4).mean(axis=1) / np.maximum((s**2).mean(axis=1), 1e-300) ** 2
+        s[k > max_kurtosis] = 0
+        y = np.linalg.pinv(w) @ s + mean
+        n = m.shape[1]
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, channel: np.repeat(m.index.to_numpy(), n), idx: np.tile(m.columns.to_numpy(), len(m)), value: y.reshape(-1)})
+
+    kinds = dict(df.dtypes)
+    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{channel}` {kinds[channel]}", f"`{idx}` {kinds[idx]}", f"`{value}` double"]))

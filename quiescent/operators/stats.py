@@ -208,6 +208,16 @@ def permuted_labels(df: DataFrame, id_col: str, label: str, replicates: int, see
     return a.join(b, ["replicate", *keys, "k_"]).drop("k_", label).withColumnRenamed(f"{label}_p", label)
 
 
+def permutation_test(df: DataFrame, keys: tuple[str, ...], id_col: str, label: str, a: object, b: object, value: str, replicates: int, seed: int = 0, tail: str = "both") -> DataFrame:
+    """``(keys, observed, p)``: difference of two groups' means among those of permuted labels."""
+    d = df.where(F.col(label).isin(a, b)).select(*keys, id_col, label, value)
+    diff = F.avg(F.when(F.col(label) == a, F.col(value))) - F.avg(F.when(F.col(label) == b, F.col(value)))
+    sur = permuted_labels(d, id_col, label, replicates, seed, keys).groupBy("replicate", *keys).agg(diff.alias("surrogate"))
+    obs = d.groupBy(*keys).agg(diff.alias("observed"))
+    j = sur.join(obs, list(keys)) if keys else sur.join(F.broadcast(obs))
+    return surrogate_p(j, [*keys, "observed"], "observed", "surrogate", tail)
+
+
 def bootstrap_rows(df: DataFrame, keys: list[str], id_col: str, replicates: int, seed: int = 0) -> DataFrame:
     """Each replicate draws as many rows as there are, with replacement, by hashed row numbers."""
     n = F.count("*").over(W.partitionBy(*keys))

@@ -48,9 +48,14 @@ class Header:
     def record_seconds(self) -> float:
         return float(self.fields["record_seconds"])
 
+    @property
+    def sample_bytes(self) -> int:
+        """2, and 3 in the 24-bit variant, whose version field is a byte 255 and a name."""
+        return 3 if self.fields["version"].startswith("\xff") else 2
+
     @property
     def record_bytes(self) -> int:
-        return 2 * int(self.samples.sum())
+        return self.sample_bytes * int(self.samples.sum())
 
     def records_in(self, size: int) -> int:
         """Whole records by the file's size; the header's count may be -1 or wrong."""
@@ -80,7 +85,13 @@ def parse_header(raw: bytes) -> Header:
 def decode(raw: bytes, h: Header, first: int, wanted: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(signal, indices from 1, physical values) of whole records from the ``first`` on."""
     width = int(h.samples.sum())
-    data = np.frombuffer(raw, "<i2", len(raw) // (2 * width) * width).reshape(-1, width)
+    n = len(raw) // h.record_bytes * width
+    if h.sample_bytes == 2:
+        data = np.frombuffer(raw, "<i2", n).reshape(-1, width)
+    else:  # the upper byte carries the sign
+        b = np.frombuffer(raw, np.uint8, 3 * n).reshape(-1, 3).astype(np.int32)
+        data = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000
+        data = data.reshape(-1, width)
     edge = np.concatenate([[0], np.cumsum(h.samples)])
     for k in wanted:
         s = h.signals[k]
@@ -126,7 +137,7 @@ class EdfReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         path = self.path.removeprefix("file://").removeprefix("file:")
-        files = sorted(glob.glob(os.path.join(path, "**", "*.edf"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
+        files = sorted(glob.glob(os.path.join(path, "**", "*.[eb]df"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
         out: list[InputPartition] = []
         for f in files:
             with open(f, "rb") as s:
@@ -173,7 +184,7 @@ def register(spark: SparkSession) -> None:
 
 def read_edf_binary(spark: SparkSession, path: str, signals: str | None = None) -> DataFrame:
     """The same rows through ``binaryFile``, a file a task: for stores that only Spark reaches."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eb]df").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +198,7 @@ def read_edf_binary(spark: SparkSession, path: str, signals: str | None = None)
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """``(rec_id, start, n_records, record_seconds, signals)`` of each file; only headers are parsed."""
     schema = "rec_id string, patient_id string, start timestamp_ntz, n_records bigint, record_seconds double, signals array<struct<label:string,units:string,phys_min:double,phys_max:double,dig_min:double,dig_max:double,samples:int>>"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[eb]df").load(path)
     names = files.select("path", "length", F.substring("content", 1, 256 * 513).alias("head"))
 
     def run(batches: Iterator) -> Iterator:

@@ -46,6 +46,14 @@ def test_edf_count_from_size():
     assert len(v) == 60 and np.abs(v).max() <= 200 / 4095
 
 
+def test_24_bit_samples():
+    raw = edf.encode(np.zeros((1, 2)), 2, ["a"])
+    h = edf.parse_header(b"\xffBIOSEMI" + raw[8:])
+    body = b"".join(int(x).to_bytes(3, "little", signed=True) for x in (-2048, 2047))
+    (_, i, v), = edf.decode(body, h, 0, [0])
+    assert i.tolist() == [1, 2] and np.allclose(v, [-100, 100])
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "p.txt").write_text("0.5 1.5 - 1\n2 3 - 0\n\n")
     pts = tables.read_points(spark, str(tmp_path / "p.txt")).orderBy("label").collect()

@@ -320,3 +320,45 @@ def test_rejection_helpers(spark):
     assert [(r.trial, r.new_trial) for r in left] == [(2, 1)]
     psd = spark.createDataFrame([("a", t, 5.0, p) for t, p in ((1, 1.0), (2, 1.0), (3, 1000.0))], "k string, trial int, freq double, power double")
     assert {r.trial for r in reject.spectrum_reject(psd, ["k"], "trial", 1, 10, -15, 15).where("reject").collect()} == {3}
+
+
+def test_two_way_filter_and_component_removal(spark):
+    from quiescent.operators import signal
+
+    t = np.arange(800) / 200
+    x = np.sin(2 * np.pi * 10 * t) + np.sin(2 * np.pi * 60 * t)
+    df = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(x)], "k string, i long, v double")
+    y = signal.two_way_fir(df, ["k"], 200.0, 5.0, 20.0).orderBy("i").toPandas().v.to_numpy()
+    assert np.abs(y - np.sin(2 * np.pi * 10 * t))[150:-150].max() < 0.1
+    rng = np.random.default_rng(1)
+    spikes = np.zeros(1500)
+    spikes[::150] = 40
+    base = rng.standard_normal((3, 1500))
+    m = base + np.outer([1.0, 0.6, 0.3], spikes)
+    rows = [("a", c, i, float(m[k, i])) for k, c in enumerate("pqr") for i in range(1500)]
+    out = signal.ica_clean(spark.createDataFrame(rows, "k string, channel string, i int, v double"), ["k"])
+    assert out.agg(F.max(F.abs("v"))).first()[0] < 20
+
+
+def test_permutation_test(spark):
+    rows = [(i, "a" if i % 2 else "b", float(i % 2) * 5 + i % 7) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    assert stats.permutation_test(df, (), "id", "g", "a", "b", "v", 50).first().p < 0.05
+
+
+def test_muscle_channel(spark):
+    s = spark.createDataFrame([("r", "x", i, float(i % 3)) for i in range(1, 9)] + [("r", "emg", i, 20.0 * (i % 2)) for i in range(1, 9)], "k string, channel string, i int, v double")
+    assert detect.artifact_chunks(s, ["k"], 8, 500, 1e-4, muscle="emg").first().is_artifact
+    assert not detect.artifact_chunks(s, ["k"], 8, 500, 1e-4).first().is_artifact
+
+
+def test_blocks_detect_the_same(spark):
+    from quiescent.operators import dense
+
+    s = synthetic.recording(spark, "r", ["p", "q", "r", "s"], 120, 20.0, 10.0, 3.0)
+    s = s.unionByName(synthetic.recording(spark, "s", ["p", "q", "r", "s"], 60, 20.0, 8.0, 5.0, seed=5))
+    p = DetectParams(srate=20.0, ratio_window=20.0, min_episode=30.0, min_quiet_time=0.2)
+    _, _, bursts = detect.detect(s, p)
+    want = sorted((r.rec_id, r.episode_start, r.episode_end, r.start_idx, r.end_idx) for r in bursts.collect())
+    got = sorted(tuple(r) for r in dense.detect_blocks(dense.to_blocks(s, ["rec_id", "channel"], 500), 4, p).collect())
+    assert got == want and len(got) > 4
