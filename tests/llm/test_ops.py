@@ -375,10 +375,10 @@ def test_lines_awkward(spark, odd, empty):
 
 def test_repeated_lines_go(spark, odd):
     foot = "All rights are reserved by the owners."
-    rows = [(i, f"own text of number {i} {'x' * i}\n{foot}{'.' * (i % 3)}\n\nend {i * 7919}") for i in range(9)] + [(20, foot), (21, "alone"), (22, ""), (23, None)]
+    rows = [(i, f"{i * 104729} text of its own {'x' * (5 * i)}\n{foot}{'.' * (i % 3)}\n\nend {i * 7919}") for i in range(9)] + [(20, foot), (21, "alone"), (22, ""), (23, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("drop_", F.lit(1)).withColumn("id_", F.lit(2))
     out = {r.doc_id: r.text for r in linededup.drop_repeated_lines(df, min_docs=7).collect()}
-    assert out[0] == rows[0][1] and out[3] == f"own text of number 3 xxx\n\nend {3 * 7919}"
+    assert out[0] == rows[0][1] and out[3] == f"{3 * 104729} text of its own {'x' * 15}\n\nend {3 * 7919}"
     assert set(out) == set(range(9)) | {21, 22, 23} and out[22] == "" and out[23] is None
     assert linededup.drop_repeated_lines(df, min_docs=20).count() == len(rows)
     assert linededup.drop_repeated_lines(odd).columns == odd.columns
