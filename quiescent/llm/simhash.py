@@ -30,7 +30,7 @@ NO_ID = 1 << 62
 #: Doubtful partners of a fingerprint in a tile that are checked by the end of each round; then all.
 CHECKED = (8, 128, 1024)
 #: Shingles whose bits are counted at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -48,23 +48,42 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
 
 
-def majority(h: np.ndarray) -> int:
-    """64 bits, each 1 if it is set in over half of ``h``; 0 for none."""
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), BLOCK):
-        ones += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
-
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many hashes of each row ``(lane, n)`` have each bit set: ``(lane, 64)``.
 
-def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
-    """Fingerprints of ``lanes`` independent mixes of the hashes; the first is of the hashes themselves."""
-    out = [majority(h)]
-    for k in range(1, lanes):
-        z = h + np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(z ^ (z >> np.uint64(31))))
-    return out
+    Bits are laid out so that 128 hashes fold to one in seven additions of whole
+    arrays, with room for their counts in a byte.
+    """
+    lanes, n = h.shape
+    k = -(-n // 128)
+    full = np.zeros((lanes, k * 128), np.uint64)
+    full[:, :n] = h
+    rows = np.ascontiguousarray(full.reshape(lanes, k, 128).transpose(2, 0, 1)).view(np.uint8).reshape(128, -1)
+    bits = np.unpackbits(rows, axis=1, bitorder="little")
+    while len(bits) > 1:
+        half = len(bits) // 2
+        bits = bits[:half] + bits[half:]
+    return bits.reshape(lanes, k, 64).sum(axis=1, dtype=np.int64)
+
+
+def lanes_of(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Fingerprints of ``lanes`` independent mixes of the hashes; the first is of the hashes themselves.
+
+    A bit is 1 if it is set in over half of them; without hashes all are 0.
+    """
+    step = (np.uint64(0x9E3779B97F4A7C15) * np.arange(lanes, dtype=np.uint64))[:, None]
+    ones = np.zeros((lanes, 64), np.int64)
+    for i in range(0, len(h), BLOCK):
+        part = h[None, i : i + BLOCK]
+        if lanes > 1:
+            z = part + step
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            z[0] = part[0]
+            part = z
+        ones += bit_counts(part)
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
@@ -264,7 +283,7 @@ def _open_groups(nodes: DataFrame) -> DataFrame:
     return nodes.join(mixed, "group", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, component_id)``: documents that reach each other by links of the similarity or more.
 
     The similarity is the Jaccard one of the sets of ``width``-word shingles. At
