@@ -180,6 +180,33 @@ def fir_least_squares(order: int, bands: list[float], gains: list[float], srate:
     return np.concatenate([c[:0:-1] / 2, c[:1], c[1:] / 2])
 
 
+def fir_equiripple(order: int, bands: list[float], gains: list[float], srate: float, weights: list[float] | None = None, grid: int = 16, steps: int = 300) -> np.ndarray:
+    """Linear-phase coefficients of an even order with the smallest largest error.
+
+    Least squares whose weights are multiplied by the errors they leave, over and
+    over: where the error is largest the weight grows until all peaks are equal.
+    """
+    m = order // 2
+    freq, want, wt = [], [], []
+    for k in range(0, len(bands), 2):
+        f = np.linspace(bands[k], bands[k + 1], grid * (m + 1))
+        freq.append(f)
+        want.append(np.interp(f, bands[k : k + 2], gains[k : k + 2]))
+        wt.append(np.full(len(f), weights[k // 2] if weights else 1.0))
+    f, d, s = np.concatenate(freq), np.concatenate(want), np.concatenate(wt)
+    a = np.cos(2 * np.pi * np.outer(f / srate, np.arange(m + 1)))
+    w, best, least = np.full(len(f), 1 / len(f)), None, np.inf
+    for _ in range(steps):
+        g = np.sqrt(w)[:, None]
+        c = np.linalg.lstsq(a * g, d * g[:, 0], rcond=None)[0]
+        e = s * np.abs(a @ c - d)
+        if e.max() < least:
+            best, least = c, e.max()
+        w = w * (e + 1e-12)
+        w /= w.sum()
+    return np.concatenate([best[:0:-1] / 2, best[:1], best[1:] / 2])
+
+
 def minimum_phase(h: np.ndarray) -> np.ndarray:
     """The coefficients with the same magnitude response whose energy comes earliest, by the cepstrum."""
     n = 1 << int(np.ceil(np.log2(len(h) * 16)))
@@ -753,6 +780,46 @@ def nelder_mead(f: object, x0: np.ndarray, steps: int = 500, tol: float = 1e-8)
     return pts[k], float(val[k])
 
 
+def _lambda_moments(a: float, b: float) -> tuple[float, float, float, float]:
+    """Central moments one to four of ``u^a - (1 - u)^b`` for uniform u; the first is the mean."""
+
+    def beta(x: float, y: float) -> float:
+        return math.exp(math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y))
+
+    raw = [sum((-1) ** j * math.comb(k, j) * beta(1 + a * (k - j), 1 + b * j) for j in range(k + 1)) for k in range(1, 5)]
+    m1, m2, m3, m4 = raw
+    return m1, m2 - m1**2, m3 - 3 * m1 * m2 + 2 * m1**3, m4 - 4 * m1 * m3 + 6 * m1**2 * m2 - 3 * m1**4
+
+
+def lambda_fit(mean: float, sd: float, skew: float, kurt: float) -> tuple[float, float, float, float]:
+    """Generalised lambda distribution with the given moments (kurtosis of the normal one: 3).
+
+    Its quantile function is ``l1 + (p^l3 - (1 - p)^l4) / l2``. Shapes are searched
+    without gradients, place and scale follow.
+    """
+
+    def miss(x: np.ndarray) -> float:
+        if min(x) <= 1e-3 or max(x) > 5:
+            return 1e6
+        _, v, m3, m4 = _lambda_moments(float(x[0]), float(x[1]))
+        return (m3 / v**1.5 - skew) ** 2 + (m4 / v**2 - kurt) ** 2
+
+    shape, _ = nelder_mead(miss, np.array([0.135, 0.135]), 2000, 1e-14)
+    m1, v, _, _ = _lambda_moments(float(shape[0]), float(shape[1]))
+    l2 = math.sqrt(v) / sd
+    return mean - m1 / l2, l2, float(shape[0]), float(shape[1])
+
+
+def lambda_tail(x: float, params: tuple[float, float, float, float]) -> float:
+    """Share of the distribution above a value."""
+    l1, l2, l3, l4 = params
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        p = (lo + hi) / 2
+        lo, hi = (p, hi) if l1 + (p**l3 - (1 - p) ** l4) / l2 < x else (lo, p)
+    return 1 - (lo + hi) / 2
+
+
 # ---------------------------------------------------------------- sources
 
 

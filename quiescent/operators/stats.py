@@ -237,6 +237,19 @@ def surrogate_p(df: DataFrame, keys: list[str], observed: str, surrogate: str, t
     return g.select(*keys, p.alias("p"))
 
 
+def fitted_surrogate_p(df: DataFrame, observed: str, surrogate: str) -> float | None:
+    """p of one observed value in the tail of a distribution fitted to the surrogates' moments; None without spread."""
+    from ..functions.kernels import lambda_fit, lambda_tail
+
+    m, sd, sk, ku, x = df.agg(F.avg(surrogate), F.stddev_pop(surrogate), F.skewness(surrogate), F.kurtosis(surrogate) + 3, F.first(observed)).first()
+    return lambda_tail(x, lambda_fit(m, sd, sk, ku)) if sd else None
+
+
+def strongest_surrogate(df: DataFrame, replicate: str, statistic: str) -> DataFrame:
+    """``(replicate, strongest)``: the largest statistic of all tests in each replicate, against which each test is corrected for their number."""
+    return df.groupBy(replicate).agg(F.max(statistic).alias("strongest"))
+
+
 def surrogate_interval(df: DataFrame, keys: list[str], surrogate: str, alpha: float) -> DataFrame:
     """Order statistics that leave ``alpha / 2`` of the surrogates on each side."""
     d = df.withColumns({"r_": F.row_number().over(W.partitionBy(*keys).orderBy(surrogate)), "n_": F.count("*").over(W.partitionBy(*keys))})

@@ -89,6 +89,23 @@ def test_episode_json(spark):
     assert [r.s for r in s] == ['"_NaN_"', "2.0"]
 
 
+def test_binary_json(spark, tmp_path):
+    from quiescent.sources import ubjson
+
+    docs = [{"name": "a", "n": [1, -200, 70000, 2**40, 2**70], "x": [0.5, 1.5, -2.0, 3.25], "deep": {"t": True, "none": None, "é": [[], {}]}}, [], 1.5, "text", {"k": [1.0, 2.0]}]
+    for d in docs:
+        assert ubjson.decode(ubjson.encode(d)) == d
+    assert ubjson.decode(b"[#i\x02N" b"i\x01T") == [1, True] and ubjson.decode(b"[$U#i\x03\x01\x02\xff") == [1, 2, 255]
+    (tmp_path / "a.ubj").write_bytes(ubjson.encode(docs[0]))
+    (tmp_path / "b.ubj").write_bytes(b"[i")
+    import json
+
+    got = {os.path.basename(r.path): r.value for r in ubjson.read_ubjson(spark, str(tmp_path)).collect()}
+    assert json.loads(got["a.ubj"]) == docs[0] and got["b.ubj"] is None
+    back = ubjson.encode_column(spark.createDataFrame([('{"a": [1, 2.5]}',), (None,)], "j string"), "j").collect()
+    assert ubjson.decode(bytes(back[0].ubjson)) == {"a": [1, 2.5]} and back[1].ubjson is None
+
+
 def test_sinks(spark, tmp_path, recording):
     p = str(tmp_path / "t")
     tables.write_table(spark.createDataFrame([(1, 0.25)], "global_zs int, bsr double"), p, {"bsr": "%.3f"})

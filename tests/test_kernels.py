@@ -59,6 +59,14 @@ def test_fir_designs():
     assert abs(low - 1) < 1e-2 and high < 1e-2
     ls = K.fir_least_squares(60, [0, 15, 25, 100], [1, 1, 0, 0], FS)
     assert np.allclose(ls, ls[::-1]) and abs(abs(np.polyval(ls, np.exp(-2j * np.pi * 5 / FS))) - 1) < 2e-2
+    er = K.fir_equiripple(40, [0, 15, 25, 100], [1, 1, 0, 0], FS)
+    l2 = K.fir_least_squares(40, [0, 15, 25, 100], [1, 1, 0, 0], FS)
+
+    def worst(c):
+        f = np.concatenate([np.linspace(0, 15, 200), np.linspace(25, 100, 800)])
+        return np.abs(np.abs(np.polyval(c, np.exp(-2j * np.pi * f / FS))) - (f < 20)).max()
+
+    assert worst(er) < 0.8 * worst(l2) and np.allclose(er, er[::-1])
     mp = K.minimum_phase(h)
     assert np.argmax(np.abs(mp)) < np.argmax(np.abs(h))
     x = np.random.default_rng(1).standard_normal(300)
@@ -173,3 +181,12 @@ def test_sparse_sources():
     assert np.trace(gamma, axis1=1, axis2=2).argmax() == 2 and w.shape == (60, 12)
     course = K.beamformer(y, lead, y @ y.T / 80 + noise)
     assert course.shape == (20, 80) and abs(np.corrcoef(course[2], np.sin(np.arange(80) / 5))[0, 1]) > 0.98
+
+
+def test_lambda_distribution():
+    fit = K.lambda_fit(0.0, 1.0, 0.0, 3.0)
+    assert abs(K.lambda_tail(1.96, fit) - 0.025) < 2e-3 and abs(K.lambda_tail(0.0, fit) - 0.5) < 1e-6
+    right = K.lambda_fit(2.0, 3.0, 0.5, 3.0)
+    p = (np.arange(20000) + 0.5) / 20000
+    q = right[0] + (p ** right[2] - (1 - p) ** right[3]) / right[1]
+    assert abs(q.mean() - 2) < 0.01 and abs(q.std() - 3) < 0.03 and abs((((q - 2) / 3) ** 3).mean() - 0.5) < 0.03
