@@ -200,7 +200,7 @@ SELECT CAST(t AS INT) AS t, count(*) AS n, round(avg(v), 6) AS erp, round(stddev
     "original_latency": f"WITH {E} SELECT event_id, CAST(i + coalesce(sum(CASE WHEN v > 120 THEN floor(v) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i), 0) AS DOUBLE) AS ur_latency FROM e",
     "epoch_moments": f"""WITH {TRIALS}, c AS (SELECT user_id, trial, v, avg(v) OVER (PARTITION BY user_id, trial) AS m FROM t),
 g AS (SELECT user_id, trial, count(*) AS n, var_samp(v) AS variance, avg(pow(v - m, 2)) AS m2, avg(pow(v - m, 3)) AS m3, avg(pow(v - m, 4)) AS m4 FROM c GROUP BY ALL)
-SELECT user_id, trial, n, round(variance, 6) AS variance, round(m3 / pow(m2, 1.5), 6) AS skew, round(m4 / (m2 * m2), 6) AS kurt FROM g WHERE n > 2""",
+SELECT user_id, trial, n, round(variance, 9) AS variance, round(m3 / pow(m2, 1.5), 9) AS skew, round(m4 / (m2 * m2), 9) AS kurt FROM g WHERE n > 2""",
     "population_outliers": f"""WITH {TRIALS}, g AS (SELECT user_id, trial, var_samp(v) AS x FROM t GROUP BY ALL), f AS (SELECT * FROM g WHERE x IS NOT NULL), p AS (SELECT avg(x) AS m, stddev_samp(x) AS sd FROM f WHERE x <> 0)
 SELECT user_id, trial, abs(x - m) > 2 * sd OR x < 1e-3 AS outlier FROM f, p""",
     "band_power_outliers": f"WITH {TRIALS}, g AS (SELECT user_id, trial, sum(v * v) AS x FROM t GROUP BY ALL) SELECT user_id, trial, x < 0.1 * (SELECT avg(x) FROM g) OR x > 3 * (SELECT avg(x) FROM g) AS outlier FROM g",
@@ -220,7 +220,7 @@ SELECT event_id, round((v - md) / nullif(iqr * 0.7413, 0), 6) AS z FROM e JOIN q
 SELECT user_id, round(any_value(md), 6) AS med, round(quantile_cont(abs(v - md), 0.5), 6) AS mad FROM e JOIN q USING (user_id) GROUP BY user_id""",
     "quality_issues": f"""WITH {E}, g AS (SELECT user_id, list_filter([CASE WHEN count(*) < 65 THEN 'few' END, CASE WHEN max(v) > 300 THEN 'peak' END, CASE WHEN avg(v) > 55 THEN 'high' END], lambda x: x IS NOT NULL) AS l FROM e GROUP BY user_id)
 SELECT user_id, array_to_string(l, ',') AS issues FROM g WHERE len(l) > 0""",
-    "average_reference": f"WITH {CHAN} SELECT user_id, channel, round(CASE WHEN channel <> 'error' THEN v - avg(CASE WHEN channel <> 'error' THEN v END) OVER (PARTITION BY user_id) ELSE v END, 6) AS v FROM c",
+    "average_reference": f"WITH {CHAN} SELECT user_id, channel, round(CASE WHEN channel <> 'error' THEN v - avg(CASE WHEN channel <> 'error' THEN v END) OVER (PARTITION BY user_id) ELSE v END, 9) AS v FROM c",
     "common_reference": f"WITH {CHAN}, d AS (SELECT user_id, channel, v - avg(CASE WHEN channel IN ('click', 'view') THEN v END) OVER (PARTITION BY user_id) AS v FROM c) SELECT user_id, channel, round(v, 6) AS v FROM d WHERE channel NOT IN ('click', 'view')",
     "baseline_removed": f"WITH {TRIALS} SELECT event_id, round(v - avg(CASE WHEN t BETWEEN 1 AND 3 THEN v END) OVER (PARTITION BY user_id, trial), 6) AS v FROM t",
     "bipolar_montage": f"""WITH {CHAN}, w AS (SELECT user_id, max(CASE WHEN channel = 'click' THEN v END) AS a, max(CASE WHEN channel = 'view' THEN v END) AS b, max(CASE WHEN channel = 'purchase' THEN v END) AS d FROM c GROUP BY user_id)

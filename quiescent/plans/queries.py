@@ -344,7 +344,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def epoch_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = reject.epoch_moments(trials(spark, sf_dir), ["user_id", "trial"]).where("n > 2")
-    return m.select("user_id", "trial", "n", r6("variance"), r6("skew"), r6("kurt"))
+    return m.select("user_id", "trial", "n", *[F.round(c, 9).alias(c) for c in ("variance", "skew", "kurt")])
 
 
 @query
@@ -412,7 +412,7 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def average_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).groupBy("user_id", "channel").agg(F.avg("v").alias("v"))
-    return montage.average_reference(s, ["user_id"], exclude=["error"]).select("user_id", "channel", r6("v"))
+    return montage.average_reference(s, ["user_id"], exclude=["error"]).select("user_id", "channel", F.round("v", 9).alias("v"))
 
 
 @query
