@@ -362,3 +362,14 @@ def test_blocks_detect_the_same(spark):
     want = sorted((r.rec_id, r.episode_start, r.episode_end, r.start_idx, r.end_idx) for r in bursts.collect())
     got = sorted(tuple(r) for r in dense.detect_blocks(dense.to_blocks(s, ["rec_id", "channel"], 500), 4, p).collect())
     assert got == want and len(got) > 4
+
+
+def test_batches_hold_like_lengths(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(103)], "id long, n int")
+    got = similarity.batches_by_length(df, "n", 10, "id", parts=3).toPandas()
+    sizes = got.groupby("batch").id.count()
+    assert len(got) == 103 and sorted(sizes) == [3] + [10] * 10 and sorted(sizes.index) == list(range(1, 12))
+    spans = sorted(zip(got.groupby("batch").n.min(), got.groupby("batch").n.max(), strict=True))
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    again = similarity.batches_by_length(df.repartition(7), "n", 10, "id", parts=3).toPandas()
+    assert dict(zip(got.id, got.batch, strict=True)) == dict(zip(again.id, again.batch, strict=True))
