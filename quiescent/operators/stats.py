@@ -39,8 +39,11 @@ def hazen_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """
     d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v_"))
     d = d.withColumns({"r_": F.row_number().over(W.partitionBy(*keys).orderBy("v_")), "n_": F.count("*").over(W.partitionBy(*keys))})
-    p = F.explode(F.array(*[F.lit(float(x)) for x in probs]))
-    d = d.select("*", p.alias("p")).withColumn("at_", F.greatest(F.lit(1.0), F.least(F.col("n_").cast("double"), F.col("p") * F.col("n_") + 0.5)))
+    at = lambda p: F.greatest(F.lit(1.0), F.least(F.col("n_").cast("double"), p * F.col("n_") + 0.5))
+    wanted = F.array(*[F.lit(float(x)) for x in probs])
+    # the few ranks that any probability needs, before rows are repeated for each
+    d = d.where(F.exists(wanted, lambda p: (F.col("r_") == F.floor(at(p))) | (F.col("r_") == F.ceil(at(p)))))
+    d = d.select("*", F.explode(wanted).alias("p")).withColumn("at_", at(F.col("p")))
     near = d.where((F.col("r_") == F.floor("at_")) | (F.col("r_") == F.ceil("at_")))
     g = near.groupBy(*keys, "p").agg(F.min_by("v_", "r_").alias("a_"), F.max_by("v_", "r_").alias("b_"), F.first("at_").alias("at_"))
     return g.select(*keys, "p", (F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("at_") - F.floor("at_"))).alias("q"))
@@ -183,13 +186,26 @@ def anova2(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return s.select(rows.alias("r")).select("r.*")
 
 
-def fdr(df: DataFrame, keys: list[str], p: str, q: float, dependent: bool = False) -> DataFrame:
-    """Adds ``significant``: Benjamini-Hochberg, or with ``dependent`` Benjamini-Yekutieli."""
+def fdr(df: DataFrame, keys: list[str], p: str, q: float, dependent: bool = False, buckets: int = 4096) -> DataFrame:
+    """Adds ``significant``: Benjamini-Hochberg, or with ``dependent`` Benjamini-Yekutieli.
+
+    The number of values up to each one is counted by buckets of values: running
+    sums over the buckets' totals, and inside a bucket over its distinct values.
+    """
+    d = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("c_")).withColumn("b_", F.floor(F.col(p) * buckets))
+    tot = d.groupBy(*keys, "b_").agg(F.sum("c_").alias("t_"))
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    d = df.withColumns({"i_": F.row_number().over(part.orderBy(p)), "m_": F.count(p).over(part)})
-    c = F.aggregate(F.sequence(F.lit(1), F.col("m_").cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k) if dependent else F.lit(1.0)
-    cut = F.max(F.when(F.col(p) <= F.col("i_") / F.col("m_") * q / c, F.col(p))).over(part)
-    return d.withColumn("significant", F.coalesce(F.col(p) <= cut, F.lit(False))).drop("i_", "m_")
+    before = F.coalesce(F.sum("t_").over(part.orderBy("b_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tot = tot.withColumns({"before_": before, "m_": F.sum("t_").over(part)}).drop("t_")
+    m = F.col("m_").cast("double")
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(F.col("m_"), F.lit(100)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k)
+    series = F.ln(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * F.pow(m, 4))
+    c = F.when(F.col("m_") <= 100, exact).otherwise(series) if dependent else F.lit(1.0)
+    j = d.join(tot, [*keys, "b_"])
+    upto = F.col("before_") + F.sum("c_").over(W.partitionBy(*keys, "b_").orderBy(p))
+    cut = j.withColumn("i_", upto).where(F.col(p) <= F.col("i_") / m * q / c).groupBy(*keys).agg(F.max(p).alias("cut_"))
+    out = df.join(cut, keys, "left") if keys else df.join(F.broadcast(cut))
+    return out.withColumn("significant", F.coalesce(F.col(p) <= F.col("cut_"), F.lit(False))).drop("cut_")
 
 
 def seeded_order(key: Column, seed: int | Column) -> Column:

@@ -373,3 +373,18 @@ def test_batches_hold_like_lengths(spark):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     again = similarity.batches_by_length(df.repartition(7), "n", 10, "id", parts=3).toPandas()
     assert dict(zip(got.id, got.batch, strict=True)) == dict(zip(again.id, again.batch, strict=True))
+
+
+@pytest.mark.parametrize("dependent", [False, True])
+def test_false_discoveries(spark, dependent):
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([rnd.random() ** 4, 0.01, 1.0])) for k in "ab" for _ in range(160)] + [("c", 0.9), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, p double")
+    want = []
+    for k in "abc":
+        ps = sorted(x for g, x in rows if g == k and x is not None)
+        c = sum(1 / i for i in range(1, len(ps) + 1)) if dependent else 1
+        cut = max((x for i, x in enumerate(ps, 1) if x <= i / len(ps) * 0.1 / c), default=-1)
+        want += [(k, x, x <= cut) for x in ps]
+    got = sorted((r.k, r.p, r.significant) for r in stats.fdr(df, ["k"], "p", 0.1, dependent, 8).where("p is not null").collect())
+    assert got == sorted(want)
