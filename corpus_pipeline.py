@@ -13,8 +13,8 @@ from quiescent.llm import decontam, linededup, mixing, simhash, toxicity
 from quiescent.llm.sampling import fold
 from quiescent.llm.storage import materialize
 
-#: A repeated line goes where its class stands in more than six documents.
-MIN_DOCS = 7
+#: A repeated line goes wherever its class stands, in other documents or the same one.
+MIN_DOCS = 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat those of many others."""
-    return linededup.drop_repeated_lines(docs, min_docs=MIN_DOCS)
+    """Documents without the lines that repeat earlier ones. Copies of whole documents are left to :func:`drop_copies`."""
+    return linededup.drop_repeated_lines(docs, min_docs=MIN_DOCS, copies=False)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,19 +256,32 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_length: int | None = None)
     return out.select("doc_id", "line_no", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.line_no").alias("rep_line_no"), "n_links", "class_size", kept.alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_docs: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_docs: int = 2, copies: bool = True) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, where the class stands in ``min_docs`` documents or more.
 
-    The first line of each class stays. A document that had lines and loses them
-    all is a copy of others and goes; all other documents stay, with all columns.
+    The first line of each class stays; with ``min_docs`` of 1 repeats inside one
+    document go too. A document that had lines and loses them all is a copy of
+    others and goes; all other documents stay, with all columns. With ``copies``
+    False documents of equal text count as one and lose the same lines, so that they
+    are left, as copies still, to who drops copies.
     """
     lines = materialize(line_classes(docs, tau), "line-decisions")
+    if not copies:
+        ids = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).distinct()
+        first = ids.groupBy("t1", "t2").agg(F.min(F.struct("doc_id")).alias("f"))
+        ids = materialize(ids.join(first, ["t1", "t2"]).select("doc_id", "t1", "t2", F.col("f.doc_id").alias("first_")), "text-firsts")
+        one = ids.select("first_").distinct()
+        lines = lines.join(one, F.col("doc_id").eqNullSafe(F.col("first_")), "left_semi")
     rep = ["rep_doc_id", "rep_line_no"]
     spread = lines.groupBy(*rep, "doc_id").agg(F.lit(1).alias("one")).groupBy(*rep).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     spread = spread.select(F.col("rep_doc_id").alias("r1"), F.col("rep_line_no").alias("r2"))
     wide = lines.where("not kept").join(spread, F.col("rep_doc_id").eqNullSafe(F.col("r1")) & (F.col("rep_line_no") == F.col("r2")), "left_semi")
     drop = wide.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop_"))
-    j = docs.alias("d").join(drop.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
+    here = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
+    if not copies:
+        drop = ids.join(drop.withColumnRenamed("doc_id", "of_"), F.col("first_").eqNullSafe(F.col("of_"))).select("doc_id", "t1", "t2", "drop_")
+        here = here & (F.xxhash64("d.text") == F.col("x.t1")) & (F.xxhash64(F.lit(1), "d.text") == F.col("x.t2"))
+    j = docs.alias("d").join(drop.alias("x"), here, "left")
     kept = F.filter(split_lines(F.col("d.text")), lambda x, i: ~F.array_contains(F.col("x.drop_"), i))
     text = F.when(F.col("x.drop_").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
     gone = F.col("x.drop_").isNotNull() & (F.btrim(text, F.lit(" \t\r\n\x0b\x0c")) == "")

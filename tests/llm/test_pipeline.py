@@ -74,6 +74,26 @@ def test_awkward_rows_pass_every_stage(spark, odd, empty, sf):
             assert cur.count() <= d.count(), name
 
 
+def test_passages_of_few_documents_go(spark, tmp_path):
+    rnd = random.Random(5)
+    rows, want = [], []
+    for n in (2, 3, 6):  # so many unrelated documents share a passage of 60 words
+        passage = prose(rnd, 60)
+        for k in range(n):
+            own = [prose(rnd, 70), prose(rnd, 70)]
+            rows.append((len(rows), "\n".join([own[0], passage, own[1]])))
+            want.append("\n".join([own[0], passage, own[1]] if not k else own))
+    again, own = prose(rnd, 20), prose(rnd, 70)
+    rows += [(len(rows), f"{again}\n{own}\n{again}\n{again}"), (len(rows) + 1, rows[1][1])]  # repeats inside, a whole copy
+    want += [f"{again}\n{own}", want[1]]
+    rows.append((len(rows), f"{rows[0][1]}\n{again}"))  # put together of lines of others
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = P.drop_lines(spark, df, "")
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate(want))
+    left = {r.doc_id for r in P.drop_copies(spark, out, "").collect()}
+    assert left == set(range(len(want) - 1))
+
+
 def test_registry():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(ORACLES) <= set(QUERIES) and P.ORACLE_SQL is None
