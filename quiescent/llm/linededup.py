@@ -12,6 +12,7 @@ which many different lines meet are verified tile by tile.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from .components import components, stars
 from .storage import broadcast_if_small, materialize
 
 TAU = 2
-#: Shorter lines link only to equal ones: at this length the edits allowed are an eighth of it.
+#: By default shorter lines link only to equal ones: at this length the edits allowed are an eighth of it.
 MIN_LENGTH = 8 * TAU
+#: As ``min_length``: every line links.
+ALL_LENGTHS = 1
 #: Lines of a key that are verified together.
 TILE = 256
 
@@ -110,6 +113,17 @@ def line_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*index, *probes)
 
 
+def short_keys(line: Column, length: Column, tau: int) -> Column:
+    """Keys by which a line of at most ``tau`` characters meets all others within ``tau`` edits.
+
+    Those of its kind are all that near; a longer one, of at most ``2 tau``
+    characters, has a character in common with it. None for the rest.
+    """
+    chars = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(length, F.lit(2 * tau))), lambda i: F.xxhash64(F.lit(-2), F.substring(line, i, F.lit(1)))))
+    short = F.concat(F.array(F.xxhash64(F.lit(-1))), chars)
+    return F.when(length <= tau, short).when(length <= 2 * tau, chars).otherwise(F.array().cast("array<bigint>"))
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -124,7 +138,12 @@ def line_table(docs: DataFrame, tau: int, min_length: int) -> tuple[DataFrame, D
     line = F.btrim("line", F.lit(" \t\r\x0b\x0c"))
     occ = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).select("doc_id", "line_no", line.alias("line"))
     occ = occ.where("line <> ''").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "len": F.char_length("line")})
-    keys = F.when(F.col("len") >= min_length, line_keys(F.col("line"), F.col("len"), tau)).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    keys = F.when(F.col("len") >= max(min_length, tau + 1), line_keys(F.col("line"), F.col("len"), tau)).otherwise(none)
+    if min_length <= tau:  # short lines have at most tau + 1 keys, so all of them are indexed
+        short = short_keys(F.col("line"), F.col("len"), tau)
+        keys = F.when(F.col("len") <= 2 * tau, F.concat(keys, short)).otherwise(keys)
+        keys = F.when(F.col("len") >= min_length, keys).otherwise(none)
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("n"), F.first(keys).alias("keys"))
     lines = materialize(first.select(F.monotonically_increasing_id().alias("line_id"), "h1", "h2", "n", "f.doc_id", "f.line_no", "keys"), "lines")
     return occ.select("doc_id", "line_no", "h1", "h2"), lines
@@ -173,9 +192,11 @@ def _verify(tau: int) -> object:
         links: dict[int, int] = {}
         a: list[int] = []
         b: list[int] = []
+        indexed = [k for k, y in enumerate(two) if y[5]]
         for i, x in enumerate(one):
-            for y in two[i + 1 :] if ta == tb else two:
-                if not (x[5] or y[5]) or x[4] == y[4] or abs(len(x[6]) - len(y[6])) > tau:
+            after = i + 1 if ta == tb else 0
+            for y in two[after:] if x[5] else [two[k] for k in indexed[bisect_left(indexed, after) :]]:
+                if x[4] == y[4] or abs(len(x[6]) - len(y[6])) > tau:
                     continue
                 # a pair that meets under several keys counts under the smallest
                 nx, ny = set(x[7][: tau + 1]), set(y[7][: tau + 1])
@@ -238,7 +259,8 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_length: int | None = None)
     reach each other through links of at most ``tau`` edits; its representative is
     its first line by (doc_id, line_no), the one line that is kept. ``n_links``
     counts the other different lines within ``tau`` edits, ``class_size`` the lines
-    of the class with repeats. Null and blank texts have no rows. A null doc_id
+    of the class with repeats. Lines of under ``min_length`` characters, 8 tau by
+    default, link to none but equal ones. Null and blank texts have no rows. A null doc_id
     comes before all others; documents that repeat an id repeat its lines.
     """
     min_length = 8 * tau if min_length is None else min_length

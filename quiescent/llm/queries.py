@@ -39,7 +39,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_classes(table(spark, sf_dir, "documents"))
+    return linededup.line_classes(table(spark, sf_dir, "documents"), min_length=linededup.ALL_LENGTHS)
 
 
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

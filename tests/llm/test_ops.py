@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quiescent.llm import ann, components, decontam, fixity, langid, linededup, mixing, simhash, tokencount, toxicity, urlfilter
+from quiescent.llm.queries import QUERIES
 
 from .conftest import WORDS, prose
 
@@ -365,6 +366,21 @@ def test_line_join(spark, tau, monkeypatch):
     assert got == plain_lines(rows, tau, 8 * tau)
 
 
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_lines_of_all_lengths(spark, tau, tmp_path, monkeypatch):
+    monkeypatch.setattr(linededup, "TILE", 5)
+    rnd = random.Random(10 + tau)
+    chars = "abcdefghijklmnopqrstuvwxyzé日😀"
+    rows = [(i, "\n".join("".join(rnd.choice(chars) for _ in range(rnd.randint(0, 9))) for _ in range(4))) for i in range(40)]
+    rows += [(40, "fifteen letters"), (41, "fifteen lettersX"), (42, "a\nbc\nbcd\nabcd\nxyzw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in linededup.line_classes(df, tau, linededup.ALL_LENGTHS).collect()), key=str)
+    assert got == plain_lines(rows, tau, 0)
+    if tau == linededup.TAU:
+        df.write.parquet(str(tmp_path / "documents.parquet"))
+        assert sorted((tuple(r) for r in QUERIES["op7_linededup"](spark, str(tmp_path)).collect()), key=str) == got
+
+
 def test_lines_awkward(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").distinct().collect() if r.doc_id != 1]
     df = spark.createDataFrame(rows, "doc_id long, text string")
