@@ -388,3 +388,14 @@ def test_false_discoveries(spark, dependent):
         want += [(k, x, x <= cut) for x in ps]
     got = sorted((r.k, r.p, r.significant) for r in stats.fdr(df, ["k"], "p", 0.1, dependent, 8).where("p is not null").collect())
     assert got == sorted(want)
+
+
+def test_sources_use_whole_recordings(spark, tmp_path):
+    from quiescent.plans.queries import QUERIES
+
+    kinds = ("click", "purchase", "error", "signup", "view")
+    rows = [(i, 1, kinds[i % 5], float(i % 7) if i >= 60 else 0.0) for i in range(150)]  # silent for the first 60 samples
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    e.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["champagne_roi"](spark, str(tmp_path)).collect()
+    assert got and sum(r.power for r in got) > 0
