@@ -716,6 +716,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("label", F.col("vec_id").alias("burst_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("burst_data"))
 
 
+def whole_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("label", F.col("vec_id").alias("burst_id"), F.col("embedding").cast("array<double>").alias("burst_data"))
+
+
 @query
 def pair_similarity_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.pair_similarity(segments(spark, sf_dir), ["label"], "xcorr").select("label", "a", "b", r6("sim"))
@@ -734,7 +739,7 @@ def normalized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.pair_similarity(segments(spark, sf_dir), ["label"], "dtw", window=3).select("label", "a", "b", r6("sim"))
+    return similarity.pair_similarity(whole_segments(spark, sf_dir), ["label"], "dtw", window=3).select("label", "a", "b", r6("sim"))
 
 
 @query

@@ -399,3 +399,22 @@ def test_sources_use_whole_recordings(spark, tmp_path):
     e.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
     got = QUERIES["champagne_roi"](spark, str(tmp_path)).collect()
     assert got and sum(r.power for r in got) > 0
+
+
+def test_warping_takes_all_vectors_whole(spark, tmp_path):
+    from quiescent.plans.queries import QUERIES
+
+    rnd = random.Random(8)
+    rows = [(100 + k, [float(rnd.randint(-4, 4)) for _ in range(rnd.choice((9, 12, 20)))], k % 2) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def dtw(x, y):
+        w = max(3, abs(len(x) - len(y)))
+        d = {(0, 0): 0.0}
+        for i in range(1, len(x) + 1):
+            for j in range(max(1, i - w), min(len(y), i + w) + 1):
+                d[i, j] = abs(x[i - 1] - y[j - 1]) + min(d.get(k, math.inf) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
+        return d[len(x), len(y)]
+
+    want = {(g, a, b): dtw(x, y) for a, x, g in rows for b, y, h in rows if a < b and g == h}
+    assert {(r.label, r.a, r.b): r.sim for r in QUERIES["dtw_pairs"](spark, str(tmp_path)).collect()} == want
