@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -382,9 +383,9 @@ def test_lines_of_all_lengths(spark, tau, tmp_path, monkeypatch):
 
 
 def test_lines_awkward(spark, odd, empty):
-    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").distinct().collect() if r.doc_id != 1]
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").distinct().collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r)[:6] for r in linededup.line_classes(df).collect()), key=str) == [x[:6] for x in plain_lines(rows, 2, 16)]
+    assert sorted((tuple(r) for r in linededup.line_classes(df).collect()), key=str) == plain_lines(rows, 2, 16)
     assert linededup.line_classes(odd).count() == sum(1 for r in odd.collect() for x in (r.text or "").split("\n") if x.strip(" \t\r\x0b\x0c"))
     assert linededup.line_classes(empty).count() == 0 and linededup.drop_repeated_lines(empty).count() == 0
 
@@ -400,6 +401,29 @@ def test_repeated_lines_go(spark, odd):
     assert linededup.drop_repeated_lines(odd).columns == odd.columns
 
 
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    foot = "All rights are reserved by the owners."
+    rows = [(7, f"first text of all\n{foot}"), (8, f"text of the eighth, first row\n{foot}"), (8, "another text of number eight\nthis line stands nowhere else at all"), (8, f"third\n{foot}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([rows[0][1], "text of the eighth, first row", rows[2][1], "third"])
+    for kw in ({}, {"min_docs": 1, "copies": False}):
+        assert sorted(r.text for r in linededup.drop_repeated_lines(df, **kw).collect()) == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_meetings_in_batches(size):
+    rnd = random.Random(size)
+    rows = sorted((rnd.randrange(40) * 2 + rnd.randrange(2), rnd.randrange(6)) for _ in range(120))
+    rows = [r for r in rows if r[0] // 2 != 5] + [(10 + i % 2, 3) for i in range(9)]
+    rows.sort()
+    b = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "line"]) for i in range(0, len(rows), size)]
+    got = {tuple(r.values()) for x in linededup._meetings(iter(b)) for r in x.to_pylist()}
+    of = defaultdict(set)
+    for k, line in rows:
+        of[k // 2].add((line, k % 2 == 0))
+    assert got == {(k, *x) for k, v in of.items() if len({x for x, _ in v}) > 1 and any(i for _, i in v) for x in v}
+
+
 def test_edit_distance():
     rnd = random.Random(4)
     for _ in range(4000):
