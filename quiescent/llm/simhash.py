@@ -4,6 +4,10 @@ Distinct fingerprints are laid out in tiles of equal population counts. Tile pai
 whose counts differ by more than the radius are never formed; the others are
 compared whole, by numpy exclusive-or and bit counts. Each comparison gives back a
 spanning forest of its links, and the forests are joined by :mod:`.components`.
+
+A radius of a few bits leaves few tile pairs. At a similarity of 0.8 the radius is so
+wide that counts of bits part almost none; there tiles are formed inside groups of
+texts that share one of the shingles that all similar texts must share.
 """
 
 from __future__ import annotations
@@ -13,22 +17,23 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import broadcast_if_small, materialize
+from .storage import broadcast_if_small, discard, materialize
 
 SEED = 42
 #: Most fingerprints in a tile.
 TILE = 4096
-#: Nodes from here on stand for fingerprints of rows without an id.
-NO_ID = 1 << 62
-#: Doubtful partners of a fingerprint in a tile that are checked by the end of each round; then all.
-CHECKED = (8, 128, 1024)
+#: Partners of a fingerprint in a tile that are given by the end of each round; then all.
+CHECKED = (4, 64, 1024)
+#: Sets of fewer shingles are compared by their texts alone.
+SMALL = 64
+#: One in so many texts is looked at for frequent shingles, those of so many of them, so many at most.
+SHARE, SEVERAL, FREQUENT = 256, 4, 1 << 18
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 13
 
@@ -86,20 +91,64 @@ def lanes_of(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """``(doc_id, fp array<long>)`` of whole texts; a null or wordless text has zeros.
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``(doc_id, node)``: the fingerprint of each whole text as a signed number; a null or wordless text has zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([lanes_of(shingle_hashes(t, width), 1)[0] for t in b["text"].to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "node"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long")
+
+
+def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that stand in many texts, sorted: those of several texts of a share of them all.
 
-    With ``distinct`` a shingle counts once however often it stands in a text.
+    They only order the shingles of a set, see :func:`set_prints`, so that their
+    number and choice change no result. At most :data:`FREQUENT` are given.
     """
-    pick = np.unique if distinct else np.asarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([lanes_of(pick(shingle_hashes(t, width)), lanes) for t in b["text"].to_pylist()], np.uint64).reshape(-1)
-            offsets = pa.array(np.arange(0, len(fps) + 1, lanes, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(fps.view(np.int64)))], ["doc_id", "fp"])
+            for t in b["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], ["shingle"])
+
+    share = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(SHARE)) == 0).select("text", F.xxhash64("text").alias("t_")).dropDuplicates(["t_"])
+    count = share.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= SEVERAL)
+    return np.sort(np.array([r[0] for r in count.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def set_prints(docs: DataFrame, width: int, similarity: float, lanes: int, frequent: np.ndarray) -> DataFrame:
+    """``(doc_id, t1, t2, fp, size, keys)`` of whole texts: hashes of the text, fingerprint and size of its set of shingles.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp array<long>")
+    ``keys`` are its first ``size - ceil(similarity * size) + 1`` shingles, in an
+    order that is the same for all sets: two sets of the Jaccard similarity or more
+    have at least ``ceil(similarity * size)`` shingles in common, so they share a
+    key. Frequent shingles come last, so that few sets share a key by chance.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, keys = [], [], []
+            for t in b["text"].to_pylist():
+                u = np.unique(shingle_hashes(t, width))
+                fps.append(lanes_of(u, lanes))
+                sizes.append(len(u))
+                if len(u) and len(frequent):
+                    often = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
+                    u = np.concatenate([u[~often], u[often]])
+                keys.append(u[: len(u) - math.ceil(similarity * len(u) - 1e-9) + 1] if len(u) else u)
+            offsets = pa.array(np.arange(0, len(fps) * lanes + 1, lanes, dtype=np.int32))
+            ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            fp = pa.array(np.concatenate([*fps, np.empty(0, np.uint64)]).view(np.int64))
+            key = pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64))
+            cols = [pa.ListArray.from_arrays(offsets, fp), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, key)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], *cols], ["doc_id", "t1", "t2", "fp", "size", "keys"])
+
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    return own.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, fp array<long>, size long, keys array<long>")
 
 
 def _cell(segments: int) -> list:
@@ -123,15 +172,6 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int, total: int | None) -> np.ndarray:
-    """Whether rows of ``a`` are within ``radius`` bits of rows of ``b`` in the first lane, and ``total`` in all of them."""
-    near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius
-    if total is not None and near.any():
-        i, j = near.nonzero()
-        near[i, j] = _bits(a[i], b[j]) <= total
-    return near
-
-
 class _Forest:
     """Links that join what was apart."""
 
@@ -148,15 +188,15 @@ class _Forest:
                 self.root[self.root == t] = self.root[i]
 
 
-def _neighbours(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of ``a`` with the rows of ``b`` near them, each pair once; blocks of a bounded size are compared at a time."""
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for s in range(0, len(a), step):
-        near = _near(a[s : s + step], b, radius, total)
+def _neighbours(near: object, n_a: int, n_b: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of one tile with the rows of the other for which ``near(slice)`` holds, each pair once; blocks of a bounded size are compared at a time."""
+    step = max(1, (1 << 20) // max(1, n_b))
+    for s in range(0, n_a, step):
+        got = near(slice(s, s + step))  # type: ignore[operator]
         if same:
-            near &= np.arange(len(b))[None, :] > np.arange(s, s + len(near))[:, None]
-        for r in near.any(axis=1).nonzero()[0]:
-            yield s + int(r), near[r].nonzero()[0]
+            got &= np.arange(n_b)[None, :] > np.arange(s, s + len(got))[:, None]
+        for r in got.any(axis=1).nonzero()[0]:
+            yield s + int(r), got[r].nonzero()[0]
 
 
 def _tile_pairs(rows: DataFrame, steps: list[list[int]], keep: list[str]) -> DataFrame:
@@ -174,89 +214,92 @@ def _tile_pairs(rows: DataFrame, steps: list[list[int]], keep: list[str]) -> Dat
     meet = keys.join(tiles.select("cell", "part"), "cell").where("cell_a <> cell or part_a <= part")
     pairs = meet.join(tiles.toDF(*[f"{c}_a" for c in tiles.columns]), ["cell_a", "part_a"]).join(tiles, ["cell", "part"])
     same = (F.col("cell") == F.col("cell_a")) & (F.col("part") == F.col("part_a"))
-    return pairs.select(same.alias("same"), *[f"{c}_a" for c in ("fps", *keep)], "fps", *keep)
-
+    return pairs.select("cell", same.alias("same"), *[f"{c}_a" for c in ("fps", *keep)], "fps", *keep)
 
-def link_forest(prints: DataFrame, radius: int, lanes: int = 1, sure: int | None = None, maybe: int | None = None) -> DataFrame:
-    """``prints(fp, node)``, each fp once, to ``(a, b, sure)`` nodes: links that span those of each tile pair.
 
-    ``radius`` bounds the first lane's difference and ``maybe`` that of all lanes.
-    Two forests come back: of links up to ``sure`` bits, and of all up to ``maybe``.
-    With one lane there is one, of links up to ``radius``.
-    """
+def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes(node)``, each fingerprint once, to ``(a, b)``: links of at most ``radius`` bits that span those of each tile pair."""
     segments = 4 if radius <= 3 else 1
-    rows = prints.select("fp", "node", F.array(*[c.cast("long") for c in _cell(segments)]).alias("cell"))
+    rows = nodes.select("node", F.array("node").alias("fp"))
+    rows = rows.select("fp", "node", F.array(*[c.cast("long") for c in _cell(segments)]).alias("cell"))
     pairs = _tile_pairs(rows, _near_cells(segments, radius), ["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[_Forest] = []
+            left: list[int] = []
+            right: list[int] = []
             for k in range(len(batch)):
-                na, fa, nb, fb = (batch[c][k].values.to_numpy() for c in ("node_a", "fps_a", "node", "fps"))
-                x, y, same = fa.view(np.uint64).reshape(-1, lanes), fb.view(np.uint64).reshape(-1, lanes), batch["same"][k].as_py()
-                ids, off = (na, 0) if same else (np.concatenate([na, nb]), len(na))
-                close, wide = _Forest(ids), _Forest(ids)
-                for i, js in _neighbours(x, y, same, radius, maybe):
-                    if maybe is None:
-                        close.join(i, js + off)
-                    else:
-                        wide.join(i, js + off)
-                        near = js[_bits(x[i], y[js]) <= sure]
-                        if len(near):
-                            close.join(i, near + off)
-                out += [close, wide]
-            left = [v for f in out for v in f.left]
-            right = [v for f in out for v in f.right]
-            kind = [k % 2 == 0 for k, f in enumerate(out) for _ in f.left]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(kind, pa.bool_())], ["a", "b", "sure"])
+                na, nb = (batch[c][k].values.to_numpy() for c in ("node_a", "node"))
+                same = batch["same"][k].as_py()
+                forest = _Forest(na if same else np.concatenate([na, nb]))
+                x, y = na.view(np.uint64), nb.view(np.uint64)
+                for i, js in _neighbours(lambda r, x=x, y=y: np.bitwise_count(x[r, None] ^ y[None, :]) <= radius, len(x), len(y), same):
+                    forest.join(i, js + (0 if same else len(na)))
+                left += forest.left
+                right += forest.right
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long, sure boolean")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def doubtful_links(nodes: DataFrame, radius: int, lanes: int, maybe: int, first: int, last: int | None) -> DataFrame:
-    """``nodes(fp, node, group, old, root)`` to ``(a, b)``: links inside groups whose ends no other link joins.
+def _candidates(rows: DataFrame, similarity: float, radius: int, sure: int, maybe: int, lanes: int, first: int, last: int | None) -> DataFrame:
+    """``rows(key, node, fp, size, old, root)`` to ``(a, b, sure)``: pairs that share a key and may be links, where no other link joins their ends.
 
-    A row of a tile ranks the partners that had another root at the start (``old``),
-    nearest first; those ranked ``first`` to ``last`` whose ``root`` still differs are
-    given. A row with partners behind ``last`` also gives itself with a null partner.
+    Sizes must allow the similarity. Of sets of at least :data:`SMALL` shingles the
+    first lanes must be within ``radius`` bits, all lanes within ``maybe``; within
+    ``sure`` a pair is a link. A row ranks the partners that had another root at the
+    start (``old``), nearest first; those ranked ``first`` to ``last`` whose ``root``
+    still differs are given. A row with such partners behind ``last`` also gives
+    itself with a null partner.
     """
-    rows = nodes.select("fp", "node", "old", "root", F.array("group").alias("cell"))
-    pairs = _tile_pairs(rows, [[0]], ["node", "old", "root"])
+    # counts of bits in steps of more than the radius: tiles two or more steps apart never meet. Small sets are compared whatever their bits
+    counts = F.floor(F.bit_count(F.col("fp")[0]) / (radius + 1)).cast("long")
+    large = F.when(F.col("size") >= SMALL, F.array("key", counts))
+    small = F.when(F.col("size") * similarity < SMALL, F.array(F.col("key"), F.lit(-9).cast("long")))
+    cells = rows.withColumn("cell", F.explode(F.filter(F.array(large, small), lambda x: x.isNotNull()))).drop("key")
+    pairs = _tile_pairs(cells, [[0, 0], [0, 1]], ["node", "size", "old", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left: list[int] = []
             right: list[int | None] = []
+            kind: list[bool] = []
             for k in range(len(batch)):
                 g = {c: batch[c][k].values.to_numpy() for c in batch.schema.names if c != "same"}
                 x, y = g["fps_a"].view(np.uint64).reshape(-1, lanes), g["fps"].view(np.uint64).reshape(-1, lanes)
-                for i, js in _neighbours(x, y, batch["same"][k].as_py(), radius, maybe):
-                    js = js[g["old"][js] != g["old_a"][i]]
-                    js = js[np.lexsort((g["node"][js], _bits(x[i], y[js])))]
-                    behind = last is not None and len(js) > last and (g["root"][js[last:]] != g["root_a"][i]).any()
-                    js = js[first:last]
-                    for j in js[g["root"][js] != g["root_a"][i]]:
-                        left.append(int(g["node_a"][i]))
-                        right.append(int(g["node"][j]))
-                    if behind:
-                        left.append(int(g["node_a"][i]))
-                        right.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
+                few = g["cell"][1] < 0
+
+                def near(r: slice) -> np.ndarray:
+                    m, n = g["size_a"][r, None], g["size"][None, :]  # noqa: B023
+                    got = (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & (g["old_a"][r, None] != g["old"][None, :])  # noqa: B023
+                    if not few:  # noqa: B023
+                        got &= np.bitwise_count(x[r, None, 0] ^ y[None, :, 0]) <= radius  # noqa: B023
+                        i, j = got.nonzero()
+                        got[i, j] = _bits(x[r][i], y[j]) <= maybe  # noqa: B023
+                    return got
+
+                for i, js in _neighbours(near, len(x), len(y), batch["same"][k].as_py()):
+                    bits = _bits(x[i], y[js])
+                    order = np.lexsort((g["node"][js], bits))
+                    js, bits = js[order], bits[order]
+                    open_ = g["root"][js] != g["root_a"][i]
+                    behind = last is not None and open_[last:].any()
+                    js, bits = js[first:last][open_[first:last]], bits[first:last][open_[first:last]]
+                    left += [int(g["node_a"][i])] * (len(js) + int(behind))
+                    right += [*g["node"][js].tolist(), *[None] * int(behind)]
+                    kind += [*((bits <= sure) & (not few)).tolist(), *[False] * int(behind)]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(kind, pa.bool_())], ["a", "b", "sure"])
 
-def _assign(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    comp = components(links)
-    of = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    return pairs.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _verified(doubt: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _verified(doubt: DataFrame, prints: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links ``(a, b)`` whose texts' shingle sets have the Jaccard similarity asked for."""
-    ids = materialize(doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct(), "doubted")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    text = materialize(text, "doubted-texts")
+    ids = materialize(doubt.select(F.col("a").alias("node")).union(doubt.select("b")).distinct(), "doubted")
+    n = ids.count()
+    rep = materialize(prints.select("node", "t1", "t2").join(broadcast_if_small(ids, n), "node", "left_semi").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t")).select("node", "t.t1", "t.t2"), "doubted")
+    text = docs.select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).join(broadcast_if_small(rep, n), ["t1", "t2"])
+    text = materialize(text.select("node", "text").groupBy("node").agg(F.first("text").alias("text")), "doubted-texts")
     pairs = doubt.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,86 +308,134 @@ def _verified(doubt: DataFrame, docs: DataFrame, width: int, similarity: float)
             for x, y in zip(b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True):
                 u, v = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
                 both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(both >= similarity * (len(u) + len(v) - both))
+                ok.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    out = materialize(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    for x in (ids, rep, text):
+        discard(x)
+    return out
 
 
-def _rooted(nodes: DataFrame, links: DataFrame, out: str) -> DataFrame:
-    """``nodes`` with the component of each node in a column."""
+def _roots(links: DataFrame) -> DataFrame:
+    """Components of links; a bound on their number decides whether they are broadcast."""
     c = components(links).withColumnRenamed("component", "c_")
-    return nodes.join(c, "node", "left").withColumn(out, F.coalesce("c_", "node")).drop("c_")
+    return broadcast_if_small(c, c.count())
 
 
-def _open_groups(nodes: DataFrame) -> DataFrame:
-    """Rows of groups that have more than one root."""
-    mixed = nodes.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
-    return nodes.join(mixed, "group", "left_semi")
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the component of each node in ``root``."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("c_", "node")).drop("c_")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, component_id)``: documents that reach each other by links of the similarity or more.
+def _open_keys(rows: DataFrame) -> DataFrame:
+    """Rows of keys whose nodes have more than one root."""
+    mixed = materialize(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "keys")
+    return rows.join(broadcast_if_small(mixed, mixed.count()), "key", "left_semi")
+
+
+def near_links(docs: DataFrame, width: int, similarity: float, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, t1, t2, node, ...)`` of each row, and links ``(a, b)`` of nodes that span all of the similarity or more.
 
-    The similarity is the Jaccard one of the sets of ``width``-word shingles. At
-    that similarity, fingerprints of ``64 * lanes`` bits differ in a share
-    ``p = acos(2s / (1 + s)) / pi`` of them. Links three deviations below that are
-    taken. Those up to four above it are checked against the texts, nearest first
-    and in growing numbers, until their ends are joined or all have been checked: in
-    a large group most need no check, and none is left out. Texts of equal
-    fingerprints, empty ones among them, are copies. Null ids and repeated rows as
-    in :func:`simhash_components`.
+    A node is the 64-bit hash of a fingerprint of ``64 * lanes`` bits; texts of equal
+    fingerprints, wordless ones among them, are copies. Pairs that share a key of
+    :func:`set_prints`, which all links do, are compared by tiles: by the first key
+    of each set, which joins most groups, then by all keys whose sets are not joined.
+
+    At the similarity ``s`` fingerprints differ in a share ``p = acos(2s / (1 + s)) / pi``
+    of their bits. Pairs of sets of :data:`SMALL` shingles or more five deviations
+    below that are links, those six above are none; all others, and all smaller sets
+    whose sizes allow it, are checked against the texts, nearest first and in growing
+    numbers, until their ends are joined or all have been checked: in a large group
+    most need no check, and none is left out.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * lanes
     spread = math.sqrt(bits * p * (1 - p))
-    radius = math.ceil(64 * p + 4 * math.sqrt(64 * p * (1 - p)))
-    sure, maybe = max(0, math.floor(bits * p - 3 * spread)), math.ceil(bits * p + 4 * spread)
-    prints = materialize(fingerprints(docs, width, lanes, distinct=True), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64("fp"), 2) + NO_ID).alias("node")), "nodes")
-    found = materialize(link_forest(nodes, radius, lanes, sure, maybe), "links")
-    links = found.where("sure").select("a", "b")
-    state = _rooted(_rooted(nodes, found.where("not sure"), "group"), links, "root").withColumn("old", F.col("root"))
-    state = materialize(_open_groups(state), "open")
-    first = 0
-    for last in (*CHECKED, None):
-        got = materialize(doubtful_links(state, radius, lanes, maybe, first, last), "doubt")
-        new = materialize(_verified(got.where("b is not null").distinct(), docs, width, similarity), "links")
-        links = links.union(new)
-        if got.where("b is null").isEmpty():
-            break
-        state = materialize(_open_groups(_rooted(state.drop("root"), links, "root")), "open")
-        if state.isEmpty():
-            break
-        first = last
-    return _assign(prints, nodes, links).select("doc_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    radius = math.ceil(64 * p + 6 * math.sqrt(64 * p * (1 - p)))
+    sure, maybe = max(0, math.floor(bits * p - 5 * spread)), math.ceil(bits * p + 6 * spread)
+    prints = set_prints(docs, width, similarity, lanes, frequent_shingles(docs, width))
+    prints = materialize(prints.withColumn("node", F.xxhash64("fp")), "prints")
+    links = prints.sparkSession.createDataFrame([], "a long, b long")
+    tested, roots = links, _roots(links)
+    for keys in (F.slice("keys", 1, 1), F.col("keys")):
+        rows = prints.select("node", F.explode(keys).alias("key"))
+        rows = _open_keys(_rooted(rows, roots)).select("key", "node").distinct()
+        rows = materialize(rows, "open")
+        nodes = materialize(rows.select("node").distinct(), "nodes")
+        info = prints.select("node", "fp", "size").join(broadcast_if_small(nodes, nodes.count()), "node", "left_semi").dropDuplicates(["node"])
+        state = materialize(_rooted(rows.join(info, "node"), roots).withColumn("old", F.col("root")), "open")
+        first = 0
+        for last in (*CHECKED, None):
+            got = materialize(_candidates(state, similarity, radius, sure, maybe, lanes, first, last), "doubt")
+            pairs = got.where("b is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
+            doubt = materialize(pairs.where("not sure").select("a", "b").join(tested, ["a", "b"], "left_anti"), "doubt")
+            new = pairs.where("sure").select("a", "b")
+            if not doubt.isEmpty():
+                tested = tested.union(doubt)
+                new = new.union(_verified(doubt, prints, docs, width, similarity))
+            links = materialize(links.union(new), "links")
+            roots = _roots(links)
+            if got.where("b is null").isEmpty():
+                break
+            state = materialize(_open_keys(_rooted(state.drop("root"), roots)), "open")
+            if state.isEmpty():
+                break
+            first = last
+    return prints, links
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, component_id)``: documents that reach each other by links of the similarity or more.
+
+    The similarity is the Jaccard one of the sets of ``width``-word shingles, see
+    :func:`near_links`. Null ids and repeated rows as in :func:`simhash_components`.
+    """
+    prints, links = near_links(docs, width, similarity, lanes)
+    return _named(prints.select(F.col("doc_id").cast("long").alias("doc_id"), "node"), links).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all its columns.
 
-    Rows that repeat a doc_id leave one of them. Of texts whose ids are all null
-    none can be named, so they all stay.
+    Of rows that share that id the one with the smallest hash of its text stays, of
+    rows equal in id and text one of them; null ids come after all others.
     """
-    group = near_duplicates(docs, width, similarity)
-    keep = group.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nameless = docs.where(F.col("doc_id").isNull())
-    return docs.join(keep, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]).unionByName(nameless)
+    prints, links = near_links(docs, width, similarity, 8)
+    rows = prints.groupBy("doc_id", "t1", "t2", "node").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "n")
+    first = _rooted(rows, _roots(links)).groupBy("root").agg(F.min(place).alias("f"))
+    first = materialize(first.select(F.col("f.doc_id").alias("id_"), F.col("f.t1").alias("p1_"), F.col("f.t2").alias("p2_"), F.col("f.n").alias("n_")), "kept")
+    d = docs.alias("d")
+    here = F.col("d.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("d.text") == F.col("p1_")) & (F.xxhash64(F.lit(1), "d.text") == F.col("p2_"))
+    out = d.join(broadcast_if_small(one := first.where("n_ = 1"), one.count()), here, "left_semi")
+    more = first.where("n_ > 1")
+    if not (n := more.count()):
+        return out
+    again = d.join(broadcast_if_small(more, n), here).dropDuplicates(["id_", "p1_", "p2_"])
+    return out.unionByName(again.select(*[F.col(f"d.`{c}`") for c in docs.columns]))
+
+
+def _named(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``prints(doc_id, node)`` with ``component_id``, the smallest doc_id of the nodes that links join; null where none has one."""
+    low = _rooted(prints.groupBy("node").agg(F.min("doc_id").alias("low")), _roots(links))
+    low = materialize(low.select("node", "root", "low"), "nodes")
+    name = low.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = low.join(name, "root").select("node", "component_id")
+    return prints.join(of, "node")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fingerprint, component_id)``, a row for each row.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the
-    smallest doc_id reachable. Null, empty and wordless texts have fingerprint zero
-    and link like any other. Rows with a null doc_id are linked but name no
-    component; a component of such rows alone has a null id. Extra columns are
-    ignored, an empty table gives an empty one.
+    smallest doc_id reachable. Rows that repeat an id are told apart by their
+    fingerprints, ids may be any number. Null, empty and wordless texts have
+    fingerprint zero and link like any other. Rows with a null doc_id are linked but
+    name no component; a component of such rows alone has a null id. Extra columns
+    are ignored, an empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs, width), "prints")
-    # null ids stand behind all others and come out as null again
-    nodes = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64("fp"), 2) + NO_ID).alias("node")), "nodes")
-    links = link_forest(nodes, radius)
-    out = _assign(prints, nodes, links.select("a", "b"))
-    hexed = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
-    return out.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    nodes = materialize(prints.select("node").distinct(), "nodes")
+    out = _named(prints, materialize(link_forest(nodes, radius), "links"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")

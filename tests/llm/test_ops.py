@@ -99,20 +99,26 @@ def test_simhash_near_texts(spark, radius, monkeypatch):
     assert got == plain_components(rows, 3, radius)
 
 
-def test_near_duplicates_by_similarity(spark):
-    rnd = random.Random(5)
-    rows = []
+@pytest.mark.parametrize(("n", "tile", "checked"), [(200, 4096, (4, 64)), (90, 8, (1, 2)), (12, 4096, (4, 64))])
+def test_near_duplicates_by_similarity(spark, n, tile, checked, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "CHECKED", checked)
+    monkeypatch.setattr(simhash, "SHARE", 2)
+    rnd = random.Random(n)
+    rows, common = [], prose(rnd, n // 3)
     for _ in range(30):
-        base = prose(rnd, 200).split()
+        base = (prose(rnd, n) + " " + common).split()
         rows.append((len(rows), " ".join(base)))
-        for edits in (1, 3, 40):
+        for edits in (1, 3, n // 5):
             x = list(base)
-            for k in rnd.sample(range(200), edits):
+            for k in rnd.sample(range(len(base)), edits):
                 x[k] = rnd.choice(WORDS)
             rows.append((len(rows), " ".join(x)))
+    rows += [(len(rows) + k, " ".join(rows[0][1].split()[: n - k])) for k in range(8)]
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
     j = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     links = [(a, b) for a in range(len(rows)) for b in range(a) if j(a, b) >= 0.8]
+    assert links
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [c for _, c in sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())]
     assert got == roots(len(rows), links)
@@ -120,10 +126,27 @@ def test_near_duplicates_by_similarity(spark):
     assert kept == set(roots(len(rows), links))
 
 
+def test_simhash_of_large_and_repeated_ids(spark):
+    rnd = random.Random(3)
+    a, b, c = prose(rnd, 80), prose(rnd, 80), prose(rnd, 80)
+    rows = [(1 << 62, a), ((1 << 63) - 1, b), (1, c), (1, a + " x"), (0, c), (-5, prose(rnd, 80)), (-(1 << 63), b), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for radius in (0, 2, 12):
+        got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df, 3, radius).collect()), key=str)
+        assert got == plain_components(rows, 3, radius)
+    assert sorted(r.text for r in simhash.drop_near_duplicates(df).collect()) == sorted([a + " x", b, c, rows[5][1]])
+    own = [(1 << 62, a), ((1 << 62) + 1, b), (3, c), (3, rows[5][1]), (3, c), (None, prose(rnd, 50)), (None, prose(rnd, 50))]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(own)], "doc_id long, text string, n int")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(df).collect()) == sorted((d or 0, t) for d, t in set(own))
+
+
 def test_drop_near_duplicates_awkward(odd, empty):
     out = simhash.drop_near_duplicates(odd)
     assert out.columns == odd.columns
-    assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == [1, 3, 7, 8, 9] or out.count() > 0
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    # copies of a, texts nearly b, texts without words, x alone, one in two spellings
+    assert sorted(r.doc_id for r in out.collect()) == [1, 1, 3, 7, 9]
+    assert sorted(r.text for r in out.where("doc_id = 1").collect()) == sorted({t for d, t in rows if d == 1})
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
