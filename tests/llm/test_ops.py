@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quiescent.llm import ann, components, decontam, fixity, langid, linededup, mixing, simhash, tokencount, toxicity, urlfilter
+from quiescent.llm import ann, components, decontam, fixity, langid, linededup, mixing, sampling, simhash, tokencount, toxicity, urlfilter
 from quiescent.llm.queries import QUERIES
 
 from .conftest import WORDS, prose
@@ -236,7 +236,7 @@ def test_fixity(spark):
 # ---------------------------------------------------------------- 4
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((3000, 24)).astype(np.float32)
     v[100:160] = v[7]
@@ -256,6 +256,15 @@ def test_neighbours(spark):
     assert ok / 30 >= 0.9
     assert got[got.query_id == 100].vec_id.tolist() == [7, *range(101, 110)]
     assert set(got.query_id) == set(range(0, 3000, 100)) and ann.nearest(df.where("false")).count() == 0
+    again = spark.createDataFrame([(100, [1.0, 0.0]), (100, [1.0, 0.1]), (3, [5.0, 5.0]), (3, [5.0, 5.0]), (3, [5.0, 5.0, 1.0])], "vec_id long, embedding array<float>")
+    two = sorted((r["rank"], r.vec_id) for r in ann.nearest(again).collect())
+    assert two == [(1, 100), (1, 100), (2, 3), (2, 3), (3, 3), (3, 3)]
+    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCKS", 1)
+    monkeypatch.setattr(ann, "BATCH", 16)
+    parts = ann.nearest(df).toPandas()
+    assert parts.groupby("query_id").vec_id.count().tolist() == [10] * 30
+    assert parts[parts.query_id == 100].vec_id.tolist() == [7, *range(101, 110)]
     few = ann.nearest(df.where("vec_id in (0, 1, 2)")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
 
@@ -296,6 +305,9 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in langid.language_query(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     m = langid.fit([(t, lang) for _, t, lang, _ in rows])
     assert m.predict(rows[0][1] * 9000)[0] == m.predict(rows[0][1])[0]
+    for t in [r[1] for r in rows[:40]] + ["a", "é", "日本", "x × y", "the der le el"]:
+        (a, p), (b, q) = m.predict(t), plain_language(m, t)
+        assert a == b and abs(p - q) < 1e-4
 
 
 def test_toxicity(spark, odd, empty):
@@ -320,12 +332,74 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity_query(empty, labels.where("false")).count() == 0
     long = [w for _, t, *_ in rows[:40] for w in t.split()]
     whole = model.probability(long, toxicity.WordCache())
-    old = toxicity.BLOCK
+    old = toxicity.BLOCK, toxicity.GRAM_BLOCK
     try:
-        toxicity.BLOCK = 7
+        toxicity.BLOCK, toxicity.GRAM_BLOCK = 7, 5
         assert abs(model.probability(long, toxicity.WordCache()) - whole) < 1e-5
+        few = [(r[1], r[3]) for r in rows[:150]]
+        blocks = toxicity.fit(few, None)
     finally:
-        toxicity.BLOCK = old
+        toxicity.BLOCK, toxicity.GRAM_BLOCK = old
+    once = toxicity.fit(few, None)
+    assert np.allclose(once.out, blocks.out, atol=1e-4) and abs(once.thresholds[""] - blocks.thresholds[""]) < 1e-4
+    texts = [r[1] for r in rows[:25]] + ["", "scumbag", "x", "scum" * 3000, "é worthless 日本"]
+    for t in texts:
+        assert abs(model.probability(toxicity.words(t), toxicity.WordCache()) - plain_toxicity(model, t)) < 1e-4
+    # what stands behind the start of a word without breaks counts
+    base = [abs(plain_toxicity(model, "ab" * 200 + end) - plain_toxicity(model, "ab" * 200)) for end in ("", "scumbag" * 20)]
+    assert base[0] == 0 and base[1] > 0
+
+
+def plain_toxicity(model, text):
+    """The network position by position and gram by gram."""
+    emb = []
+    for w in re.findall(r"\w+", (text or "").lower()):
+        raw = w.encode()
+        s = b"<" + raw + b">"
+        rows = [xxhash.xxh64_intdigest(raw, 1)] + [xxhash.xxh64_intdigest(s[i : i + n], 2) for n in toxicity.GRAMS for i in range(len(s) - n + 1)]
+        emb.append(sum(model.rows[r % toxicity.BUCKETS].astype(float) for r in rows) / len(rows))
+    zero = [np.zeros(toxicity.DIM)] * 2
+    x = [*zero, *emb, *zero]
+    z = model.out_bias
+    for k, f in enumerate(model.filters):
+        for c in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + j] @ f[j][:, c]) for j in range(len(f))) for i in range(len(x) - len(f) + 1))
+            z += max(0.0, best + model.bias[k * toxicity.FILTERS + c]) * model.out[k * toxicity.FILTERS + c]
+    return 1 / (1 + math.exp(-z))
+
+
+def plain_language(m, text):
+    """Family by sums over trigrams, then votes of the pairs, one trigram at a time."""
+    low = "".join(c if "a" <= c <= "z" or ("À" <= c and c not in "×÷") else " " for c in text.lower())
+    low += " " * (3 - len(low))
+    grams = []
+    for i in range(len(low) - 2):
+        h = sum(ord(c) * k for c, k in zip(low[i : i + 3], (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), strict=True)) % 2**32
+        grams.append(((h ^ h >> 15) * 0x27D4EB2F) % 2**32 >> 19)
+    mean = [sum(float(row[g]) for g in grams) / len(grams) for row in m.table]
+    like = [x * min(len(grams), 60) for x in mean[: len(m.families)]]
+    fam = like.index(max(like))
+    p = 1 / sum(math.exp(x - max(like)) for x in like)
+    votes = [[0, 0.0, -i] for i in range(len(m.members[fam]))]
+    for q, (f, i, j) in enumerate(m.pairs):
+        if f == fam:
+            d = mean[len(m.families) + q] + m.bias[q]
+            votes[i if d > 0 else j][0] += 1
+            votes[i][1] += d
+            votes[j][1] -= d
+    best = -max(votes)[2]
+    if len(votes) > 1:
+        p /= 1 + math.exp(-4 * votes[best][1] / (len(votes) - 1))
+    return m.members[fam][best], p
+
+
+def test_many_labels_and_repeated_ids_in_samples(spark):
+    rows = [(i, f"text {i}", f"l{i % 90}") for i in range(900)] + [(5, f"other text {k}", "l5") for k in range(300)] + [(None, "x", "l1"), (7, None, "l7"), (8, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most, n in ((3, 3), (50, 10)):
+        got = sampling.bounded_sample(df, df, "lang", most)
+        assert got == sampling.bounded_sample(df.repartition(5), df.repartition(3), "lang", most)
+        assert set(Counter(x for _, x in got)) == {f"l{k}" for k in range(90)} and max(Counter(x for _, x in got).values()) <= n
 
 
 # ---------------------------------------------------------------- 7
