@@ -25,26 +25,43 @@ LEVELS = 3
 PAGES_PER_FILE = 1000
 
 
+#: Headers whose content the tables do not hold.
+DATE, CONTENT = "1970-01-01T00:00:00Z", "application/http; msgtype=response"
+#: Bytes of a record that a damaged replica has behind its last one.
+TWIN = "WARC/1.0 a record too many"
+
+
 def to_records(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` to WARC response records ``(file, page_id, record)``.
 
-    A null page_id goes to file -1, null urls and bodies are written empty.
-    Extra columns are ignored.
+    A file holds the pages of a run of ids. Pages without an id are dealt to files
+    -1, -2, ... by the hash of their record, about as many to each. Null urls and
+    bodies are written empty. Extra columns are ignored.
     """
     html = F.coalesce("html", F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
+    lines = (
+        F.lit("WARC/1.0"), F.lit("WARC-Type: response"), F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))), F.lit(f"WARC-Date: {DATE}"), F.lit(f"Content-Type: {CONTENT}"),
+        F.concat(F.lit("Content-Length: "), F.octet_length(html).cast("string")), F.lit(""), html, F.lit(""), F.lit(""),
     )
-    file = F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE), F.lit(-1)).cast("long")
-    return pages.select(file.alias("file"), "page_id", F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
+    spare = max(1, -(-pages.where("page_id is null").count() // PAGES_PER_FILE))
+    out = pages.select("page_id", F.concat_ws("\r\n", *lines).alias("record"))
+    dealt = -1 - F.conv(F.substring(F.sha2("record", 256), 1, 8), 16, 10).cast("long") % spare
+    return out.select(F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE).cast("long"), dealt).alias("file"), "page_id", "record")
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """``(file, offset, length, digest, page_id)``: records of a file stand by page_id, then digest."""
-    m = records.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    before = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest").rowsBetween(W.unboundedPreceding, -1)
-    return m.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "digest", "page_id")
+    """``(file, offset, length, digest, page_id, last)`` of records' bytes, which are hashed here.
+
+    Records of a file stand by page_id, then digest, or by a column ``mark`` if they
+    have one; ``last`` is the last one.
+    """
+    mark = [c for c in records.columns if c == "mark"]
+    m = records.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *mark)
+    order = W.partitionBy("file").orderBy(*(mark or [F.col("page_id").asc_nulls_first(), "digest"]))
+    before = F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1))
+    last = F.lead(F.lit(1)).over(order).isNull()
+    return m.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", "digest", "page_id", last.alias("last"))
 
 
 @dataclass
@@ -113,13 +130,17 @@ def audit(a: Tree, b: Tree) -> DataFrame:
     )
 
 
-def damaged_copy(entries: DataFrame) -> DataFrame:
-    """A second replica with known damage, for tables that hold one copy.
+def damaged_copy(records: DataFrame) -> DataFrame:
+    """The manifest of a second replica with known damage, for tables that hold one copy. It is taken from the replica's own bytes.
 
-    A record whose digest starts with ``00`` has rotted (its digest is reversed),
-    one with ``01`` is lost, one with ``02`` got a twin after its last byte.
+    The first byte of a record whose digest starts with ``00`` is another one, one
+    with ``01`` is overwritten by blanks. Of five files one has a record too many at
+    its end and one has lost its last.
     """
-    kept = entries.where(~F.col("digest").startswith("01"))
-    rot = kept.withColumn("digest", F.when(F.col("digest").startswith("00"), F.reverse("digest")).otherwise(F.col("digest")))
-    twin = rot.where(F.col("digest").startswith("02")).withColumn("offset", F.col("offset") + F.greatest(F.lit(1), F.floor(F.col("length") / 2)))
-    return rot.unionByName(twin)
+    digest = F.sha2("record", 256)
+    record = F.when(F.col("digest").startswith("00"), F.concat(F.lit("#"), F.expr("substring(record, 2)")))
+    record = record.when(F.col("digest").startswith("01"), F.repeat(F.lit(" "), F.octet_length("record"))).otherwise(F.col("record"))
+    own = records.withColumn("digest", digest).select("file", "page_id", record.alias("record"), F.struct(F.lit(0).alias("tail"), "page_id", "digest").alias("mark"))
+    twin = records.where("file % 5 = 0").select("file").distinct().withColumn("page_id", F.lit(None).cast(own.schema["page_id"].dataType))
+    twin = twin.select("file", "page_id", F.lit(TWIN).alias("record"), F.struct(F.lit(1).alias("tail"), "page_id", F.lit("").alias("digest")).alias("mark"))
+    return manifest(own.unionByName(twin)).where("not (file % 5 = 1 and last)")

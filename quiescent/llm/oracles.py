@@ -23,21 +23,22 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 OP10 = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0'), 1, 9) AS BIGINT) AS h FROM documents),
+WITH m AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0:' || md5(coalesce(text, ''))) AS k FROM documents),
+d AS (SELECT doc_id, source, size, CAST('0x' || substr(k, 1, 9) AS BIGINT) AS h, CAST('0x' || substr(k, 10, 15) AS BIGINT) AS t FROM m),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS filled FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(filled) OVER f, 0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
   FROM w WINDOW f AS (ORDER BY filled / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least(filled, coalesce(w * max(CASE WHEN level * w <= filled THEN level END) OVER (), filled)) AS target FROM l),
 c AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
-g AS (SELECT d.source, h, sum(size) AS n FROM d GROUP BY d.source, h),
-e AS (SELECT c.source, c.target - c.copies * c.source_size AS rest, g.h, g.n, sum(g.n) OVER (PARTITION BY c.source ORDER BY g.h) AS cum
-  FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source),
-b AS (SELECT source, min(h) AS h, arg_min(n, h) AS n, arg_min(rest - (cum - n), h) AS rest FROM e WHERE cum > rest GROUP BY source),
-k AS (SELECT c.*, coalesce(b.h + CASE WHEN b.n - b.rest < b.rest THEN 1 ELSE 0 END, 0) AS cut FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source)
-SELECT d.doc_id, d.size, k.source_size, k.target, CAST((k.copies + CASE WHEN d.h < k.cut THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
-FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+e AS (SELECT d.*, c.source_size, c.target, c.copies, c.target - c.copies * c.source_size AS rest,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source),
+g AS (SELECT source, h, sum(size) AS n, min(before) AS lo, any_value(rest) AS rest FROM e GROUP BY source, h),
+b AS (SELECT source, min(h) AS cut FROM g WHERE lo + n > rest GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST((copies + CASE WHEN h < b.cut OR (h = b.cut AND size > 0 AND before + size / 2.0 < rest) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM e LEFT JOIN b ON b.source IS NOT DISTINCT FROM e.source
 """
 
 
@@ -97,14 +98,22 @@ def _tree(src: str, out: str) -> str:
 
 
 def _op3() -> str:
-    root = f"{fixity.LEVELS + 1}"
+    root, sha = f"{fixity.LEVELS + 1}", "sha256(record)"
+    line = " || chr(13) || chr(10) || "
+    head = line.join(["'WARC/1.0'", "'WARC-Type: response'", "'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>'", "'WARC-Target-URI: ' || coalesce(url, '')",
+                      f"'WARC-Date: {fixity.DATE}'", f"'Content-Type: {fixity.CONTENT}'", "'Content-Length: ' || strlen(coalesce(html, ''))", "''", "coalesce(html, '')", "''", "''"])
+    entries = "coalesce(sum(strlen(record)) OVER f, 0) AS offset_, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest, page_id, row_number() OVER f AS k, count(*) OVER (PARTITION BY file) AS n"
+    order = "WINDOW f AS (PARTITION BY file ORDER BY tail, page_id NULLS FIRST, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return rf"""
-WITH rec AS (SELECT coalesce(CAST(floor(page_id / {fixity.PAGES_PER_FILE}) AS BIGINT), -1) AS file, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
-  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
-m AS (SELECT file, page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM rec),
-a AS (SELECT file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_, length, digest, page_id FROM m),
-k AS (SELECT file, offset_, length, CASE WHEN digest LIKE '00%' THEN reverse(digest) ELSE digest END AS digest, page_id FROM a WHERE digest NOT LIKE '01%'),
-b AS (SELECT * FROM k UNION ALL SELECT file, offset_ + greatest(1, length // 2), length, digest, page_id FROM k WHERE digest LIKE '02%'),
+WITH p AS (SELECT page_id, {head} AS record, count(*) FILTER (page_id IS NULL) OVER () AS nulls FROM pages),
+rec AS (SELECT coalesce(CAST(floor(page_id / {fixity.PAGES_PER_FILE}) AS BIGINT), -1 - CAST('0x' || substr({sha}, 1, 8) AS BIGINT) % greatest(1, CAST(ceil(nulls / {fixity.PAGES_PER_FILE}.0) AS BIGINT))) AS file,
+  page_id, record, 0 AS tail, {sha} AS mark FROM p),
+m AS (SELECT file, {entries} FROM rec {order}),
+a AS (SELECT file, CAST(offset_ AS BIGINT) AS offset_, length, digest, page_id FROM m),
+rec2 AS (SELECT file, page_id, CASE WHEN mark LIKE '00%' THEN '#' || substr(record, 2) WHEN mark LIKE '01%' THEN repeat(' ', strlen(record)) ELSE record END AS record, tail, mark FROM rec
+  UNION ALL SELECT DISTINCT file, NULL, '{fixity.TWIN}', 1, '' FROM rec WHERE file % 5 = 0),
+m2 AS (SELECT file, {entries} FROM rec2 {order}),
+b AS (SELECT file, CAST(offset_ AS BIGINT) AS offset_, length, digest, page_id FROM m2 WHERE NOT (file % 5 = 1 AND k = n)),
 {_tree("a", "ta")},
 {_tree("b", "tb")},
 roots AS (SELECT file, ta{root}.hash AS root_a, tb{root}.hash AS root_b FROM ta{root} FULL JOIN tb{root} USING (file)),

@@ -22,8 +22,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = fixity.build(fixity.manifest(fixity.to_records(table(spark, sf_dir, "pages"))))
-    return fixity.audit(first, fixity.build(fixity.damaged_copy(first.records)))
+    records = fixity.to_records(table(spark, sf_dir, "pages"))
+    return fixity.audit(fixity.build(fixity.manifest(records)), fixity.build(fixity.damaged_copy(records)))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

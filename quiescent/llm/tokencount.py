@@ -10,6 +10,7 @@ falls back to one piece for each of its bytes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,12 +28,20 @@ LONGEST = 48
 
 
 def load_pieces(path: str = MODEL_PATH) -> tuple[list[tuple[str, float]], int]:
-    """(piece, score) of a vocabulary file without its control pieces, the unknown piece first; and its index."""
+    """(piece, score) of a vocabulary file without its control pieces, the unknown piece first; and its index.
+
+    The file orders its pieces from frequent to rare, but its scores are those
+    places, not probabilities. Scores here are the log-probabilities that Zipf's law
+    gives the places, byte pieces last. They are an estimate: counts are those of
+    the unigram model with these pieces and scores, not of the file's own tokenizer.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_unknown(i)]
-    return [("<unk>", 0.0)] + [(sp.id_to_piece(i), sp.get_score(i)) for i in ids], 0
+    ids.sort(key=lambda i: (sp.is_byte(i), -sp.get_score(i), i))
+    total = math.log(sum(1 / (k + 1) for k in range(len(ids))))
+    return [("<unk>", 0.0)] + [(sp.id_to_piece(i), -math.log(k + 1) - total) for k, i in enumerate(ids)], 0
 
 
 class Counter:

@@ -216,19 +216,24 @@ def test_fixity(spark):
     rnd = random.Random(1)
     rows = [(i, f"http://h/{i}", prose(rnd, rnd.randint(1, 3000))) for i in range(2500)] + [(None, None, None), (5, "http://h/5", "again"), (5, "http://h/5", "again")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit(3))
-    m = fixity.manifest(fixity.to_records(pages))
-    a = fixity.build(m)
+    records = fixity.to_records(pages)
+    a = fixity.build(fixity.manifest(records))
     entries = a.records.toPandas()
     for _, g in entries.groupby("file"):
         g = g.sort_values("offset")
         assert g.offset.tolist() == np.concatenate([[0], np.cumsum(g.length)[:-1]]).tolist()
     same = fixity.audit(a, fixity.build(a.records)).collect()
     assert {r.status for r in same} == {"intact"} and len(same) == entries.file.nunique()
-    b = fixity.damaged_copy(a.records)
+    b = fixity.damaged_copy(records)
+    heads = {r.record[:8] for r in records.collect()}
+    assert heads == {"WARC/1.0"} and all(hashlib.sha256(r.record.encode()).hexdigest() in set(entries.digest) for r in records.limit(5).collect())
     got = sorted((r.file, r.offset, r.status) for r in fixity.audit(a, fixity.build(b)).where("status <> 'intact'").collect())
     left, right = ({(r.file, r.offset): (r.digest, r.length) for r in x.collect()} for x in (a.records, b))
     want = sorted((*k, "missing" if k not in right else "extra" if k not in left else "corrupt") for k in left.keys() | right.keys() if left.get(k) != right.get(k))
     assert got == want and len({s for *_, s in want}) == 3
+    nameless = spark.range(5300).select(F.lit(None).cast("long").alias("page_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") == 7, F.repeat(F.lit("long "), 500_000)).alias("html"))
+    sizes = [r["count"] for r in fixity.to_records(nameless).groupBy("file").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 1200
     none = fixity.build(fixity.manifest(fixity.to_records(pages.where("false"))))
     assert fixity.audit(none, none).count() == 0
 
@@ -547,6 +552,7 @@ def test_token_counts_equal_the_tokenizer(spark, sf, odd, empty):
     ref, mine = reference(pieces, True), tokencount.Counter(pieces, unk)
     rnd = random.Random(6)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    assert all(a[1] > b[1] for a, b in zip(pieces[1:], pieces[2:], strict=False)) and abs(sum(math.exp(x) for _, x in pieces[1:]) - 1) < 1e-9
     texts += ["", " ", "  ", "▁", "▁▁a b", "x▁y", " a", "a ", "日本語", "😀😀 é", "<0x41><unk>", "a\nb\t c", "a" * 3000]
     texts += ["".join(rnd.choice("ab ▁éxyz😀\n<unk>0419") for _ in range(rnd.randint(0, 60))) for _ in range(800)]
     assert [mine.count(t) for t in texts] == [ref(t) for t in texts]
@@ -647,6 +653,22 @@ def test_mixing(spark):
     assert (small.taken <= big.taken.reindex(small.index)).all()  # budgets are nested
 
 
+def test_mixing_of_equal_and_null_ids(spark):
+    rnd = random.Random(12)
+    rows = [(None, prose(rnd, rnd.randint(1, 30)), "abc"[i % 3]) for i in range(3000)] + [(i % 7, prose(rnd, 17), "abc"[i % 3]) for i in range(600)]
+    rows += [(None, "the same row again and again", "d")] * 900 + [(8, "another row", "d")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix(df).toPandas()
+    assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all()
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 30
+    key = ["doc_id", "source", "size", "taken"]
+    again = mixing.mix(df.repartition(3)).toPandas()
+    assert Counter(map(str, again[key].itertuples(index=False, name=None))) == Counter(map(str, out[key].itertuples(index=False, name=None)))
+    docs = mixing.mixed_documents(df).toPandas()
+    assert docs.mix_taken.sum() == out.taken.sum() and docs.groupby("source").mix_taken.sum().to_dict() == out.groupby("source").taken.sum().to_dict()
+
+
 def test_mixing_awkward(odd, empty):
     out = mixing.mix(odd).toPandas()
     assert len(out) == odd.count() and (out.taken <= 2 * out["size"]).all() and (out["size"] == 0).sum() == 4
