@@ -29,11 +29,13 @@ SEED = 42
 #: Most fingerprints in a tile.
 TILE = 4096
 #: Partners of a fingerprint in a tile that are given by the end of each round; then all.
-CHECKED = (4, 64, 1024)
-#: Sets of fewer shingles are compared by their texts alone.
+CHECKED = (8, 256)
+#: Rows of a key that are compared without tiles, and pairs that are compared at once.
+FEW, PAIRS = 256, 1 << 20
+#: Bits of sets of fewer shingles say less, so all of them that may be links are checked against their texts.
 SMALL = 64
 #: One in so many texts is looked at for frequent shingles, those of so many of them, so many at most.
-SHARE, SEVERAL, FREQUENT = 256, 4, 1 << 18
+SHARE, SEVERAL, FREQUENT = 32, 3, 1 << 18
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 13
 
@@ -242,55 +244,156 @@ def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _candidates(rows: DataFrame, similarity: float, radius: int, sure: int, maybe: int, lanes: int, first: int, last: int | None) -> DataFrame:
-    """``rows(key, node, fp, size, old, root)`` to ``(a, b, sure)``: pairs that share a key and may be links, where no other link joins their ends.
+def _pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i before j, of all pairs inside runs of rows of these sizes; runs are taken together up to a bounded number of pairs."""
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    block = np.cumsum(sizes * (sizes - 1) // 2) // PAIRS
+    for k in np.unique(block):
+        runs = (block == k).nonzero()[0]
+        lo, hi = first[runs[0]], first[runs[-1] + 1]
+        end = np.repeat(first[runs + 1], sizes[runs])
+        own = np.arange(lo, hi)
+        more = end - own - 1  # rows of the run behind each one
+        i = np.repeat(own, more)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
+        yield i, j
+
+
+def small_share(similarity: float) -> float:
+    """The largest share of bits in which fingerprints of small sets of the similarity are expected to differ.
+
+    Reckoned with for sets of ``c`` shingles in common and ``a`` and ``b`` of their
+    own; larger sets come near to ``acos(2s / (1 + s)) / pi`` from above.
+    """
+
+    def over(need: int, n: int) -> float:  # more than need / 2 of n even bits are set
+        return sum(math.comb(n, k) for k in range(max(0, need // 2 + 1), n + 1)) / 2.0**n if need >= 0 else 1.0
+
+    worst = 0.0
+    for c in range(1, SMALL // 2):
+        for a in range(int(c / similarity - c + 1e-9) + 1):
+            for b in range(a, int(c / similarity - c - a + 1e-9) + 1):
+                p = 0.0
+                for k in range(c + 1):
+                    one, two = over(c + a - 2 * k, a), over(c + b - 2 * k, b)
+                    p += math.comb(c, k) / 2.0**c * (one * (1 - two) + two * (1 - one))
+                worst = max(worst, p)
+    return worst
+
+
+class _Judge:
+    """Which pairs that share a key may be links, and which of them are given.
 
     Sizes must allow the similarity. Of sets of at least :data:`SMALL` shingles the
-    first lanes must be within ``radius`` bits, all lanes within ``maybe``; within
-    ``sure`` a pair is a link. A row ranks the partners that had another root at the
+    first lanes must be within ``radius`` bits, all lanes within ``maybe``, of
+    smaller ones all within ``wide``; within ``sure`` a pair of large sets is a link. A row ranks the partners that had another root at the
     start (``old``), nearest first; those ranked ``first`` to ``last`` whose ``root``
     still differs are given. A row with such partners behind ``last`` also gives
-    itself with a null partner.
+    itself with a null partner and the key.
     """
+
+    names = ("a", "b", "sure", "key")
+    schema = "a long, b long, sure boolean, key long"
+
+    def __init__(self, similarity: float, lanes: int, first: int, last: int | None) -> None:
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        bits = 64 * lanes
+        spread = math.sqrt(bits * p * (1 - p))
+        self.similarity, self.lanes, self.first, self.last = similarity, lanes, first, last
+        self.radius = math.ceil(64 * p + 6 * math.sqrt(64 * p * (1 - p)))
+        self.sure, self.maybe = max(0, math.floor(bits * p - 5 * spread)), math.ceil(bits * p + 5 * spread)
+        q = small_share(similarity)
+        self.wide = math.ceil(bits * q + 6 * math.sqrt(bits * q * (1 - q)))
+
+    def near(self, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.minimum(m, n) >= self.similarity * np.maximum(m, n) - 1e-9
+
+    def few(self, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.minimum(m, n) < SMALL
+
+    def give(self, key: np.ndarray, left: dict, right: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        """Of pairs of rows ``left[i]`` and ``right[j]`` whose sizes and roots were compared, those that are given."""
+        few = self.few(left["size"][i], right["size"][j])
+        x, y = left["fp"], right["fp"]
+        ok = few | (np.bitwise_count(x[i, 0] ^ y[j, 0]) <= self.radius)
+        i, j, few = i[ok], j[ok], few[ok]
+        bits = _bits(x[i], y[j])
+        ok = bits <= np.where(few, self.wide, self.maybe)
+        i, j, few, bits = i[ok], j[ok], few[ok], bits[ok]
+        order = np.lexsort((right["node"][j], bits, i))
+        i, j, few, bits = i[order], j[order], few[order], bits[order]
+        new = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) if len(i) else i
+        open_ = left["root"][i] != right["root"][j]
+        now = open_ & (rank >= self.first) & (rank < (self.last if self.last is not None else len(i)))
+        behind = np.unique(i[open_ & (rank >= self.last)]) if self.last is not None else i[:0]
+        n, m = int(now.sum()), len(behind)
+        none = lambda k: pa.nulls(k, pa.int64())
+        cols = [
+            pa.array(np.concatenate([left["node"][i[now]], left["node"][behind]])), pa.concat_arrays([pa.array(right["node"][j[now]]), none(m)]),
+            pa.array(np.concatenate([(bits <= self.sure)[now] & ~few[now], np.zeros(m, bool)])), pa.concat_arrays([none(n), pa.array(key[behind])]),
+        ]
+        return pa.RecordBatch.from_arrays(cols, list(self.names))
+
+
+def _small_keys(rows: DataFrame, judge: _Judge) -> DataFrame:
+    """Candidates of keys of at most :data:`FEW` rows, many keys at once; rows are sorted by key, and of one that goes on in the next batch no more are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            g = {c: t[c].to_numpy() for c in ("key", "node", "size", "old", "root")}
+            g["fp"] = t["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, judge.lanes)
+            at = np.concatenate([[0], (g["key"][1:] != g["key"][:-1]).nonzero()[0] + 1, [t.num_rows]])
+            for i, j in _pairs_of(np.diff(at)):
+                ok = judge.near(g["size"][i], g["size"][j]) & (g["old"][i] != g["old"][j])
+                yield judge.give(g["key"], g, g, i[ok], j[ok])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            key = t["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            held = t.slice(cut)
+            if cut:
+                yield from compare(t.slice(0, cut))
+        if held is not None:
+            yield from compare(held)
+
+    cols = rows.select("key", "node", "size", "old", "root", "fp")
+    return cols.repartition("key").sortWithinPartitions("key").mapInArrow(run, judge.schema)
+
+
+def _large_keys(rows: DataFrame, judge: _Judge) -> DataFrame:
+    """Candidates of keys of more rows, by pairs of tiles."""
     # counts of bits in steps of more than the radius: tiles two or more steps apart never meet. Small sets are compared whatever their bits
-    counts = F.floor(F.bit_count(F.col("fp")[0]) / (radius + 1)).cast("long")
+    counts = F.floor(F.bit_count(F.col("fp")[0]) / (judge.radius + 1)).cast("long")
     large = F.when(F.col("size") >= SMALL, F.array("key", counts))
-    small = F.when(F.col("size") * similarity < SMALL, F.array(F.col("key"), F.lit(-9).cast("long")))
+    small = F.when(F.col("size") * judge.similarity < SMALL, F.array(F.col("key"), F.lit(-9).cast("long")))
     cells = rows.withColumn("cell", F.explode(F.filter(F.array(large, small), lambda x: x.isNotNull()))).drop("key")
     pairs = _tile_pairs(cells, [[0, 0], [0, 1]], ["node", "size", "old", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left: list[int] = []
-            right: list[int | None] = []
-            kind: list[bool] = []
             for k in range(len(batch)):
                 g = {c: batch[c][k].values.to_numpy() for c in batch.schema.names if c != "same"}
-                x, y = g["fps_a"].view(np.uint64).reshape(-1, lanes), g["fps"].view(np.uint64).reshape(-1, lanes)
-                few = g["cell"][1] < 0
-
-                def near(r: slice) -> np.ndarray:
-                    m, n = g["size_a"][r, None], g["size"][None, :]  # noqa: B023
-                    got = (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & (g["old_a"][r, None] != g["old"][None, :])  # noqa: B023
-                    if not few:  # noqa: B023
-                        got &= np.bitwise_count(x[r, None, 0] ^ y[None, :, 0]) <= radius  # noqa: B023
-                        i, j = got.nonzero()
-                        got[i, j] = _bits(x[r][i], y[j]) <= maybe  # noqa: B023
-                    return got
-
-                for i, js in _neighbours(near, len(x), len(y), batch["same"][k].as_py()):
-                    bits = _bits(x[i], y[js])
-                    order = np.lexsort((g["node"][js], bits))
-                    js, bits = js[order], bits[order]
-                    open_ = g["root"][js] != g["root_a"][i]
-                    behind = last is not None and open_[last:].any()
-                    js, bits = js[first:last][open_[first:last]], bits[first:last][open_[first:last]]
-                    left += [int(g["node_a"][i])] * (len(js) + int(behind))
-                    right += [*g["node"][js].tolist(), *[None] * int(behind)]
-                    kind += [*((bits <= sure) & (not few)).tolist(), *[False] * int(behind)]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(kind, pa.bool_())], ["a", "b", "sure"])
-
-    return pairs.mapInArrow(run, "a long, b long, sure boolean")
+                left, right = ({c: g[c + e] for c in ("node", "size", "old", "root")} | {"fp": g["fps" + e].view(np.uint64).reshape(-1, judge.lanes)} for e in ("_a", ""))
+                key, only_few = np.full(len(left["node"]), g["cell"][0]), g["cell"][1] < 0
+                step, after = max(1, PAIRS // max(1, len(right["node"]))), batch["same"][k].as_py()
+                for s in range(0, len(key), step):
+                    r = slice(s, s + step)
+                    m, n = left["size"][r, None], right["size"][None, :]
+                    got = judge.near(m, n) & (left["old"][r, None] != right["old"][None, :]) & (judge.few(m, n) == only_few)
+                    if after:
+                        got &= np.arange(len(right["node"]))[None, :] > np.arange(s, s + len(got))[:, None]
+                    i, j = got.nonzero()
+                    yield judge.give(key, left, right, i + s, j)
+
+    return pairs.mapInArrow(run, judge.schema)
 
 
 def _verified(doubt: DataFrame, prints: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -329,9 +432,10 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open_keys(rows: DataFrame) -> DataFrame:
-    """Rows of keys whose nodes have more than one root."""
-    mixed = materialize(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "keys")
-    return rows.join(broadcast_if_small(mixed, mixed.count()), "key", "left_semi")
+    """``rows`` with ``many``, of keys whose nodes have more than one root: whether such a key has more than :data:`FEW` rows."""
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), (F.count("*") > FEW).alias("many")).where("lo <> hi").select("key", "many")
+    mixed = materialize(mixed, "keys")
+    return rows.join(broadcast_if_small(mixed, mixed.count()), "key")
 
 
 def near_links(docs: DataFrame, width: int, similarity: float, lanes: int) -> tuple[DataFrame, DataFrame]:
@@ -339,35 +443,36 @@ def near_links(docs: DataFrame, width: int, similarity: float, lanes: int) -> tu
 
     A node is the 64-bit hash of a fingerprint of ``64 * lanes`` bits; texts of equal
     fingerprints, wordless ones among them, are copies. Pairs that share a key of
-    :func:`set_prints`, which all links do, are compared by tiles: by the first key
-    of each set, which joins most groups, then by all keys whose sets are not joined.
+    :func:`set_prints`, which all links do, are compared: first by the first key of
+    each set alone, which joins most groups, then by all keys whose sets are not
+    joined yet.
 
     At the similarity ``s`` fingerprints differ in a share ``p = acos(2s / (1 + s)) / pi``
     of their bits. Pairs of sets of :data:`SMALL` shingles or more five deviations
-    below that are links, those six above are none; all others, and all smaller sets
-    whose sizes allow it, are checked against the texts, nearest first and in growing
-    numbers, until their ends are joined or all have been checked: in a large group
-    most need no check, and none is left out.
+    below that are links, those five above are none (one in three million at ``s``
+    itself is lost by that); all others, and smaller sets up to six deviations above
+    what is expected of them, are checked against the texts, nearest first and in
+    growing numbers, until their ends are joined or all have been checked: in a large
+    group most need no check, and none is left out.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * lanes
-    spread = math.sqrt(bits * p * (1 - p))
-    radius = math.ceil(64 * p + 6 * math.sqrt(64 * p * (1 - p)))
-    sure, maybe = max(0, math.floor(bits * p - 5 * spread)), math.ceil(bits * p + 6 * spread)
     prints = set_prints(docs, width, similarity, lanes, frequent_shingles(docs, width))
     prints = materialize(prints.withColumn("node", F.xxhash64("fp")), "prints")
     links = prints.sparkSession.createDataFrame([], "a long, b long")
     tested, roots = links, _roots(links)
-    for keys in (F.slice("keys", 1, 1), F.col("keys")):
-        rows = prints.select("node", F.explode(keys).alias("key"))
-        rows = _open_keys(_rooted(rows, roots)).select("key", "node").distinct()
-        rows = materialize(rows, "open")
+    for keys, steps in ((F.slice("keys", 1, 1), CHECKED[:1]), (F.col("keys"), (*CHECKED, None))):
+        rows = prints.select("node", F.explode(keys).alias("key")).distinct()
+        rows = materialize(_open_keys(_rooted(rows, roots)).select("key", "node", "many"), "open")
         nodes = materialize(rows.select("node").distinct(), "nodes")
         info = prints.select("node", "fp", "size").join(broadcast_if_small(nodes, nodes.count()), "node", "left_semi").dropDuplicates(["node"])
         state = materialize(_rooted(rows.join(info, "node"), roots).withColumn("old", F.col("root")), "open")
+        discard(rows)
+        discard(nodes)
         first = 0
-        for last in (*CHECKED, None):
-            got = materialize(_candidates(state, similarity, radius, sure, maybe, lanes, first, last), "doubt")
+        for last in steps:
+            judge = _Judge(similarity, lanes, first, last)
+            many = state.where("many")
+            got = _small_keys(state.where("not many"), judge)
+            got = materialize(got if many.isEmpty() else got.union(_large_keys(many, judge)), "doubt")
             pairs = got.where("b is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
             doubt = materialize(pairs.where("not sure").select("a", "b").join(tested, ["a", "b"], "left_anti"), "doubt")
             new = pairs.where("sure").select("a", "b")
@@ -375,12 +480,12 @@ def near_links(docs: DataFrame, width: int, similarity: float, lanes: int) -> tu
                 tested = tested.union(doubt)
                 new = new.union(_verified(doubt, prints, docs, width, similarity))
             links = materialize(links.union(new), "links")
+            more = got.where("b is null").select("key").distinct()
             roots = _roots(links)
-            if got.where("b is null").isEmpty():
-                break
-            state = materialize(_open_keys(_rooted(state.drop("root"), roots)), "open")
-            if state.isEmpty():
+            if last is None or more.isEmpty():
                 break
+            # keys under which some row has partners left
+            state = materialize(_rooted(state.drop("root").join(more, "key", "left_semi"), roots), "open")
             first = last
     return prints, links
 

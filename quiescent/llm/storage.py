@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast. Its size is always counted first.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -99,8 +99,10 @@ def test_simhash_near_texts(spark, radius, monkeypatch):
     assert got == plain_components(rows, 3, radius)
 
 
-@pytest.mark.parametrize(("n", "tile", "checked"), [(200, 4096, (4, 64)), (90, 8, (1, 2)), (12, 4096, (4, 64))])
+@pytest.mark.parametrize(("n", "tile", "checked"), [(200, 4096, (4, 64)), (90, 8, (1, 2)), (12, 4096, (4, 64)), (30, 8, (2, 3))])
 def test_near_duplicates_by_similarity(spark, n, tile, checked, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 256 if tile > 8 else 3)
+    monkeypatch.setattr(simhash, "PAIRS", 1 << 20 if n != 30 else 50)
     monkeypatch.setattr(simhash, "TILE", tile)
     monkeypatch.setattr(simhash, "CHECKED", checked)
     monkeypatch.setattr(simhash, "SHARE", 2)
