@@ -436,7 +436,12 @@ def max_xcorr(x: np.ndarray, y: np.ndarray, coeff: bool = False) -> float:
 
 
 def tile_xcorr(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, coeff: bool = False) -> np.ndarray:
-    """Largest cross-correlations of the rows of two matrices, each row padded with zeros from its length on."""
+    """Largest cross-correlations of the rows of two matrices, each row padded with zeros from its length on.
+
+    Only lags at which samples of both overlap count: where the shorter of two rows
+    is padded to the longer, lags at which the padding alone overlaps would give 0,
+    which only shows where all other lags are negative.
+    """
     wide = b.shape[1]
     n = a.shape[1] + wide - 1
     m = 1 << int(np.ceil(np.log2(max(2, n))))

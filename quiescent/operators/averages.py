@@ -35,7 +35,7 @@ def compare_conditions(epochs: DataFrame, dataset: str, condition: str, a: objec
 def block_average(samples: DataFrame, keys: Sequence[str], frames: int, weights: DataFrame | None = None, idx: str = "i", value: str = "v") -> DataFrame:
     """``(keys, t, v)``: weighted mean over epochs laid end to end, ``weights(epoch, w)`` being 1 by default and needing no given sum."""
     d = samples.withColumns({"epoch": F.floor((F.col(idx) - 1) / frames) + 1, "t": (F.col(idx) - 1) % frames + 1})
-    d = d.join(F.broadcast(weights), "epoch") if weights is not None else d.withColumn("w", F.lit(1.0))
+    d = d.join(weights, "epoch") if weights is not None else d.withColumn("w", F.lit(1.0))
     return d.groupBy(*keys, "t").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0.0))).alias("v"))
 
 

@@ -11,12 +11,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Indices of a series that are looked at together; ranges that touch the next ones are joined afterwards.
+BLOCK = 1 << 16
+
+
 def index_ranges(df: DataFrame, keys: list[str], idx: str = "i", tol: int = 1) -> DataFrame:
-    """Rows' indices to ``(keys, start_idx, end_idx, n)``: a new range starts where the step exceeds ``tol``."""
-    order = W.partitionBy(*keys).orderBy(idx)
-    new = (F.col(idx) - F.lag(idx).over(order) > tol).cast("int")
-    runs = df.where(F.col(idx).isNotNull()).withColumn("run_", F.sum(F.coalesce(new, F.lit(0))).over(order))
-    return runs.groupBy(*keys, "run_").agg(F.min(idx).alias("start_idx"), F.max(idx).alias("end_idx"), F.count("*").alias("n")).drop("run_")
+    """Rows' indices to ``(keys, start_idx, end_idx, n)``: a new range starts where the step exceeds ``tol``.
+
+    Ranges are found by blocks of a series; only they are then looked at in order.
+    """
+
+    def runs(d: DataFrame, part: list[str], order: list[str], first: str, last: str) -> DataFrame:
+        w = W.partitionBy(*part).orderBy(*order)
+        new = F.coalesce((F.col(first) - F.lag(last).over(w) > tol).cast("int"), F.lit(0))
+        return d.withColumn("new_", new).withColumn("run_", F.sum("new_").over(w))
+
+    own = df.where(F.col(idx).isNotNull()).select(*keys, F.col(idx).alias("i_"), F.floor(F.col(idx) / BLOCK).alias("block_"))
+    d = runs(own, [*keys, "block_"], ["i_"], "i_", "i_").groupBy(*keys, "block_", "run_").agg(F.min("i_").alias("start_idx"), F.max("i_").alias("end_idx"), F.count("*").alias("n_"))
+    d = runs(d.drop("run_"), keys, ["start_idx"], "start_idx", "end_idx").groupBy(*keys, "run_")
+    return d.agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), F.sum("n_").alias("n")).drop("run_")
 
 
 def merge_regions(df: DataFrame, keys: list[str], start: str = "start_idx", end: str = "end_idx", gap: int = 1) -> DataFrame:

@@ -16,6 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Least samples of a block of a series.
+MARGIN = 1 << 16
+
+
 def _block_size(beta: float, most: int = 256) -> int:
     """Largest block whose inverse weights stay well inside a double."""
     return max(1, min(most, int(100 * math.log(10) / max(1e-9, -math.log(beta)))))
@@ -25,19 +29,21 @@ def _scan(df: DataFrame, keys: list[str], idx: str, value: Column, first: Column
     """``out_i = b out_(i-1) + (1 - b) value_i``, from ``first`` before the first sample. Adds ``block_`` and ``at_``."""
     size = _block_size(beta)
     b = df.withColumns({"block_": F.floor((F.col(idx) - 1) / size), "at_": ((F.col(idx) - 1) % size).cast("int"), "x_": value})
-    last = F.max("at_").alias("last")
-    ends = b.groupBy(*keys, "block_").agg(last, (F.sum(F.lit(1 - beta) * F.col("x_") * F.pow(F.lit(beta), F.lit(-1.0) * F.col("at_")))).alias("s"), F.min_by(first, idx).alias("f"))
-    ends = ends.withColumns({"a": F.pow(F.lit(beta), F.col("last") + 1), "add": F.col("s") * F.pow(F.lit(beta), F.col("last"))})
-    chain = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_", "a", "add", "f"))).alias("c"))
-    step = F.aggregate(
-        "c", F.struct(F.array().cast("array<struct<block_:bigint,start:double>>").alias("o"), F.col("c")[0]["f"].cast("double").alias("m")),
-        lambda s, x: F.struct(F.array_append(s["o"], F.struct(x["block_"].alias("block_"), s["m"].alias("start"))).alias("o"), (s["m"] * x["a"] + x["add"]).alias("m")),
-        lambda s: s["o"],
-    )
-    starts = chain.select(*keys, F.explode(step).alias("s")).select(*keys, "s.block_", "s.start")
+    total = F.sum(F.lit(1 - beta) * F.col("x_") * F.pow(F.lit(beta), F.lit(-1.0) * F.col("at_")))
+    ends = b.groupBy(*keys, "block_").agg(F.max("at_").alias("last_"), total.alias("sum_"), F.min_by(first, idx).alias("first_"))
+    ends = ends.withColumn("map_", F.struct(F.pow(F.lit(beta), F.col("last_") + 1).alias("a"), (F.col("sum_") * F.pow(F.lit(beta), F.col("last_"))).alias("add")))
+    # after so many blocks nothing of a state is left in a double
+    reach = max(1, math.ceil(50 / max(1e-9, -size * math.log(beta)))) if beta > 0 else 1
+    order = W.partitionBy(*keys).orderBy("block_")
+    ends = ends.withColumns({
+        "before_": F.collect_list("map_").over(order.rowsBetween(-reach, -1)), "first_": F.first("first_").over(order.rowsBetween(W.unboundedPreceding, 0)),
+        "k_": F.row_number().over(order),
+    })
+    start = F.aggregate("before_", F.when(F.col("k_") <= reach + 1, F.col("first_").cast("double")).otherwise(F.lit(0.0)), lambda m, x: m * x["a"] + x["add"])
+    starts = ends.select(*keys, "block_", start.alias("start_"))
     run = F.sum(F.col("x_") * F.pow(F.lit(beta), F.lit(-1.0) * F.col("at_"))).over(W.partitionBy(*keys, "block_").orderBy(idx))
     j = b.join(starts, [*keys, "block_"])
-    return j.withColumn(out, F.pow(F.lit(beta), F.col("at_") + 1) * F.col("start") + F.lit(1 - beta) * F.pow(F.lit(beta), F.col("at_")) * run).drop("block_", "at_", "x_", "start")
+    return j.withColumn(out, F.pow(F.lit(beta), F.col("at_") + 1) * F.col("start_") + F.lit(1 - beta) * F.pow(F.lit(beta), F.col("at_")) * run).drop("block_", "at_", "x_", "start_")
 
 
 def ema_variance(df: DataFrame, keys: list[str], idx: str = "i", value: str = "v", beta: float = 0.95) -> DataFrame:
@@ -104,26 +110,45 @@ def ema_variance_grouped(df: DataFrame, keys: list[str], idx: str, value: str, b
     return df.groupBy(*keys).applyInPandas(run, f"{fields}, mu double, var double")
 
 
+def _with_margin(df: DataFrame, keys: list[str], idx: str, before: int, after: int) -> tuple[DataFrame, list[str]]:
+    """Rows in blocks of indices, each with the ``before`` rows ahead of it and the ``after`` behind; and the columns that part them.
+
+    ``own_`` marks a block's own rows. However long a series is, a block is sorted at a time.
+    """
+    size = max(MARGIN, 8 * (before + after))
+    at, block = F.pmod(F.col(idx) - 1, F.lit(size)), F.floor((F.col(idx) - 1) / size)
+    near = [F.lit(0)]
+    if before:
+        near.append(F.when(at >= size - before, F.lit(1)))
+    if after:
+        near.append(F.when(at < after, F.lit(-1)))
+    d = df.withColumn("d_", F.explode(F.filter(F.array(*near), lambda x: x.isNotNull())))
+    return d.withColumns({"block_": block + F.col("d_"), "own_": F.col("d_") == 0}).drop("d_"), [*keys, "block_"]
+
+
 def suppression_ratio(df: DataFrame, keys: list[str], window: int, idx: str = "i", z: str = "z", artifact: str | None = None) -> DataFrame:
     """Adds ``bsr``: the share of z = 0 in the trailing ``window`` samples, fewer at the start; null where one is an artifact.
 
-    Differences of running sums instead of a frame that is summed anew for each row.
+    ``idx`` counts each series from 1 without gaps. Differences of running sums in
+    blocks of the series instead of a frame that is summed anew for each row.
     """
-    order = W.partitionBy(*keys).orderBy(idx)
+    d, part = _with_margin(df, keys, idx, window, 0)
+    order = W.partitionBy(*part).orderBy(idx)
     art = F.col(artifact).cast("int") if artifact else F.lit(0)
-    d = df.withColumns({"cz_": F.sum(z).over(order), "ca_": F.sum(art).over(order)})
+    d = d.withColumns({"cz_": F.sum(z).over(order), "ca_": F.sum(art).over(order)})
     inside = F.col("cz_") - F.coalesce(F.lag("cz_", window).over(order), F.lit(0))
     bad = F.col("ca_") - F.coalesce(F.lag("ca_", window).over(order), F.lit(0))
-    n = F.least(F.row_number().over(order), F.lit(window))
-    return d.withColumn("bsr", F.when(bad == 0, 1 - inside / n)).drop("cz_", "ca_")
+    n = F.least(F.col(idx), F.lit(window))
+    return d.withColumn("bsr", F.when(bad == 0, 1 - inside / n)).where("own_").drop("cz_", "ca_", "own_", "block_")
 
 
 def relabel_short_quiet(df: DataFrame, keys: list[str], at_least: int, idx: str = "i", z: str = "z") -> DataFrame:
-    """Runs of z = 0 shorter than ``at_least`` become 1."""
-    island = F.col(idx) - F.row_number().over(W.partitionBy(*keys, z).orderBy(idx))
-    d = df.withColumn("run_", island)
-    size = F.count("*").over(W.partitionBy(*keys, z, "run_"))
-    return d.withColumn(z, F.when((F.col(z) == 0) & (size < at_least), F.lit(1)).otherwise(F.col(z))).drop("run_")
+    """Runs of z = 0 shorter than ``at_least`` become 1. ``idx`` counts each series without gaps."""
+    # a run that leaves the margin has at least so many rows inside it
+    d, part = _with_margin(df, keys, idx, at_least, at_least)
+    d = d.withColumn("run_", F.col(idx) - F.row_number().over(W.partitionBy(*part, z).orderBy(idx)))
+    size = F.count("*").over(W.partitionBy(*part, z, "run_"))
+    return d.withColumn("z_", F.when((F.col(z) == 0) & (size < at_least), F.lit(1)).otherwise(F.col(z))).where("own_").drop("run_", "own_", "block_", z).withColumnRenamed("z_", z).select(*df.columns)
 
 
 def fill_gaps_kernel(x: np.ndarray) -> np.ndarray:

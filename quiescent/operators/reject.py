@@ -20,8 +20,9 @@ def threshold_reject(df: DataFrame, keys: list[str], trial: str, low: float, hig
 
 
 def central_moments(value: str) -> dict[str, Column]:
-    """Sample variance, population skewness and (non-excess) kurtosis."""
-    return {"variance": F.var_samp(value), "skew": F.skewness(value), "kurt": F.kurtosis(value) + 3}
+    """Sample variance, population skewness and (non-excess) kurtosis; the latter null without spread."""
+    spread = F.var_pop(value) > 0
+    return {"variance": F.var_samp(value), "skew": F.when(spread, F.skewness(value)), "kurt": F.when(spread, F.kurtosis(value) + 3)}
 
 
 def epoch_moments(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -36,26 +37,33 @@ def sample_kurtosis(value: str) -> Column:
     return F.when(n > 1, pop - 3)
 
 
-def z_over_trials(df: DataFrame, keys: list[str], measure: str, trim: float = 0.0) -> Column:
-    """Standard score of a measure among all trials of the keys, with a trimmed mean and deviation if asked."""
+def z_over_trials(df: DataFrame, keys: list[str], measure: str) -> Column:
+    """Standard score of a measure among all trials of the keys."""
     w = W.partitionBy(*keys)
-    if not trim:
-        return (F.col(measure) - F.avg(measure).over(w)) / F.stddev_samp(measure).over(w)
-    lo, hi = F.percentile(measure, F.lit(trim)).over(w), F.percentile(measure, F.lit(1 - trim)).over(w)
-    inner = F.when(F.col(measure).between(lo, hi), F.col(measure))
-    return (F.col(measure) - F.avg(inner).over(w)) / F.stddev_samp(inner).over(w)
+    return (F.col(measure) - F.avg(measure).over(w)) / F.nullif(F.stddev_samp(measure).over(w), F.lit(0.0))
 
 
-def kurtosis_reject(df: DataFrame, keys: list[str], trial: str, threshold: float, value: str = "v") -> DataFrame:
+def trimmed_scores(df: DataFrame, keys: list[str], measure: str, trim: float, out: str = "z") -> DataFrame:
+    """Adds the score of a measure by the mean and deviation of its middle ranks.
+
+    Of ``n`` trials those ranked ``max(1, round(trim n))`` to ``n - round(trim n)`` count.
+    """
+    w = W.partitionBy(*keys)
+    cut = F.round(F.lit(trim) * F.col("n_"))
+    d = df.where(F.col(measure).isNotNull()).withColumns({"r_": F.row_number().over(w.orderBy(measure)), "n_": F.count("*").over(w)})
+    mid = d.where(F.col("r_").between(F.greatest(cut, F.lit(1)), F.col("n_") - cut)).groupBy(*keys).agg(F.avg(measure).alias("m_"), F.stddev_samp(measure).alias("s_"))
+    return df.join(mid, keys, "left").withColumn(out, (F.col(measure) - F.col("m_")) / F.nullif(F.col("s_"), F.lit(0.0))).drop("m_", "s_")
+
+
+def kurtosis_reject(df: DataFrame, keys: list[str], trial: str, threshold: float, value: str = "v", trim: float = 0.0) -> DataFrame:
     g = df.groupBy(*keys, trial).agg(sample_kurtosis(value).alias("kurt")).where("kurt is not null")
-    z = z_over_trials(g, keys, "kurt")
-    return g.withColumn("z", z).withColumn("reject", F.abs("z") > threshold)
+    scored = trimmed_scores(g, keys, "kurt", trim) if trim else g.withColumn("z", z_over_trials(g, keys, "kurt"))
+    return scored.withColumn("reject", F.abs("z") > threshold)
 
 
 def _bin_probability(df: DataFrame, keys: list[str], bins: int, value: str) -> DataFrame:
     """Adds ``p_``: the share of the keys' values in a value's bin."""
-    w = W.partitionBy(*keys)
-    d = df.withColumns({"lo_": F.min(value).over(w), "hi_": F.max(value).over(w)})
+    d = df.join(df.groupBy(*keys).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_")), keys)
     b = F.when(F.col("hi_") > F.col("lo_"), F.floor((F.col(value) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * (bins - 1)) + 1).otherwise(F.lit(1))
     d = d.withColumn("bin_", b)
     hist = d.groupBy(*keys, "bin_").agg(F.count("*").alias("c_"))
@@ -75,17 +83,23 @@ def entropy_reject(df: DataFrame, keys: list[str], trial: str, threshold: float,
     return g.withColumn("z", z_over_trials(g, keys, "entropy")).withColumn("reject", F.abs("z") > threshold)
 
 
+#: Fixed value: total variation of a window's samples, for each sample, below which a line never fits well.
+LEAST_VARIATION = 1000 * 1.1921e-07
+
+
 def trend_reject(df: DataFrame, keys: list[str], trial: str, length: int, step: int, max_slope: float, min_r2: float, t: str = "t", value: str = "v") -> DataFrame:
-    """Trials with a window whose line is steeper than ``max_slope`` and fits better than ``min_r2``.
+    """Trials with a window whose line is at least as steep as ``max_slope`` and fits better than ``min_r2``.
 
     ``max_slope`` is the rise over a window. Windows start ``step`` apart from t = 1
-    and must be complete.
+    and must be complete. The fit is one less the share of the variation that the
+    line leaves, which in a nearly flat window is a share of :data:`LEAST_VARIATION`.
     """
     first = F.greatest(F.lit(0), F.ceil((F.col(t) - length) / step))
     d = df.withColumn("w_", F.explode(F.sequence(first.cast("int"), F.floor((F.col(t) - 1) / step).cast("int"))))
     d = d.withColumn("x_", F.col(t) - F.col("w_") * step).where(F.col("x_").between(1, length))
-    g = d.groupBy(*keys, trial, "w_").agg(F.regr_slope(value, "x_").alias("slope"), F.coalesce(F.regr_r2(value, "x_"), F.lit(0.0)).alias("r2"), F.count("*").alias("n_"))
-    g = g.where(F.col("n_") == length).withColumn("hit", (F.abs(F.col("slope") * length) > max_slope) & (F.col("r2") > min_r2))
+    g = d.groupBy(*keys, trial, "w_").agg(F.regr_slope(value, "x_").alias("slope"), F.coalesce(F.regr_r2(value, "x_"), F.lit(0.0)).alias("r2"), (F.var_pop(value) * length).alias("sst_"), F.count("*").alias("n_"))
+    fit = 1 - F.col("sst_") * (1 - F.col("r2")) / F.greatest(F.col("sst_"), F.lit(LEAST_VARIATION * length))
+    g = g.where(F.col("n_") == length).withColumn("hit", (F.abs(F.col("slope") * length) >= max_slope) & (fit > min_r2))
     return g.groupBy(*keys, trial).agg(F.max(F.abs("slope")).alias("max_slope"), F.bool_or("hit").alias("reject"))
 
 

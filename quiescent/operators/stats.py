@@ -155,8 +155,8 @@ def anova1(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
 def anova1_repeated(df: DataFrame, subject: str, condition: str, value: str) -> DataFrame:
     """One-way analysis with repeated measures: one value for each subject and condition."""
     c = df.select(subject, condition, F.col(value).cast("double").alias("v"))
-    w = lambda *k: W.partitionBy(*k) if k else W.partitionBy(F.lit(0))
-    d = c.withColumns({"ms_": F.avg("v").over(w(subject)), "mc_": F.avg("v").over(w(condition))})
+    of = lambda k, n: c.groupBy(k).agg(F.avg("v").alias(n))
+    d = c.join(of(subject, "ms_"), subject).join(of(condition, "mc_"), condition)
     tot = c.agg(F.avg("v").alias("gm"), F.count_distinct(subject).alias("s"), F.count_distinct(condition).alias("k"))
     r = d.join(F.broadcast(tot)).agg(
         F.sum(F.pow(F.col("mc_") - F.col("gm"), 2)).alias("ssc"), F.sum(F.pow(F.col("v") - F.col("ms_") - F.col("mc_") + F.col("gm"), 2)).alias("sse"), F.first("s").alias("s"), F.first("k").alias("k")
@@ -186,6 +186,29 @@ def anova2(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     return s.select(rows.alias("r")).select("r.*")
 
 
+def anova2_repeated(df: DataFrame, subject: str, a: str, b: str, value: str) -> DataFrame:
+    """Two-way analysis with repeated measures, ``(effect, ss, df, df_error, f)``: one value for each subject and cell.
+
+    Subjects without a value in every cell are left out. Each effect has its own
+    error, its interaction with the subjects.
+    """
+    y = df.where(F.col(value).isNotNull()).select(F.col(subject).alias("s"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(value).cast("double").alias("y"))
+    size = y.agg((F.count_distinct("a") * F.count_distinct("b")).alias("cells"))
+    full = y.groupBy("s").agg(F.count("*").alias("k")).join(F.broadcast(size)).where("k = cells").select("s")
+    d = y.join(full, "s")
+    for name, keys in (("ms", ["s"]), ("ma", ["a"]), ("mb", ["b"]), ("msa", ["s", "a"]), ("msb", ["s", "b"]), ("mab", ["a", "b"])):
+        d = d.join(y.join(full, "s").groupBy(*keys).agg(F.avg("y").alias(name)), keys)
+    d = d.join(F.broadcast(y.join(full, "s").agg(F.avg("y").alias("g"))))
+    sq = lambda e: F.sum(F.pow(F.expr(e), 2))
+    t = d.agg(
+        F.count_distinct("s").alias("n"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), sq("ma - g").alias("rows"), sq("mb - g").alias("columns"), sq("mab - ma - mb + g").alias("interaction"),
+        sq("msa - ms - ma + g").alias("rows_e"), sq("msb - ms - mb + g").alias("columns_e"), sq("y - msa - msb - mab + ms + ma + mb - g").alias("interaction_e"),
+    )
+    da, db = F.col("na") - 1, F.col("nb") - 1
+    one = lambda k, dof: F.struct(F.lit(k).alias("effect"), F.col(k).alias("ss"), dof.alias("df"), (dof * (F.col("n") - 1)).alias("df_error"), ((F.col(k) / dof) / F.nullif(F.col(f"{k}_e") / (dof * (F.col("n") - 1)), F.lit(0.0))).alias("f"))
+    return t.select(F.explode(F.array(one("rows", da), one("columns", db), one("interaction", da * db))).alias("r")).select("r.*")
+
+
 def fdr(df: DataFrame, keys: list[str], p: str, q: float, dependent: bool = False, buckets: int = 4096) -> DataFrame:
     """Adds ``significant``: Benjamini-Hochberg, or with ``dependent`` Benjamini-Yekutieli.
 
@@ -213,15 +236,31 @@ def seeded_order(key: Column, seed: int | Column) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), (F.lit(seed) if isinstance(seed, int) else seed).cast("string")))
 
 
+def ranked(df: DataFrame, keys: list[str], part: Column, order: list[Column | str], out: str) -> DataFrame:
+    """Adds the place of a row among those of its keys, from 1. ``part`` must not fall where ``order`` rises; a part is sorted at a time.
+
+    What is summed up in order is a row for each part.
+    """
+    d = df.withColumn("part_", part)
+    size = d.groupBy(*keys, "part_").agg(F.count("*").alias("c_"))
+    before = F.coalesce(F.sum("c_").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(size.select(*keys, "part_", before.alias("before_")), [*keys, "part_"])
+    return d.withColumn(out, F.row_number().over(W.partitionBy(*keys, "part_").orderBy(*order)) + F.col("before_")).drop("part_", "before_")
+
+
 def permuted_labels(df: DataFrame, id_col: str, label: str, replicates: int, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Each replicate's rows with the labels dealt anew: ``(replicate, ..., label)``. Replicates are the unit of work."""
-    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    d = df.withColumn("replicate", rep)
-    own = W.partitionBy("replicate", *keys)
-    a = d.withColumn("k_", F.row_number().over(own.orderBy(id_col)))
-    b = d.withColumn("k_", F.row_number().over(own.orderBy(seeded_order(F.col(id_col), F.col("replicate") + seed * 100003))))
-    b = b.select("replicate", *keys, "k_", F.col(label).alias(f"{label}_p"))
-    return a.join(b, ["replicate", *keys, "k_"]).drop("k_", label).withColumnRenamed(f"{label}_p", label)
+    """Each replicate's rows with the labels dealt anew: ``(replicate, ..., label)``.
+
+    The k-th row by id gets the label of the k-th by a hash of id and replicate, of
+    which the first two digits part the rows, so that no replicate is sorted in one
+    task. Ids are whole numbers.
+    """
+    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    own = ["replicate", *keys]
+    by_id = ranked(df, list(keys), F.floor(F.col(id_col) / 65536), [id_col], "k_").select("*", rep)
+    mixed = df.select(*keys, id_col, F.col(label).alias("dealt_"), rep).withColumn("h_", seeded_order(F.col(id_col), F.col("replicate") + seed * 100003))
+    mixed = ranked(mixed, own, F.substring("h_", 1, 2), ["h_"], "k_").select(*own, "k_", "dealt_")
+    return by_id.join(mixed, [*own, "k_"]).drop("k_", label).withColumnRenamed("dealt_", label)
 
 
 def permutation_test(df: DataFrame, keys: tuple[str, ...], id_col: str, label: str, a: object, b: object, value: str, replicates: int, seed: int = 0, tail: str = "both") -> DataFrame:
@@ -245,9 +284,9 @@ def bootstrap_rows(df: DataFrame, keys: list[str], id_col: str, replicates: int,
 
 
 def surrogate_p(df: DataFrame, keys: list[str], observed: str, surrogate: str, tail: str = "both") -> DataFrame:
-    """p of one observed value among surrogates: ``1 - (rank - 0.5) / n``, the observed one counted in."""
+    """p of one observed value among surrogates: ``1 - (rank - 0.5) / n``, the observed one counted in and last among equals."""
     g = df.groupBy(*keys).agg(F.sum((F.col(surrogate) < F.col(observed)).cast("int")).alias("below"), F.sum((F.col(surrogate) == F.col(observed)).cast("int")).alias("equal"), F.count(surrogate).alias("m"))
-    rank, n = F.col("below") + F.col("equal") / 2 + 1, F.col("m") + 1
+    rank, n = F.col("below") + F.col("equal") + 1, F.col("m") + 1
     up = 1 - (rank - 0.5) / n
     p = {"right": up, "left": 1 - up, "both": 2 * F.least(up, 1 - up)}[tail]
     return g.select(*keys, p.alias("p"))
@@ -267,10 +306,10 @@ def strongest_surrogate(df: DataFrame, replicate: str, statistic: str) -> DataFr
 
 
 def surrogate_interval(df: DataFrame, keys: list[str], surrogate: str, alpha: float) -> DataFrame:
-    """Order statistics that leave ``alpha / 2`` of the surrogates on each side."""
+    """Order statistics that leave ``round(alpha / 2 * n)`` of the ``n`` surrogates on each side."""
     d = df.withColumns({"r_": F.row_number().over(W.partitionBy(*keys).orderBy(surrogate)), "n_": F.count("*").over(W.partitionBy(*keys))})
-    lo = F.least(F.col("n_"), F.round(F.lit(alpha / 2) * F.col("n_")) + 1)
-    hi = F.greatest(F.lit(1), F.least(F.col("n_"), F.round(F.lit(1 - alpha / 2) * F.col("n_"))))
+    out = F.round(F.lit(alpha / 2) * F.col("n_"))
+    lo, hi = F.least(F.col("n_"), out + 1), F.greatest(F.lit(1), F.col("n_") - out)
     return d.groupBy(*keys).agg(F.max(F.when(F.col("r_") == lo, F.col(surrogate))).alias("lo"), F.max(F.when(F.col("r_") == hi, F.col(surrogate))).alias("hi"))
 
 

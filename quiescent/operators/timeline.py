@@ -22,13 +22,18 @@ def place_recordings(info: DataFrame, srate: float, hours: float = 72.0, subject
     return d.select(subject, name, "start", F.least(F.col("start") + F.col(n), F.lit(most)).cast("long").alias("end"))
 
 
-def merge_segments(samples: DataFrame, segments: DataFrame, length: int, keys: list[str], fill: float | None = 0.0) -> DataFrame:
-    """``samples(seg, i, v, keys)`` laid on a timeline by ``segments(seg, start)``: later segments win, gaps are filled."""
-    t = samples.join(segments.select("seg", F.col("start").alias("s_")), "seg").withColumn("pos", F.col("s_") + F.col("i")).where(F.col("pos").between(1, length))
-    top = t.withColumn("r_", F.row_number().over(W.partitionBy(*keys, "pos").orderBy(F.desc("s_"), F.desc("seg")))).where("r_ = 1").select(*keys, "pos", "v")
+def merge_segments(samples: DataFrame, segments: DataFrame, length: int | None, keys: list[str], fill: float | None = 0.0) -> DataFrame:
+    """``samples(seg, i, v, keys)`` laid on a timeline by ``segments(seg, start)``: later segments win, gaps are filled.
+
+    Timelines are cut or filled to ``length``; without one each ends with its own last sample.
+    """
+    t = samples.join(segments.select("seg", F.col("start").alias("s_")), "seg").withColumn("pos", F.col("s_") + F.col("i"))
+    t = t.where(F.col("pos").between(1, length) if length else F.col("pos") >= 1)
+    top = t.groupBy(*keys, "pos").agg(F.max_by("v", F.struct("s_", "seg")).alias("v"))
     if fill is None:
         return top.withColumnRenamed("pos", "i")
-    grid = samples.select(*keys).distinct().withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(length)).cast("array<bigint>")))
+    ends = samples.select(*keys).distinct().withColumn("end_", F.lit(length).cast("long")) if length else top.groupBy(*keys).agg(F.max("pos").alias("end_"))
+    grid = ends.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("end_").cast("bigint"))).alias("pos"))
     return grid.join(top, [*keys, "pos"], "left").fillna(fill, ["v"]).withColumnRenamed("pos", "i")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import queries as Q
+from .recordings import SQL
 
 #: Rows of the sample view.
 E = "e AS (SELECT user_id, event_id, event_type AS channel, ts, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
@@ -51,7 +52,7 @@ SELECT user_id, trial, round(x, 6) AS {name}, round(z, 6) AS z, abs(z) > 1.5 AS
 
 
 def _knn(dist: str, k: int = 5, pairs: str | None = None, with_sql: str = "") -> str:
-    pairs = pairs or "SELECT q.id AS qid, p.id FROM p q, p WHERE q.id % 25 = 0 AND q.id <> p.id"
+    pairs = pairs or "SELECT q.id AS qid, p.id FROM p q, p WHERE q.id % 20 = 0 AND q.id <> p.id"
     return f"""WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label FROM embeddings){with_sql},
 pairs AS ({pairs}),
 d AS (SELECT qid, pairs.id, {dist} AS dist FROM pairs JOIN p a ON a.id = qid JOIN p b ON b.id = pairs.id),
@@ -76,23 +77,23 @@ def _sign(m: int, tables: int, seed: int) -> str:
 def _lsh(keys: str) -> tuple[str, str]:
     ctes = f""", h AS (SELECT id, vec, {keys} AS ks FROM p),
 hb AS (SELECT id, vec, unnest(range(len(ks))) AS tbl, unnest(ks) AS key FROM h)"""
-    return ctes, "SELECT DISTINCT q.id AS qid, b.id FROM hb q JOIN hb b USING (tbl, key) WHERE q.id % 25 = 0 AND q.id <> b.id"
+    return ctes, "SELECT DISTINCT q.id AS qid, b.id FROM hb q JOIN hb b USING (tbl, key) WHERE q.id % 20 = 0 AND q.id <> b.id"
 
 
 def _slsh() -> str:
     ctes, _ = _lsh(_axis(6, 8, 7))
     ctes += f""", big AS (SELECT tbl, key FROM hb GROUP BY tbl, key HAVING count(*) >= 0.02 * (SELECT count(*) FROM p)),
 inn AS (SELECT id, tbl, key, unnest(range(4)) AS it, unnest({_sign(3, 4, 8)}) AS ik FROM hb JOIN big USING (tbl, key))"""
-    pairs = """SELECT q.id AS qid, b.id FROM hb q JOIN hb b ON q.tbl = b.tbl AND q.key = b.key WHERE (q.tbl, q.key) NOT IN (SELECT tbl, key FROM big) AND q.id % 25 = 0 AND q.id <> b.id
-UNION SELECT q.id, b.id FROM inn q JOIN inn b USING (tbl, key, it, ik) WHERE q.id % 25 = 0 AND q.id <> b.id"""
+    pairs = """SELECT q.id AS qid, b.id FROM hb q JOIN hb b ON q.tbl = b.tbl AND q.key = b.key WHERE (q.tbl, q.key) NOT IN (SELECT tbl, key FROM big) AND q.id % 20 = 0 AND q.id <> b.id
+UNION SELECT q.id, b.id FROM inn q JOIN inn b USING (tbl, key, it, ik) WHERE q.id % 20 = 0 AND q.id <> b.id"""
     return _knn(L1, 5, pairs, ctes) + TOP
 
 
-SEG = "s AS (SELECT label, vec_id AS id, embedding[1:8]::DOUBLE[] AS x FROM embeddings WHERE vec_id < 120)"
+SEG = "s AS (SELECT label, vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)"
 XCORR = f"""WITH {SEG},
 pr AS (SELECT a.label, a.id AS a, b.id AS b, a.x AS xa, b.x AS xb FROM s a JOIN s b ON a.label = b.label AND a.id < b.id),
-lg AS (SELECT label, a, b, xa, xb, unnest(range(-7, 8)) AS lag FROM pr),
-cc AS (SELECT label, a, b, xa, xb, list_sum(list_transform(range(1, 9), lambda j: CASE WHEN j + lag BETWEEN 1 AND 8 THEN xa[j + lag] * xb[j] ELSE 0 END)) AS r FROM lg),
+lg AS (SELECT label, a, b, xa, xb, unnest(range(1 - len(xb), len(xa))) AS lag FROM pr),
+cc AS (SELECT label, a, b, xa, xb, list_sum(list_transform(range(1, len(xb) + 1), lambda j: CASE WHEN j + lag BETWEEN 1 AND len(xa) THEN xa[j + lag] * xb[j] ELSE 0 END)) AS r FROM lg),
 mx AS (SELECT label, a, b, max(r) AS r, any_value(sqrt(list_dot_product(xa, xa) * list_dot_product(xb, xb))) AS nn FROM cc GROUP BY label, a, b)
 """
 
@@ -168,8 +169,9 @@ SELECT user_id, CAST(hour AS INT) AS hour, coalesce(n, 0) AS n, CASE WHEN n > 0
 SELECT hour, event_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
     "timeline_72h": """WITH o AS (SELECT o_custkey AS sid, o_orderkey AS name, CAST(round((epoch_us(o_orderdate) - min(epoch_us(o_orderdate)) OVER (PARTITION BY o_custkey)) / 1e6 * 0.01) AS BIGINT) AS s, CAST(trunc(o_totalprice) AS BIGINT) AS n FROM orders)
 SELECT sid, name, s AS start, least(s + n, 315360) AS "end" FROM o WHERE s < 315360""",
-    "merged_timeline": f"""WITH {E}, d AS (SELECT user_id, (i - 1) // 20 * 15 + (i - 1) % 20 + 1 AS pos, (i - 1) // 20 AS seg, v FROM e WHERE i <= 60),
-g AS (SELECT DISTINCT user_id, unnest(range(1, 65)) AS i FROM e) SELECT user_id, i, coalesce((SELECT arg_max(v, seg) FROM d WHERE d.user_id = g.user_id AND d.pos = g.i), 0) AS v FROM g""",
+    "merged_timeline": f"""WITH {E}, d AS (SELECT user_id, (i - 1) // 20 * 15 + (i - 1) % 20 + 1 AS pos, (i - 1) // 20 AS seg, v FROM e),
+t AS (SELECT user_id, pos, arg_max(v, seg) AS v FROM d GROUP BY ALL), g AS (SELECT user_id, unnest(range(1, max(pos) + 1)) AS i FROM d GROUP BY user_id)
+SELECT g.user_id, g.i, coalesce(t.v, 0) AS v FROM g LEFT JOIN t ON t.user_id = g.user_id AND t.pos = g.i""",
     "segment_order": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS by_time, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS by_name FROM orders",
     "remaining_work": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "outcome_lookup": "SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
@@ -200,7 +202,7 @@ SELECT CAST(t AS INT) AS t, count(*) AS n, round(avg(v), 6) AS erp, round(stddev
     "original_latency": f"WITH {E} SELECT event_id, CAST(i + coalesce(sum(CASE WHEN v > 120 THEN floor(v) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i), 0) AS DOUBLE) AS ur_latency FROM e",
     "epoch_moments": f"""WITH {TRIALS}, c AS (SELECT user_id, trial, v, avg(v) OVER (PARTITION BY user_id, trial) AS m FROM t),
 g AS (SELECT user_id, trial, count(*) AS n, var_samp(v) AS variance, avg(pow(v - m, 2)) AS m2, avg(pow(v - m, 3)) AS m3, avg(pow(v - m, 4)) AS m4 FROM c GROUP BY ALL)
-SELECT user_id, trial, n, round(variance, 9) AS variance, round(m3 / pow(m2, 1.5), 9) AS skew, round(m4 / (m2 * m2), 9) AS kurt FROM g WHERE n > 2""",
+SELECT user_id, trial, n, round(variance, 9) + 0.0 AS variance, round(CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) END, 9) + 0.0 AS skew, round(CASE WHEN m2 > 0 THEN m4 / (m2 * m2) END, 9) + 0.0 AS kurt FROM g""",
     "population_outliers": f"""WITH {TRIALS}, g AS (SELECT user_id, trial, var_samp(v) AS x FROM t GROUP BY ALL), f AS (SELECT * FROM g WHERE x IS NOT NULL), p AS (SELECT avg(x) AS m, stddev_samp(x) AS sd FROM f WHERE x <> 0)
 SELECT user_id, trial, abs(x - m) > 2 * sd OR x < 1e-3 AS outlier FROM f, p""",
     "band_power_outliers": f"WITH {TRIALS}, g AS (SELECT user_id, trial, sum(v * v) AS x FROM t GROUP BY ALL) SELECT user_id, trial, x < 0.1 * (SELECT avg(x) FROM g) OR x > 3 * (SELECT avg(x) FROM g) AS outlier FROM g",
@@ -212,8 +214,8 @@ g AS (SELECT user_id, trial, avg(pow(v - m, 4)) / pow(var_samp(v), 2) - 3 AS x F
 z AS (SELECT *, (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) AS z FROM g WINDOW w AS (PARTITION BY user_id))
 SELECT user_id, trial, round(x, 6) AS kurt, round(z, 6) AS z, abs(z) > 1.5 AS reject FROM z""",
     "trend_reject": f"""WITH {TRIALS}, w AS (SELECT user_id, trial, k, t - k AS x, v FROM t, range(4) r(k) WHERE t - k BETWEEN 1 AND 5),
-g AS (SELECT user_id, trial, k, regr_slope(v, x) AS s, coalesce(regr_r2(v, x), 0) AS r2 FROM w GROUP BY ALL HAVING count(*) = 5)
-SELECT user_id, trial, round(max(abs(s)), 6) AS max_slope, bool_or(abs(s * 5) > 80 AND r2 > 0.5) AS reject FROM g GROUP BY ALL""",
+g AS (SELECT user_id, trial, k, regr_slope(v, x) AS s, coalesce(regr_r2(v, x), 0) AS r2, var_pop(v) * 5 AS sst FROM w GROUP BY ALL HAVING count(*) = 5)
+SELECT user_id, trial, round(max(abs(s)), 6) AS max_slope, bool_or(abs(s * 5) >= 80 AND 1 - sst * (1 - r2) / greatest(sst, 5 * 1000 * 1.1921e-07) > 0.5) AS reject FROM g GROUP BY ALL""",
     "robust_zscore": f"""WITH {E}, q AS (SELECT user_id, quantile_cont(v, 0.5) AS md, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM e GROUP BY user_id)
 SELECT event_id, round((v - md) / nullif(iqr * 0.7413, 0), 6) AS z FROM e JOIN q USING (user_id)""",
     "median_abs_deviation": f"""WITH {E}, q AS (SELECT user_id, quantile_cont(v, 0.5) AS md FROM e GROUP BY user_id)
@@ -259,7 +261,7 @@ SELECT user_id, round(w, 6) AS w, round((w - a * (a + b + 1) / 2) / nullif(sqrt(
     "fdr_bh": _fdr(0.05, False),
     "fdr_by": _fdr(0.2, True),
     "permutation_differences": f"WITH {SURR} SELECT CAST(replicate AS INT) AS replicate, round(surrogate, 6) AS surrogate, round(observed, 6) AS observed FROM su, ob",
-    "surrogate_pvalue": f"""WITH {SURR}, g AS (SELECT count(*) FILTER (surrogate < observed) + count(*) FILTER (surrogate = observed) / 2 + 1 AS r, count(*) + 1 AS n FROM su, ob)
+    "surrogate_pvalue": f"""WITH {SURR}, g AS (SELECT count(*) FILTER (surrogate <= observed) + 1 AS r, count(*) + 1 AS n FROM su, ob)
 SELECT round(2 * least(1 - (r - 0.5) / n, (r - 0.5) / n), 6) AS p FROM g""",
     "surrogate_ci": f"WITH {SURR}, l AS (SELECT list_sort(list(surrogate)) AS l FROM su) SELECT round(l[3], 6) AS lo, round(l[18], 6) AS hi FROM l",
     "deterministic_split": """WITH u AS (SELECT c_custkey, CAST('0x' || substr(md5(c_custkey || '|0'), 1, 8) AS BIGINT) / 4294967296 AS u FROM customer)
@@ -269,8 +271,8 @@ r AS (SELECT doc_id, toxic FROM o WHERE doc_id NOT IN (SELECT doc_id FROM p) ORD
     "evoked_by_channel": f"WITH {TRIALS} SELECT channel, t, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, count(v) AS n FROM t GROUP BY ALL",
     "grand_average": f"WITH {TRIALS}, o AS (SELECT user_id, t, avg(v) AS m FROM t GROUP BY ALL) SELECT t, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, count(*) AS n FROM o GROUP BY t",
     "condition_comparison": f"""WITH {TRIALS}, o AS (SELECT user_id, t, avg(v) FILTER (channel = 'click') AS a, avg(v) FILTER (channel = 'view') AS b FROM t WHERE channel IN ('click', 'view') GROUP BY ALL)
-SELECT t, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS difference, round(stddev_samp(a - b), 6) AS sd, round(avg(a - b) / nullif(stddev_samp(a - b), 0) * sqrt(count(a - b)), 6) AS t_stat, count(a - b) AS n FROM o GROUP BY t""",
-    "block_average": f"WITH {E}, d AS (SELECT user_id, (i - 1) // 8 + 1 AS ep, (i - 1) % 8 + 1 AS t, v FROM e) SELECT user_id, t, round(sum(ep * 0.5 * v) / sum(ep * 0.5), 6) AS v FROM d WHERE ep BETWEEN 1 AND 5 GROUP BY ALL",
+SELECT t, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg(a - b), 9) AS difference, round(stddev_samp(a - b), 9) AS sd, round(avg(a - b) / nullif(stddev_samp(a - b), 0) * sqrt(count(a - b)), 9) AS t_stat, count(a - b) AS n FROM o GROUP BY t""",
+    "block_average": f"WITH {E}, d AS (SELECT user_id, (i - 1) // 8 + 1 AS ep, (i - 1) % 8 + 1 AS t, v FROM e) SELECT user_id, t, round(sum(ep * 0.5 * v) / sum(ep * 0.5), 6) AS v FROM d GROUP BY ALL",
     "event_correlation": f"WITH {TRIALS}, p AS (SELECT *, max(v) OVER (PARTITION BY user_id, trial) AS peak FROM t) SELECT channel, t, round(corr(peak, v), 6) AS r, count(*) AS n FROM p GROUP BY ALL",
     "components_by_variance": f"WITH {E}, g AS (SELECT user_id, channel, var_samp(v) AS x FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x DESC NULLS LAST, channel) AS k FROM g) SELECT user_id, channel, round(x, 6) AS variance, CAST(k AS INT) AS rank FROM r WHERE x IS NOT NULL",
     "slowest_worker": f"WITH {E}, g AS (SELECT user_id, max(v) AS t, count(DISTINCT channel) AS w FROM e GROUP BY user_id) SELECT round(quantile_cont(t, 0.5), 6) AS median, max(w) AS workers, count(*) AS n FROM g",
@@ -291,12 +293,12 @@ SELECT tp, tn, fp, fn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, CA
     "pair_similarity_raw": XCORR + "SELECT label, a, b, round(r, 6) AS sim FROM mx",
     "pair_similarity_coeff": XCORR + "SELECT label, a, b, round(r / nn, 6) AS sim FROM mx",
     "normalized_segments": f"""WITH {SEG}, f AS (SELECT id, x, list_avg(x) AS m, list_stddev_samp(x) AS sd FROM s)
-SELECT id AS burst_id, j AS pos, round((x[j + 1] - m) / sd, 6) AS x FROM f, range(5) t(j)""",
+SELECT id AS burst_id, j AS pos, round((x[j + 1] - m) / sd, 6) AS x FROM f, range(64) t(j)""",
     "pair_vector_order": XCORR + "SELECT label, a, b, row_number() OVER (PARTITION BY label ORDER BY b, a) AS pos FROM mx",
     "nearest_episode_to_target": f"""WITH {SPANS}, d AS (SELECT *, (o_orderkey * 37) % 2000 AS np, CAST(CASE WHEN 9500 BETWEEN a AND b THEN 0 WHEN b < 9500 THEN b - 9500 ELSE a - 9500 END AS DOUBLE) AS distance FROM sp),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN np >= 1225 THEN 0 WHEN np >= 190 THEN 1 ELSE 2 END, abs(distance), o_orderkey) AS r FROM d)
 SELECT o_custkey, o_orderkey, distance, CASE WHEN distance < 0 THEN 'before' WHEN distance > 0 THEN 'after' ELSE 'inside' END AS side FROM r WHERE r = 1""",
-    "padded_segments": f"WITH {SEG} SELECT id AS burst_id, j AS pos, round(coalesce(CASE WHEN 2 * j + 1 <= 8 THEN x[2 * j + 1] END, 0), 6) AS x FROM s, range(5) t(j)",
+    "padded_segments": f"WITH {SEG} SELECT id AS burst_id, j AS pos, round(coalesce(CASE WHEN 2 * j + 1 <= len(x) THEN x[2 * j + 1] END, 0), 6) AS x FROM s, range(40) t(j)",
     "roi_wide": """WITH j AS (SELECT c_mktsegment, r_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT c_mktsegment, round(avg(c_acctbal) FILTER (r_name = 'AMERICA'), 6) AS america, round(avg(c_acctbal) FILTER (r_name = 'ASIA'), 6) AS asia, round(avg(c_acctbal) FILTER (r_name = 'EUROPE'), 6) AS europe, round(avg(c_acctbal) FILTER (r_name = 'MIDDLE EAST'), 6) AS middle_east FROM j WHERE r_name <> 'AFRICA' GROUP BY 1""",
     "colour_limits": f"WITH {CHAN}, l AS (SELECT channel, quantile_cont(v, 0.1) AS lo, max(v) AS hi FROM c GROUP BY channel) SELECT channel, user_id, round(v, 6) AS power, round(lo, 6) AS c_lo, round(hi, 6) AS c_hi FROM c JOIN l USING (channel)",
@@ -309,3 +311,4 @@ x AS (SELECT 'both' AS op, user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM
 o AS (SELECT unnest(['both', 'either', 'first_only']) AS op)
 SELECT op, count(user_id) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM o LEFT JOIN x USING (op) GROUP BY op""",
 }
+ORACLES |= SQL

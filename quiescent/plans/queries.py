@@ -206,10 +206,10 @@ def timeline_72h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merged_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir).where("i <= 60").withColumn("seg", F.floor((F.col("i") - 1) / 20).cast("int"))
-    seg = spark.range(3).select(F.col("id").cast("int").alias("seg"), (F.col("id") * 15).alias("start"))
+    s = samples(spark, sf_dir).withColumn("seg", F.floor((F.col("i") - 1) / 20).cast("int"))
     d = s.select("user_id", "seg", ((F.col("i") - 1) % 20 + 1).alias("i"), "v")
-    return timeline.merge_segments(d, seg, 64, ["user_id"]).select("user_id", "i", "v")
+    seg = d.select("seg").distinct().withColumn("start", F.col("seg").cast("long") * 15)
+    return timeline.merge_segments(d, seg, None, ["user_id"]).select("user_id", "i", "v")
 
 
 @query
@@ -343,8 +343,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def epoch_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = reject.epoch_moments(trials(spark, sf_dir), ["user_id", "trial"]).where("n > 2")
-    return m.select("user_id", "trial", "n", *[F.round(c, 9).alias(c) for c in ("variance", "skew", "kurt")])
+    m = reject.epoch_moments(trials(spark, sf_dir), ["user_id", "trial"])
+    return m.select("user_id", "trial", "n", *[(F.round(c, 9) + 0.0).alias(c) for c in ("variance", "skew", "kurt")])
 
 
 @query
@@ -600,13 +600,14 @@ def grand_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def condition_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = averages.compare_conditions(trials(spark, sf_dir), "user_id", "channel", "click", "view", ["t"])
-    return d.select("t", r6("mean_a"), r6("mean_b"), r6("difference"), r6("sd"), r6("t_stat"), "n")
+    return d.select("t", *[F.round(c, 9).alias(c) for c in ("mean_a", "mean_b", "difference", "sd", "t_stat")], "n")
 
 
 @query
 def block_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spark.range(1, 6).select(F.col("id").alias("epoch"), (F.col("id") * 0.5).alias("w"))
-    return averages.block_average(samples(spark, sf_dir), ["user_id"], 8, w).select("user_id", "t", r6("v"))
+    s = samples(spark, sf_dir)
+    w = s.select((F.floor((F.col("i") - 1) / 8) + 1).alias("epoch")).distinct().withColumn("w", F.col("epoch") * 0.5)
+    return averages.block_average(s, ["user_id"], 8, w).select("user_id", "t", r6("v"))
 
 
 @query
@@ -638,7 +639,7 @@ SIGN = knn.SignHash(DIM)
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     p = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), (F.col("label") < 5).cast("int").alias("label"))
-    return p, p.where("id % 25 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return p, p.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
 
 
 @query
@@ -712,11 +713,6 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 120")
-    return e.select("label", F.col("vec_id").alias("burst_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("burst_data"))
-
-
-def whole_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("label", F.col("vec_id").alias("burst_id"), F.col("embedding").cast("array<double>").alias("burst_data"))
 
@@ -733,13 +729,13 @@ def pair_similarity_coeff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = similarity.prepare(segments(spark, sf_dir), 4, 100, 5)
+    s = similarity.prepare(segments(spark, sf_dir), 4, 100)
     return s.select("burst_id", F.posexplode("burst_data").alias("pos", "x")).select("burst_id", F.col("pos").cast("long").alias("pos"), r6("x"))
 
 
 @query
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.pair_similarity(whole_segments(spark, sf_dir), ["label"], "dtw", window=3).select("label", "a", "b", r6("sim"))
+    return similarity.pair_similarity(segments(spark, sf_dir), ["label"], "dtw", window=3).select("label", "a", "b", r6("sim"))
 
 
 @query
@@ -757,7 +753,7 @@ def nearest_episode_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def padded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).select("burst_id", similarity.pad(F.col("burst_data"), 5, 2).alias("x"))
+    s = segments(spark, sf_dir).select("burst_id", similarity.pad(F.col("burst_data"), 40, 2).alias("x"))
     return s.select("burst_id", F.posexplode("x").alias("pos", "x")).select("burst_id", F.col("pos").cast("long").alias("pos"), r6("x"))
 
 
@@ -854,3 +850,5 @@ def champagne_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois = spark.createDataFrame([(1, "Other"), (2, "left"), (3, "right")], "tissue_code int, roi string")
     return sourcespace.region_mean(est, vox, rois, ["user_id"])
 
+
+from . import recordings  # noqa: E402, F401  registers its queries too

@@ -418,3 +418,73 @@ def test_warping_takes_all_vectors_whole(spark, tmp_path):
 
     want = {(g, a, b): dtw(x, y) for a, x, g in rows for b, y, h in rows if a < b and g == h}
     assert {(r.label, r.a, r.b): r.sim for r in QUERIES["dtw_pairs"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize(("n", "alpha", "want"), [(10, 0.1, (2, 9)), (20, 0.2, (3, 18)), (10, 0.4, (3, 8)), (1, 0.05, (1, 1))])
+def test_surrogate_interval_leaves_as_many_on_each_side(spark, n, alpha, want):
+    df = spark.range(1, n + 1).select(F.col("id").cast("double").alias("s"), F.lit(1).alias("g"))
+    r = stats.surrogate_interval(df, ["g"], "s", alpha).first()
+    assert (r.lo, r.hi) == want
+
+
+def test_observed_value_is_last_among_equal_surrogates(spark):
+    df = spark.createDataFrame([(x, 5.0) for x in (1.0, 5.0, 5.0, 5.0, 9.0)], "s double, o double")
+    assert abs(stats.surrogate_p(df, ["o"], "o", "s", "right").first().p - 0.25) < 1e-12
+
+
+def test_flat_windows_and_exact_slopes_in_trends(spark):
+    # what a line leaves of a nearly flat window is little against the least variation, however ill it fits
+    rows = [(1, t, 1e-6 * (t % 2)) for t in range(1, 6)] + [(2, t, 10.0 * t) for t in range(1, 6)] + [(3, t, 9.9 * t) for t in range(1, 6)]
+    df = spark.createDataFrame([(0, *r) for r in rows], "k int, trial int, t int, v double")
+    got = {r.trial: r.reject for r in reject.trend_reject(df, ["k"], "trial", 5, 1, 0.0, 0.5).collect()}
+    assert got == {1: True, 2: True, 3: True}
+    assert {r.trial for r in reject.trend_reject(df, ["k"], "trial", 5, 1, 50.0, 0.5).where("reject").collect()} == {2}
+
+
+def test_series_in_blocks_equal_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(recursive, "MARGIN", 8)
+    monkeypatch.setattr(ranges, "BLOCK", 8)
+    z = {k: rng.integers(0, 2, 300) if k else np.repeat(rng.integers(0, 2, 40), rng.integers(1, 12, 40)) for k in (0, 1)}
+    df = spark.createDataFrame([(k, i + 1, int(v), int(rng.random() < 0.02)) for k, x in z.items() for i, v in enumerate(x)], "k int, i long, z int, art int")
+    art = {(r.k, r.i): r.art for r in df.collect()}
+    got = {(r.k, r.i): r.bsr for r in recursive.suppression_ratio(df, ["k"], 6, artifact="art").collect()}
+    short = {(r.k, r.i): r.z for r in recursive.relabel_short_quiet(df, ["k"], 4).collect()}
+    spans = sorted((r.k, r.start_idx, r.end_idx, r.n) for r in ranges.index_ranges(df.where("z = 1"), ["k"], tol=3).collect())
+    want = []
+    for k, x in z.items():
+        on = (np.flatnonzero(x) + 1).tolist()
+        runs = []
+        for i in on:
+            if runs and i - runs[-1][-1] <= 3:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        want += [(k, r[0], r[-1], len(r)) for r in runs]
+        for i in range(1, len(x) + 1):
+            w = x[max(0, i - 6) : i]
+            bad = any(art[k, j] for j in range(max(1, i - 5), i + 1))
+            assert got[k, i] is None if bad else abs(got[k, i] - (1 - w.mean())) < 1e-12
+            a = b = i
+            while a > 1 and x[a - 2] == 0:
+                a -= 1
+            while b < len(x) and x[b] == 0:
+                b += 1
+            assert short[k, i] == (1 if x[i - 1] or b - a + 1 < 4 else 0)
+    assert spans == sorted(want) and len(got) == len(short) == sum(map(len, z.values()))
+
+
+def test_slow_means_over_many_blocks(spark):
+    x = np.random.default_rng(5).standard_normal(4000) * 10
+    df = spark.createDataFrame([(1, i + 1, float(v)) for i, v in enumerate(x)], "g int, i long, v double")
+    got = recursive.ema_variance(df, ["g"], beta=0.999).orderBy("i").toPandas()
+    assert np.allclose(got[["mu", "var"]].to_numpy(), np.c_[recursive.ema_variance_kernel(x, 0.999)], rtol=1e-9, atol=1e-9)
+
+
+def test_permuted_labels_are_dealt_whole(spark):
+    df = spark.range(200_000, 200_400).select(F.col("id"), (F.col("id") % 3).alias("x"), (F.col("id") % 2).alias("g"))
+    out = stats.permuted_labels(df, "id", "x", 3, keys=("g",)).toPandas()
+    for _, r in out.groupby(["replicate", "g"]):
+        assert len(r) == 200 and r.id.nunique() == 200
+        assert sorted(r.x) == sorted((i % 3) for i in r.id)
+    assert out[out.replicate == 1].sort_values("id").x.tolist() != out[out.replicate == 2].sort_values("id").x.tolist()
