@@ -81,9 +81,11 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l1",
         pairs = points.join(F.broadcast(queries), F.col("id") != F.col("qid"))
     else:
         blocks = slices or max(2, n // 5_000)
-        q = queries.withColumn("b_", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-        p = points.withColumn("b_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = p.join(q, "b_").where("id <> qid").drop("b_")
+        # a block of queries meets the points in parts, as many as there are tasks for it
+        parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        q = queries.withColumns({"b_": F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"), "p_": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+        p = points.withColumns({"p_": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"), "b_": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        pairs = p.join(q, ["b_", "p_"]).where("id <> qid").drop("b_", "p_")
     d = pairs.select("qid", "id", DISTANCES[metric](F.col("vec"), F.col("qvec")).alias("dist"))
     return top_k(d, k).select("qid", "rank", "id", "dist")
 

@@ -7,6 +7,7 @@ chunk and not as a recording.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -38,22 +39,38 @@ def apply_chunks(df: DataFrame, keys: list[str], fn: Callable[[np.ndarray], np.n
         pdf = pdf.sort_values(idx)
         k = int(pdf["chunk_"].iloc[0])
         out = pdf.assign(**{value: fn(pdf[value].to_numpy(float))})
-        own = (out[idx] > k * chunk) & (out[idx] <= (k + 1) * chunk)
+        own = (out[idx] > k * chunk) & (out[idx] <= (k + 1) * chunk)  # none where a series ends in the halo
         return out[own].drop(columns="chunk_")
 
     return d.groupBy(*keys, "chunk_").applyInPandas(run, df.schema)
 
 
-def resample(df: DataFrame, keys: list[str], up: int, down: int, idx: str = "i", value: str = "v") -> DataFrame:
-    """``(keys, i, v)`` at ``up / down`` times the rate."""
+def resample(df: DataFrame, keys: list[str], up: int, down: int, idx: str = "i", value: str = "v", chunk: int = 1 << 18) -> DataFrame:
+    """``(keys, i, v)`` at ``up / down`` times the rate.
+
+    ``idx`` counts each series from 1 without gaps. Long series are resampled in
+    chunks that see as much of their neighbours as the filter reaches.
+    """
+    g = math.gcd(up, down)
+    up, down = up // g, down // g
+    size = -(-chunk // down) * down
+    halo = (-(-12 * max(up, down) // (up * down)) + 1) * down
+    first = F.greatest(F.lit(0), F.floor((F.col(idx) - 1 - halo) / size))
+    last = F.floor((F.col(idx) - 1 + halo) / size)
+    d = df.select(*keys, idx, value).withColumn("chunk_", F.explode(F.sequence(first, last)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
+        k, start = int(pdf["chunk_"].iloc[0]), int(pdf[idx].iloc[0]) - 1
         y = K.resample(pdf[value].to_numpy(float), up, down)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, idx: np.arange(1, len(y) + 1), value: y})
+        at = start * up // down + np.arange(len(y))
+        own = (at >= k * size * up // down) & (at < (k + 1) * size * up // down)
+        if int(pdf[idx].iloc[-1]) <= k * size:  # the halo of a chunk that the series does not reach
+            own[:] = False
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, idx: at[own] + 1, value: y[own]})
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{idx}` long", f"`{value}` double"]))
+    return d.groupBy(*keys, "chunk_").applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{idx}` long", f"`{value}` double"]))
 
 
 def decimate(df: DataFrame, by: int, idx: str = "i") -> DataFrame:
@@ -68,8 +85,13 @@ def crop(df: DataFrame, keys: list[str], srate: float, max_hours: float, epoch_l
     return df.withColumn("most_", F.floor(most / epoch_len) * epoch_len).where(F.col(idx) <= F.col("most_")).drop("most_")
 
 
-def clean_filters(df: DataFrame, keys: list[str], srate: float, highpass: tuple[float, int] | None = (0.5, 4), notch: tuple[float, float, int] | None = (55, 65, 6), lowpass: tuple[float, int] | None = (50, 4), **kw: str) -> DataFrame:
-    """Zero-phase high-pass, band-stop and low-pass in turn."""
+def clean_filters(df: DataFrame, keys: list[str], srate: float, highpass: tuple[float, int] | None = (0.5, 4), notch: tuple[float, float, int] | None = (55, 65, 6), lowpass: tuple[float, int] | None = (50, 4), chunk_seconds: float = 600.0, halo_seconds: float = 60.0, **kw: str) -> DataFrame:
+    """Zero-phase high-pass, band-stop and low-pass in turn.
+
+    Long series are filtered in chunks that see ``halo_seconds`` of their neighbours:
+    by then what a chunk's cut ends do to a 0.5 Hz high-pass has faded to under a
+    millionth. A series of one chunk is filtered whole.
+    """
     banks = []
     if highpass:
         banks.append(K.butterworth(highpass[1], highpass[0], srate, "high"))
@@ -83,7 +105,7 @@ def clean_filters(df: DataFrame, keys: list[str], srate: float, highpass: tuple[
             x = K.zero_phase(b, x)
         return x
 
-    return apply_series(df, keys, fn, **kw)
+    return apply_chunks(df, keys, fn, int(chunk_seconds * srate), int(halo_seconds * srate), **kw)
 
 
 def fir_by_segment(df: DataFrame, keys: list[str], coef: np.ndarray, boundaries: DataFrame | None = None, idx: str = "i", value: str = "v") -> DataFrame:

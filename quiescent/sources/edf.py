@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -113,8 +114,9 @@ def _batch(rec: str, h: Header, raw: bytes, first: int, wanted: list[int]) -> It
 def _wanted(h: Header, signals: str | None) -> list[int]:
     if not signals:
         return list(range(len(h.signals)))
-    names = {s.strip().lower() for s in signals.split(",")}
-    return [i for i, s in enumerate(h.signals) if s["label"].lower() in names or str(i) in names]
+    bare = lambda s: re.sub(r"\W", "", s).lower()
+    names = {bare(s) for s in signals.split(",")}
+    return [i for i, s in enumerate(h.signals) if bare(s["label"]) in names or str(i) in names]
 
 
 def rec_name(path: str) -> str:
@@ -163,7 +165,7 @@ def _head(s: object) -> bytes:
 class EdfSource(DataSource):
     """``spark.read.format("edf").option("signals", "Fp1,F3").load(path)``.
 
-    Options: ``signals`` (labels or numbers), ``recordsPerTask``, and ``records`` =
+    Options: ``signals`` (labels, of which only word characters count, or numbers), ``recordsPerTask``, and ``records`` =
     ``header`` to believe the header's count of records.
     """
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiescent import schema
-from quiescent.functions import names
-from quiescent.operators import detect, events, knn, montage, prep, ranges, recursive, reject, similarity, sourcespace, stats, timeline
+from quiescent.functions import kernels, names
+from quiescent.operators import detect, events, knn, montage, prep, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
 from quiescent.params import DetectParams, LshParams, NoisyChannelParams
 from quiescent.sources import synthetic
 
@@ -488,3 +488,26 @@ def test_permuted_labels_are_dealt_whole(spark):
         assert len(r) == 200 and r.id.nunique() == 200
         assert sorted(r.x) == sorted((i % 3) for i in r.id)
     assert out[out.replicate == 1].sort_values("id").x.tolist() != out[out.replicate == 2].sort_values("id").x.tolist()
+
+
+def test_chunks_equal_whole_series(spark):
+    rng = np.random.default_rng(6)
+    x = {"a": rng.standard_normal(5000), "b": rng.standard_normal(2049)}
+    df = spark.createDataFrame([(k, i + 1, float(v)) for k, xs in x.items() for i, v in enumerate(xs)], "g string, i long, v double")
+    for up, down in ((3, 2), (2, 5), (1, 4), (7, 3)):
+        got = signal.resample(df, ["g"], up, down, chunk=1000).toPandas()
+        for k, xs in x.items():
+            g = got[got.g == k].sort_values("i")
+            want = kernels.resample(xs, up, down)
+            assert g.i.tolist() == list(range(1, len(want) + 1)) and np.allclose(g.v, want, atol=1e-12)
+    whole = signal.clean_filters(df, ["g"], 20.0, (0.5, 4), (5, 6, 4), (8, 4)).toPandas().sort_values(["g", "i"])
+    parts = signal.clean_filters(df, ["g"], 20.0, (0.5, 4), (5, 6, 4), (8, 4), chunk_seconds=70.0, halo_seconds=60.0).toPandas().sort_values(["g", "i"])
+    assert len(parts) == len(whole) and np.abs(parts.v.to_numpy() - whole.v.to_numpy()).max() < 1e-6
+
+
+def test_many_queries_meet_all_points(spark):
+    rng = np.random.default_rng(7)
+    p = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(120)], "id long, vec array<double>")
+    q = p.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    want = sorted(map(tuple, knn.exact_knn(p, q, 3).collect()))
+    assert sorted(map(tuple, knn.exact_knn(p, q, 3, slices=2, n_queries=20_000).collect())) == want and len(want) == 18
