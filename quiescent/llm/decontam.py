@@ -1,6 +1,6 @@
 """Benchmark decontamination by a positional inverted index.
 
-The index holds a posting ``(term, row, pos)`` for each document token that is a
+The index is made for the terms of the given benchmark and not kept. It holds a posting ``(term, row, pos)`` for each document token that is a
 benchmark term; ``row`` numbers the documents, so that rows without an id or with
 the same one stay apart. A benchmark window is looked up from its three rarest terms: their
 lists, each shifted by the term's offset in the item, are intersected on
@@ -85,9 +85,11 @@ def named(postings: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def proximity(postings: DataFrame, tokens: DataFrame, n_tokens: int, slop: int) -> DataFrame:
-    """``(item_id, doc_id, start, stop)``: places where all terms of an item stand within ``slop`` more positions than it has words.
+    """``(item_id, doc_id, start, stop)``: places where all distinct terms of an item stand within ``slop`` more positions than it has words.
 
-    The rarest term's list is walked; each of its positions is joined with the
+    A term that an item repeats is looked for once, so that ``a b a`` is near where
+    ``a b`` is within its span; ``start`` is a term's place and ``stop`` stands
+    behind the first place by which all have been seen. The rarest term's list is walked; each of its positions is joined with the
     lists of the other terms in the same document, bounded by position buckets.
     """
     df = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))

@@ -211,6 +211,26 @@ def test_proximity(spark):
     assert got == {1, 3}
 
 
+@pytest.mark.parametrize("slop", [0, 1, 4])
+def test_proximity_equals_brute_force(spark, slop):
+    rnd = random.Random(slop)
+    rows = [(i, " ".join(rnd.choice("abcdx") for _ in range(rnd.randint(0, 14)))) for i in range(40)] + [(40, None), (None, "a b a b")]
+    items = [(1, "a b a"), (2, "c d"), (3, "a a a"), (4, "b x c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tok = decontam.item_tokens(spark.createDataFrame(items, "item_id long, text string"))
+    post = decontam.build_index(docs, tok.select("term").distinct(), 5)
+    got = {(r.item_id, r.doc_id, r.start, r.stop) for r in decontam.proximity(post, tok, 12, slop).collect()}
+    want = set()
+    for item, t in items:
+        terms, span = set(t.split()), len(t.split()) + slop
+        for d, text in rows:
+            w = (text or "").split()
+            for s in range(len(w)):
+                if w[s] in terms and terms <= set(w[s : s + span]):
+                    want.add((item, d, s, s + 1 + max(w[s : s + span].index(x) for x in terms)))
+    assert got == want
+
+
 # ---------------------------------------------------------------- 3
 
 
