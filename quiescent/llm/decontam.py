@@ -49,18 +49,32 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "
     return materialize(out.select("term", "row", "pos", F.when(last, F.col("id_")).alias("doc_id"), F.when(last, F.col("print_")).alias("print")), "postings")
 
 
+def distinct_windows(tokens: DataFrame, window: int) -> DataFrame:
+    """``(item, w, rep_item, rep_w)``: each window of each item, which starts at ``w``, and the first one of the same words."""
+    item = tokens.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("off", "term"))).alias("t"))
+    w = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - window))).alias("w")
+    own = item.select("item", "t", w).select("item", "w", F.array_join(F.slice("t.term", F.col("w") + 1, window), " ").alias("words"))
+    own = own.select("item", "w", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
+    rep = own.groupBy("h1", "h2").agg(F.min(F.struct("item", "w")).alias("rep"))
+    return materialize(own.join(rep, ["h1", "h2"]).select("item", "w", F.col("rep.item").alias("rep_item"), F.col("rep.w").alias("rep_w")), "windows")
+
+
 def diagonals(postings: DataFrame, tokens: DataFrame, n_tokens: int, window: int) -> DataFrame:
-    """``(item, row, diag)`` on which a window's rarest terms all stand at their offsets."""
+    """``(item, row, diag)`` on which a window's rarest terms all stand at their offsets. A window that several items have is looked up once."""
+    windows = distinct_windows(tokens, window)
     df = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     known = tokens.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     lag = F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - window + 1), F.least(F.col("off"), F.greatest(F.col("n") - window, F.lit(0)))))
     by_window = known.select("item", "term", "off", "n", "df", lag.alias("w"))
+    by_window = by_window.join(windows.where("item = rep_item and w = rep_w").select("item", "w"), ["item", "w"], "left_semi")
     rare = W.partitionBy("item", "w").orderBy("df", "off")
     by_window = by_window.withColumns({"rank": F.row_number().over(rare), "least": F.min("df").over(W.partitionBy("item", "w"))})
     anchors = by_window.where(f"rank <= {ANCHORS} and least > 0").select("item", "w", "term", "off", F.least(F.col("n"), F.lit(ANCHORS)).alias("need"))
     hits = postings.select("term", "row", "pos").join(broadcast_if_small(anchors, n_tokens * ANCHORS), "term").withColumn("diag", F.col("pos") - F.col("off"))
     both = hits.groupBy("item", "w", "row", "diag").agg(F.count("*").alias("got"), F.first("need").alias("need")).where("got >= need")
-    return both.select("item", "row", "diag").distinct()
+    found = both.select(F.col("item").alias("rep_item"), F.col("w").alias("rep_w"), "row", (F.col("diag") + F.col("w")).alias("start"))
+    every = found.join(broadcast_if_small(windows, n_tokens), ["rep_item", "rep_w"])
+    return every.select("item", "row", (F.col("start") - F.col("w")).alias("diag")).distinct()
 
 
 def occurrences(postings: DataFrame, tokens: DataFrame, n_tokens: int, window: int = 10) -> DataFrame:

@@ -182,6 +182,7 @@ def plain_hits(rows, items, window=10):
 def test_decontamination(spark, odd, empty):
     rnd = random.Random(3)
     items = [(i, prose(rnd, n)) for i, n in enumerate((30, 12, 10, 5, 1, 25))] + [(6, None), (7, "..."), (8, "été"), (10, "Aa aa aa aa aa aa aa aa aa aa aa aa")]
+    items += [(20 + k, f"own{k} " + items[0][1] + f" end{k}") for k in range(4)]  # a passage that several items have
     rows = []
     for i in range(60):
         t = prose(rnd, rnd.randint(0, 80)).split()
