@@ -508,16 +508,22 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """
     prints, links = near_links(docs, width, similarity, 8)
     rows = prints.groupBy("doc_id", "t1", "t2", "node").agg(F.count("*").alias("n"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "n")
-    first = _rooted(rows, _roots(links)).groupBy("root").agg(F.min(place).alias("f"))
-    first = materialize(first.select(F.col("f.doc_id").alias("id_"), F.col("f.t1").alias("p1_"), F.col("f.t2").alias("p2_"), F.col("f.n").alias("n_")), "kept")
+    rows = materialize(_rooted(rows, _roots(links)).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "n").alias("place")), "rows")
+    first = materialize(rows.groupBy("root").agg(F.min("place").alias("f")), "kept")
+    key = lambda c: [F.col(f"{c}.doc_id").alias("id_"), F.col(f"{c}.t1").alias("p1_"), F.col(f"{c}.t2").alias("p2_")]
     d = docs.alias("d")
     here = F.col("d.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("d.text") == F.col("p1_")) & (F.xxhash64(F.lit(1), "d.text") == F.col("p2_"))
-    out = d.join(broadcast_if_small(one := first.where("n_ = 1"), one.count()), here, "left_semi")
-    more = first.where("n_ > 1")
-    if not (n := more.count()):
+    more = first.where("f.n > 1").select(*key("f"))
+    n_more, n_first, n_rows = more.count(), first.count(), rows.count()
+    # rows that stay are looked up, or those that go, whichever are fewer
+    if n_rows - n_first < n_first:
+        gone = rows.join(first, "root").where("place <> f").select(*key("place")).union(more)
+        out = d.join(broadcast_if_small(gone, n_rows - n_first + n_more), here, "left_anti")
+    else:
+        out = d.join(broadcast_if_small(first.where("f.n = 1").select(*key("f")), n_first - n_more), here, "left_semi")
+    if not n_more:
         return out
-    again = d.join(broadcast_if_small(more, n), here).dropDuplicates(["id_", "p1_", "p2_"])
+    again = d.join(broadcast_if_small(more, n_more), here).dropDuplicates(["id_", "p1_", "p2_"])
     return out.unionByName(again.select(*[F.col(f"d.`{c}`") for c in docs.columns]))
 
 
