@@ -379,6 +379,13 @@ def test_toxicity(spark, odd, empty):
     assert base[0] == 0 and base[1] > 0
 
 
+def test_toxicity_learns_from_texts_without_words():
+    texts = ["you scumbag", "a fine day", "", "!?", None, "scumbag", "day"] * 6
+    model = toxicity.fit([(t, t is not None and "scumbag" in t) for t in texts], None)
+    assert all(0 <= model.score(t, toxicity.WordCache()) <= 1 for t in ("", None, "!?"))
+    assert model.score("you scumbag", toxicity.WordCache()) > model.score("a fine day", toxicity.WordCache())
+
+
 def plain_toxicity(model, text):
     """The network position by position and gram by gram."""
     emb = []
