@@ -41,6 +41,26 @@ SELECT doc_id, size, source_size, target, CAST((copies + CASE WHEN h < b.cut OR
 FROM e LEFT JOIN b ON b.source IS NOT DISTINCT FROM e.source
 """
 
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, row_number() OVER () AS pid, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT lang, pid, unnest(w) AS a1, generate_subscripts(w, 1) AS i FROM p),
+t AS (SELECT lang, a1, lead(a1) OVER o AS a2, lead(a1, 2) OVER o AS a3 FROM s WINDOW o AS (PARTITION BY pid ORDER BY i)),
+c1 AS (SELECT lang, a1, count(*) AS a FROM t GROUP BY ALL),
+c2 AS (SELECT lang, a1, a2, count(*) AS a FROM t WHERE a2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT lang, a1, a2, a3, count(*) AS a FROM t WHERE a3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cut AS (SELECT x.lang, x.a1, x.a2, NULL AS a3, x.a, 1 AS k, l.a AS l, r.a AS r FROM c2 x JOIN c1 l ON l.lang = x.lang AND l.a1 = x.a1 JOIN c1 r ON r.lang = x.lang AND r.a1 = x.a2 WHERE x.a >= 10
+  UNION ALL SELECT x.lang, x.a1, x.a2, x.a3, x.a, 1, l.a, r.a FROM c3 x JOIN c1 l ON l.lang = x.lang AND l.a1 = x.a1 JOIN c2 r ON r.lang = x.lang AND r.a1 = x.a2 AND r.a2 = x.a3
+  UNION ALL SELECT x.lang, x.a1, x.a2, x.a3, x.a, 2, l.a, r.a FROM c3 x JOIN c2 l ON l.lang = x.lang AND l.a1 = x.a1 AND l.a2 = x.a2 JOIN c1 r ON r.lang = x.lang AND r.a1 = x.a3),
+scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cut),
+least_ AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, a1, a2, a3 ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a1, a2, a FROM c3 UNION ALL SELECT lang, a2, a3, a FROM c3),
+longer AS (SELECT lang, a1, a2, max(a) AS b FROM inner_ GROUP BY lang, a1, a2),
+kept AS (SELECT x.*, concat_ws(' ', x.a1, x.a2, x.a3) AS phrase FROM least_ x LEFT JOIN longer y ON x.a3 IS NULL AND x.lang = y.lang AND x.a1 = y.a1 AND x.a2 = y.a2 WHERE b IS NULL OR 100 * b < 50 * x.a),
+size AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM c1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN size USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def _grams(host: str, path: str) -> list[int]:
     out = []
@@ -124,4 +144,4 @@ SELECT file, root_a, root_b, coalesce(status, 'intact') AS status, offset_ AS of
 """
 
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op3_fixity": _op3(), "op9_urlfilter": _op9(), "op10_mixing": OP10}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op3_fixity": _op3(), "op9_urlfilter": _op9(), "op10_mixing": OP10, "op13_collocations": OP13}

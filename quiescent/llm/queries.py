@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, fixity, langid, linededup, mixing, simhash, tokencount, toxicity, urlfilter
+from . import alignment, ann, collocations, decontam, fixity, langid, linededup, mixing, simhash, tokencount, tokenfile, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -65,4 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokencount": op8_tokencount,
     "op9_urlfilter": op9_urlfilter,
     "op10_mixing": op10_mixing,
+    "op11_tokenfile": op11_tokenfile,
+    "op12_alignment": op12_alignment,
+    "op13_collocations": op13_collocations,
 }

@@ -25,13 +25,23 @@ def scratch_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name below :func:`scratch_dir`."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it; what is not discarded before is deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
     return out
