@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +146,12 @@ class Aligner:
         return [list(map(self.place.__getitem__, p)) for p in parts]
 
 
+@cache
+def aligner_of(path_a: str, path_b: str) -> Aligner:
+    """One aligner for all tasks of a worker."""
+    return Aligner(Pair(path_a, path_b))
+
+
 DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 BLOCK = f"block long, docs array<struct<doc_id: {{id}}, n: int, {DOC.replace(' long', ': long').replace(' string', ': string')}>>, stretches array<int>, n_links array<int>, links array<int>, keys array<long>, n array<long>"
 
@@ -155,7 +162,7 @@ def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) ->
     schema = BLOCK.format(id=dict(docs.dtypes)["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(Pair(path_a, path_b))
+        aligner = aligner_of(path_a, path_b)
         for block, (texts, ids) in zip(block_ids(), block_rows(batches, ["text", "doc_id"])):  # noqa: B905
             parts = aligner.places(texts)
             lengths = np.array([len(p) for p in parts], np.int64)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,61 +28,111 @@ MODEL_PATH = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-#: Words whose ids a worker keeps, and the longest that is kept.
-CACHE = 1_000_000
+#: Words whose ids a worker keeps, the longest that is kept, and the characters that are split at a time.
+CACHE = 500_000
 LONGEST = 64
-#: Behind a letter or digit these begin a new word of the tokenizer; an apostrophe may not.
-MARKS = ".,;:!?*$&()[]{}\"/%#+=<>|~^@"
+CHUNK = 1 << 18
+#: Stands between new words.
+MARK = "|"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true"},
     "delta": {"parquet.enable.dictionary": "true", "parquet.enable.dictionary#ids.list.element": "false", "parquet.writer.version": "PARQUET_2_0"},
 }
 
 
+class Kept(dict):
+    """Bytes by word. When full, the words used since it was last full are kept, and others as long as the next filling takes.
+
+    Words that it does not know are noted in ``missing`` and read as None.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old, self.missing = most, {}, []
+
+    def __missing__(self, word: str) -> bytes | None:
+        got = self.old.get(word)
+        if got is None:
+            self.missing.append(word)
+        else:
+            self[word] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Ids of texts, from the ids of the words between spaces, each of which the tokenizer encodes once.
 
     That holds for tokenizers that read any white space as the end of a word, as the
     default one does; it takes no white space into a token and lower-cases by character.
+    New words are encoded in one text with a mark between them that is a token of its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        split = {}
-        for w in words:
-            core, tail = w, ""
-            if "<" not in w:  # else it may hold a special token, which is taken as it is written
-                core = w.rstrip(MARKS)
-                core, tail = (core, w[len(core) :]) if core and core[-1].isalnum() and core[-1] < "\u0250" else (w, "")
-                core = core.lower() if core.isascii() else core
-            split[w] = core, tail
-        if len(self.parts) + len(words) > CACHE:
-            self.parts.clear()
-        new = [p for p in {p for pair in split.values() for p in pair} if p not in self.parts]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in split.items():
-            self.known[w] = self.parts[core] + self.parts[tail]
+        self.known = Kept(CACHE)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if MARK not in w]
+        odd = [w for w in words if MARK in w]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join([*plain, ""])], add_special_tokens=False)[0].ids, "<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+        got = dict(zip(plain, [raw[i + 4 : j] for i, j in zip([-4, *ends], ends, strict=False)], strict=True))
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            got[w] = np.array(e.ids, "<u4").tobytes()
+        return [got[w] for w in words]
+
+    def words(self, text: str) -> list[str]:
+        """Words of a text, in lower case where that is one character for one; a text that may hold a special token is taken as it is written."""
+        if "<" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        known.turn()
+        known.missing = []
+        split = [self.words(t) for t in texts]
+        rows = [list(map(known.__getitem__, words)) for words in split]
+        new = list(dict.fromkeys(known.missing))
+        if new:
+            known.update(zip(new, self._encode(new), strict=True))
+            for words, row in zip(split, rows, strict=True):
+                i = -1
+                for _ in range(row.count(None)):
+                    i = row.index(None, i + 1)
+                    row[i] = known[words[i]]
+            for w in new:
+                if len(w) > LONGEST:
+                    del known[w]
+        return [b"".join(row) for row in rows]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null and empty texts have none."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > LONGEST:
-                del self.known[w]
-                self.parts.pop(w, None)
-        return out
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= CHUNK:
+                out += self._chunk(held)
+                held, size = [], 0
+        return out + self._chunk(held)
+
+
+@cache
+def encoder_at(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 def encode_sorted(docs: DataFrame, path: str = MODEL_PATH, end_id: int = END_ID) -> DataFrame:
@@ -92,7 +143,7 @@ def encode_sorted(docs: DataFrame, path: str = MODEL_PATH, end_id: int = END_ID)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = WordEncoder(path), TaskContext.get().partitionId(), 0  # type: ignore[union-attr]
+        encoder, part, at = encoder_at(path), TaskContext.get().partitionId(), 0  # type: ignore[union-attr]
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = [r + end for r in encoder.encode(b["text"].to_pylist())]
