@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +31,13 @@ from .storage import materialize
 #: Where the tokenizers are; parameters of every function that reads them.
 PATH_A = "/opt/tokenizers/byte_bpe_50k.json"
 PATH_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Stretches a worker keeps.
-CACHE = 400_000
+#: Marks that are a word of A behind letters; an apostrophe may not be.
+MARKS = ".,;:!?*$&"
+#: Stretches a worker keeps from block to block, and the characters that are split at a time.
+CACHE = 150_000
+CHUNK = 1 << 18
+#: Characters of text in a block.
+SIZE = 6 << 20
 #: A space that begins a new stretch where a text has runs of spaces: the one behind a character that is no white space.
 #: The characters of the Unicode property White_Space.
 WHITE = "\t\n\v\f\r \x85\xa0  -     　"
@@ -54,7 +60,10 @@ class Pair:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         table = byte_of_char()
+        self.spelled = {b: c for c, b in table.items() if ord(c) != b}
+        self.blank = self.spelled[0x20]
         self.bytes_a = {i: bytes(table[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in table for c in t)}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -62,8 +71,24 @@ class Pair:
         self.lone = self.b.piece_to_id("▁")
 
     def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids in A and in B of stretches that begin with a space."""
-        a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
+        """Ids in A and in B of stretches that begin with a space.
+
+        A space with Latin letters is one word of A, and so are the marks behind them:
+        both go to the model at once.
+        """
+        a: list[list[int]] = []
+        odd: list[int] = []
+        for k, s in enumerate(stretches):
+            core = s[1:].rstrip(MARKS)
+            if core.isalpha() and max(core) < "\u0100":
+                text = self.blank + (core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))
+                tail = s[len(core) + 1 :]
+                a.append([t.id for t in self.model.tokenize(text)] + ([t.id for t in self.model.tokenize(tail)] if tail else []))
+            else:
+                odd.append(k)
+                a.append([])
+        for k, e in zip(odd, self.a.encode_batch_fast([stretches[k] for k in odd], add_special_tokens=False), strict=True):
+            a[k] = e.ids
         b = [x if s != " " else [self.lone] for s, x in zip(stretches, self.b.encode([s[1:] for s in stretches], num_threads=1), strict=True)]
         return a, b
 
@@ -82,14 +107,19 @@ class Aligner:
 
     def __init__(self, pair: Pair) -> None:
         self.pair = pair
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links; all -1 where bytes differ
+        self.counts = array("i")  # tokens of A, of B, groups, links; all -1 where bytes differ
         self.groups: list[str] = []
         self.links: list[bytes] = []
 
+    def keep(self, places: np.ndarray) -> None:
+        """Forget all stretches but these, once there are too many."""
+        if len(self.place) > CACHE:
+            names, counts, groups, links = list(self.place), np.frombuffer(self.counts, np.int32).reshape(-1, 4)[places], self.groups, self.links
+            at = places.tolist()
+            self.place = {names[i]: k for k, i in enumerate(at)}
+            self.counts, self.groups, self.links = array("i", counts.tobytes()), [groups[i] for i in at], [links[i] for i in at]
+
     def learn(self, new: list[str]) -> None:
         a, b = self.pair.encode(new)
         raw_a, raw_b = self.pair.bytes_a, self.pair.bytes_b
@@ -116,14 +146,14 @@ class Aligner:
         raw_keys = keys.tobytes()
         at = {k: j for j, k in enumerate(good)}
         for k, s in enumerate(new):
-            self.place[s] = len(self.counts)
+            self.place[s] = len(self.groups)
             j = at.get(k)
             if j is None:
-                self.counts.append((-1, -1, -1, -1))
+                self.counts.extend((-1, -1, -1, -1))
                 self.groups.append("")
                 self.links.append(b"")
             else:
-                self.counts.append((len(a[k]), len(b[k]), group[j + 1] - group[j], first[j + 1] - first[j]))
+                self.counts.extend((len(a[k]), len(b[k]), group[j + 1] - group[j], first[j + 1] - first[j]))
                 self.groups.append(";".join(said[group[j] : group[j + 1]]))
                 self.links.append(raw_keys[8 * first[j] : 8 * first[j + 1]])
 
@@ -135,15 +165,20 @@ class Aligner:
             return [" " + w for w in text.split(" ")]
         return CUT.split(" " + text)
 
-    def places(self, texts: list[str | None]) -> list[list[int]]:
-        """The stretches of each text by their place."""
-        if len(self.place) > CACHE:
-            self.clear()
-        parts = [self.split(t) for t in texts]
-        new = {s for p in parts for s in p if s not in self.place}
-        if new:
-            self.learn(list(new))
-        return [list(map(self.place.__getitem__, p)) for p in parts]
+    def places(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The stretches of each text by their place, good until some are forgotten."""
+        out, held, size = [], [], 0
+        for t in [*texts, ""]:
+            held.append(t)
+            size += len(t or "")
+            if size >= CHUNK or len(out) + len(held) > len(texts):
+                parts = [self.split(x) for x in held]
+                new = {s for p in parts for s in p if s not in self.place}
+                if new:
+                    self.learn(list(new))
+                out += [np.fromiter(map(self.place.__getitem__, p), np.int32, len(p)) for p in parts]
+                held, size = [], 0
+        return out[: len(texts)]
 
 
 @cache
@@ -163,21 +198,22 @@ def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(path_a, path_b)
-        for block, (texts, ids) in zip(block_ids(), block_rows(batches, ["text", "doc_id"])):  # noqa: B905
+        for block, (texts, ids) in zip(block_ids(), block_rows(batches, ["text", "doc_id"], SIZE)):  # noqa: B905
             parts = aligner.places(texts)
             lengths = np.array([len(p) for p in parts], np.int64)
-            flat = np.fromiter((i for p in parts for i in p), np.int64, int(lengths.sum()))
-            counts = np.array(aligner.counts, np.int64).reshape(-1, 4)[flat]
+            flat = np.concatenate(parts)
+            counts = np.frombuffer(aligner.counts, np.int32).reshape(-1, 4)[flat]
             of = np.repeat(np.arange(len(parts)), lengths)
             bad = np.bincount(of[counts[:, 0] < 0], minlength=len(parts)) > 0
-            sums = np.stack([np.bincount(of, counts[:, c], len(parts)) for c in range(4)], 1).astype(np.int64) if len(parts) else np.zeros((0, 4), np.int64)
+            sums = np.stack([np.bincount(of, counts[:, c], len(parts)) for c in range(4)], 1).astype(np.int64)
             sums[bad] = 0
-            sha = ["" if bad[d] or not p else hashlib.sha256(";".join([aligner.groups[i] for i in p]).encode()).hexdigest() for d, p in enumerate(parts)]
+            sha = ["" if bad[d] or not len(p) else hashlib.sha256(";".join([aligner.groups[i] for i in p.tolist()]).encode()).hexdigest() for d, p in enumerate(parts)]
             lengths[bad] = 0
             flat = flat[~bad[of]]
             used, inside, times = np.unique(flat, return_inverse=True, return_counts=True)
             raw = [aligner.links[i] for i in used.tolist()]
             n_links = np.array([len(r) // 8 for r in raw], np.int64)
+            aligner.keep(used[times > 1])
             keys, place = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
             n = np.bincount(place, np.repeat(times, n_links), len(keys)).astype(np.int64)
             rows = [{"doc_id": i, "n": k, "n_a": s[0], "n_b": s[1], "n_groups": s[2], "n_links": s[3], "groups_sha256": h} for i, k, s, h in zip(ids, lengths.tolist(), sums.tolist(), sha, strict=True)]

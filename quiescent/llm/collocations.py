@@ -34,6 +34,8 @@ BLANKS = b" \t"
 #: Every end of a piece becomes the first of them, blanks a space, and A-Z a-z.
 TABLE = bytes(ENDS[0] if b in ENDS else 0x20 if b in BLANKS else b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 MARK = ENDS[:1]
+#: Characters of text in a shard.
+SHARD = 12 << 20
 #: Rows of an Arrow batch of phrases.
 ROWS = 100_000
 
@@ -44,7 +46,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = block_ids()
-        for texts, langs in block_rows(batches, ["text", "lang"]):
+        for texts, langs in block_rows(batches, ["text", "lang"], SHARD):
             known: dict[str, defaultdict] = {}
             order: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(texts, langs, strict=True):
@@ -71,23 +73,26 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``seq`` (ids from 0 on) in the order of their next ``depth`` ids or more, by prefix doubling."""
-    rank = seq.astype(np.int64)
+    rank = seq.astype(np.int32)
+    order = np.argsort(rank, kind="stable").astype(np.int32) if depth <= 1 else np.zeros(0, np.int32)
     h = 1
     while h < depth:
-        after = np.zeros(len(rank), np.int64)
-        after[:-h] = rank[h:] + 1
-        key = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(key), np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        rank, h = new, 2 * h
-    return np.argsort(rank, kind="stable")
+        key = rank.astype(np.int64)
+        key *= int(rank.max(initial=0)) + 2
+        key[:-h] += rank[h:]
+        key[:-h] += 1
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        rank[order[:1]] = 0
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
+        h *= 2
+    return order
 
 
 def common_prefixes(seq: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Of suffixes in order, up to ``depth``: how many ids each has before the first 0, and how many of those it shares with the one before."""
     padded = np.concatenate([seq, np.zeros(depth, seq.dtype)])
-    length, shared = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    length, shared = np.zeros(len(order), np.int8), np.zeros(len(order), np.int8)
     open_, same = np.ones(len(order), bool), np.ones(len(order), bool)
     for k in range(depth):
         word = padded[order + k]
@@ -125,7 +130,7 @@ def count_phrases(blocks: DataFrame, found: DataFrame) -> DataFrame:
                 pos, ids = np.asarray(got.field("pos")), np.asarray(got.field("id"))
                 # frequent words in order of their id from 1 on, all others end phrases
                 back = np.sort(ids)
-                to = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
+                to = np.zeros(int(seq.max(initial=0)) + 1, np.int32)
                 to[pos + 1] = np.searchsorted(back, ids) + 1
                 seq = to[seq]
                 seq = seq[(seq != 0) | (np.diff(seq, prepend=1) != 0)]  # one end is as good as several

@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .alignment import byte_of_char
 from .storage import broadcast_if_small, delete_at_end, scratch_path
 
 #: Where the tokenizer is; a parameter of every function that reads one.
@@ -32,8 +34,8 @@ PAGE_BYTES = 64 << 10
 CACHE = 500_000
 LONGEST = 64
 CHUNK = 1 << 18
-#: Stands between new words.
-MARK = "|"
+#: Marks that begin a new word of the tokenizer behind a letter; an apostrophe may not.
+MARKS = ".,;:!?*$&"
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true"},
     "delta": {"parquet.enable.dictionary": "true", "parquet.enable.dictionary#ids.list.element": "false", "parquet.writer.version": "PARQUET_2_0"},
@@ -68,25 +70,39 @@ class WordEncoder:
 
     That holds for tokenizers that read any white space as the end of a word, as the
     default one does; it takes no white space into a token and lower-cases by character.
-    New words are encoded in one text with a mark between them that is a token of its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Kept(CACHE)
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        plain = [w for w in words if MARK not in w]
-        odd = [w for w in words if MARK in w]
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join([*plain, ""])], add_special_tokens=False)[0].ids, "<u4")
-        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
-        got = dict(zip(plain, [raw[i + 4 : j] for i, j in zip([-4, *ends], ends, strict=False)], strict=True))
+        self.model = self.tokenizer.model
+        self.known, self.tails = Kept(CACHE), {}
+        self.spelled = {b: c for c, b in byte_of_char().items() if ord(c) != b}
+
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words. Of a word of Latin letters, and marks behind it, the letters go to the model at once, for nothing about them is changed or split before."""
+        odd: list[str] = []
+        got: dict[str, bytes] = {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and core[-1] < "\u0100" and max(core) < "\u0100" and core.islower():
+                ids = [t.id for t in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))]
+                got[w] = pack(f"<{len(ids)}I", *ids) + (self._tail(w[len(core) :]) if core is not w else b"")
+            else:
+                odd.append(w)
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            got[w] = np.array(e.ids, "<u4").tobytes()
-        return [got[w] for w in words]
+            got[w] = pack(f"<{len(e.ids)}I", *e.ids)
+        return map(got.__getitem__, words)
+
+    def _tail(self, marks: str) -> bytes:
+        got = self.tails.get(marks)
+        if got is None:
+            ids = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            got = self.tails[marks] = pack(f"<{len(ids)}I", *ids)
+            if len(self.tails) > CACHE // 8:
+                self.tails = {}
+        return got
 
     def words(self, text: str) -> list[str]:
         """Words of a text, in lower case where that is one character for one; a text that may hold a special token is taken as it is written."""
@@ -106,7 +122,7 @@ class WordEncoder:
         rows = [list(map(known.__getitem__, words)) for words in split]
         new = list(dict.fromkeys(known.missing))
         if new:
-            known.update(zip(new, self._encode(new), strict=True))
+            known.update(zip(new, self._encode(new)))  # noqa: B905
             for words, row in zip(split, rows, strict=True):
                 i = -1
                 for _ in range(row.count(None)):
