@@ -18,6 +18,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ MARKS = ".,;:!?*$&"
 CACHE = 150_000
 CHUNK = 1 << 18
 #: Characters of text in a block.
-SIZE = 6 << 20
+SIZE = 4 << 20
 #: A space that begins a new stretch where a text has runs of spaces: the one behind a character that is no white space.
 #: The characters of the Unicode property White_Space.
 WHITE = "\t\n\v\f\r \x85\xa0  -     　"
@@ -64,10 +65,13 @@ class Pair:
         table = byte_of_char()
         self.spelled = {b: c for c, b in table.items() if ord(c) != b}
         self.blank = self.spelled[0x20]
-        self.bytes_a = {i: bytes(table[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in table for c in t)}
+        vocabulary = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        # entries that are no bytes, which no text has
+        self.bytes_a = [bytes(table[c] for c in t) if all(c in table for c in t) else b"" for t in (vocabulary.get(i, "") for i in range(max(vocabulary) + 1))]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.len_a, self.len_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
         self.lone = self.b.piece_to_id("▁")
 
     def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -108,54 +112,51 @@ class Aligner:
     def __init__(self, pair: Pair) -> None:
         self.pair = pair
         self.place: dict[str, int] = {}
+        self.kept = 0  # how many of them were there when others were forgotten
         self.counts = array("i")  # tokens of A, of B, groups, links; all -1 where bytes differ
         self.groups: list[str] = []
         self.links: list[bytes] = []
 
     def keep(self, places: np.ndarray) -> None:
-        """Forget all stretches but these, once there are too many."""
+        """Forget all stretches but these, once there are too many: those that a block has twice, or that were kept before."""
         if len(self.place) > CACHE:
             names, counts, groups, links = list(self.place), np.frombuffer(self.counts, np.int32).reshape(-1, 4)[places], self.groups, self.links
             at = places.tolist()
+            self.kept = len(at)
             self.place = {names[i]: k for k, i in enumerate(at)}
             self.counts, self.groups, self.links = array("i", counts.tobytes()), [groups[i] for i in at], [links[i] for i in at]
 
     def learn(self, new: list[str]) -> None:
         a, b = self.pair.encode(new)
         raw_a, raw_b = self.pair.bytes_a, self.pair.bytes_b
-        good = []
-        for k, s in enumerate(new):
-            raw = s.encode()
-            if b"".join([raw_a.get(i, b"") for i in a[k]]) == raw == b"".join([raw_b[i] for i in b[k]]):
-                good.append(k)
-        ids_a = np.array([i for k in good for i in a[k]], np.int64)
-        ids_b = np.array([i for k in good for i in b[k]], np.int64)
-        la = np.array([len(raw_a[i]) for i in ids_a.tolist()], np.int64)
-        lb = np.array([len(raw_b[i]) for i in ids_b.tolist()], np.int64)
-        at_a, at_b, cut = owners(la, lb)
+        good = [k for k, s in enumerate(new) if b"".join([raw_a[i] for i in a[k]]) == s.encode() == b"".join([raw_b[i] for i in b[k]])]
+        n_a, n_b = np.array([len(a[k]) for k in good], np.int64), np.array([len(b[k]) for k in good], np.int64)
+        ids_a = np.fromiter(chain.from_iterable([a[k] for k in good]), np.int64, int(n_a.sum()))
+        ids_b = np.fromiter(chain.from_iterable([b[k] for k in good]), np.int64, int(n_b.sum()))
+        at_a, at_b, cut = owners(self.pair.len_a[ids_a], self.pair.len_b[ids_b])
         keys = (ids_a[at_a] << 32) | ids_b[at_b]
         # a stretch begins where its first token of A does
-        n_a, n_b = np.array([len(a[k]) for k in good], np.int64), np.array([len(b[k]) for k in good], np.int64)
         first = np.searchsorted(at_a, np.cumsum(n_a) - n_a).tolist() + [len(at_a)]
         starts = np.flatnonzero(cut)
         group = np.searchsorted(starts, first).tolist()
         # tokens of a group are those that begin in it
         from_a, from_b = np.append(at_a[starts], len(ids_a)).tolist(), np.append(at_b[starts], len(ids_b)).tolist()
-        text_a, text_b = [str(i) for i in ids_a.tolist()], [str(i) for i in ids_b.tolist()]
-        said = [",".join(text_a[from_a[g] : from_a[g + 1]]) + "|" + ",".join(text_b[from_b[g] : from_b[g + 1]]) for g in range(len(starts))]
+        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        said = [
+            f"{text_a[i]}|{text_b[k]}" if j - i == 1 and m - k == 1 else f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
+            for i, j, k, m in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False)
+        ]
         raw_keys = keys.tobytes()
-        at = {k: j for j, k in enumerate(good)}
-        for k, s in enumerate(new):
-            self.place[s] = len(self.groups)
-            j = at.get(k)
-            if j is None:
-                self.counts.extend((-1, -1, -1, -1))
-                self.groups.append("")
-                self.links.append(b"")
-            else:
-                self.counts.extend((len(a[k]), len(b[k]), group[j + 1] - group[j], first[j + 1] - first[j]))
-                self.groups.append(";".join(said[group[j] : group[j + 1]]))
-                self.links.append(raw_keys[8 * first[j] : 8 * first[j + 1]])
+        counts = np.full((len(new), 4), -1, np.int32)
+        counts[good] = np.stack([n_a, n_b, np.diff(group), np.diff(first)], 1)
+        self.place.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.counts.frombytes(counts.tobytes())
+        groups, links = [""] * len(new), [b""] * len(new)
+        for k, i, j, m, n in zip(good, group, group[1:], first, first[1:], strict=False):
+            groups[k] = ";".join(said[i:j])
+            links[k] = raw_keys[8 * m : 8 * n]
+        self.groups += groups
+        self.links += links
 
     def split(self, text: str | None) -> list[str]:
         """Stretches of a space and the text. Joined they are the two; each begins with a space."""
@@ -213,7 +214,7 @@ def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) ->
             used, inside, times = np.unique(flat, return_inverse=True, return_counts=True)
             raw = [aligner.links[i] for i in used.tolist()]
             n_links = np.array([len(r) // 8 for r in raw], np.int64)
-            aligner.keep(used[times > 1])
+            aligner.keep(used[(times > 1) | (used < aligner.kept)])
             keys, place = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
             n = np.bincount(place, np.repeat(times, n_links), len(keys)).astype(np.int64)
             rows = [{"doc_id": i, "n": k, "n_a": s[0], "n_b": s[1], "n_groups": s[2], "n_links": s[3], "groups_sha256": h} for i, k, s, h in zip(ids, lengths.tolist(), sums.tolist(), sha, strict=True)]

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Rows of an Arrow batch that are taken out of it at a time.
+ROWS = 500
 
 
 def block_ids() -> Iterator[int]:
@@ -30,7 +32,7 @@ def block_rows(batches: Iterator[pa.RecordBatch], columns: list[str], size: int
     """Values of each column of a task's rows in blocks of about ``size`` characters; the first column is the text."""
     held: list[list] = [[] for _ in columns]
     n = 0
-    for b in batches:
+    for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         got = [b[c].to_pylist() for c in columns]
         start = 0
         for i, text in enumerate(got[0]):

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .alignment import byte_of_char
+from .blocks import ROWS
 from .storage import broadcast_if_small, delete_at_end, scratch_path
 
 #: Where the tokenizer is; a parameter of every function that reads one.
@@ -161,7 +162,7 @@ def encode_sorted(docs: DataFrame, path: str = MODEL_PATH, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = encoder_at(path), TaskContext.get().partitionId(), 0  # type: ignore[union-attr]
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             rows = [r + end for r in encoder.encode(b["text"].to_pylist())]
             n = np.array([len(r) // 4 for r in rows], np.int64)
             ends = np.cumsum(n)
