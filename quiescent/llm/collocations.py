@@ -5,7 +5,7 @@ around it like a punctuation mark does, which changes no candidate and no count
 one. Each shard then sorts its suffixes by their first words with prefix doubling;
 neighbours that share their first ``n`` words are one interval, and its length is how
 often that phrase of ``n`` words occurs in the shard. The shards' counts are summed by
-phrase. Words have ids of their own in every language, so phrases of different
+phrase, those of three words only where both pairs in it may be frequent. Words have ids of their own in every language, so phrases of different
 languages never meet.
 """
 
@@ -37,7 +37,9 @@ MARK = ENDS[:1]
 #: Characters of text in a shard.
 SHARD = 12 << 20
 #: Rows of an Arrow batch of phrases.
-ROWS = 100_000
+ROWS = 50_000
+#: Bits of the bitmap of frequent pairs, 8 MB whatever the input. More pairs than that make it let more phrases through, and lose none.
+BITS = 1 << 26
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
@@ -120,28 +122,73 @@ def phrase_counts(seq: np.ndarray, depth: int = 3) -> list[tuple[np.ndarray, np.
     return out
 
 
-def count_phrases(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """(k, w, n): of each block the phrases of two words (``k`` is both ids, ``w`` -1) and three (``w`` is the third)."""
+def numbered(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """``(seq)`` of each block in ids of frequent words from 1 on, 0 between phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 seq, got = np.asarray(b["seq"][r].values), b["found"][r].values
-                pos, ids = np.asarray(got.field("pos")), np.asarray(got.field("id"))
-                # frequent words in order of their id from 1 on, all others end phrases
-                back = np.sort(ids)
                 to = np.zeros(int(seq.max(initial=0)) + 1, np.int32)
-                to[pos + 1] = np.searchsorted(back, ids) + 1
+                to[np.asarray(got.field("pos")) + 1] = np.asarray(got.field("id")) + 1
                 seq = to[seq]
                 seq = seq[(seq != 0) | (np.diff(seq, prepend=1) != 0)]  # one end is as good as several
-                for n, (at, count) in enumerate(phrase_counts(seq), 2):
-                    word = [back[seq[at + k] - 1] for k in range(n)]
-                    third = word[2] if n == 3 else np.full(len(at), -1, np.int64)
-                    for i in range(0, len(at), ROWS):
-                        s = slice(i, i + ROWS)
-                        yield pa.RecordBatch.from_arrays([pa.array((word[0][s] << 32) | word[1][s]), pa.array(third[s].astype(np.int32)), pa.array(count[s].astype(np.int64))], ["k", "w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([seq], pa.list_(pa.int32()))], ["seq"])
 
-    return blocks.select("block", "seq").join(found, "block").mapInArrow(run, "k long, w int, n long")
+    return blocks.select("block", "seq").join(found, "block").mapInArrow(run, "seq array<int>")
+
+
+def bit_of(k: np.ndarray) -> np.ndarray:
+    """Place of a pair of ids in a bitmap of :data:`BITS` bits; :func:`bitmap_of` has the same rule."""
+    return ((k >> 32) * 1_000_003 + (k & 0xFFFFFFFF) * 8_191) & (BITS - 1)
+
+
+def bitmap_of(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the bits of all ``pairs(k)`` set, so that pairs without their bit are not among them."""
+    k = F.col("k")
+    place = ((F.shiftright(k, 32) * 1_000_003) + k.bitwiseAND(F.lit((1 << 32) - 1)) * 8_191).bitwiseAND(F.lit(BITS - 1))
+    words = pairs.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("b"))
+    out = np.zeros(BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most BITS / 64 rows
+        out[np.asarray(batch["w"])] = np.asarray(batch["b"])
+    return out.view(np.uint8)
+
+
+def count_phrases(seqs: DataFrame, n: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """(k, w, n): of each block the phrases of ``n`` words, two (``k`` is both ids, ``w`` -1) or three (``w`` is the third), and their number.
+
+    With the bitmap of frequent pairs, phrases of three words with a pair outside it are left out: none of them is frequent.
+    """
+    spark = seqs.sparkSession
+    sent = None if pairs is None else spark.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                seq = np.asarray(b["seq"][r].values)
+                # a shard's own ids, in the order of the words' ids
+                back, seq = np.unique(seq, return_inverse=True)
+                if len(back) and back[0] != 0:
+                    back, seq = np.concatenate([[0], back]), seq + 1
+                back = back.astype(np.int64) - 1
+                at, count = phrase_counts(seq.astype(np.int32), n)[n - 2]
+                for i in range(0, len(at), ROWS):
+                    p, c = at[i : i + ROWS], count[i : i + ROWS]
+                    k = (back[seq[p]] << 32) | back[seq[p + 1]]
+                    if n == 3:
+                        third = back[seq[p + 2]]
+                        if sent is not None:
+                            bits = sent.value
+                            ok = np.ones(len(p), bool)
+                            for pair in (k, (k << 32) | third):
+                                place = bit_of(pair)
+                                ok &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
+                            k, third, c = k[ok], third[ok], c[ok]
+                    else:
+                        third = np.full(len(p), -1, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(third.astype(np.int32)), pa.array(c.astype(np.int64))], ["k", "w", "n"])
+
+    return seqs.mapInArrow(run, "k long, w int, n long")
 
 
 def frequent_words(words: DataFrame, least: int) -> DataFrame:
@@ -174,15 +221,19 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     """
     blocks = materialize(word_blocks(docs), "words")
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "p")).select("block", "lang", "pos", F.col("p.words").alias("word"), F.col("p.n").alias("n"))
-    sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n_"))
+    sizes = materialize(blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n_")), "sizes")
     words = frequent_words(each, least)
     n_words = words.count()
     found = looked_up(each, broadcast_if_small(words, n_words), ["lang", "word"], ["id"])
-    grams = materialize(count_phrases(blocks, found).groupBy("k", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
+    seqs = materialize(numbered(blocks, found), "numbered")
+    discard(blocks)
+    often = lambda rows: materialize(rows.groupBy("k", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
+    two = often(count_phrases(seqs, 2)).select("k", "a")
+    three = often(count_phrases(seqs, 3, bitmap_of(two)))
+    discard(seqs)
 
     second = F.col("k").bitwiseAND(F.lit((1 << 32) - 1))
-    two = grams.where("w < 0").select("k", "a")
-    three = grams.where("w >= 0").select("k", "w", "a", F.shiftright("k", 32).alias("w1"), second.alias("w2"))
+    three = three.select("k", "w", "a", F.shiftright("k", 32).alias("w1"), second.alias("w2"))
     three = three.withColumn("k2", F.shiftleft("w2", 32).bitwiseOR(F.col("w").cast("long")))
     f = words.select("id", "f")
 
