@@ -504,7 +504,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """One document of each group of near duplicates, the one with the smallest id, with all its columns.
 
     Of rows that share that id the one with the smallest hash of its text stays, of
-    rows equal in id and text one of them; null ids come after all others.
+    rows equal in id and text one of them; null ids come after all others. Texts
+    without words, null ones among them, are copies of one another. Columns of any name
+    stay as they are.
     """
     prints, links = near_links(docs, width, similarity, 8)
     rows = prints.groupBy("doc_id", "t1", "t2", "node").agg(F.count("*").alias("n"))
@@ -512,19 +514,21 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     first = materialize(rows.groupBy("root").agg(F.min("place").alias("f")), "kept")
     key = lambda c: [F.col(f"{c}.doc_id").alias("id_"), F.col(f"{c}.t1").alias("p1_"), F.col(f"{c}.t2").alias("p2_")]
     d = docs.alias("d")
-    here = F.col("d.doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("d.text") == F.col("p1_")) & (F.xxhash64(F.lit(1), "d.text") == F.col("p2_"))
+    # sides are named, so that columns of these names in documents are no trouble
+    here = F.col("d.doc_id").eqNullSafe(F.col("g.id_")) & (F.xxhash64("d.text") == F.col("g.p1_")) & (F.xxhash64(F.lit(1), "d.text") == F.col("g.p2_"))
     more = first.where("f.n > 1").select(*key("f"))
     n_more, n_first, n_rows = more.count(), first.count(), rows.count()
     # rows that stay are looked up, or those that go, whichever are fewer
     if n_rows - n_first < n_first:
         gone = rows.join(first, "root").where("place <> f").select(*key("place")).union(more)
-        out = d.join(broadcast_if_small(gone, n_rows - n_first + n_more), here, "left_anti")
+        out = d.join(broadcast_if_small(gone, n_rows - n_first + n_more).alias("g"), here, "left_anti")
     else:
-        out = d.join(broadcast_if_small(first.where("f.n = 1").select(*key("f")), n_first - n_more), here, "left_semi")
+        out = d.join(broadcast_if_small(first.where("f.n = 1").select(*key("f")), n_first - n_more).alias("g"), here, "left_semi")
     if not n_more:
         return out
-    again = d.join(broadcast_if_small(more, n_more), here).dropDuplicates(["id_", "p1_", "p2_"])
-    return out.unionByName(again.select(*[F.col(f"d.`{c}`") for c in docs.columns]))
+    again = d.join(broadcast_if_small(more, n_more).alias("g"), here)
+    again = again.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row_"), "g.id_", "g.p1_", "g.p2_").dropDuplicates(["id_", "p1_", "p2_"])
+    return out.unionByName(again.select("row_.*"))
 
 
 def _named(prints: DataFrame, links: DataFrame) -> DataFrame:
