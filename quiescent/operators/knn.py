@@ -52,6 +52,17 @@ class SignHash:
         return [F.concat(*[F.when(dot(vec, F.lit(r)) >= 0, F.lit("1")).otherwise(F.lit("0")) for r in bits]) for bits in self.parameters(m, tables, seed)]
 
 
+def probed(key: Column, m: int, probes: int) -> Column:
+    """A key of ``m`` bits and, with one probe, those that differ from it in one bit: an array."""
+    if probes not in (0, 1):
+        raise ValueError("probes: 0 or 1")
+    one = F.array(key)
+    if not probes:
+        return one
+    flip = lambda i: F.concat(F.substring(key, 1, i - 1), F.when(F.substring(key, i, 1) == "1", "0").otherwise("1"), F.substring(key, i + 1, m))
+    return F.concat(one, F.array(*[flip(i) for i in range(1, m + 1)]))
+
+
 def buckets(points: DataFrame, family: HashFamily, m: int, tables: int, seed: int, id_col: str = "id", vec: str = "vec") -> DataFrame:
     """``(tbl, key, id, vec)``: each point once in each table."""
     keys = F.array(*family.keys(F.col(vec), m, tables, seed))
@@ -90,44 +101,73 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l1",
     return top_k(d, k).select("qid", "rank", "id", "dist")
 
 
-def _nearest(pairs: DataFrame, points: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+def nearest_of(pairs: DataFrame, points: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """Exact distances of distinct candidate pairs."""
     c = pairs.select("qid", "id").distinct().where("qid <> id")
     j = c.join(points.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
     return top_k(j.select("qid", "id", DISTANCES[metric](F.col("vec"), F.col("qvec")).alias("dist")), k).select("qid", "rank", "id", "dist")
 
 
-def lsh_candidates(points: DataFrame, queries: DataFrame, family: HashFamily, m: int, tables: int, seed: int) -> DataFrame:
-    """``(qid, id, tbl)`` of points and queries that share a key."""
+def lsh_candidates(points: DataFrame, queries: DataFrame, family: HashFamily, m: int, tables: int, seed: int, probes: int = 0) -> DataFrame:
+    """``(qid, id, tbl)`` of points and queries that share a key; with a probe also those of queries whose key differs in one bit."""
     b = buckets(points, family, m, tables, seed).select("tbl", "key", "id")
-    q = buckets(queries.select(F.col("qid"), F.col("qvec")), family, m, tables, seed, "qid", "qvec").select("tbl", "key", "qid")
+    q = buckets(queries.select(F.col("qid"), F.col("qvec")), family, m, tables, seed, "qid", "qvec").select("tbl", F.explode(probed(F.col("key"), m, probes)).alias("key"), "qid")
     return q.join(b, ["tbl", "key"]).select("qid", "id", "tbl")
 
 
-def lsh_knn(points: DataFrame, queries: DataFrame, family: HashFamily, m: int, tables: int, k: int, metric: str = "l1", seed: int = 7) -> DataFrame:
-    return _nearest(lsh_candidates(points, queries, family, m, tables, seed), points, queries, k, metric)
+def lsh_knn(points: DataFrame, queries: DataFrame, family: HashFamily, m: int, tables: int, k: int, metric: str = "l1", seed: int = 7, probes: int = 0) -> DataFrame:
+    return nearest_of(lsh_candidates(points, queries, family, m, tables, seed, probes), points, queries, k, metric)
+
+
+@dataclass(frozen=True)
+class TwoLayers:
+    """An outer family, and the one by which the members of heavy buckets are hashed again.
 
+    A bucket is heavy with a share of at least ``alpha`` of all points. ``probes`` is
+    that of queries in the inner layer.
+    """
 
-def slsh_candidates(points: DataFrame, queries: DataFrame, outer: HashFamily, inner: HashFamily, m_out: int, l_out: int, m_in: int, l_in: int, alpha: float, seed: int, n: int | None = None) -> DataFrame:
-    """Two layers: members of a heavy bucket are hashed again, and a query that falls into it meets those of its inner buckets alone."""
+    outer: HashFamily
+    inner: HashFamily
+    m_out: int
+    l_out: int
+    m_in: int
+    l_in: int
+    alpha: float
+    seed: int = 7
+    probes: int = 0
+
+    def outer_keys(self, rows: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
+        """``(id, vec, tbl, key)``"""
+        return buckets(rows, self.outer, self.m_out, self.l_out, self.seed, id_col, vec)
+
+    def inner_keys(self, rows: DataFrame, id_col: str = "id", vec: str = "vec", probes: int = 0) -> DataFrame:
+        """``rows(id, vec, tbl, key)`` to ``(tbl, key, id, in_tbl, in_key)``."""
+        keys = F.array(*self.inner.keys(F.col(vec), self.m_in, self.l_in, self.seed + 1))
+        each = rows.select("tbl", "key", id_col, F.posexplode(keys).alias("in_tbl", "k_"))
+        return each.select("tbl", "key", id_col, "in_tbl", F.explode(probed(F.col("k_"), self.m_in, probes)).alias("in_key"))
+
+
+def slsh_candidates(points: DataFrame, queries: DataFrame, layers: TwoLayers, n: int | None = None) -> DataFrame:
+    """``(qid, id)``: members of a heavy bucket are hashed again, and a query that falls into it meets those of its inner buckets alone."""
     n = points.count() if n is None else n
-    b = buckets(points, outer, m_out, l_out, seed)
-    q = buckets(queries, outer, m_out, l_out, seed, "qid", "qvec")
+    b, q = layers.outer_keys(points), layers.outer_keys(queries, "qid", "qvec")
     # a heavy bucket holds a share alpha of all points, so there are at most l_out / alpha of them
-    heavy = F.broadcast(heavy_buckets(b, n, alpha).select("tbl", "key", F.lit(True).alias("heavy")))
+    heavy = F.broadcast(heavy_buckets(b, n, layers.alpha).select("tbl", "key", F.lit(True).alias("heavy")))
     bh, qh = b.join(heavy, ["tbl", "key"], "left"), q.join(heavy, ["tbl", "key"], "left")
     light = qh.where("heavy is null").select("tbl", "key", "qid").join(bh.where("heavy is null").select("tbl", "key", "id"), ["tbl", "key"])
+    deep = layers.inner_keys(qh.where("heavy"), "qid", "qvec", layers.probes).join(layers.inner_keys(bh.where("heavy")), ["tbl", "key", "in_tbl", "in_key"])
+    return light.select("qid", "id").unionByName(deep.select("qid", "id")).distinct()
 
-    def inner_keys(d: DataFrame, vec: str, id_col: str) -> DataFrame:
-        keys = F.array(*inner.keys(F.col(vec), m_in, l_in, seed + 1))
-        return d.where("heavy").select("tbl", "key", id_col, F.posexplode(keys).alias("in_tbl", "in_key"))
 
-    deep = inner_keys(qh, "qvec", "qid").join(inner_keys(bh, "vec", "id"), ["tbl", "key", "in_tbl", "in_key"])
-    return light.select("qid", "id").unionByName(deep.select("qid", "id")).distinct()
+def slsh_knn(points: DataFrame, queries: DataFrame, layers: TwoLayers, k: int, metric: str = "l1") -> DataFrame:
+    return nearest_of(slsh_candidates(points, queries, layers), points, queries, k, metric)
 
 
-def slsh_knn(points: DataFrame, queries: DataFrame, outer: HashFamily, inner: HashFamily, m_out: int, l_out: int, m_in: int, l_in: int, alpha: float, k: int, metric: str = "l1", seed: int = 7) -> DataFrame:
-    return _nearest(slsh_candidates(points, queries, outer, inner, m_out, l_out, m_in, l_in, alpha, seed), points, queries, k, metric)
+def recall(found: DataFrame, true: DataFrame) -> float:
+    """Share of the pairs ``(qid, id)`` of ``true`` that ``found`` has."""
+    n = true.count()
+    return true.select("qid", "id").distinct().join(found.select("qid", "id").distinct(), ["qid", "id"]).count() / n if n else 1.0
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, positive_weight: int = 5) -> DataFrame:

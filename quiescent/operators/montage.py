@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sourcespace import nearest_points
+
 #: The nineteen electrodes of the international 10-20 system.
 MASTER = ("Fp1", "F3", "C3", "P3", "O1", "F7", "T3", "T5", "Fz", "Cz", "Pz", "Fp2", "F4", "C4", "P4", "O2", "F8", "T4", "T6")
 #: Newer names of four of them.
@@ -20,18 +22,14 @@ BIPOLAR = (
 )
 
 
+#: Names without prefix and reference to the channel they stand for.
+LABELS = {c.lower(): c for c in MASTER} | {k.lower(): v for k, v in RENAMED.items()}
+
+
 def standard_label(label: Column) -> Column:
     """Name of a master channel without prefix and reference (``EEG Fp1-Ref``), older name; null for others."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), r"^eeg\s+", ""), r"-ref\d*$", "")
-    known = {c.lower(): c for c in MASTER} | {k.lower(): v for k, v in RENAMED.items()}
-    return _lookup(bare, known)
-
-
-def _lookup(c: Column, table: Mapping[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in table.items():
-        out = F.when(c == k, F.lit(v)).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), bare)
 
 
 def standardize_channels(samples: DataFrame, keys: Sequence[str] = ("rec_id",), channel: str = "channel") -> DataFrame:
@@ -110,11 +108,14 @@ def reindex(df: DataFrame, keys: Sequence[str], idx: str = "i") -> DataFrame:
     return df.withColumn(idx, F.row_number().over(W.partitionBy(*keys).orderBy(idx)).cast("long"))
 
 
-def closest_channels(a: DataFrame, b: DataFrame, max_channels: int = 10_000) -> DataFrame:
-    """``(a, b, distance)``: for each position of one table the nearest of the other; tables of channels, hence small."""
-    pairs = a.select(F.col("label").alias("a"), "x", "y", "z").join(F.broadcast(b.limit(max_channels).select(F.col("label").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))))
-    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("z") - F.col("z2"), 2))
-    return pairs.groupBy("a").agg(F.min(F.struct(d.alias("distance"), "b")).alias("m")).select("a", "m.b", "m.distance")
+def closest_channels(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
+    """``(a, b, distance)``: for each position ``(label, x, y, z)`` of one table the nearest of the other, ties to the smaller label.
+
+    Any number of positions; ``cell`` is the first width looked at, see :func:`.sourcespace.nearest_points`.
+    Positions with a null or NaN coordinate have no neighbour and are none; without any in ``b`` there are no rows.
+    """
+    got = nearest_points(a.select(F.col("label").alias("point"), *"xyz"), b.select(F.col("label").alias("target"), *"xyz"), cell)
+    return got.select(F.col("point").alias("a"), F.col("target").alias("b"), F.col("dist").alias("distance"))
 
 
 def match_labels(a: DataFrame, b: DataFrame) -> DataFrame:

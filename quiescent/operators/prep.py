@@ -115,8 +115,8 @@ def robust_reference(samples: DataFrame, keys: list[str], srate: float, position
     cur = samples
     for _ in range(p.max_iterations):
         ref = cur.withColumn(value, F.col(value) - F.percentile(value, F.lit(0.5)).over(W.partitionBy(*keys, "i")) if not bad else F.col(value) - F.avg(value).over(W.partitionBy(*keys, "i")))
-        # names of channels, never of samples
-        found = sorted(r[0] for r in noisy_channels(ref, keys, srate, p, positions, channel).where("bad").select(channel).distinct().limit(4096).collect())
+        # a row for each bad channel of the montage
+        found = sorted(r[0] for r in noisy_channels(ref, keys, srate, p, positions, channel).where("bad").select(channel).distinct().collect())
         if set(found) <= set(bad):
             break
         bad = sorted({*bad, *found})

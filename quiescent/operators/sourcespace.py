@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..storage import checkpointed
 
 
 def lead_matrix(lead: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -91,19 +92,67 @@ def top_voxels(power: DataFrame, n: int) -> DataFrame:
     return total.orderBy(F.desc("power"), "voxel").limit(n)
 
 
-def nearest_voxels(grid: DataFrame, voxels: DataFrame, cell: float) -> DataFrame:
-    """``(point, voxel)``: the nearest voxel of each grid point, found among its cell and the cells around it.
+#: Targets up to this many are sent to every task; more are looked up by cells.
+FEW_TARGETS = 4096
 
-    Points with no voxel within a cell's width are left out.
-    """
+
+def _placed(df: DataFrame, name: str) -> DataFrame:
+    ok = [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) for a in "xyz"]
+    return df.where(ok[0] & ok[1] & ok[2]).select(name, *[F.col(a).cast("double").alias(a) for a in "xyz"])
+
+
+def _around(points: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
+    """``(point, x, y, z, m)``: of each point the nearest ``(dist, target)`` among the cells around its own, null if they are empty."""
     c = lambda v: F.floor(F.col(v) / cell)
-    v = voxels.select("voxel", *[F.col(a).alias(f"v{a}") for a in "xyz"], *[c(a).alias(f"c{a}") for a in "xyz"])
-    steps = [F.struct(*[F.lit(d).alias(a) for a, d in zip("xyz", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    g = grid.withColumn("d_", F.explode(F.array(*steps)))
-    g = g.withColumns({f"c{a}": c(a) + F.col(f"d_.{a}") for a in "xyz"})
+    steps = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("xyz", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    v = targets.select("target", *[F.col(a).alias(f"v{a}") for a in "xyz"], *[c(a).alias(f"c{a}") for a in "xyz"])
+    g = points.withColumn("d_", F.explode(steps)).withColumns({f"c{a}": c(a) + F.col(f"d_.{a}") for a in "xyz"}).drop("d_")
     d = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
-    j = g.join(v, ["cx", "cy", "cz"]).withColumn("dist", d).where(F.col("dist") <= cell)
-    return j.groupBy("point").agg(F.min(F.struct("dist", "voxel")).alias("m")).select("point", "m.voxel", "m.dist")
+    near = g.join(v, ["cx", "cy", "cz"]).groupBy("point", *"xyz").agg(F.min(F.struct(d.alias("dist"), "target")).alias("m"))
+    return points.join(near, ["point", *"xyz"], "left")
+
+
+def nearest_points(points: DataFrame, targets: DataFrame, cell: float | None = None) -> DataFrame:
+    """``points(point, x, y, z)`` and ``targets(target, x, y, z)`` to ``(point, target, dist)``: the nearest target of every point.
+
+    A few targets are sent to all tasks. Of more, a point meets those in its cell and
+    the cells around it; what is nearest there within a cell's width is nearest of all. Points
+    without go on with cells of twice the width, until cells are as wide as all
+    positions lie apart. Equal distances go to the smaller target. Points that repeat a
+    name and a place give one row; without targets there are none.
+    """
+    p, t = _placed(points, "point").distinct(), _placed(targets, "target")
+    n = t.count()
+    if n <= FEW_TARGETS:
+        v = t.select("target", *[F.col(a).alias(f"v{a}") for a in "xyz"])
+        d = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
+        # a counted side against all points
+        near = p.join(F.broadcast(v)).groupBy("point", *"xyz").agg(F.min(F.struct(d.alias("dist"), "target")).alias("m"))
+        return near.select("point", "m.target", "m.dist")
+    edges = t.select(*"xyz").unionAll(p.select(*"xyz")).agg(*[f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)]).first()
+    wide = max(edges[f"max_{a}"] - edges[f"min_{a}"] for a in "xyz") or 1.0  # type: ignore[index]
+    # about four targets in a cell of evenly spread ones
+    cell = cell or wide / max(1.0, (n / 4) ** (1 / 3))
+    done = None
+    while True:
+        last = cell >= wide
+        got = checkpointed(_around(p, t, cell))
+        near = got.where(F.col("m.dist") <= cell) if not last else got
+        done = near if done is None else done.unionByName(near)
+        p = got.where(F.col("m").isNull() | (F.col("m.dist") > cell)).drop("m")
+        if last or p.isEmpty():
+            return done.select("point", "m.target", "m.dist")
+        cell *= 2
+
+
+def nearest_voxels(grid: DataFrame, voxels: DataFrame, cell: float) -> DataFrame:
+    """``(point, voxel, dist)``: the nearest voxel of each grid point, if it is at most ``cell`` away.
+
+    It is found among the point's cell and the cells around it. Points without one are
+    left out; :func:`nearest_points` finds the nearest at any distance.
+    """
+    got = _around(_placed(grid, "point").distinct(), _placed(voxels, "voxel").withColumnRenamed("voxel", "target"), cell)
+    return got.where(F.col("m.dist") <= cell).select("point", F.col("m.target").alias("voxel"), F.col("m.dist").alias("dist"))
 
 
 def hour_of(df: DataFrame, seconds: str, length: float = 3600.0, out: str = "hour") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .selection import order_statistics
+
 
 def nan_mean(value: str) -> Column:
     return F.avg(F.when(~F.isnan(value), F.col(value)))
@@ -33,32 +35,30 @@ def amplitude_area(df: DataFrame, keys: list[str], idx: str, value: str, lo: int
 
 
 def hazen_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """``(keys, p, q)`` with the k-th of n values at ``(k - 0.5) / n``, linear in between.
+    """``(keys, p, q)`` with the k-th of n values at ``(k - 0.5) / n``, linear in between. Null and NaN do not count.
 
-    Two ranks are picked out of each group for each probability; nothing is collected.
+    The two ranks of each probability come from :func:`.selection.order_statistics`; no group is sorted.
     """
-    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("v_"))
-    d = d.withColumns({"r_": F.row_number().over(W.partitionBy(*keys).orderBy("v_")), "n_": F.count("*").over(W.partitionBy(*keys))})
-    at = lambda p: F.greatest(F.lit(1.0), F.least(F.col("n_").cast("double"), p * F.col("n_") + 0.5))
-    wanted = F.array(*[F.lit(float(x)) for x in probs])
-    # the few ranks that any probability needs, before rows are repeated for each
-    d = d.where(F.exists(wanted, lambda p: (F.col("r_") == F.floor(at(p))) | (F.col("r_") == F.ceil(at(p)))))
-    d = d.select("*", F.explode(wanted).alias("p")).withColumn("at_", at(F.col("p")))
-    near = d.where((F.col("r_") == F.floor("at_")) | (F.col("r_") == F.ceil("at_")))
-    g = near.groupBy(*keys, "p").agg(F.min_by("v_", "r_").alias("a_"), F.max_by("v_", "r_").alias("b_"), F.first("at_").alias("at_"))
-    return g.select(*keys, "p", (F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("at_") - F.floor("at_"))).alias("q"))
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    at = lambda n, p: F.greatest(F.lit(1.0), F.least(n.cast("double"), F.lit(float(p)) * n + 0.5))
+    got = order_statistics(d, keys, value, lambda n: [f(at(n, p)) for p in probs for f in (F.floor, F.ceil)])
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col("values")[2 * i].alias("a"), F.col("values")[2 * i + 1].alias("b"), at(F.col("n"), p).alias("at")) for i, p in enumerate(probs)])
+    g = got.select(*keys, F.explode(rows).alias("r"))
+    return g.select(*keys, F.col("r.p").alias("p"), (F.col("r.a") + (F.col("r.b") - F.col("r.a")) * (F.col("r.at") - F.floor("r.at"))).alias("q"))
 
 
 def median_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median and the order statistics that bound it at 95 %, by ranks."""
-    d = df.where(F.col(value).isNotNull()).withColumns({
-        "r_": F.row_number().over(W.partitionBy(*keys).orderBy(value)), "n_": F.count("*").over(W.partitionBy(*keys))
-    })
-    half = 1.96 * F.sqrt(F.col("n_"))
-    lo = F.greatest(F.lit(0), F.floor((F.col("n_") - half) / 2)) + 1
-    hi = F.least(F.col("n_") - 1, F.ceil(1 + (F.col("n_") + half) / 2)) + 1
-    mid = F.avg(F.when((F.col("r_") == F.floor((F.col("n_") + 1) / 2)) | (F.col("r_") == F.ceil((F.col("n_") + 1) / 2)), F.col(value)))
-    return d.groupBy(*keys).agg(mid.alias("median"), F.max(F.when(F.col("r_") == lo, F.col(value))).alias("lo"), F.max(F.when(F.col("r_") == hi, F.col(value))).alias("hi"), F.count("*").alias("n"))
+    """Median and the order statistics that bound it at 95 %, by ranks. Null does not count."""
+
+    def ranks(n: Column) -> list[Column]:
+        half = 1.96 * F.sqrt(n)
+        lo = F.greatest(F.lit(0), F.floor((n - half) / 2)) + 1
+        hi = F.least(n - 1, F.ceil(1 + (n + half) / 2)) + 1
+        return [F.floor((n + 1) / 2), F.ceil((n + 1) / 2), lo, hi]
+
+    got = order_statistics(df.where(F.col(value).isNotNull()), keys, value, ranks)
+    v = F.col("values")
+    return got.select(*keys, ((v[0] + v[1]) / 2).alias("median"), v[2].alias("lo"), v[3].alias("hi"), "n")
 
 
 def signal_stats(df: DataFrame, keys: list[str], value: str, trim: float = 0.05) -> DataFrame:
@@ -306,11 +306,14 @@ def strongest_surrogate(df: DataFrame, replicate: str, statistic: str) -> DataFr
 
 
 def surrogate_interval(df: DataFrame, keys: list[str], surrogate: str, alpha: float) -> DataFrame:
-    """Order statistics that leave ``round(alpha / 2 * n)`` of the ``n`` surrogates on each side."""
-    d = df.withColumns({"r_": F.row_number().over(W.partitionBy(*keys).orderBy(surrogate)), "n_": F.count("*").over(W.partitionBy(*keys))})
-    out = F.round(F.lit(alpha / 2) * F.col("n_"))
-    lo, hi = F.least(F.col("n_"), out + 1), F.greatest(F.lit(1), F.col("n_") - out)
-    return d.groupBy(*keys).agg(F.max(F.when(F.col("r_") == lo, F.col(surrogate))).alias("lo"), F.max(F.when(F.col("r_") == hi, F.col(surrogate))).alias("hi"))
+    """Order statistics that leave ``round(alpha / 2 * n)`` of the ``n`` surrogates on each side. Null does not count."""
+
+    def ranks(n: Column) -> list[Column]:
+        out = F.round(F.lit(alpha / 2) * n)
+        return [F.least(n, out + 1), F.greatest(F.lit(1), n - out)]
+
+    got = order_statistics(df.where(F.col(surrogate).isNotNull()), keys, surrogate, ranks)
+    return got.select(*keys, F.col("values")[0].alias("lo"), F.col("values")[1].alias("hi"))
 
 
 def rank_sum(df: DataFrame, keys: list[str], group: str, a: object, b: object, value: str) -> DataFrame:

@@ -74,18 +74,30 @@ def _sign(m: int, tables: int, seed: int) -> str:
     return "[" + ", ".join(" || ".join(f"CASE WHEN list_dot_product(vec, {r}::DOUBLE[]) >= 0 THEN '1' ELSE '0' END" for r in bits) for bits in Q.SIGN.parameters(m, tables, seed)) + "]"
 
 
-def _lsh(keys: str) -> tuple[str, str]:
+def _probed(key: str, m: int) -> str:
+    """The key and those that differ in one bit."""
+    return f"[{key}" + "".join(f", substr({key}, 1, {i - 1}) || CASE substr({key}, {i}, 1) WHEN '1' THEN '0' ELSE '1' END || substr({key}, {i + 1})" for i in range(1, m + 1)) + "]"
+
+
+def _lsh(keys: str, probes_of: int = 0) -> tuple[str, str]:
+    """``probes_of``: the bits of a key if queries look one bit around."""
     ctes = f""", h AS (SELECT id, vec, {keys} AS ks FROM p),
 hb AS (SELECT id, vec, unnest(range(len(ks))) AS tbl, unnest(ks) AS key FROM h)"""
-    return ctes, "SELECT DISTINCT q.id AS qid, b.id FROM hb q JOIN hb b USING (tbl, key) WHERE q.id % 20 = 0 AND q.id <> b.id"
+    q = "hb"
+    if probes_of:
+        ctes += f", hq AS (SELECT id, tbl, unnest({_probed('key', probes_of)}) AS key FROM hb WHERE id % 20 = 0)"
+        q = "hq"
+    return ctes, f"SELECT DISTINCT q.id AS qid, b.id FROM {q} q JOIN hb b USING (tbl, key) WHERE q.id % 20 = 0 AND q.id <> b.id"
 
 
 def _slsh() -> str:
-    ctes, _ = _lsh(_axis(6, 8, 7))
-    ctes += f""", big AS (SELECT tbl, key FROM hb GROUP BY tbl, key HAVING count(*) >= 0.02 * (SELECT count(*) FROM p)),
-inn AS (SELECT id, tbl, key, unnest(range(4)) AS it, unnest({_sign(3, 4, 8)}) AS ik FROM hb JOIN big USING (tbl, key))"""
+    y = Q.LAYERS
+    ctes, _ = _lsh(_axis(y.m_out, y.l_out, y.seed))
+    ctes += f""", big AS (SELECT tbl, key FROM hb GROUP BY tbl, key HAVING count(*) >= {y.alpha} * (SELECT count(*) FROM p)),
+inn AS (SELECT id, tbl, key, unnest(range({y.l_in})) AS it, unnest({_sign(y.m_in, y.l_in, y.seed + 1)}) AS ik FROM hb JOIN big USING (tbl, key)),
+inq AS (SELECT id, tbl, key, it, unnest({_probed('ik', y.m_in)}) AS ik FROM inn WHERE id % 20 = 0)"""
     pairs = """SELECT q.id AS qid, b.id FROM hb q JOIN hb b ON q.tbl = b.tbl AND q.key = b.key WHERE (q.tbl, q.key) NOT IN (SELECT tbl, key FROM big) AND q.id % 20 = 0 AND q.id <> b.id
-UNION SELECT q.id, b.id FROM inn q JOIN inn b USING (tbl, key, it, ik) WHERE q.id % 20 = 0 AND q.id <> b.id"""
+UNION SELECT q.id, b.id FROM inq q JOIN inn b USING (tbl, key, it, ik) WHERE q.id <> b.id"""
     return _knn(L1, 5, pairs, ctes) + TOP
 
 
@@ -129,6 +141,9 @@ CHAN = f"{E}, c AS (SELECT user_id, channel, avg(v) AS v FROM e GROUP BY user_id
 
 ORACLES: dict[str, str] = {
     "bsr_episodes": f"WITH {EPISODES} SELECT user_id, start_idx, end_idx, n FROM eps",
+    "vector_covariance": """WITH v AS (SELECT vec_id AS id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM v)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, count(*) AS n, round(sum(a.x * b.x) / (count(*) - 1), 6) AS cov FROM c a JOIN c b ON a.id = b.id AND a.i <= b.i GROUP BY a.i, b.i""",
+    "late_ema": f"WITH {EMA} SELECT user_id, i, round(mu, 6) AS mu, round(s, 6) AS variance FROM r",
     "ema_variance": f"WITH {EMA} SELECT user_id, i, round(mu, 6) AS mu, round(s, 6) AS variance FROM r",
     "ema_variance_fold": f"WITH {EMA} SELECT user_id, i, round(s, 6) AS variance FROM r",
     "suppression_ratio": f"""WITH {E}, z AS (SELECT *, CASE WHEN v > 40 THEN 1 ELSE 0 END AS z, CASE WHEN v > 250 THEN 1 ELSE 0 END AS art FROM e)
@@ -280,8 +295,10 @@ SELECT t, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg(a -
     "knn_euclidean": _knn(L2) + TOP,
     "knn_cosine": _knn(COS) + TOP,
     "lsh_knn": _knn(L1, 5, *reversed(_lsh(_axis(6, 8, 7)))) + TOP,
-    "lsh_cosine_knn": _knn(COS, 5, *reversed(_lsh(_sign(6, 4, 7)))) + TOP,
+    "lsh_cosine_knn": _knn(COS, 5, *reversed(_lsh(_sign(*Q.COSINE[:2], 7), Q.COSINE[0]))) + TOP,
     "slsh_knn": _slsh(),
+    "indexed_knn": _slsh(),
+    "streamed_knn": _slsh(),
     "heavy_buckets": "WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)" + _lsh(_axis(6, 8, 7))[0] + " SELECT tbl, key, count(*) AS n FROM hb GROUP BY tbl, key HAVING count(*) >= 0.02 * (SELECT count(*) FROM p)",
     "candidate_counts": "WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)" + _lsh(_axis(6, 8, 7))[0] + ", c AS (" + _lsh(_axis(6, 8, 7))[1] + ") SELECT qid, count(*) AS comparisons FROM c GROUP BY qid",
     "knn_vote": _knn(L1) + "SELECT qid, CASE WHEN sum(CASE WHEN label = 1 THEN 5 ELSE 0 END) >= sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END AS pred FROM k JOIN p USING (id) WHERE rank <= 5 GROUP BY qid",

@@ -14,12 +14,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import distance, names
-from ..operators import averages, detect, events, knn, montage, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
+from ..operators import averages, decompose, detect, events, knn, montage, neighbours, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
+from ..storage import exists, new_folder
+from ..streaming import ordered, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 BETA, THRESHOLD, WINDOW = 0.8, 1200.0, 10
+#: Micro-batches of the streamed samples.
+LATE_BATCHES = 3
 
 
 def query(fn: Query) -> Query:
@@ -629,11 +633,33 @@ def slowest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(r6("median"), "workers", "n")
 
 
+@query
+def late_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ema_variance`` over a stream in which samples overtake each other by up to an hour."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("v"))
+    e = e.where("user_id is not null and ts is not null and v is not null")
+    arrives = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
+    lo, hi = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")) + 3_600_000_000).first()  # type: ignore[misc]
+    batch = F.floor((arrives - F.lit(lo)) * LATE_BATCHES / F.lit((hi or 0) - (lo or 0) + 1))
+    queue, out, progress = (new_folder(spark, x) for x in ("late", "ordered", "progress"))
+    ordered.needs_state_store(spark)
+    for k in range(LATE_BATCHES + 1):
+        part = e.where(batch == k) if k < LATE_BATCHES else ordered.end_marker(e, ["user_id"], "ts")
+        part.write.mode("append").parquet(queue)
+        # what has come is one micro-batch; each run goes on from the state that the one before has stored
+        rows = ordered.ordered_ema_stream(spark.readStream.schema(e.schema).parquet(queue), ["user_id"], "ts", "event_id", "v", BETA, THRESHOLD, "1 hour")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select("user_id", "i", r6("mu"), r6("var", "variance"))
+
+
 # ------------------------------------------------------------------ neighbours
 
 DIM = 64
 AXIS = knn.AxisHash((-0.3,) * DIM, (0.3,) * DIM)
 SIGN = knn.SignHash(DIM)
+#: Bits and tables by recall on the tables of tests, with the probes of queries.
+COSINE = (6, 10, 1)
+LAYERS = knn.TwoLayers(AXIS, SIGN, 6, 12, 4, 6, 0.02, probes=1)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -669,13 +695,49 @@ def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lsh_cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = vectors(spark, sf_dir)
-    return knn.lsh_knn(p, q, SIGN, 6, 4, 5, "cosine").select("qid", "rank", "id", r6("dist"))
+    return knn.lsh_knn(p, q, SIGN, *COSINE[:2], 5, "cosine", probes=COSINE[2]).select("qid", "rank", "id", r6("dist"))
 
 
 @query
 def slsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = vectors(spark, sf_dir)
-    return knn.slsh_knn(p, q, AXIS, SIGN, 6, 8, 3, 4, 0.02, 5).select("qid", "rank", "id", r6("dist"))
+    return knn.slsh_knn(p, q, LAYERS, 5).select("qid", "rank", "id", r6("dist"))
+
+
+def three_parts(p: DataFrame) -> list[DataFrame]:
+    """The table in three parts by a hash of the id."""
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    return [p.where(part == k) for k in range(3)]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> neighbours.NeighbourIndex:
+    """An index of all embeddings: built of a third, the others appended one after the other."""
+    p, _ = vectors(spark, sf_dir)
+    first, *rest = three_parts(p.select("id", "vec"))
+    index = neighbours.NeighbourIndex.create(spark, new_folder(spark, "index"), LAYERS, parts=16)
+    for part in (first, *rest):
+        index.append(part)
+    return index
+
+
+@query
+def indexed_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from a stored index that grew by appends."""
+    _, q = vectors(spark, sf_dir)
+    return stored_index(spark, sf_dir).nearest(q, 5).select("qid", "rank", "id", r6("dist"))
+
+
+@query
+def streamed_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries as a stream, each micro-batch answered from the stored index as it is then."""
+    index = stored_index(spark, sf_dir)
+    queue, out = new_folder(spark, "queue"), new_folder(spark, "answers")
+    vectors(spark, sf_dir)[1].repartition(4, "qid").write.parquet(queue)
+    stream = spark.readStream.schema("qid long, qvec array<double>").option("maxFilesPerTrigger", 2).parquet(queue)
+    run = stateful.serve_queries(stream, lambda b: index.nearest(b, 5), lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    run.option("checkpointLocation", new_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("qid long, rank int, id long, dist double").parquet(f"{out}/*") if exists(spark, out) else index.nearest(vectors(spark, sf_dir)[1], 5)
+    return got.select("qid", "rank", "id", r6("dist"))
 
 
 @query
@@ -709,6 +771,45 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", r6(distance.norm2(F.col("vec")), "norm2"), r6(distance.unit(F.col("vec"))[0], "first"))
 
 
+# ------------------------------------------------------------------ decompositions
+
+
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+@query
+def vector_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariance of all pairs of the vectors' numbers, from products summed in blocks of rows."""
+    m = decompose.moments(embedding_rows(spark, sf_dir))
+    rows = [(i + 1, j + 1, m.n, float(m.cov[i, j])) for i in range(len(m.mean)) for j in range(i, len(m.mean))]
+    return spark.createDataFrame(rows, "i int, j int, n long, cov double").select("i", "j", "n", r6("cov"))
+
+
+@query
+def principal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector on the first three principal components."""
+    rows = embedding_rows(spark, sf_dir)
+    c = decompose.principal_components(rows, 3)
+    return decompose.projected(rows, c.axes, c.mean).select("id", *[r6(F.col("vec")[k], f"c{k + 1}") for k in range(3)])
+
+
+@query
+def sphered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared length of each vector after sphering."""
+    rows = embedding_rows(spark, sf_dir)
+    m = decompose.moments(rows)
+    got = decompose.projected(rows, decompose.sphering(rows), m.mean)
+    return got.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), "length2"))
+
+
+@query
+def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after Lloyd's algorithm from the first ten."""
+    rows = embedding_rows(spark, sf_dir)
+    return decompose.clustered(rows, decompose.kmeans(rows, 10)).select("id", "cluster", r6("d2"))
+
+
 # ------------------------------------------------------------------ pairs
 
 
