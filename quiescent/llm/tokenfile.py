@@ -10,6 +10,7 @@ enough that the column and page indexes leave most of them unread.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -37,6 +38,8 @@ LONGEST = 64
 CHUNK = 1 << 18
 #: Marks that begin a new word of the tokenizer behind a letter; an apostrophe may not.
 MARKS = ".,;:!?*$&"
+#: Small Latin letters, which the tokenizer neither changes nor splits before its model.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true"},
     "delta": {"parquet.enable.dictionary": "true", "parquet.enable.dictionary#ids.list.element": "false", "parquet.writer.version": "PARQUET_2_0"},
@@ -85,11 +88,15 @@ class WordEncoder:
         """Ids of words. Of a word of Latin letters, and marks behind it, the letters go to the model at once, for nothing about them is changed or split before."""
         odd: list[str] = []
         got: dict[str, bytes] = {}
+        known, tokenize = self.known, self.model.tokenize
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha() and core[-1] < "\u0100" and max(core) < "\u0100" and core.islower():
-                ids = [t.id for t in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))]
-                got[w] = pack(f"<{len(ids)}I", *ids) + (self._tail(w[len(core) :]) if core is not w else b"")
+            if LETTERS(core):
+                raw = known.get(core) if core is not w else None
+                if raw is None:
+                    ids = [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))]
+                    raw = pack(f"<{len(ids)}I", *ids)
+                got[w] = raw + self._tail(w[len(core) :]) if core is not w else raw
             else:
                 odd.append(w)
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
