@@ -12,8 +12,9 @@ from ..functions import kernels as K
 from ..functions import names
 from ..operators import averages, detect, events, montage, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
 from ..sources import edf, tables
+from ..storage import new_folder
 from ..streaming import stateful
-from .queries import markers, query, r6, samples, spans, table, trials
+from .queries import BETA, markers, query, r6, samples, spans, table, trials
 
 #: SQL by query.
 SQL: dict[str, str] = {}
@@ -24,23 +25,29 @@ CHAN = f"{E}, c AS (SELECT user_id, channel, avg(v) AS v FROM e GROUP BY user_id
 
 # ------------------------------------------------------------------ EDF
 
-RATE, LIMIT = 10, 100.0
+RATE, LIMIT, EDF_THRESHOLD = 10, 100.0, 150.0
 
 
-@query
-def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's channels as the bytes of an EDF file, read back."""
-    s = samples(spark, sf_dir).select("user_id", "channel", "i", "v")
+def edf_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an EDF file for each user, written in stretches of four seconds."""
+    s = samples(spark, sf_dir).select(F.col("user_id").cast("string").alias("rec_id"), "channel", "i", "v", "ts")
+    about = s.groupBy("rec_id").agg(F.concat(F.lit("p"), F.first("rec_id")).alias("patient"), F.date_trunc("second", F.min("ts")).alias("start"))
+    folder = new_folder(spark, "edf").removeprefix("file://")
+    edf.save_edf(s, folder, RATE, about, LIMIT, per_task=4)
+    return folder
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="channel", columns="i", values="v").fillna(0.0)
-        raw = edf.encode(m.to_numpy(float), RATE, list(m.index), limit=LIMIT)
-        h = edf.parse_header(raw)
-        out = [pd.DataFrame({"channel": h.signals[k]["label"], "i": i, "v": v}) for k, i, v in edf.decode(raw[h.header_bytes :], h, 0, list(range(len(h.signals))))]
-        return pd.concat(out).assign(user_id=pdf["user_id"].iloc[0], records=h.records_in(len(raw)))[["user_id", "channel", "i", "v", "records"]]
 
-    got = s.groupBy("user_id").applyInPandas(run, "user_id long, channel string, i long, v double, records long")
-    return got.select("user_id", "channel", "i", (F.round("v", 6) + 0.0).alias("v"), "records")
+def edf_samples(spark: SparkSession, folder: str) -> DataFrame:
+    edf.register(spark)
+    return spark.read.format("edf").option("recordsPerTask", "64").load(folder).select(F.col("rec_id").cast("long").alias("user_id"), "channel", "i", "v")
+
+
+@query
+def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's channels written to an EDF file by several tasks and read back by the data source."""
+    folder = edf_files(spark, sf_dir)
+    n = edf.read_headers(spark, folder).select(F.col("rec_id").cast("long").alias("user_id"), F.col("n_records").alias("records"))
+    return edf_samples(spark, folder).join(n, "user_id").select("user_id", "channel", "i", (F.round("v", 6) + 0.0).alias("v"), "records")
 
 
 SQL["edf_roundtrip"] = f"""WITH {E}, n AS (SELECT user_id, CAST(ceil(max(i) / {RATE}.0) AS BIGINT) AS records FROM e GROUP BY user_id), ch AS (SELECT DISTINCT user_id, channel FROM e),
@@ -53,22 +60,32 @@ SELECT user_id, channel, i, round(dig * ({2 * LIMIT}::DOUBLE / 4095) + ({LIMIT}:
 @query
 def edf_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, records and signals in the header of each user's file."""
-    s = samples(spark, sf_dir).groupBy("user_id").agg(F.max("i").alias("n"), F.min("ts").alias("start"), F.array_sort(F.collect_set("channel")).alias("channels"))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            rows = []
-            for u, n, start, ch in b.itertuples(index=False, name=None):
-                h = edf.parse_header(edf.encode(np.zeros((len(ch), n)), RATE, list(ch), patient=f"p{u}", start=start))
-                rows.append((u, h.fields["patient_id"], str(h.start()), h.header_bytes, int(h.fields["n_records"]), ",".join(x["label"] for x in h.signals)))
-            yield pd.DataFrame(rows, columns=["user_id", "patient", "start", "header_bytes", "n_records", "labels"])
-
-    return s.withColumn("start", F.date_trunc("second", "start")).mapInPandas(run, "user_id long, patient string, start string, header_bytes long, n_records long, labels string")
+    h = edf.read_headers(spark, edf_files(spark, sf_dir))
+    size = (256 * (1 + F.size("signals"))).cast("long")
+    return h.select(F.col("rec_id").cast("long").alias("user_id"), F.col("patient_id").alias("patient"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), size.alias("header_bytes"), "n_records", F.array_join("signals.label", ",").alias("labels"))
 
 
 SQL["edf_headers"] = f"""WITH {E}, g AS (SELECT user_id, max(i) AS n, min(ts) AS ts, list_sort(list(DISTINCT channel)) AS ch FROM e GROUP BY user_id)
 SELECT user_id, 'p' || user_id AS patient, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(256 * (1 + len(ch)) AS BIGINT) AS header_bytes, CAST(ceil(n / {RATE}.0) AS BIGINT) AS n_records, array_to_string(ch, ',') AS labels FROM g"""
 
+
+
+@query
+def edf_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From EDF files to bursts: parsed, labelled by the moving variance of each channel, and made ranges."""
+    s = recursive.ema_variance(edf_samples(spark, edf_files(spark, sf_dir)), ["user_id", "channel"], "i", "v", BETA)
+    return ranges.index_ranges(s.where(F.col("var") > EDF_THRESHOLD), ["user_id", "channel"], "i", 2).select("user_id", "channel", "start_idx", "end_idx", "n")
+
+
+SQL["edf_bursts"] = f"""WITH RECURSIVE {SQL["edf_roundtrip"].removeprefix("WITH ").rpartition("SELECT")[0].rstrip()},
+x AS (SELECT user_id, channel, i, dig * ({2 * LIMIT}::DOUBLE / 4095) + ({LIMIT}::DOUBLE - {2 * LIMIT}::DOUBLE / 4095 * 2047) AS v FROM d),
+rr AS (SELECT user_id, channel, i, v::DOUBLE AS mu, 0.0::DOUBLE AS s FROM x WHERE i = 1
+ UNION ALL SELECT x.user_id, x.channel, x.i, {BETA} * rr.mu + {1 - BETA!r} * x.v, {BETA} * rr.s + {1 - BETA!r} * pow(x.v - ({BETA} * rr.mu + {1 - BETA!r} * x.v), 2)
+ FROM rr JOIN x ON x.user_id = rr.user_id AND x.channel = rr.channel AND x.i = rr.i + 1),
+b AS (SELECT *, CASE WHEN i - lag(i) OVER w > 2 THEN 1 ELSE 0 END AS brk FROM rr WHERE s > {EDF_THRESHOLD} WINDOW w AS (PARTITION BY user_id, channel ORDER BY i)),
+k AS (SELECT *, sum(brk) OVER (PARTITION BY user_id, channel ORDER BY i) AS k FROM b)
+SELECT user_id, channel, min(i) AS start_idx, max(i) AS end_idx, count(*) AS n FROM k GROUP BY user_id, channel, k.k"""
+
 # ------------------------------------------------------------------ channels
 
 LABELS = {"click": "EEG Fp1-Ref", "view": "T7", "purchase": " cz ", "error": "ECG", "signup": "eeg O2-ref2"}

@@ -12,6 +12,8 @@ from __future__ import annotations
 import glob
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Widths of the header's fields, the file's and each signal's.
 FILE_FIELDS = (("version", 8), ("patient_id", 80), ("record_id", 80), ("start_date", 8), ("start_time", 8), ("header_bytes", 8), ("reserved", 44), ("n_records", 8), ("record_seconds", 8), ("n_signals", 4))
@@ -107,7 +109,7 @@ def _batch(rec: str, h: Header, raw: bytes, first: int, wanted: list[int]) -> It
     for k, i, v in decode(raw, h, first, wanted):
         n = len(v)
         rate = float(h.samples[k]) / h.record_seconds
-        cols = [pa.array([rec] * n), pa.array([h.signals[k]["label"]] * n), pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, rate)), pa.array(i.astype(np.int64)), pa.array(v)]
+        cols = [pa.repeat(rec, n), pa.repeat(h.signals[k]["label"], n), pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, rate)), pa.array(i.astype(np.int64)), pa.array(v)]
         yield pa.RecordBatch.from_arrays(cols, schema=kind)
 
 
@@ -166,7 +168,8 @@ class EdfSource(DataSource):
     """``spark.read.format("edf").option("signals", "Fp1,F3").load(path)``.
 
     Options: ``signals`` (labels, of which only word characters count, or numbers), ``recordsPerTask``, and ``records`` =
-    ``header`` to believe the header's count of records.
+    ``header`` to believe the header's count of records. Writing takes rows of
+    :data:`RANGES` and the options ``srate`` and ``limit``; see :func:`save_edf`.
     """
 
     @classmethod
@@ -179,6 +182,9 @@ class EdfSource(DataSource):
     def reader(self, schema: object) -> EdfReader:
         return EdfReader(dict(self.options))
 
+    def writer(self, schema: object, overwrite: bool) -> EdfWriter:
+        return EdfWriter(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(EdfSource)
@@ -217,20 +223,138 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return names.mapInPandas(run, schema)
 
 
-def encode(data: np.ndarray, srate: int, labels: list[str], patient: str = "X", record: str = "X", start: datetime | None = None, limit: float = 100.0) -> bytes:
-    """An EDF file of ``(channel, time)`` data in 1-second records: clipped at ``limit``, 12 bits, the last record filled with zeros."""
-    n = -(-data.shape[1] // srate) if data.shape[1] else 0
+def encode_header(n_records: int, srate: int, labels: list[str], patient: str = "X", record: str = "X", start: datetime | None = None, limit: float = 100.0) -> bytes:
+    """The header of a file of 1-second records of 12 bits between ``-limit`` and ``limit``."""
     start = start or datetime(2000, 1, 1)
     cell = lambda x, w: str(x).encode("latin-1", "replace")[:w].ljust(w)
-    values = {"version": "0", "patient_id": patient, "record_id": record, "start_date": start.strftime("%d.%m.%y"), "start_time": start.strftime("%H.%M.%S"), "header_bytes": 256 * (1 + len(labels)), "reserved": "", "n_records": n, "record_seconds": 1, "n_signals": len(labels)}
+    values = {"version": "0", "patient_id": patient, "record_id": record, "start_date": start.strftime("%d.%m.%y"), "start_time": start.strftime("%H.%M.%S"), "header_bytes": 256 * (1 + len(labels)), "reserved": "", "n_records": n_records, "record_seconds": 1, "n_signals": len(labels)}
     head = b"".join(cell(values[k], w) for k, w in FILE_FIELDS)
     per = {"transducer": "", "units": "uV", "phys_min": f"{-limit:g}", "phys_max": f"{limit:g}", "dig_min": -2048, "dig_max": 2047, "prefilter": "", "samples": srate, "reserved": ""}
     for k, w in SIGNAL_FIELDS:
         head += b"".join(cell(labels[i] if k == "label" else per[k], w) for i in range(len(labels)))
-    full = np.zeros((len(labels), n * srate))
+    return head
+
+
+def encode_records(data: np.ndarray, srate: int, limit: float = 100.0) -> bytes:
+    """Records of ``(channel, time)`` data: clipped at ``limit``, the last one filled with zeros."""
+    n = -(-data.shape[1] // srate) if data.shape[1] else 0
+    full = np.zeros((len(data), n * srate))
     full[:, : data.shape[1]] = np.clip(data, -limit, limit)
     dig = np.clip(np.round((full + limit) / (2 * limit) * 4095 - 2048), -2048, 2047).astype("<i2")
-    return head + dig.reshape(len(labels), n, srate).transpose(1, 0, 2).tobytes()
+    return dig.reshape(len(data), n, srate).transpose(1, 0, 2).tobytes()
+
+
+def encode(data: np.ndarray, srate: int, labels: list[str], patient: str = "X", record: str = "X", start: datetime | None = None, limit: float = 100.0) -> bytes:
+    """An EDF file of ``(channel, time)`` data in 1-second records: clipped at ``limit``, 12 bits, the last record filled with zeros."""
+    n = -(-data.shape[1] // srate) if data.shape[1] else 0
+    return encode_header(n, srate, labels, patient, record, start, limit) + encode_records(data, srate, limit)
+
+
+#: Columns the sink takes: a stretch of records of a recording, and what the recording's header needs.
+RANGES = "rec_id string, first bigint, count bigint, body binary, n_records bigint, labels array<string>, patient string, start timestamp_ntz"
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """Records by recording that a task has written."""
+
+    counts: dict[str, int]
+    wanted: dict[str, int]
+
+
+class EdfWriter(DataSourceArrowWriter):
+    """Writes stretches of records to their places in files that nobody sees before the commit.
+
+    A recording's header says where each record belongs, so tasks write into one file
+    side by side, and one that runs again writes the same bytes to the same places.
+    The commit counts the records of each recording, then renames the files; where a task
+    fails for good, or records are missing, they are deleted and earlier files stay.
+    """
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.folder = options["path"].removeprefix("file://").removeprefix("file:")
+        self.srate, self.limit = int(options["srate"]), float(options.get("limit", 100.0))
+        self.hidden = os.path.join(self.folder, f".edf-{uuid.uuid4().hex}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        counts: dict[str, int] = {}
+        wanted: dict[str, int] = {}
+        os.makedirs(self.hidden, exist_ok=True)
+        for b in iterator:
+            for r in b.to_pylist():
+                head = encode_header(r["n_records"], self.srate, r["labels"], r["patient"] or "X", r["rec_id"], r["start"], self.limit)
+                size = 2 * self.srate * len(r["labels"])
+                if len(r["body"]) != size * r["count"]:
+                    raise ValueError(f"{r['rec_id']}: {len(r['body'])} bytes for {r['count']} records")
+                fd = os.open(os.path.join(self.hidden, f"{r['rec_id']}.edf"), os.O_RDWR | os.O_CREAT, 0o644)
+                try:
+                    os.pwrite(fd, head, 0)
+                    os.pwrite(fd, r["body"], len(head) + size * r["first"])
+                finally:
+                    os.close(fd)
+                counts[r["rec_id"]] = counts.get(r["rec_id"], 0) + r["count"]
+                wanted[r["rec_id"]] = r["n_records"]
+        return _Written(counts, wanted)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        counts: dict[str, int] = {}
+        wanted: dict[str, int] = {}
+        for m in messages:
+            for rec, n in (m.counts if m else {}).items():
+                counts[rec] = counts.get(rec, 0) + n
+                wanted[rec] = m.wanted[rec]
+        short = sorted(r for r in counts if counts[r] != wanted[r])
+        if short:
+            self.abort(messages)
+            raise ValueError(f"records are missing or double: {short[:5]}")
+        for rec in counts:
+            os.replace(os.path.join(self.hidden, f"{rec}.edf"), os.path.join(self.folder, f"{rec}.edf"))
+        shutil.rmtree(self.hidden, ignore_errors=True)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        shutil.rmtree(self.hidden, ignore_errors=True)
+
+
+def record_ranges(samples: DataFrame, srate: int, about: DataFrame | None = None, limit: float = 100.0, per_task: int = RECORDS_PER_TASK) -> DataFrame:
+    """``samples(rec_id, channel, i, v)`` to rows of :data:`RANGES`, a row for each ``per_task`` records of a recording.
+
+    ``i`` counts from 1. Samples that are not there, and those of channels that stop
+    early, are 0. ``about(rec_id, patient, start)`` goes to the headers. No task has more
+    of a recording than such a stretch. Rows with a null in one of the first three are left out.
+    """
+    s = samples.where("rec_id is not null and channel is not null and i >= 1").select(F.col("rec_id").cast("string").alias("rec_id"), "channel", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    rec = s.groupBy("rec_id").agg(F.ceil(F.max("i") / srate).cast("long").alias("n_records"), F.array_sort(F.collect_set("channel")).alias("labels"))
+    if about is not None:
+        rec = rec.join(about.select(F.col("rec_id").cast("string").alias("rec_id"), "patient", F.col("start").cast("timestamp_ntz").alias("start")), "rec_id", "left")
+    else:
+        rec = rec.withColumns({"patient": F.lit(None).cast("string"), "start": F.lit(None).cast("timestamp_ntz")})
+    size = per_task * srate
+    # every stretch, those without samples too
+    grid = rec.withColumn("c_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_records") - 1) / per_task))))
+    own = s.withColumn("c_", F.floor((F.col("i") - 1) / size)).groupBy("rec_id", "c_", "channel").agg(F.collect_list(F.struct("i", "v")).alias("s"))
+    own = own.groupBy("rec_id", "c_").agg(F.collect_list(F.struct("channel", "s")).alias("channels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                n = min(per_task, r["n_records"] - r["c_"] * per_task)
+                data = np.zeros((len(r["labels"]), n * srate))
+                for c in r["channels"] or []:
+                    at = np.array([x["i"] for x in c["s"]]) - 1 - r["c_"] * size
+                    data[r["labels"].index(c["channel"]), at] = [0.0 if x["v"] is None else x["v"] for x in c["s"]]
+                row = {"rec_id": r["rec_id"], "first": r["c_"] * per_task, "count": n, "body": encode_records(np.nan_to_num(data), srate, limit), **{k: r[k] for k in ("n_records", "labels", "patient", "start")}}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    kinds = pa.schema([("rec_id", pa.string()), ("first", pa.int64()), ("count", pa.int64()), ("body", pa.binary()), ("n_records", pa.int64()), ("labels", pa.list_(pa.string())), ("patient", pa.string()), ("start", pa.timestamp("us"))])
+    return grid.join(own, ["rec_id", "c_"], "left").mapInArrow(run, RANGES)
+
+
+def save_edf(samples: DataFrame, folder: str, srate: int, about: DataFrame | None = None, limit: float = 100.0, per_task: int = RECORDS_PER_TASK) -> None:
+    """A file for each recording below ``folder``, which all executors must reach; each is written by as many tasks as it has stretches."""
+    register(samples.sparkSession)
+    os.makedirs(folder.removeprefix("file://").removeprefix("file:"), exist_ok=True)
+    rows = record_ranges(samples, srate, about, limit, per_task)
+    rows.write.format("edf").option("srate", srate).option("limit", limit).mode("append").save(folder)
 
 
 def write_edf(samples: DataFrame, folder: str, srate: int, limit: float = 100.0, existing: DataFrame | None = None) -> DataFrame:
