@@ -35,7 +35,7 @@ BLANKS = b" \t"
 TABLE = bytes(ENDS[0] if b in ENDS else 0x20 if b in BLANKS else b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 MARK = ENDS[:1]
 #: Characters of text in a shard.
-SHARD = 12 << 20
+SHARD = 5 << 20
 #: Rows of an Arrow batch of phrases.
 ROWS = 50_000
 #: Bits of the bitmap of frequent pairs, 8 MB whatever the input. More pairs than that make it let more phrases through, and lose none.
