@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 
 def select_events(events: DataFrame, include: Mapping[str, Sequence | tuple] | None = None, omit: Mapping[str, Sequence | tuple] | None = None, inverse: bool = False, rename: str | None = None, type_col: str = "type") -> DataFrame:
     """Events that meet all conditions: a list is membership, a pair ``("range", lo, hi)`` an interval.
@@ -184,3 +186,31 @@ def merge_datasets(first: DataFrame, second: DataFrame, n_first: int, first_ev:
     mark = first_ev.sparkSession.createDataFrame([("boundary", n_first + 0.5, 0.0)], "type string, latency double, duration double")
     e = first_ev.unionByName(second_ev.withColumn("latency", F.col("latency") + n_first), allowMissingColumns=True).unionByName(mark, allowMissingColumns=True)
     return s, e.withColumn("dataset_id", F.lit(dataset_id))
+
+
+def event_lags(epochs: DataFrame, lags: DataFrame, keys: list[str], most: int, trial: str = "trial", t: str = "t", value: str = "v") -> DataFrame:
+    """``(keys, trial, lag)``: one round of alignment. With the ``lags`` so far the trials of a key are averaged; each trial then
+    takes the lag, of those up to ``most`` either way, at which its samples have the largest sum of products with the average.
+
+    A lag moves a trial to earlier times. Of equal sums the smaller lag in size goes
+    first, then the negative one. Null values and times that a trial does not have add nothing.
+    """
+    e = epochs.where(F.col(value).isNotNull()).select(*keys, trial, F.col(t).alias("t_"), F.col(value).cast("double").alias("v_"))
+    moved = e.join(lags.select(*keys, trial, "lag"), [*keys, trial]).withColumn("t_", F.col("t_") - F.col("lag"))
+    template = moved.groupBy(*keys, "t_").agg(F.avg("v_").alias("m_"))
+    tried = e.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("t_", F.col("t_") - F.col("lag"))
+    # a template has a value for each time of an epoch
+    score = tried.join(template, [*keys, "t_"], "left").groupBy(*keys, trial, "lag").agg(F.coalesce(F.round(F.sum(F.col("v_") * F.col("m_")), 9), F.lit(0.0)).alias("s_"))
+    best = score.groupBy(*keys, trial).agg(F.max_by("lag", F.struct("s_", -F.abs("lag"), -F.col("lag"))).alias("lag"))
+    return best.select(*keys, trial, F.col("lag").cast("int").alias("lag"))
+
+
+def align_events(epochs: DataFrame, keys: list[str], most: int, rounds: int = 20, trial: str = "trial", t: str = "t", value: str = "v") -> tuple[DataFrame, int]:
+    """The lags of :func:`event_lags` after so many rounds that none changes, or ``rounds``; and how many there were."""
+    lags = checkpointed(epochs.select(*keys, trial).distinct().withColumn("lag", F.lit(0)), "lags")
+    for k in range(1, rounds + 1):
+        new = checkpointed(event_lags(epochs, lags, keys, most, trial, t, value), "lags")
+        if new.join(lags.withColumnRenamed("lag", "old_"), [*keys, trial]).where("lag <> old_").isEmpty():
+            return new, k
+        lags = new
+    return lags, rounds

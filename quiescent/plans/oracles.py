@@ -141,6 +141,9 @@ CHAN = f"{E}, c AS (SELECT user_id, channel, avg(v) AS v FROM e GROUP BY user_id
 
 ORACLES: dict[str, str] = {
     "bsr_episodes": f"WITH {EPISODES} SELECT user_id, start_idx, end_idx, n FROM eps",
+    "aligned_events": f"""WITH {TRIALS}, m AS (SELECT user_id, t, avg(v) AS m FROM t GROUP BY user_id, t),
+s AS (SELECT t.user_id, t.trial, lag, coalesce(round(sum(t.v * m.m), 9), 0) AS s FROM t CROSS JOIN (SELECT unnest(range(-2, 3)) AS lag) LEFT JOIN m ON m.user_id = t.user_id AND m.t = t.t - lag GROUP BY t.user_id, t.trial, lag)
+SELECT user_id, trial, CAST(lag AS INTEGER) AS lag FROM s QUALIFY row_number() OVER (PARTITION BY user_id, trial ORDER BY s DESC, abs(lag), lag) = 1""",
     "vector_covariance": """WITH v AS (SELECT vec_id AS id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM v)
 SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, count(*) AS n, round(sum(a.x * b.x) / (count(*) - 1), 6) AS cov FROM c a JOIN c b ON a.id = b.id AND a.i <= b.i GROUP BY a.i, b.i""",
     "late_ema": f"WITH {EMA} SELECT user_id, i, round(mu, 6) AS mu, round(s, 6) AS variance FROM r",

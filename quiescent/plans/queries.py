@@ -771,6 +771,20 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", r6(distance.norm2(F.col("vec")), "norm2"), r6(distance.unit(F.col("vec"))[0], "first"))
 
 
+@query
+def aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag at which each trial fits the average of its user's trials best, after one round."""
+    t = trials(spark, sf_dir)
+    return events.event_lags(t, t.select("user_id", "trial").distinct().withColumn("lag", F.lit(0)), ["user_id"], 2)
+
+
+@query
+def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the mean price by return flag, from 40 replicates that share one pass over the rows."""
+    b = stats.poisson_bootstrap(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], 40)
+    return stats.surrogate_interval(b, ["l_returnflag"], "mean", 0.1).select("l_returnflag", r6("lo"), r6("hi"))
+
+
 # ------------------------------------------------------------------ decompositions
 
 
@@ -841,8 +855,8 @@ def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_vector_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = similarity.pair_similarity(segments(spark, sf_dir), ["label"], "xcorr")
-    return similarity.vector_order(p, ["label"]).select("label", "a", "b", F.col("pos").cast("long").alias("pos"))
+    s = segments(spark, sf_dir)
+    return similarity.vector_order(similarity.pair_similarity(s, ["label"], "xcorr"), ["label"], s).select("label", "a", "b", "pos")
 
 
 @query
