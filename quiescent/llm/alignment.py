@@ -38,7 +38,7 @@ MARKS = ".,;:!?*$&"
 CACHE = 150_000
 CHUNK = 1 << 18
 #: Characters of text in a block.
-SIZE = 4 << 20
+SIZE = 3 << 20
 #: A space that begins a new stretch where a text has runs of spaces: the one behind a character that is no white space.
 #: The characters of the Unicode property White_Space.
 WHITE = "\t\n\v\f\r \x85\xa0  -     　"
@@ -220,6 +220,7 @@ def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) ->
             rows = [{"doc_id": i, "n": k, "n_a": s[0], "n_b": s[1], "n_groups": s[2], "n_links": s[3], "groups_sha256": h} for i, k, s, h in zip(ids, lengths.tolist(), sums.tolist(), sha, strict=True)]
             one = {"block": block, "docs": rows, "stretches": inside.astype(np.int32), "n_links": n_links.astype(np.int32), "links": place.astype(np.int32), "keys": keys, "n": n}
             yield pa.RecordBatch.from_pylist([one], schema=kinds)
+        pa.default_memory_pool().release_unused()  # the worker stays, and so would what its batches took
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
