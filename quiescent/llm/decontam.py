@@ -128,7 +128,8 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """A row for each document: ``(doc_id, print, n_words, n_hit, ids)``, ids sorted as texts and null where there are none."""
     tokens = materialize(item_tokens(items), "items")
     n = tokens.count()
-    postings = build_index(docs, tokens.select("term").distinct(), n)
+    terms = materialize(tokens.select("term").distinct(), "terms")
+    postings = build_index(docs, terms, terms.count())
     found = materialize(occurrences(postings, tokens, n, window), "found")
     order = W.partitionBy("row").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     spans = found.select("row", "start", "stop").distinct().withColumn("seen", F.coalesce(F.max("stop").over(order), F.lit(0)))
