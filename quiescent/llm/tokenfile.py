@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -84,30 +84,28 @@ class WordEncoder:
         self.known, self.tails = Kept(CACHE), {}
         self.spelled = {b: c for c, b in byte_of_char().items() if ord(c) != b}
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words. Of a word of Latin letters, and marks behind it, the letters go to the model at once, for nothing about them is changed or split before."""
+    def _learn(self, words: Iterable[str]) -> None:
+        """Ids of new words. Of a word of Latin letters, and marks behind it, the letters go to the model at once, for nothing about them is changed or split before."""
         odd: list[str] = []
-        got: dict[str, bytes] = {}
-        known, tokenize = self.known, self.model.tokenize
+        known, tokenize, letters = self.known, self.model.tokenize, LETTERS
         for w in words:
             core = w.rstrip(MARKS)
-            if LETTERS(core):
+            if letters(core):
                 raw = known.get(core) if core is not w else None
                 if raw is None:
                     ids = [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))]
-                    raw = pack(f"<{len(ids)}I", *ids)
-                got[w] = raw + self._tail(w[len(core) :]) if core is not w else raw
+                    raw = array("I", ids).tobytes()
+                known[w] = raw + self._tail(w[len(core) :]) if core is not w else raw
             else:
                 odd.append(w)
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            got[w] = pack(f"<{len(e.ids)}I", *e.ids)
-        return map(got.__getitem__, words)
+            known[w] = array("I", e.ids).tobytes()
 
     def _tail(self, marks: str) -> bytes:
         got = self.tails.get(marks)
         if got is None:
             ids = self.tokenizer.encode(marks, add_special_tokens=False).ids
-            got = self.tails[marks] = pack(f"<{len(ids)}I", *ids)
+            got = self.tails[marks] = array("I", ids).tobytes()
             if len(self.tails) > CACHE // 8:
                 self.tails = {}
         return got
@@ -116,7 +114,8 @@ class WordEncoder:
         """Words of a text, in lower case where that is one character for one; a text that may hold a special token is taken as it is written."""
         if "<" not in text:
             try:
-                text.encode("latin-1")
+                if not text.isascii():
+                    text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
@@ -130,7 +129,7 @@ class WordEncoder:
         rows = [list(map(known.__getitem__, words)) for words in split]
         new = list(dict.fromkeys(known.missing))
         if new:
-            known.update(zip(new, self._encode(new)))  # noqa: B905
+            self._learn(new)
             for words, row in zip(split, rows, strict=True):
                 i = -1
                 for _ in range(row.count(None)):
@@ -238,7 +237,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
         for b in batches:
             lists = b["ids"]
             ends = np.asarray(lists.offsets)
-            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))).cast("B") if len(lists.values) else b""
+            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).view("<u4"))).cast("B") if len(lists.values) else b""
             sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
