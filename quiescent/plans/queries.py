@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import distance, names
+from ..functions import distance, names, tablefunctions
 from ..operators import averages, decompose, detect, events, knn, montage, neighbours, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
 from ..storage import exists, new_folder
 from ..streaming import ordered, stateful
@@ -89,6 +89,14 @@ def index_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.index_ranges(samples(spark, sf_dir).where("v > 40"), ["user_id"], tol=2)
 
 
+@query
+def ranges_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``index_ranges`` from SQL, by a table function that holds one range at a time."""
+    tablefunctions.register(spark)
+    samples(spark, sf_dir).where("v > 40").select("user_id", "i").createOrReplaceTempView("high_samples")
+    return spark.sql("SELECT user_id, start_idx, end_idx, n FROM index_ranges(TABLE(high_samples), 'user_id', 'i', 2)")
+
+
 @query
 def short_quiet_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).withColumn("z", (F.col("v") > 40).cast("int"))
