@@ -197,7 +197,7 @@ def test_identity_neighbours(spark):
     p = LshParams()
     fam, inner = knn.AxisHash((-5.0,) * d, (5.0,) * d), knn.SignHash(d)
     exact = knn.exact_knn(pts, q, 1).collect()
-    two = knn.slsh_knn(pts, q, fam, inner, p.m_out, p.l_out, p.m_in, p.l_in, p.alpha, 1).collect()
+    two = knn.slsh_knn(pts, q, knn.TwoLayers(fam, inner, p.m_out, p.l_out, p.m_in, p.l_in, p.alpha), 1).collect()
     assert {r.qid: r.id for r in exact} == {1021: 21, 2021: 21}
     assert {r.qid: r.id for r in two} == {1021: 21, 2021: 21}
     v = knn.vote(knn.exact_knn(pts, q, 1), pts.select("id", "label")).collect()
