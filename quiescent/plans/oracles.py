@@ -152,6 +152,7 @@ SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, count(*) AS n, roun
     "suppression_ratio": f"""WITH {E}, z AS (SELECT *, CASE WHEN v > 40 THEN 1 ELSE 0 END AS z, CASE WHEN v > 250 THEN 1 ELSE 0 END AS art FROM e)
 SELECT user_id, i, CASE WHEN sum(art) OVER w = 0 THEN round(1 - avg(z) OVER w, 6) END AS bsr FROM z WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS 9 PRECEDING)""",
     "index_ranges": f"WITH {E}, h AS (SELECT user_id, i FROM e WHERE v > 40), {_islands('h', 'user_id', 'i', 2, 'r')} SELECT * FROM r",
+    "bucketed_ranges": f"WITH {E}, h AS (SELECT user_id, i FROM e WHERE v > 40), {_islands('h', 'user_id', 'i', 2, 'r')} SELECT e.user_id, e.i, start_idx, round(v, 6) AS v FROM e JOIN r ON r.user_id = e.user_id AND e.i BETWEEN start_idx AND end_idx",
     "ranges_by_table_function": f"WITH {E}, h AS (SELECT user_id, i FROM e WHERE v > 40), {_islands('h', 'user_id', 'i', 2, 'r')} SELECT * FROM r",
     "short_quiet_relabelled": f"""WITH {E}, z AS (SELECT user_id, i, CASE WHEN v > 40 THEN 1 ELSE 0 END AS z FROM e),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, z ORDER BY i) AS g FROM z)

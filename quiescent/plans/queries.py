@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance, names, tablefunctions
 from ..operators import averages, decompose, detect, events, knn, montage, neighbours, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
+from ..sources import bucketed
 from ..storage import exists, new_folder
 from ..streaming import ordered, stateful
 
@@ -97,6 +98,18 @@ def ranges_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT user_id, start_idx, end_idx, n FROM index_ranges(TABLE(high_samples), 'user_id', 'i', 2)")
 
 
+@query
+def bucketed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with the range that holds them, from two tables bucketed alike: the join moves no row."""
+    s = samples(spark, sf_dir).select("user_id", "i", "v")
+    r = ranges.index_ranges(s.where("v > 40"), ["user_id"], tol=2).select("user_id", "start_idx", "end_idx")
+    folder = new_folder(spark, "bucketed")
+    mark = folder[-32:]
+    bucketed.save_bucketed(bucketed.with_block(s), f"samples_{mark}", f"{folder}/samples", ["user_id"], 16, ["i"])
+    bucketed.save_bucketed(bucketed.blocks_of_ranges(r), f"ranges_{mark}", f"{folder}/ranges", ["user_id"], 16)
+    return bucketed.in_ranges(spark, f"samples_{mark}", f"ranges_{mark}", ["user_id"]).select("user_id", "i", "start_idx", r6("v"))
+
+
 @query
 def short_quiet_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).withColumn("z", (F.col("v") > 40).cast("int"))
