@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import distance, names, tablefunctions
-from ..operators import averages, decompose, detect, events, knn, montage, neighbours, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
+from ..operators import averages, decompose, detect, events, knn, linkage, montage, neighbours, ranges, recursive, reject, signal, similarity, sourcespace, stats, timeline
 from ..sources import bucketed
 from ..storage import exists, new_folder
 from ..streaming import ordered, stateful
@@ -845,6 +845,15 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.clustered(rows, decompose.kmeans(rows, 10)).select("id", "cluster", r6("d2"))
 
 
+@query
+def linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of average linkage among the vectors of each label, by Euclidean distance."""
+    v = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    # all pairs of a label are what linkage is about
+    pairs = v.alias("p").join(v.alias("q"), "label").where("p.id < q.id").select("label", F.col("p.id").alias("a"), F.col("q.id").alias("b"), distance.DISTANCES["euclidean"](F.col("p.vec"), F.col("q.vec")).alias("d"))
+    return linkage.average_linkage(pairs, ["label"]).select("label", "a", "b", r6("height"), "size")
+
+
 # ------------------------------------------------------------------ pairs
 
 
