@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import block_ids, block_rows, looked_up
+from .blocks import block_ids, block_rows, give_back, looked_up
 from .storage import materialize
 
 #: Where the tokenizers are; parameters of every function that reads them.
@@ -38,7 +38,7 @@ MARKS = ".,;:!?*$&"
 CACHE = 150_000
 CHUNK = 1 << 18
 #: Characters of text in a block.
-SIZE = 3 << 20
+SIZE = 3 << 19
 #: A space that begins a new stretch where a text has runs of spaces: the one behind a character that is no white space.
 #: The characters of the Unicode property White_Space.
 WHITE = "\t\n\v\f\r \x85\xa0  -     　"
@@ -112,19 +112,24 @@ class Aligner:
     def __init__(self, pair: Pair) -> None:
         self.pair = pair
         self.place: dict[str, int] = {}
-        self.kept = 0  # how many of them were there when others were forgotten
+        self.uses = np.zeros(0, np.int64)
         self.counts = array("i")  # tokens of A, of B, groups, links; all -1 where bytes differ
         self.groups: list[str] = []
         self.links: list[bytes] = []
 
-    def keep(self, places: np.ndarray) -> None:
-        """Forget all stretches but these, once there are too many: those that a block has twice, or that were kept before."""
-        if len(self.place) > CACHE:
-            names, counts, groups, links = list(self.place), np.frombuffer(self.counts, np.int32).reshape(-1, 4)[places], self.groups, self.links
-            at = places.tolist()
-            self.kept = len(at)
+    def used(self, places: np.ndarray, times: np.ndarray) -> None:
+        """Count uses of stretches; once there are too many, forget all but those used twice since that was last so."""
+        uses = np.zeros(len(self.groups), np.int64)
+        uses[: len(self.uses)] = self.uses
+        uses[places] += times
+        self.uses = uses
+        if len(uses) > CACHE:
+            at = np.flatnonzero(uses > 1)[:CACHE]
+            names, counts, groups, links = list(self.place), np.frombuffer(self.counts, np.int32).reshape(-1, 4)[at], self.groups, self.links
+            at = at.tolist()
             self.place = {names[i]: k for k, i in enumerate(at)}
             self.counts, self.groups, self.links = array("i", counts.tobytes()), [groups[i] for i in at], [links[i] for i in at]
+            self.uses = np.zeros(len(at), np.int64)
 
     def learn(self, new: list[str]) -> None:
         a, b = self.pair.encode(new)
@@ -214,13 +219,13 @@ def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) ->
             used, inside, times = np.unique(flat, return_inverse=True, return_counts=True)
             raw = [aligner.links[i] for i in used.tolist()]
             n_links = np.array([len(r) // 8 for r in raw], np.int64)
-            aligner.keep(used[(times > 1) | (used < aligner.kept)])
+            aligner.used(used, times)
             keys, place = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
             n = np.bincount(place, np.repeat(times, n_links), len(keys)).astype(np.int64)
             rows = [{"doc_id": i, "n": k, "n_a": s[0], "n_b": s[1], "n_groups": s[2], "n_links": s[3], "groups_sha256": h} for i, k, s, h in zip(ids, lengths.tolist(), sums.tolist(), sha, strict=True)]
             one = {"block": block, "docs": rows, "stretches": inside.astype(np.int32), "n_links": n_links.astype(np.int32), "links": place.astype(np.int32), "keys": keys, "n": n}
             yield pa.RecordBatch.from_pylist([one], schema=kinds)
-        pa.default_memory_pool().release_unused()  # the worker stays, and so would what its batches took
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import block_ids, block_rows, looked_up
+from .blocks import block_ids, block_rows, give_back, looked_up
 from .storage import broadcast_if_small, discard, materialize
 
 LEAST = 10
@@ -187,7 +187,7 @@ def count_phrases(seqs: DataFrame, n: int, pairs: np.ndarray | None = None) -> D
                     else:
                         third = np.full(len(p), -1, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(third.astype(np.int32)), pa.array(c.astype(np.int64))], ["k", "w", "n"])
-        pa.default_memory_pool().release_unused()  # the worker stays, and so would what its batches took
+        give_back()
 
     return seqs.mapInArrow(run, "k long, w int, n long")
 
