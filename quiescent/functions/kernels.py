@@ -435,6 +435,60 @@ def max_xcorr(x: np.ndarray, y: np.ndarray, coeff: bool = False) -> float:
     return best
 
 
+def tile_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances between the rows of two matrices, by ``l1``, ``euclidean`` or ``cosine`` (NaN where a row is zero).
+
+    Terms are added one coordinate after the other, so that a distance has the bits of
+    the sum over the two arrays, whatever matrices the rows are part of.
+    """
+    at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    out = np.zeros((len(a), len(b)))
+    term = np.empty_like(out)
+    for x, y in zip(at, bt, strict=True):
+        if metric == "cosine":
+            np.multiply(x[:, None], y[None, :], out=term)
+        else:
+            np.subtract(x[:, None], y[None, :], out=term)
+            if metric == "l1":
+                np.abs(term, out=term)
+            else:
+                np.multiply(term, term, out=term)
+        out += term
+    if metric == "l1":
+        return out
+    if metric == "euclidean":
+        return np.sqrt(out)
+    len2 = lengths_product(a, b)
+    return 1 - out / np.where(len2 == 0, np.nan, len2)
+
+
+def lengths_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of the lengths of the rows of two matrices."""
+    na, nb = np.zeros(len(a)), np.zeros(len(b))
+    for n, m in ((na, a), (nb, b)):
+        for x in m.T:
+            n += x * x
+    return np.sqrt(na[:, None] * nb[None, :])
+
+
+def smallest(d: np.ndarray, k: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` smallest numbers of each row, NaN last and by ``last``, ties to the smaller column."""
+    if d.shape[1] <= k:
+        i, j = np.indices(d.shape)
+        return i.reshape(-1), j.reshape(-1)
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    near = d <= kth
+    i, j = near.nonzero()
+    n = near.sum(axis=1)
+    if (n == k).all():
+        return i, j
+    # rows with ties at the last place, or with fewer numbers than places
+    odd = n != k
+    keep = ~odd[i]
+    top = np.lexsort((d[odd], last[odd]))[:, :k]
+    return np.concatenate([i[keep], np.repeat(odd.nonzero()[0], k)]), np.concatenate([j[keep], top.reshape(-1)])
+
+
 def tile_xcorr(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, coeff: bool = False) -> np.ndarray:
     """Largest cross-correlations of the rows of two matrices, each row padded with zeros from its length on.
 

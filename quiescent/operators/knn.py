@@ -6,11 +6,15 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions.distance import DISTANCES, dot
+from ..storage import broadcast_counted, checkpointed
 
 
 class HashFamily(Protocol):
@@ -75,30 +79,101 @@ def heavy_buckets(b: DataFrame, n: int, alpha: float) -> DataFrame:
 
 
 def top_k(cand: DataFrame, k: int, query: str = "qid", dist: str = "dist", id_col: str = "id") -> DataFrame:
-    """The k nearest candidates of each query, ties to the smaller id; ranks from 1."""
-    r = F.row_number().over(W.partitionBy(query).orderBy(dist, id_col))
+    """The k nearest candidates of each query, ties to the smaller id, nulls last; ranks from 1."""
+    r = F.row_number().over(W.partitionBy(query).orderBy(F.col(dist).asc_nulls_last(), id_col))
     return cand.withColumn("rank", r).where(F.col("rank") <= k)
 
 
-def exact_knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l1", slices: int = 0, n_queries: int | None = None) -> DataFrame:
+#: Points and queries that a task compares at once, and the rows of a matrix inside it.
+POINTS, ASKED, MATRIX = 16_384, 4_096, 256
+
+
+def _spread(points: DataFrame, queries: DataFrame, on: list[str], slices: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Points and queries of each key dealt to parts and blocks of bounded size, every part to every block of the key."""
+    n = points.groupBy(*on).agg(F.ceil(F.count("*") / POINTS).cast("int").alias("np_"))
+    m = queries.groupBy(*on).agg(F.greatest(F.ceil(F.count("*") / ASKED), F.lit(slices)).cast("int").alias("nq_"))
+    size = checkpointed(n.join(m, on) if on else n.crossJoin(m), "sizes")
+    rows = size.count()
+    dealt = []
+    for d, c, own, other, salt in ((points, "id", "p_", "b_", 1), (queries, "qid", "b_", "p_", 2)):
+        mine, their = ("np_", "nq_") if own == "p_" else ("nq_", "np_")
+        d = d.join(broadcast_counted(size, rows), on) if on else d.crossJoin(F.broadcast(size))
+        part = F.pmod(F.xxhash64(c, F.lit(salt)), F.greatest(F.col(mine), F.lit(1))).cast("int")
+        d = d.withColumn(own, part).withColumn(other, F.explode(F.when(F.col(their) > 0, F.sequence(F.lit(0), F.col(their) - 1))))
+        dealt.append(d.drop("np_", "nq_"))
+    return dealt[0], dealt[1]
+
+
+def _matrix(vecs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and their lengths: -1 where a vector or one of its numbers is null."""
+    v = vecs.combine_chunks()
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    size = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, parent = v.flatten(), pc.list_parent_indices(v).to_numpy(zero_copy_only=False)
+    m = np.zeros((len(v), max(0, int(size.max(initial=0)))))
+    m[np.arange(m.shape[1]) < size[:, None]] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    size[parent[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return m, size
+
+
+def nearest_in_groups(points: DataFrame, queries: DataFrame, on: list[str], k: int, metric: str, slices: int = 1) -> DataFrame:
+    """``(qid, id, dist)``: of each query ``queries(on, qid, qvec)`` the ``k`` nearest of the points ``points(on, id, vec)`` with the same key, in each part of the key's points.
+
+    A key's points and queries meet as matrices of bounded size, spread over all
+    tasks, and pairs leave a task only where they may be among the nearest. A point
+    is not its query's neighbour where the ids are equal. Without numbers in every
+    place of both vectors, or with other lengths, a distance is null, and comes last.
+    """
+    if metric not in DISTANCES:
+        raise ValueError(metric)
+    kinds = {**dict(points.dtypes), **dict(queries.dtypes)}
+    p = points.select(*on, "id", F.col("vec").cast("array<double>").alias("vec"))
+    q = queries.select(*on, "qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    p, q = _spread(p.where("id is not null"), q.where("qid is not null"), on, slices)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left["id"]))  # ties to the smaller id
+        both = left["id"].to_pandas(), right["qid"].to_pandas()
+        codes = {x: c for c, x in enumerate(dict.fromkeys(both[0]))}
+        ic, qc = both[0].map(codes).to_numpy(), both[1].map(codes).fillna(-1).to_numpy()
+        (x, nx), (y, ny) = _matrix(left["vec"]), _matrix(right["qvec"])
+        wide = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, y))
+        at: list[tuple[np.ndarray, ...]] = []
+        for q0 in range(0, len(y), MATRIX):
+            rows = slice(q0, q0 + MATRIX)
+            best: list[tuple[np.ndarray, ...]] = []
+            for p0 in range(0, len(x), MATRIX):
+                cols = slice(p0, p0 + MATRIX)
+                d = K.tile_distances(y[rows], x[cols], metric)
+                void = (ny[rows, None] != nx[None, cols]) | (ny[rows, None] < 0)
+                if metric == "cosine":
+                    void |= K.lengths_product(y[rows], x[cols]) == 0
+                own = qc[rows, None] == ic[None, cols]
+                d[void | own] = np.nan
+                i, j = K.smallest(d, k, void + 2 * own)
+                ok = ~own[i, j]
+                best.append((i[ok] + q0, j[ok] + p0, d[i, j][ok], void[i, j][ok]))
+            i, j, d, void = (np.concatenate(b) for b in zip(*best, strict=True))
+            order = np.lexsort((j, d, void, i))  # NaN goes after all numbers, null after NaN
+            i, j, d, void = i[order], j[order], d[order], void[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            at.append((i[first], j[first], d[first], void[first]))
+        i, j, d, void = (np.concatenate(b) for b in zip(*at, strict=True)) if at else (np.zeros(0, int),) * 2 + (np.zeros(0), np.zeros(0, bool))
+        return pa.Table.from_arrays([right["qid"].take(pa.array(i)), left["id"].take(pa.array(j)), pa.array(d, mask=void)], ["qid", "id", "dist"])
+
+    by = [*on, "p_", "b_"]
+    return p.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(run, f"qid {kinds['qid']}, id {kinds['id']}, dist double")
+
+
+def exact_knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l1", slices: int = 1, n_queries: int | None = None) -> DataFrame:
     """``points(id, vec)`` against a stated query set ``queries(qid, qvec)``: ``(qid, rank, id, dist)``.
 
-    Every point meets every query, so queries are broadcast where their counted
-    number is small and dealt out in blocks otherwise. A point is not its query's
-    neighbour where the ids are equal.
+    Every point meets every query: the work is the product of their numbers, a
+    task's share of it is bounded. ``slices`` is the least number of blocks of
+    queries; they are counted, so ``n_queries`` is no longer needed.
     """
-    n = queries.count() if n_queries is None else n_queries
-    if n <= 10_000:
-        pairs = points.join(F.broadcast(queries), F.col("id") != F.col("qid"))
-    else:
-        blocks = slices or max(2, n // 5_000)
-        # a block of queries meets the points in parts, as many as there are tasks for it
-        parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
-        q = queries.withColumns({"b_": F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"), "p_": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
-        p = points.withColumns({"p_": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"), "b_": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-        pairs = p.join(q, ["b_", "p_"]).where("id <> qid").drop("b_", "p_")
-    d = pairs.select("qid", "id", DISTANCES[metric](F.col("vec"), F.col("qvec")).alias("dist"))
-    return top_k(d, k).select("qid", "rank", "id", "dist")
+    return top_k(nearest_in_groups(points, queries, [], k, metric, slices), k).select("qid", "rank", "id", "dist")
 
 
 def nearest_of(pairs: DataFrame, points: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:

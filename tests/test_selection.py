@@ -180,3 +180,26 @@ def test_stream_sees_appends(spark, vectors):
     v, w = Q.vectors(spark, "/root/testdata/sf0.001")
     want = knn.slsh_knn(v.select("id", "vec"), w, Q.LAYERS, 5).select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
     assert got == pairs(want)
+
+
+def test_exact_neighbours_of_odd_vectors_in_many_matrices(spark, monkeypatch):
+    monkeypatch.setattr(knn, "POINTS", 30)
+    monkeypatch.setattr(knn, "ASKED", 7)
+    monkeypatch.setattr(knn, "MATRIX", 8)
+    rng = np.random.default_rng(5)
+    v: list = [[float(x) for x in r] for r in rng.integers(-2, 3, (90, 3))]  # many equal vectors and distances
+    v[3], v[4], v[5], v[6], v[7] = None, [1.0, None, 2.0], [1.0, 2.0], [0.0, 0.0, 0.0], [float("nan"), 1.0, 1.0]
+    p = spark.createDataFrame(list(enumerate(v)), "id long, vec array<double>")
+    q = p.where("id % 5 < 2 or id = 7").selectExpr("id AS qid", "vec AS qvec")
+    for metric in ("l1", "euclidean", "cosine"):
+        d = p.crossJoin(q).where("id <> qid").select("qid", "id", knn.DISTANCES[metric](F.col("vec"), F.col("qvec")).alias("dist"))
+        want = knn.top_k(d, 6).select("qid", "rank", "id", "dist")
+        assert sorted(map(str, knn.exact_knn(p, q, 6, metric).collect())) == sorted(map(str, want.collect()))
+
+
+def test_exact_neighbours_ship_no_pair(spark):
+    p = spark.range(60).selectExpr("id", "array(cast(id AS double), 1.0D) AS vec")
+    q = p.selectExpr("id AS qid", "vec AS qvec")
+    # what is ranked in the end are the nearest of each matrix, not all pairs
+    assert knn.nearest_in_groups(p, q, [], 2, "l1").count() == 120
+    assert "NestedLoop" not in knn.exact_knn(p, q, 2)._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
