@@ -116,50 +116,86 @@ def _matrix(vecs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return m, size
 
 
-def nearest_in_groups(points: DataFrame, queries: DataFrame, on: list[str], k: int, metric: str, slices: int = 1) -> DataFrame:
+def _search(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], k: int, metric: str) -> tuple[np.ndarray, ...]:
+    """Rows of ``y`` and ``x``, distances and whether these are null, of the ``k`` nearest rows of ``x`` to each of ``y``; both are vectors, lengths and ids as numbers."""
+    (xv, nx, ic), (yv, ny, qc) = x, y
+    at: list[tuple[np.ndarray, ...]] = []
+    for q0 in range(0, len(yv), MATRIX):
+        rows = slice(q0, q0 + MATRIX)
+        best: list[tuple[np.ndarray, ...]] = []
+        for p0 in range(0, len(xv), MATRIX):
+            cols = slice(p0, p0 + MATRIX)
+            d = K.tile_distances(yv[rows], xv[cols], metric)
+            void = (ny[rows, None] != nx[None, cols]) | (ny[rows, None] < 0)
+            if metric == "cosine":
+                void |= K.lengths_product(yv[rows], xv[cols]) == 0
+            own = qc[rows, None] == ic[None, cols]
+            d[void | own] = np.nan
+            i, j = K.smallest(d, k, void + 2 * own)
+            ok = ~own[i, j]
+            best.append((i[ok] + q0, j[ok] + p0, d[i, j][ok], void[i, j][ok]))
+        if best:
+            at.append(_first(*(np.concatenate(b) for b in zip(*best, strict=True)), k))
+    if not at:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool)
+    return tuple(np.concatenate(b) for b in zip(*at, strict=True))
+
+
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, void: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first ``k`` of each ``i`` by distance and ``j``; NaN goes after all numbers, null after NaN."""
+    order = np.lexsort((j, d, void, i))
+    i, j, d, void = i[order], j[order], d[order], void[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], d[first], void[first]
+
+
+def _bits(keys: pa.ChunkedArray) -> np.ndarray | None:
+    """Arrays of keys as numbers, a row for each table; nothing where they are null."""
+    flat = pc.list_flatten(keys)
+    return flat.to_pandas().map(lambda x: int(x or "0", 2)).to_numpy(np.int64).reshape(len(keys), -1).T if len(flat) else None
+
+
+def nearest_in_groups(points: DataFrame, queries: DataFrame, on: list[str], k: int, metric: str, slices: int = 1, probes: int = 0) -> DataFrame:
     """``(qid, id, dist)``: of each query ``queries(on, qid, qvec)`` the ``k`` nearest of the points ``points(on, id, vec)`` with the same key, in each part of the key's points.
 
     A key's points and queries meet as matrices of bounded size, spread over all
     tasks, and pairs leave a task only where they may be among the nearest. A point
     is not its query's neighbour where the ids are equal. Without numbers in every
     place of both vectors, or with other lengths, a distance is null, and comes last.
+    Where both sides have ``in_``, arrays of keys that are not null, only those meet that
+    share one of them at its place, or with one probe nearly.
     """
     if metric not in DISTANCES:
         raise ValueError(metric)
     kinds = {**dict(points.dtypes), **dict(queries.dtypes)}
-    p = points.select(*on, "id", F.col("vec").cast("array<double>").alias("vec"))
-    q = queries.select(*on, "qid", F.col("qvec").cast("array<double>").alias("qvec"))
-    p, q = _spread(p.where("id is not null"), q.where("qid is not null"), on, slices)
+    inner = ["in_"] if "in_" in points.columns else []
+    p = points.where("id is not null").select(*on, "id", F.col("vec").cast("array<double>").alias("vec"), *inner)
+    q = queries.where("qid is not null").select(*on, "qid", F.col("qvec").cast("array<double>").alias("qvec"), *inner)
+    p, q = _spread(p, q, on, slices)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.take(pc.sort_indices(left["id"]))  # ties to the smaller id
-        both = left["id"].to_pandas(), right["qid"].to_pandas()
-        codes = {x: c for c, x in enumerate(dict.fromkeys(both[0]))}
-        ic, qc = both[0].map(codes).to_numpy(), both[1].map(codes).fillna(-1).to_numpy()
-        (x, nx), (y, ny) = _matrix(left["vec"]), _matrix(right["qvec"])
-        wide = max(x.shape[1], y.shape[1])
-        x, y = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, y))
-        at: list[tuple[np.ndarray, ...]] = []
-        for q0 in range(0, len(y), MATRIX):
-            rows = slice(q0, q0 + MATRIX)
-            best: list[tuple[np.ndarray, ...]] = []
-            for p0 in range(0, len(x), MATRIX):
-                cols = slice(p0, p0 + MATRIX)
-                d = K.tile_distances(y[rows], x[cols], metric)
-                void = (ny[rows, None] != nx[None, cols]) | (ny[rows, None] < 0)
-                if metric == "cosine":
-                    void |= K.lengths_product(y[rows], x[cols]) == 0
-                own = qc[rows, None] == ic[None, cols]
-                d[void | own] = np.nan
-                i, j = K.smallest(d, k, void + 2 * own)
-                ok = ~own[i, j]
-                best.append((i[ok] + q0, j[ok] + p0, d[i, j][ok], void[i, j][ok]))
-            i, j, d, void = (np.concatenate(b) for b in zip(*best, strict=True))
-            order = np.lexsort((j, d, void, i))  # NaN goes after all numbers, null after NaN
-            i, j, d, void = i[order], j[order], d[order], void[order]
-            first = np.arange(len(i)) - np.searchsorted(i, i) < k
-            at.append((i[first], j[first], d[first], void[first]))
-        i, j, d, void = (np.concatenate(b) for b in zip(*at, strict=True)) if at else (np.zeros(0, int),) * 2 + (np.zeros(0), np.zeros(0, bool))
+        codes = {x: c for c, x in enumerate(dict.fromkeys(left["id"].to_pylist()))}
+        ic, qc = (np.array([codes.get(v, -1) for v in t.to_pylist()], np.int64) for t in (left["id"], right["qid"]))
+        (xv, nx), (yv, ny) = _matrix(left["vec"]), _matrix(right["qvec"])
+        wide = max(xv.shape[1], yv.shape[1])
+        x, y = ((np.pad(m, ((0, 0), (0, wide - m.shape[1]))), n, c) for m, n, c in ((xv, nx, ic), (yv, ny, qc)))
+        bx, by = (_bits(left["in_"]), _bits(right["in_"])) if inner else (None, None)
+        if bx is None or by is None:
+            i, j, d, void = _search(x, y, k, metric)
+        else:
+            found = []
+            for kx, ky in zip(bx, by, strict=True):
+                for key in np.unique(kx):
+                    off = ky ^ key
+                    cols, rows = (kx == key).nonzero()[0], ((off == 0) | (probes > 0) & (off & (off - 1) == 0)).nonzero()[0]
+                    if len(rows):
+                        i, j, d, void = _search(tuple(a[cols] for a in x), tuple(a[rows] for a in y), k, metric)
+                        found.append((rows[i], cols[j], d, void))
+            i, j, d, void = (np.concatenate(b) for b in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+            # found in several tables
+            once = np.unique(i * max(1, len(x[0])) + j, return_index=True)[1]
+            i, j, d, void = _first(i[once], j[once], d[once], void[once], k)
         return pa.Table.from_arrays([right["qid"].take(pa.array(i)), left["id"].take(pa.array(j)), pa.array(d, mask=void)], ["qid", "id", "dist"])
 
     by = [*on, "p_", "b_"]
@@ -190,8 +226,23 @@ def lsh_candidates(points: DataFrame, queries: DataFrame, family: HashFamily, m:
     return q.join(b, ["tbl", "key"]).select("qid", "id", "tbl")
 
 
+def nearest_found(found: DataFrame, k: int) -> DataFrame:
+    """``(qid, rank, id, dist)``: the ``k`` nearest of what buckets have found, some in several."""
+    return top_k(found.distinct(), k).select("qid", "rank", "id", "dist")
+
+
 def lsh_knn(points: DataFrame, queries: DataFrame, family: HashFamily, m: int, tables: int, k: int, metric: str = "l1", seed: int = 7, probes: int = 0) -> DataFrame:
-    return nearest_of(lsh_candidates(points, queries, family, m, tables, seed, probes), points, queries, k, metric)
+    """The ``k`` nearest of the points that share a key with a query. Each bucket is searched by itself, so no candidate pair leaves a task."""
+    b = _hashed(points, "id", "vec", {"keys_": family.keys(F.col("vec"), m, tables, seed)})
+    q = _hashed(queries, "qid", "qvec", {"keys_": family.keys(F.col("qvec"), m, tables, seed)})
+    b = b.select("id", "vec", F.posexplode("keys_").alias("tbl", "key"))
+    q = q.select("qid", "qvec", F.posexplode("keys_").alias("tbl", "k_")).select("qid", "qvec", "tbl", F.explode(probed(F.col("k_"), m, probes)).alias("key"))
+    return nearest_found(nearest_in_groups(b, q, ["tbl", "key"], k, metric), k)
+
+
+def _hashed(rows: DataFrame, id_col: str, vec: str, keys: dict[str, list[Column]]) -> DataFrame:
+    """Ids, vectors and their keys, hashed once and written."""
+    return checkpointed(rows.select(id_col, vec, *[F.array(*c).alias(n) for n, c in keys.items()]), "hashed")
 
 
 @dataclass(frozen=True)
@@ -236,7 +287,15 @@ def slsh_candidates(points: DataFrame, queries: DataFrame, layers: TwoLayers, n:
 
 
 def slsh_knn(points: DataFrame, queries: DataFrame, layers: TwoLayers, k: int, metric: str = "l1") -> DataFrame:
-    return nearest_of(slsh_candidates(points, queries, layers), points, queries, k, metric)
+    """The ``k`` nearest of :func:`slsh_candidates`. Each bucket is searched by itself, so no candidate pair leaves a task."""
+    rows = []
+    for d, c, v in ((points, "id", "vec"), (queries, "qid", "qvec")):
+        keys = {"keys_": layers.outer.keys(F.col(v), layers.m_out, layers.l_out, layers.seed), "in_": layers.inner.keys(F.col(v), layers.m_in, layers.l_in, layers.seed + 1)}
+        rows.append(_hashed(d, c, v, keys).select(c, v, "in_", F.posexplode("keys_").alias("tbl", "key")))
+    heavy = heavy_buckets(rows[0], points.count(), layers.alpha).select("tbl", "key")
+    heavy = checkpointed(heavy.withColumn("heavy", F.lit(True)), "heavy")  # at most l_out / alpha rows
+    b, q = (d.join(F.broadcast(heavy), ["tbl", "key"], "left").withColumn("in_", F.when(F.col("heavy"), F.col("in_"))) for d in rows)
+    return nearest_found(nearest_in_groups(b, q, ["tbl", "key"], k, metric, probes=layers.probes), k)
 
 
 def recall(found: DataFrame, true: DataFrame) -> float:
@@ -264,6 +323,49 @@ def metrics(pred: DataFrame, truth: str = "label", guess: str = "pred") -> DataF
     )
 
 
+def lsh_comparisons(points: DataFrame, queries: DataFrame, family: HashFamily, m: int, tables: int, seed: int = 7) -> DataFrame:
+    """``(qid, comparisons)``: how many points each query shares a key with, itself left out, as :func:`comparison_counts` of :func:`lsh_candidates`.
+
+    A pair counts in the first table that it shares a key in, so pairs are counted
+    inside their buckets and none is kept. Of rows that share an id the pairs are made.
+    """
+    p = _hashed(points, "id", "vec", {"keys_": family.keys(F.col("vec"), m, tables, seed)}).select("id", "keys_").where("id is not null").distinct()
+    q = _hashed(queries, "qid", "qvec", {"keys_": family.keys(F.col("qvec"), m, tables, seed)}).select("qid", "keys_").where("qid is not null").distinct()
+    kind = dict(queries.dtypes)["qid"]
+    one = [d.groupBy(c).agg(F.min("keys_").alias("keys_"), F.count("*").alias("n_")) for d, c in ((p, "id"), (q, "qid"))]
+    one = [checkpointed(d, "counted") for d in one]
+    each = [d.where("n_ = 1").select(c, "keys_", F.posexplode("keys_").alias("tbl", "key")) for d, c in zip(one, ("id", "qid"), strict=True)]
+    b, a = _spread(*each, ["tbl", "key"])
+
+    def keys(t: pa.Table) -> np.ndarray:
+        """Keys as numbers, a row for each table."""
+        return np.ascontiguousarray(_bits(t["keys_"]))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.Table.from_arrays([right["qid"][:0], pa.array([], pa.int64())], ["qid", "n_"])
+        (x, y), t = (keys(left), keys(right)), left["tbl"][0].as_py()
+        codes = {v: c for c, v in enumerate(dict.fromkeys(left["id"].to_pandas()))}
+        own = right["qid"].to_pandas().map(codes).fillna(-1).to_numpy(np.int64)
+        n = np.empty(len(right), np.int64)
+        for r0 in range(0, len(right), MATRIX):
+            rows = slice(r0, r0 + MATRIX)
+            seen = own[rows, None] == np.arange(x.shape[1])[None, :]
+            for j in range(t):
+                seen |= y[j, rows, None] == x[j][None, :]
+            n[rows] = x.shape[1] - seen.sum(axis=1)
+        return pa.Table.from_arrays([right["qid"], pa.array(n)], ["qid", "n_"])
+
+    by = ["tbl", "key", "p_", "b_"]
+    found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda qs, ps: run(ps, qs), f"qid {kind}, n_ long")
+    many = [one[0].where("n_ > 1").select("id"), one[1].where("n_ > 1").select("qid")]
+    first = lambda d, c: d.select(c, F.posexplode("keys_").alias("tbl", "key"))
+    twice = first(q.join(many[1], "qid"), "qid").join(first(p, "id"), ["tbl", "key"]).select("qid", "id")
+    twice = twice.unionByName(first(q.join(many[1], "qid", "left_anti"), "qid").join(first(p.join(many[0], "id"), "id"), ["tbl", "key"]).select("qid", "id"))
+    found = found.unionByName(comparison_counts(twice.where("id <> qid")).withColumnRenamed("comparisons", "n_"))
+    return found.groupBy("qid").agg(F.sum("n_").alias("comparisons")).where("comparisons > 0")
+
+
 def comparison_counts(candidates: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Distinct candidates that each query is compared with."""
     return candidates.groupBy(*keys).agg(F.count_distinct("id").alias("comparisons"))

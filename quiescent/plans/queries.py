@@ -770,7 +770,7 @@ def heavy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = vectors(spark, sf_dir)
-    return knn.comparison_counts(knn.lsh_candidates(p, q, AXIS, 6, 8, 7).where("qid <> id"))
+    return knn.lsh_comparisons(p, q, AXIS, 6, 8, 7)
 
 
 @query

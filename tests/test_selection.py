@@ -202,4 +202,25 @@ def test_exact_neighbours_ship_no_pair(spark):
     q = p.selectExpr("id AS qid", "vec AS qvec")
     # what is ranked in the end are the nearest of each matrix, not all pairs
     assert knn.nearest_in_groups(p, q, [], 2, "l1").count() == 120
-    assert "NestedLoop" not in knn.exact_knn(p, q, 2)._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
+def test_comparisons_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(6)
+    v = [[float(x) for x in r] for r in rng.uniform(-0.3, 0.3, (80, Q.DIM))]
+    p = spark.createDataFrame([*enumerate(v), (3, v[9]), (4, v[4])], "id long, vec array<double>")  # an id with two vectors, one twice
+    q = p.where("id % 3 = 0").selectExpr("id AS qid", "vec AS qvec")
+    want = knn.comparison_counts(knn.lsh_candidates(p, q, Q.AXIS, 6, 8, 7).where("qid <> id"))
+    assert sorted(map(tuple, knn.lsh_comparisons(p, q, Q.AXIS, 6, 8, 7).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_buckets_searched_by_themselves_find_what_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(knn, "POINTS", 25)
+    monkeypatch.setattr(knn, "ASKED", 6)
+    rng = np.random.default_rng(7)
+    p = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rng.uniform(-0.3, 0.3, (120, Q.DIM)))], "id long, vec array<double>")
+    q = p.where("id % 4 = 0").selectExpr("id AS qid", "vec AS qvec")
+    for found, pairs, metric in (
+        (knn.lsh_knn(p, q, Q.SIGN, 6, 3, 4, "cosine", probes=1), knn.lsh_candidates(p, q, Q.SIGN, 6, 3, 7, 1), "cosine"),
+        (knn.slsh_knn(p, q, Q.LAYERS, 4), knn.slsh_candidates(p, q, Q.LAYERS), "l1"),
+    ):
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, knn.nearest_of(pairs, p, q, 4, metric).collect()))
