@@ -455,6 +455,15 @@ def test_slopes_on_their_limit_are_those_of_sql(spark):
     assert got == {0: False, 1: True, 2: False, 3: True}
 
 
+def test_long_segments_are_normalized_in_proportion_to_their_length(spark):
+    # the mean and deviation summed anew for each sample would be 27,000 million terms
+    x = np.random.default_rng(8).standard_normal(3000)
+    df = spark.createDataFrame([(1, x.tolist()), (2, [5.0, 5.0]), (3, [1.0]), (4, None), (5, [])], "id int, x array<double>")
+    got = {r.id: r.z for r in df.select("id", similarity.normalized(F.col("x")).alias("z")).collect()}
+    assert np.allclose(got.pop(1), (x - x.mean()) / x.std(ddof=1), atol=1e-12)
+    assert got == dict.fromkeys((2, 3, 4, 5))
+
+
 def test_series_in_blocks_equal_plain_loops(spark, monkeypatch):
     rng = np.random.default_rng(4)
     monkeypatch.setattr(recursive, "MARGIN", 8)
