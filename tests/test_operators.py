@@ -464,6 +464,15 @@ def test_long_segments_are_normalized_in_proportion_to_their_length(spark):
     assert got == dict.fromkeys((2, 3, 4, 5))
 
 
+def test_tile_pairs_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE_PAIRS", 3)
+    df = spark.createDataFrame([(0, k, [float(k), 1.0]) for k in range(40)], "label int, burst_id long, burst_data array<double>")
+    got = similarity.pair_similarity(df, ["label"], "xcorr", tile=4)
+    # 55 pairs of tiles, three a task; by their bytes they would be one task
+    assert got.rdd.getNumPartitions() == 19
+    assert got.count() == 780
+
+
 def test_series_in_blocks_equal_plain_loops(spark, monkeypatch):
     rng = np.random.default_rng(4)
     monkeypatch.setattr(recursive, "MARGIN", 8)
