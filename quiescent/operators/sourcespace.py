@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,6 +95,8 @@ def top_voxels(power: DataFrame, n: int) -> DataFrame:
 
 #: Targets up to this many are sent to every task; more are looked up by cells.
 FEW_TARGETS = 4096
+#: Places that a task compares with the targets around them, on average at most.
+PLACES_PER_TASK = 20_000
 
 
 def _placed(df: DataFrame, name: str) -> DataFrame:
@@ -101,15 +104,31 @@ def _placed(df: DataFrame, name: str) -> DataFrame:
     return df.where(ok[0] & ok[1] & ok[2]).select(name, *[F.col(a).cast("double").alias(a) for a in "xyz"])
 
 
-def _around(points: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
-    """``(point, x, y, z, m)``: of each point the nearest ``(dist, target)`` among the cells around its own, null if they are empty."""
-    c = lambda v: F.floor(F.col(v) / cell)
+def _around(places: DataFrame, targets: DataFrame, cell: float, tasks: int) -> DataFrame:
+    """``(x, y, z, m)``: of each place the nearest ``(dist, target)`` among the cells around its own, null if they are empty.
+
+    A target goes to its cell and those around it; a place stands in its own alone.
+    """
+    # a little wider, so that division never parts what is a cell's width apart by two cells
+    c = lambda v: F.floor(F.col(v) / (cell * (1 + 1e-9)))
     steps = F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("xyz", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    v = targets.select("target", *[F.col(a).alias(f"v{a}") for a in "xyz"], *[c(a).alias(f"c{a}") for a in "xyz"])
-    g = points.withColumn("d_", F.explode(steps)).withColumns({f"c{a}": c(a) + F.col(f"d_.{a}") for a in "xyz"}).drop("d_")
+    v = targets.select("target", *[F.col(a).alias(f"v{a}") for a in "xyz"]).withColumn("d_", F.explode(steps))
+    v = v.withColumns({f"c{a}": c(f"v{a}") + F.col(f"d_.{a}") for a in "xyz"}).drop("d_")
+    # tasks by number: what a join of cells gives is far more than what it reads
+    g = places.withColumns({f"c{a}": c(a) for a in "xyz"}).repartition(tasks, "cx", "cy", "cz")
     d = F.sqrt(sum(((F.col(a) - F.col(f"v{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
-    near = g.join(v, ["cx", "cy", "cz"]).groupBy("point", *"xyz").agg(F.min(F.struct(d.alias("dist"), "target")).alias("m"))
-    return points.join(near, ["point", *"xyz"], "left")
+    return g.join(v, ["cx", "cy", "cz"], "left").groupBy(*"xyz").agg(F.min(F.when(F.col("vx").isNotNull(), F.struct(d.alias("dist"), "target"))).alias("m"))
+
+
+def _tasks(spark: SparkSession, places: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // PLACES_PER_TASK))
+
+
+def _first_cell(targets: DataFrame, n: int) -> float:
+    """Width of cells that hold about four of ``n`` evenly spread targets each."""
+    edges = targets.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in "xyz" for f in (F.min, F.max)]).first()
+    wide = max(edges[f"max_{a}"] - edges[f"min_{a}"] for a in "xyz") or 1.0  # type: ignore[index]
+    return wide / max(1.0, (n / 4) ** (1 / 3))
 
 
 def nearest_points(points: DataFrame, targets: DataFrame, cell: float | None = None) -> DataFrame:
@@ -133,26 +152,46 @@ def nearest_points(points: DataFrame, targets: DataFrame, cell: float | None = N
     wide = max(edges[f"max_{a}"] - edges[f"min_{a}"] for a in "xyz") or 1.0  # type: ignore[index]
     # about four targets in a cell of evenly spread ones
     cell = cell or wide / max(1.0, (n / 4) ** (1 / 3))
+    widths = [cell]
+    while widths[-1] < wide:
+        widths.append(2 * widths[-1])
+    near = _by_rounds(p, t, widths, None)
+    return p.join(near, list("xyz")).select("point", "m.target", "m.dist")
+
+
+def _by_rounds(points: DataFrame, targets: DataFrame, widths: list[float], limit: float | None) -> DataFrame:
+    """``(x, y, z, m)``: the nearest target of each place, looked for in cells of the first width and, where none is within a cell's width, of the next ones.
+
+    In the last round everything found counts or, with a ``limit``, what is no farther. Points of one place are looked up once.
+    """
+    spark = points.sparkSession
+    left = checkpointed(points.select(*"xyz").distinct(), "places")
     done = None
-    while True:
-        last = cell >= wide
-        got = checkpointed(_around(p, t, cell))
-        near = got.where(F.col("m.dist") <= cell) if not last else got
+    for width in widths:
+        last = width == widths[-1]
+        n = left.count()
+        if not n and done is not None:
+            break
+        got = checkpointed(_around(left, targets, width, _tasks(spark, n)), "near")
+        near = got.where(F.col("m.dist") <= (limit if last else width)) if not last or limit is not None else got.where("m is not null")
         done = near if done is None else done.unionByName(near)
-        p = got.where(F.col("m").isNull() | (F.col("m.dist") > cell)).drop("m")
-        if last or p.isEmpty():
-            return done.select("point", "m.target", "m.dist")
-        cell *= 2
+        left = got.where(F.col("m").isNull() | (F.col("m.dist") > width)).drop("m")
+    return done  # type: ignore[return-value]
 
 
 def nearest_voxels(grid: DataFrame, voxels: DataFrame, cell: float) -> DataFrame:
     """``(point, voxel, dist)``: the nearest voxel of each grid point, if it is at most ``cell`` away.
 
-    It is found among the point's cell and the cells around it. Points without one are
+    It is looked for in cells that hold a few voxels each, then in wider ones up to ``cell``, so that the work of a point does
+    not grow with the number of voxels. Of voxels at one place the smallest stands for all. Points without one are
     left out; :func:`nearest_points` finds the nearest at any distance.
     """
-    got = _around(_placed(grid, "point").distinct(), _placed(voxels, "voxel").withColumnRenamed("voxel", "target"), cell)
-    return got.where(F.col("m.dist") <= cell).select("point", F.col("m.target").alias("voxel"), F.col("m.dist").alias("dist"))
+    p = _placed(grid, "point").distinct()
+    t = checkpointed(_placed(voxels, "voxel").groupBy(*"xyz").agg(F.min("voxel").alias("target")), "voxels")
+    n = t.count()
+    halvings = min(20, max(0, math.ceil(math.log2(cell / _first_cell(t, n))))) if n else 0
+    near = _by_rounds(p, t, [cell / 2**k for k in range(halvings, -1, -1)], cell)
+    return p.join(near, list("xyz")).select("point", F.col("m.target").alias("voxel"), F.col("m.dist").alias("dist"))
 
 
 def hour_of(df: DataFrame, seconds: str, length: float = 3600.0, out: str = "hour") -> DataFrame:
