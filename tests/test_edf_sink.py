@@ -47,3 +47,20 @@ def test_a_failed_write_leaves_nothing(spark):
         with pytest.raises(Exception, match=said):
             bad.write.format("edf").option("srate", 10).mode("append").save(folder)
         assert os.listdir(folder) == []
+
+
+def test_short_files_are_read_together(spark, monkeypatch):
+    folder = tempfile.mkdtemp()
+    rng = np.random.default_rng(7)
+    for k in range(60):
+        with open(f"{folder}/s{k}.edf", "wb") as f:
+            f.write(edf.encode(rng.standard_normal((2, 20 + k)) * 30, 10, ["a", "b"]))
+    with open(f"{folder}/long.edf", "wb") as f:
+        f.write(edf.encode(rng.standard_normal((2, 100_000)) * 30, 10, ["a", "b"]))
+    parts = edf.EdfReader({"path": folder, "recordspertask": "4000"}).partitions()
+    stretches = [s for p in parts for s in p.stretches]
+    assert len(parts) <= 4 and len(stretches) == len(set(stretches)) == 63 and max(n for _, _, n in stretches) == 4000
+    edf.register(spark)
+    back = spark.read.format("edf").option("recordsPerTask", "4000").load(folder)
+    plain = edf.read_edf_binary(spark, folder)
+    assert back.count() == plain.count() and back.exceptAll(plain).isEmpty()
