@@ -7,6 +7,7 @@ groups.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -62,15 +63,10 @@ def _pair(zeros: np.ndarray, poles: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _section(s: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """One section over the last axis. Blocks by a triangular response matrix, two state numbers between them."""
-    b0, b1, b2 = s[:3] / s[3]
-    a1, a2 = s[4] / s[3], s[5] / s[3]
-    z = np.zeros((*x.shape[:-1], 2)) if state is None else state.copy()
-    n = min(block, x.shape[-1])
-    if not n:
-        return x.copy(), z
-    h, g1, g2 = np.zeros(n), np.zeros(n), np.zeros(n)  # responses to an impulse and to either state
+@lru_cache(maxsize=128)
+def _responses(b0: float, b1: float, b2: float, a1: float, a2: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The triangular matrix of a section's response to an impulse, and its responses to either state."""
+    h, g1, g2 = np.zeros(n), np.zeros(n), np.zeros(n)
     for out, drive, z0 in ((h, 1.0, (0.0, 0.0)), (g1, 0.0, (1.0, 0.0)), (g2, 0.0, (0.0, 1.0))):
         u, v = z0
         for i in range(n):
@@ -79,7 +75,18 @@ def _section(s: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, bloc
             u, v = b1 * xi - a1 * y + v, b2 * xi - a2 * y
             out[i] = y
     k = np.arange(n)
-    toep = np.where(k[:, None] >= k, h[np.abs(k[:, None] - k)], 0.0)
+    return np.where(k[:, None] >= k, h[np.abs(k[:, None] - k)], 0.0), g1, g2
+
+
+def _section(s: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """One section over the last axis. Blocks by a triangular response matrix, two state numbers between them."""
+    b0, b1, b2 = s[:3] / s[3]
+    a1, a2 = s[4] / s[3], s[5] / s[3]
+    z = np.zeros((*x.shape[:-1], 2)) if state is None else state.copy()
+    n = min(block, x.shape[-1])
+    if not n:
+        return x.copy(), z
+    toep, g1, g2 = _responses(*map(float, (b0, b1, b2, a1, a2)), block)  # shorter ones are their beginning
     y = np.empty_like(x, dtype=float)
     for i in range(0, x.shape[-1], n):
         part = x[..., i : i + n]
@@ -364,16 +371,17 @@ def remove_line(x: np.ndarray, srate: float, line: float, width: float = 2.0, se
 
 
 def morlet(x: np.ndarray, srate: float, freqs: np.ndarray, cycles: float = 3.0) -> np.ndarray:
-    """Complex coefficients ``(freq, time)`` of Gaussian-windowed oscillations."""
-    out = np.zeros((len(freqs), len(x)), complex)
+    """Complex coefficients ``(freq, time)`` of Gaussian-windowed oscillations; of several series at once with the series ahead."""
+    size = x.shape[-1]
+    out = np.zeros((*x.shape[:-1], len(freqs), size), complex)
     for i, f in enumerate(freqs):
         sd = cycles / (2 * np.pi * f)
         t = np.arange(-int(4 * sd * srate), int(4 * sd * srate) + 1) / srate
         w = np.exp(2j * np.pi * f * t - t**2 / (2 * sd**2))
         w /= np.abs(w).sum()
-        n = len(x) + len(w) - 1
+        n = size + len(w) - 1
         full = np.fft.ifft(np.fft.fft(x, n) * np.fft.fft(w, n))
-        out[i] = full[len(w) // 2 : len(w) // 2 + len(x)]
+        out[..., i, :] = full[..., len(w) // 2 : len(w) // 2 + size]
     return out
 
 
