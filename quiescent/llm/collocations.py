@@ -4,8 +4,8 @@ Words are counted first. A word that is rarer than a phrase must be ends the phr
 around it like a punctuation mark does, which changes no candidate and no count of
 one. Each shard then sorts its suffixes by their first words with prefix doubling;
 neighbours that share their first ``n`` words are one interval, and its length is how
-often that phrase of ``n`` words occurs in the shard. The shards' counts are summed by
-phrase, those of three words only where both pairs in it may be frequent. Words have ids of their own in every language, so phrases of different
+often that phrase of ``n`` words occurs in the shard. A task sums the counts of its shards and sends
+them packed, sorted by phrase, to the parts that sum them all, those of three words only where both pairs in it may be frequent. Words have ids of their own in every language, so phrases of different
 languages never meet.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import block_ids, block_rows, give_back, looked_up
+from .blocks import block_ids, block_rows, give_back
 from .storage import broadcast_if_small, discard, materialize
 
 LEAST = 10
@@ -36,8 +36,8 @@ TABLE = bytes(ENDS[0] if b in ENDS else 0x20 if b in BLANKS else b | 0x20 if 0x4
 MARK = ENDS[:1]
 #: Characters of text in a shard.
 SHARD = 5 << 20
-#: Rows of an Arrow batch of phrases.
-ROWS = 50_000
+#: Phrases that a task sums before it sends them, and words of the corpus to a part of the sums.
+HELD, PART = 1 << 21, 1 << 21
 #: Bits of the bitmap of frequent pairs, 8 MB whatever the input. More pairs than that make it let more phrases through, and lose none.
 BITS = 1 << 26
 
@@ -154,56 +154,106 @@ def bitmap_of(pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def count_phrases(seqs: DataFrame, n: int, pairs: np.ndarray | None = None) -> DataFrame:
-    """(k, w, n): of each block the phrases of ``n`` words, two (``k`` is both ids, ``w`` -1) or three (``w`` is the third), and their number.
+def packed(k: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Phrases sorted by ``k`` and their counts in few bytes: steps of ``k`` by planes of bytes, most of which are zeros."""
+    planes = [np.diff(k, prepend=0).view(np.uint8).reshape(-1, 8), w.astype(np.int32).view(np.uint8).reshape(-1, 4), n.astype(np.int64).view(np.uint8).reshape(-1, 8)]
+    return pa.compress(b"".join(p.T.tobytes() for p in planes), codec="zstd", asbytes=True)
+
+
+def unpacked(body: bytes, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(body, 20 * rows, codec="zstd", asbytes=True), np.uint8).reshape(20, rows)
+    plane = lambda i, j, kind: np.ascontiguousarray(raw[i:j].T).view(kind)[:, 0]
+    return np.cumsum(plane(0, 8, np.int64)), plane(8, 12, np.int32), plane(12, 20, np.int64)
+
+
+def summed(k: np.ndarray, w: np.ndarray, n: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Each phrase once, sorted (by ``first`` before all, where given), with the sum of its counts."""
+    order = np.lexsort((w, k) if first is None else (w, k, first))
+    k, w, n = k[order], w[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])[: len(k)])
+    return k[at], w[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def part_of(k: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    h = (k.view(np.uint64) ^ (w.astype(np.uint64) << np.uint64(20))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def count_phrases(seqs: DataFrame, n: int, parts: int, least: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """(k, w, a): the phrases of ``n`` words, two (``k`` is both ids, ``w`` -1) or three (``w`` is the third), that occur ``least`` times or more.
 
     With the bitmap of frequent pairs, phrases of three words with a pair outside it are left out: none of them is frequent.
     """
     spark = seqs.sparkSession
     sent = None if pairs is None else spark.sparkContext.broadcast(pairs)
 
+    def shard(seq: np.ndarray) -> tuple[np.ndarray, ...]:
+        # a shard's own ids, in the order of the words' ids
+        back, seq = np.unique(seq, return_inverse=True)
+        if len(back) and back[0] != 0:
+            back, seq = np.concatenate([[0], back]), seq + 1
+        back = back.astype(np.int64) - 1
+        p, c = phrase_counts(seq.astype(np.int32), n)[n - 2]
+        k = (back[seq[p]] << 32) | back[seq[p + 1]]
+        if n == 2:
+            return k, np.full(len(p), -1, np.int32), c
+        third = back[seq[p + 2]]
+        if sent is not None:
+            bits = sent.value
+            ok = np.ones(len(p), bool)
+            for pair in (k, (k << 32) | third):
+                place = bit_of(pair)
+                ok &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
+            k, third, c = k[ok], third[ok], c[ok]
+        return k, third.astype(np.int32), c
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            k, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            k, w, c = summed(k, w, c, part_of(k, w, parts))
+            part = part_of(k, w, parts)
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+            ends = [*at[1:], len(part)]
+            bodies = [packed(k[i:j], w[i:j], c[i:j]) for i, j in zip(at, ends, strict=True)] if len(part) else []
+            rows = np.diff([*at, len(part)]) if len(part) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(rows, pa.int64()), pa.array(bodies, pa.binary())], ["part", "rows", "body"])
+
         for b in batches:
             for r in range(b.num_rows):
-                seq = np.asarray(b["seq"][r].values)
-                # a shard's own ids, in the order of the words' ids
-                back, seq = np.unique(seq, return_inverse=True)
-                if len(back) and back[0] != 0:
-                    back, seq = np.concatenate([[0], back]), seq + 1
-                back = back.astype(np.int64) - 1
-                at, count = phrase_counts(seq.astype(np.int32), n)[n - 2]
-                for i in range(0, len(at), ROWS):
-                    p, c = at[i : i + ROWS], count[i : i + ROWS]
-                    k = (back[seq[p]] << 32) | back[seq[p + 1]]
-                    if n == 3:
-                        third = back[seq[p + 2]]
-                        if sent is not None:
-                            bits = sent.value
-                            ok = np.ones(len(p), bool)
-                            for pair in (k, (k << 32) | third):
-                                place = bit_of(pair)
-                                ok &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
-                            k, third, c = k[ok], third[ok], c[ok]
-                    else:
-                        third = np.full(len(p), -1, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(third.astype(np.int32)), pa.array(c.astype(np.int64))], ["k", "w", "n"])
+                held.append(shard(np.asarray(b["seq"][r].values)))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield from give()
+        if held:
+            yield from give()
         give_back()
 
-    return seqs.mapInArrow(run, "k long, w int, n long")
+    def total(group: pa.Table) -> pa.Table:
+        got = [unpacked(body, rows) for body, rows in zip(group["body"].to_pylist(), group["rows"].to_pylist(), strict=True)]
+        k, w, a = summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        ok = a >= least
+        return pa.table({"k": k[ok], "w": w[ok], "a": a[ok]})
+
+    return seqs.mapInArrow(run, "part int, rows long, body binary").groupBy("part").applyInArrow(total, "k long, w int, a long")
 
 
-def frequent_words(words: DataFrame, least: int) -> DataFrame:
-    """``words(lang, word, n)`` to ``(id, lang, word, f)`` of those that stand ``least`` times or more, with small distinct ids."""
-    f = materialize(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "words")
+def frequent_words(words: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """``words(block, pos, lang, word, n)`` to ``(id, lang, word, f)`` of those that stand ``least`` times or more, with small
+    distinct ids, and for each block ``found``, its ``(pos, id)``. Words are dealt once, with the places that they stand at."""
+    f = words.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.collect_list(F.struct("block", "pos")).alias("at"))
+    f = materialize(f.where(F.col("f") >= least), "words")
     # the row's place in its part and the part, interleaved
     row = F.monotonically_increasing_id()
     parts = f.rdd.getNumPartitions()
-    out = materialize(f.select((row.bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.shiftright(row, 33)).alias("id"), "lang", "word", "f"), "frequent")
+    out = materialize(f.select((row.bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.shiftright(row, 33)).alias("id"), "lang", "word", "f", "at"), "frequent")
     discard(f)
     top = out.agg(F.max("id")).first()[0]  # type: ignore[index]
     if top is not None and top >= 1 << 31:
         raise ValueError("more frequent words than 31 bits can number")
-    return out
+    places = out.select("id", F.explode("at").alias("at")).select("at.block", "at.pos", "id")
+    return out.drop("at"), places.groupBy("block").agg(F.collect_list(F.struct("pos", "id")).alias("found"))
 
 
 def exact_score(a: str, left: str, right: str) -> F.Column:
@@ -223,14 +273,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     blocks = materialize(word_blocks(docs), "words")
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "p")).select("block", "lang", "pos", F.col("p.words").alias("word"), F.col("p.n").alias("n"))
     sizes = materialize(blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n_")), "sizes")
-    words = frequent_words(each, least)
+    words, found = frequent_words(each, least)
     n_words = words.count()
-    found = looked_up(each, broadcast_if_small(words, n_words), ["lang", "word"], ["id"])
     seqs = materialize(numbered(blocks, found), "numbered")
     discard(blocks)
-    often = lambda rows: materialize(rows.groupBy("k", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
-    two = often(count_phrases(seqs, 2)).select("k", "a")
-    three = often(count_phrases(seqs, 3, bitmap_of(two)))
+    length = seqs.agg(F.sum(F.size("seq").cast("long"))).first()[0] or 0  # type: ignore[index]
+    parts = 1 + length // PART
+    two = materialize(count_phrases(seqs, 2, parts, least), "phrases").select("k", "a")
+    three = materialize(count_phrases(seqs, 3, parts, least, bitmap_of(two)), "phrases")
     discard(seqs)
 
     second = F.col("k").bitwiseAND(F.lit((1 << 32) - 1))
