@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,7 +35,7 @@ def block_rows(batches: Iterator[pa.RecordBatch], columns: list[str], size: int
     """Values of each column of a task's rows in blocks of about ``size`` characters; the first column is the text."""
     held: list[list] = [[] for _ in columns]
     n = 0
-    for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+    for b in sliced(batches):
         got = [b[c].to_pylist() for c in columns]
         start = 0
         for i, text in enumerate(got[0]):
@@ -57,6 +58,22 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def handed_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of batches to batches, whose task gives its memory back when it has ended."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole texts some rows at a time, so that no more of them are Python strings at once."""
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+
 def looked_up(blocks: DataFrame, things: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """(block, found): for each block the structs ``(pos, *values)`` of those of its things that ``things(key, values)`` has.
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import handed_back
 from .storage import discard, materialize
 
 
@@ -72,7 +73,7 @@ def components(links: DataFrame) -> DataFrame:
     cur, mark = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "links"), None
     while True:
         parts = -(-cur.count() // SPLIT)
-        star = materialize(cur.coalesce(max(1, parts)).mapInPandas(_contract, "a long, b long"), "links")
+        star = materialize(cur.coalesce(max(1, parts)).mapInPandas(handed_back(_contract), "a long, b long"), "links")
         discard(cur)
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) if parts > 1 else None
         if now == mark:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import handed_back
 from .components import components, stars
 from .storage import broadcast_if_small, discard, materialize
 
@@ -185,7 +186,7 @@ def key_rows(docs: DataFrame, tau: int, min_length: int) -> DataFrame:
                         yield give()
         yield give()
 
-    return docs.select("text").mapInArrow(run, "key long, line long")
+    return docs.select("text").mapInArrow(handed_back(run), "key long, line long")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,7 @@ def edit_join(docs: DataFrame, tau: int, min_length: int) -> DataFrame:
     lines are compared by pairs of tiles, so that no task holds them all.
     """
     half = F.shiftright("key", 1)
-    met = key_rows(docs, tau, min_length).repartition(half).sortWithinPartitions("key", "line").mapInArrow(_meetings, "key long, line long, indexed boolean")
+    met = key_rows(docs, tau, min_length).repartition(half).sortWithinPartitions("key", "line").mapInArrow(handed_back(_meetings), "key long, line long, indexed boolean")
     met = materialize(met.groupBy("key", "line").agg(F.max("indexed").alias("indexed")), "meetings")
     size = met.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiled = met.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int"))
@@ -294,7 +295,7 @@ def edit_join(docs: DataFrame, tau: int, min_length: int) -> DataFrame:
     text = docs.select(F.explode(split_lines(F.col("text"))).alias("text")).select(_trimmed("text").alias("text")).where("text <> ''").withColumn("line", F.xxhash64("text"))
     text = text.join(broadcast_if_small(ids, ids.count()), F.col("line") == F.col("id_"), "left_semi").groupBy("line").agg(F.first("text").alias("text"))
     full = tiled.join(text, "line").select("key", "ta", "tb", "tile", "line", "indexed", "text")
-    out = materialize(full.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(_verify(tau, min_length), "a long, b long, links long"), "line-links")
+    out = materialize(full.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(handed_back(_verify(tau, min_length)), "a long, b long, links long"), "line-links")
     discard(met)
     discard(ids)
     return out

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import handed_back, sliced
 from .components import components
 from .storage import broadcast_if_small, discard, materialize
 
@@ -31,7 +32,7 @@ TILE = 4096
 #: Partners of a fingerprint in a tile that are given by the end of each round; then all.
 CHECKED = (8, 256)
 #: Rows of a key that are compared without tiles, and pairs that are compared at once.
-FEW, PAIRS = 256, 1 << 20
+FEW, PAIRS = 256, 1 << 18
 #: Bits of sets of fewer shingles say less, so all of them that may be links are checked against their texts.
 SMALL = 64
 #: One in so many texts is looked at for frequent shingles, those of so many of them, so many at most.
@@ -97,11 +98,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, node)``: the fingerprint of each whole text as a signed number; a null or wordless text has zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([lanes_of(shingle_hashes(t, width), 1)[0] for t in b["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(handed_back(run), "doc_id long, node long")
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -112,12 +113,12 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for t in b["text"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], ["shingle"])
 
     share = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(SHARE)) == 0).select("text", F.xxhash64("text").alias("t_")).dropDuplicates(["t_"])
-    count = share.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= SEVERAL)
+    count = share.select("text").mapInArrow(handed_back(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= SEVERAL)
     return np.sort(np.array([r[0] for r in count.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
@@ -132,7 +133,7 @@ def set_prints(docs: DataFrame, width: int, similarity: float, lanes: int, frequ
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps, sizes, keys = [], [], []
             for t in b["text"].to_pylist():
                 u = np.unique(shingle_hashes(t, width))
@@ -150,7 +151,7 @@ def set_prints(docs: DataFrame, width: int, similarity: float, lanes: int, frequ
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], *cols], ["doc_id", "t1", "t2", "fp", "size", "keys"])
 
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    return own.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, fp array<long>, size long, keys array<long>")
+    return own.mapInArrow(handed_back(run), f"doc_id {kind}, t1 long, t2 long, fp array<long>, size long, keys array<long>")
 
 
 def _cell(segments: int) -> list:
@@ -241,7 +242,7 @@ def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
                 right += forest.right
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(handed_back(run), "a long, b long")
 
 
 def _pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -365,7 +366,7 @@ def _small_keys(rows: DataFrame, judge: _Judge) -> DataFrame:
             yield from compare(held)
 
     cols = rows.select("key", "node", "size", "old", "root", "fp")
-    return cols.repartition("key").sortWithinPartitions("key").mapInArrow(run, judge.schema)
+    return cols.repartition("key").sortWithinPartitions("key").mapInArrow(handed_back(run), judge.schema)
 
 
 def _large_keys(rows: DataFrame, judge: _Judge) -> DataFrame:
@@ -393,7 +394,7 @@ def _large_keys(rows: DataFrame, judge: _Judge) -> DataFrame:
                     i, j = got.nonzero()
                     yield judge.give(key, left, right, i + s, j)
 
-    return pairs.mapInArrow(run, judge.schema)
+    return pairs.mapInArrow(handed_back(run), judge.schema)
 
 
 def _verified(doubt: DataFrame, prints: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -406,7 +407,7 @@ def _verified(doubt: DataFrame, prints: DataFrame, docs: DataFrame, width: int,
     pairs = doubt.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ok = []
             for x, y in zip(b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True):
                 u, v = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
@@ -414,7 +415,7 @@ def _verified(doubt: DataFrame, prints: DataFrame, docs: DataFrame, width: int,
                 ok.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = materialize(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    out = materialize(pairs.select("a", "b", "ta", "tb").mapInArrow(handed_back(run), "a long, b long"), "links")
     for x in (ids, rep, text):
         discard(x)
     return out

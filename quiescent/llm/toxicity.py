@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
+from .blocks import handed_back, sliced
 from .sampling import bounded_sample, fold
 
 BUCKETS = 1 << 16
@@ -34,7 +35,7 @@ SAMPLE = 1500
 #: Score at which a text is called toxic.
 CUT = 0.3
 #: Distinct words whose projections a worker keeps, and words of a text looked at together.
-CACHE = 400_000
+CACHE = 200_000
 BLOCK = 1 << 16
 #: Bytes of a word whose n-grams are looked up at once.
 GRAM_BLOCK = 1 << 12
@@ -307,12 +308,12 @@ def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache()
-        for b in batches:
+        for b in sliced(batches):
             s = [model.score(t, cache) if model else 0.0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(handed_back(run), f"doc_id {kind}, score double")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -326,8 +327,8 @@ def clean_documents(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """The documents whose score stays under the cut, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache()
-        for b in batches:
+        for b in sliced(batches):
             ok = [model is None or model.score(t, cache) < CUT for t in b["text"].to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(handed_back(run), docs.schema)
