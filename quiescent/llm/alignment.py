@@ -33,7 +33,7 @@ from .storage import materialize
 PATH_A = "/opt/tokenizers/byte_bpe_50k.json"
 PATH_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks that are a word of A behind letters; an apostrophe may not be.
-MARKS = ".,;:!?*$&"
+MARKS = ".,;:!?*$&#%"
 #: Stretches a worker keeps from block to block, and the characters that are split at a time.
 CACHE = 150_000
 CHUNK = 1 << 18
@@ -72,22 +72,32 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.lone = self.b.piece_to_id("▁")
 
     def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids in A and in B of stretches that begin with a space.
 
         A space with Latin letters is one word of A, and so are the marks behind them:
-        both go to the model at once.
+        both go to the model at once, each of them once.
         """
         a: list[list[int]] = []
         odd: list[int] = []
+        tokenize, blank, known = self.model.tokenize, self.blank, {"": []}
         for k, s in enumerate(stretches):
             core = s[1:].rstrip(MARKS)
-            if core.isalpha() and max(core) < "\u0100":
-                text = self.blank + (core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                ids = known.get(core)
+                if ids is None:
+                    text = blank + (core if core.isascii() else core.encode().decode("latin-1").translate(self.spelled))
+                    ids = known[core] = [t.id for t in tokenize(text)]
                 tail = s[len(core) + 1 :]
-                a.append([t.id for t in self.model.tokenize(text)] + ([t.id for t in self.model.tokenize(tail)] if tail else []))
+                if tail:
+                    more = known.get(tail)  # marks are no letters, so none is a core
+                    if more is None:
+                        more = known[tail] = [t.id for t in tokenize(tail)]
+                    ids = ids + more
+                a.append(ids)
             else:
                 odd.append(k)
                 a.append([])
@@ -131,13 +141,30 @@ class Aligner:
             self.counts, self.groups, self.links = array("i", counts.tobytes()), [groups[i] for i in at], [links[i] for i in at]
             self.uses = np.zeros(len(at), np.int64)
 
+    def flat(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Numbers of tokens, the tokens one after the other, and whether each stretch's are its bytes in A and in B.
+
+        Bytes are compared as one run: where the runs are equal and the tokens of
+        every stretch end where it ends, each of them is equal.
+        """
+        ends, run, same = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), b"".join(raw), True
+        counts, tokens = [], []
+        for ids, own, lengths in ((a, self.pair.bytes_a, self.pair.len_a), (b, self.pair.bytes_b, self.pair.len_b)):
+            n, every = np.fromiter(map(len, ids), np.int64, len(ids)), list(chain.from_iterable(ids))
+            counts.append(n)
+            tokens.append(np.array(every, np.int64))
+            upto = np.concatenate([[0], np.cumsum(lengths[tokens[-1]])])
+            same = same and np.array_equal(upto[np.cumsum(n)], ends) and b"".join(map(own.__getitem__, every)) == run
+        return counts[0], counts[1], tokens[0], tokens[1], same
+
     def learn(self, new: list[str]) -> None:
-        a, b = self.pair.encode(new)
-        raw_a, raw_b = self.pair.bytes_a, self.pair.bytes_b
-        good = [k for k, s in enumerate(new) if b"".join([raw_a[i] for i in a[k]]) == s.encode() == b"".join([raw_b[i] for i in b[k]])]
-        n_a, n_b = np.array([len(a[k]) for k in good], np.int64), np.array([len(b[k]) for k in good], np.int64)
-        ids_a = np.fromiter(chain.from_iterable([a[k] for k in good]), np.int64, int(n_a.sum()))
-        ids_b = np.fromiter(chain.from_iterable([b[k] for k in good]), np.int64, int(n_b.sum()))
+        pair, raw = self.pair, [s.encode() for s in new]
+        a, b = pair.encode(new)
+        good = list(range(len(new)))
+        n_a, n_b, ids_a, ids_b, same = self.flat(raw, a, b)
+        if not same:
+            good = [k for k, s in enumerate(raw) if b"".join([pair.bytes_a[i] for i in a[k]]) == s == b"".join([pair.bytes_b[i] for i in b[k]])]
+            n_a, n_b, ids_a, ids_b, _ = self.flat([raw[k] for k in good], [a[k] for k in good], [b[k] for k in good])
         at_a, at_b, cut = owners(self.pair.len_a[ids_a], self.pair.len_b[ids_b])
         keys = (ids_a[at_a] << 32) | ids_b[at_b]
         # a stretch begins where its first token of A does
@@ -146,7 +173,7 @@ class Aligner:
         group = np.searchsorted(starts, first).tolist()
         # tokens of a group are those that begin in it
         from_a, from_b = np.append(at_a[starts], len(ids_a)).tolist(), np.append(at_b[starts], len(ids_b)).tolist()
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        text_a, text_b = list(map(pair.names.__getitem__, ids_a.tolist())), list(map(pair.names.__getitem__, ids_b.tolist()))
         said = [
             f"{text_a[i]}|{text_b[k]}" if j - i == 1 and m - k == 1 else f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
             for i, j, k, m in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False)
@@ -179,7 +206,7 @@ class Aligner:
             size += len(t or "")
             if size >= CHUNK or len(out) + len(held) > len(texts):
                 parts = [self.split(x) for x in held]
-                new = {s for p in parts for s in p if s not in self.place}
+                new = set().union(*parts).difference(self.place)
                 if new:
                     self.learn(list(new))
                 out += [np.fromiter(map(self.place.__getitem__, p), np.int32, len(p)) for p in parts]

@@ -303,3 +303,29 @@ def test_collocations_sql(spark, sf):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert found(QUERIES["op13_collocations"](spark, sf)) == sorted(con.sql(ORACLES["op13_collocations"]).fetchall())
     assert os.path.exists(sf)
+
+
+def test_stretches_are_tokenized_once_and_checked_together():
+    pair = alignment.Pair()
+    words = [" wort", " wort.", " wort###", " wort%%", " wort,", " émile.", " émile", " a#b", " don't", " it's.", " x\ny", "  ", " ", " 12,3"]
+    a, b = pair.encode(words)
+    assert a == [e.ids for e in pair.a.encode_batch_fast(words, add_special_tokens=False)]
+    said = []
+
+    class Counted:
+        def tokenize(self, text):
+            said.append(text)
+            return model.tokenize(text)
+
+    model, pair.model = pair.model, Counted()
+    assert pair.encode(words) == (a, b)
+    assert len(said) == len(set(said)) == 6
+    pair.model = model
+    # one stretch that differs leaves the others as they are
+    aligner, alone = alignment.Aligner(pair), alignment.Aligner(pair)
+    odd = [*words[:6], " ▁x", *words[6:]]
+    aligner.learn(odd)
+    for k, w in enumerate(odd):
+        alone.learn([w])
+        assert (aligner.counts[4 * k : 4 * k + 4], aligner.groups[k], aligner.links[k]) == (alone.counts[-4:], alone.groups[-1], alone.links[-1])
+    assert aligner.counts[24] == -1 and aligner.counts[0] > 0
