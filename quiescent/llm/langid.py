@@ -7,8 +7,9 @@ same trigrams vote.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -16,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bounded_sample, fold
+from .blocks import handed_back, sliced
+from .sampling import fold
+from .shards import added, fixed, in_order, key, sharded, summed
 
 BUCKETS = 1 << 13
-#: Labelled texts of a language that the model is fitted on, at most.
-SAMPLE = 300
+#: Texts that a task fits machines on; of more there are several shards, whose machines are averaged.
+SHARD = 1000
+#: Fixed-point unit of a frequency, and languages whose sums a task holds before it hands them on.
+FREQUENCY, HELD = 1 << 30, 64
 EPOCHS = 12
 #: Characters whose trigrams are looked up at once.
 BLOCK = 1 << 18
@@ -69,13 +74,17 @@ class LanguageModel:
     table: np.ndarray
     bias: np.ndarray
 
+    @cached_property
+    def wide(self) -> np.ndarray:
+        return self.table.astype(np.float64)
+
     def predict(self, text: str) -> tuple[str, float]:
         """(language, confidence) of a text that has a letter."""
-        total, n = np.zeros(len(self.table)), 0
+        seen, n = np.zeros(BUCKETS), 0
         for g in trigrams(text):
-            total += self.table[:, g].sum(axis=1, dtype=np.float64)
+            seen += np.bincount(g, minlength=BUCKETS)
             n += len(g)
-        mean = total / max(1, n)
+        mean = self.wide @ seen / max(1, n)
         k = len(self.families)
         like = mean[:k] * min(n, 60)
         p = np.exp(like - like.max())
@@ -111,32 +120,110 @@ def _svm(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     return avg / EPOCHS, avg_b / EPOCHS
 
 
+def _log_odds(n: np.ndarray) -> np.ndarray:
+    return np.log((n * 1000 + 0.1) / (n.sum() * 1000 + 0.1 * BUCKETS))
+
+
+def _machine(x: np.ndarray, y: np.ndarray, scale: np.ndarray, q: int) -> tuple[np.ndarray, float]:
+    """The machine of pair ``q`` on frequencies whose frequent trigrams ``scale`` evens out."""
+    return _svm(x / scale * 10, y, 7 + q)
+
+
+def _shape(langs: set[str]) -> tuple[list[str], list[list[str]], list[tuple[int, int, int]]]:
+    families = sorted({family_of(lang) for lang in langs})
+    members = [sorted(lang for lang in langs if family_of(lang) == f) for f in families]
+    return families, members, [(f, i, j) for f, own in enumerate(members) for i, j in combinations(range(len(own)), 2)]
+
+
 def fit(sample: list[tuple[str, object]]) -> LanguageModel | None:
     """A model of (text, language) rows; None where there are none."""
     if not sample:
         return None
-    rows = [(frequencies(t), str(lang)) for t, lang in sample]
-    families = sorted({family_of(lang) for _, lang in rows})
-    members = [sorted({lang for _, lang in rows if family_of(lang) == f}) for f in families]
-    logs = []
-    for f in families:
-        n = sum((x for x, lang in rows if family_of(lang) == f), np.zeros(BUCKETS))
-        logs.append(np.log((n * 1000 + 0.1) / (n.sum() * 1000 + 0.1 * BUCKETS)))
-    pairs, weights, bias = [], [], []
-    for f, langs in enumerate(members):
-        for i, j in combinations(range(len(langs)), 2):
-            own = [(x, 1.0 if lang == langs[i] else -1.0) for x, lang in rows if lang in (langs[i], langs[j])]
-            scale = np.sqrt(np.mean([x for x, _ in own], axis=0)) + np.float32(1e-3)  # evens out frequent trigrams
-            w, b = _svm(np.array([x / scale for x, _ in own]) * 10, np.array([y for _, y in own]), 7 + len(pairs))
-            pairs.append((f, i, j))
-            weights.append(w * 10 / scale)
-            bias.append(b)
+    x, langs = np.array([frequencies(t) for t, _ in sample]), np.array([str(lang) for _, lang in sample])
+    families, members, pairs = _shape(set(langs.tolist()))
+    logs = [_log_odds(x[np.isin(langs, own)].sum(axis=0, dtype=np.float64)) for own in members]
+    weights, bias = [], []
+    for q, (f, i, j) in enumerate(pairs):
+        own = (langs == members[f][i]) | (langs == members[f][j])
+        scale = np.sqrt(x[own].mean(axis=0)) + np.float32(1e-3)
+        w, b = _machine(x[own], np.where(langs[own] == members[f][i], 1.0, -1.0), scale, q)
+        weights.append(w * 10 / scale)
+        bias.append(b)
     return LanguageModel(families, members, pairs, np.array([*logs, *weights], np.float32), np.array(bias))
 
 
-def train(docs: DataFrame, keep: F.Column, most: int = SAMPLE) -> LanguageModel | None:
-    """Fitted on at most ``most`` texts of each language of the rows that ``keep`` holds for."""
-    return fit(bounded_sample(docs.where(keep & F.col("lang").isNotNull()), docs, "lang", most))
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the frequencies of each language's texts."""
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.int64()))], ["lang", "n"])
+
+    total: dict[str, np.ndarray] = {}
+    for b in sliced(batches):
+        for t, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
+            if lang not in total and len(total) >= HELD:
+                yield out()
+                total = {}
+            own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            own += np.rint(frequencies(t).astype(np.float64) * FREQUENCY).astype(np.int64)
+    if total:
+        yield out()
+
+
+def train(docs: DataFrame, keep: F.Column) -> LanguageModel | None:
+    """Fitted on all texts of the rows that ``keep`` holds for and that have an id and a language.
+
+    Up to :data:`SHARD` of them are fitted at once. Of more, the families' frequencies
+    are added over all texts, and the machines are fitted shard by shard and averaged.
+    """
+    rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", key().alias("h_"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if sum(sizes.values()) <= SHARD:
+        return fit(in_order(rows.toArrow(), "lang"))
+    families, members, pairs = _shape(set(sizes))
+    sums = {lang: np.zeros(BUCKETS) for lang in sizes}
+    got = summed(rows.select("lang", "text"), handed_back(_sums), ["n"], "lang").sort_by("lang")
+    at, pos, n = got["lang"].to_numpy(), got["pos"].to_numpy(), got["n"].to_numpy() / FREQUENCY
+    for lang, i, j in zip(*_runs(at), strict=True):
+        sums[lang][pos[i:j]] = n[i:j]
+    logs = [_log_odds(sum(sums[lang] for lang in own)) for own in members]
+    ends = [(members[f][i], members[f][j]) for f, i, j in pairs]
+    scales = [(np.sqrt((sums[a] + sums[b]) / (sizes[a] + sizes[b])) + 1e-3).astype(np.float32) for a, b in ends]
+    weights, bias = [np.zeros(BUCKETS)] * len(pairs), np.zeros(len(pairs))
+    paired = {lang: sizes[lang] for pair in ends for lang in pair}
+    if paired:
+        shards, _ = sharded(rows, "lang", paired, SHARD)
+        for r in added(shards.groupBy("shard").applyInArrow(_machines(ends, scales), "part int, value binary")).collect():
+            w = np.frombuffer(r["value"], np.int64) / (r["n"] * float(1 << 20))
+            weights[r["part"]], bias[r["part"]] = w[:-1] * 10 / scales[r["part"]], w[-1]
+    return LanguageModel(families, members, pairs, np.array([*logs, *weights], np.float32), bias)
+
+
+def _runs(x: np.ndarray) -> tuple[list, list[int], list[int]]:
+    """Values of a sorted array and where each begins and ends."""
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[start].tolist(), start.tolist(), [*start[1:].tolist(), len(x)] if len(x) else []
+
+
+def _machines(ends: list[tuple[str, str]], scales: list[np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+    """Of a shard, the machine of each pair of languages that it has both of: weights, then the bias."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = in_order(table, "lang")
+        x, langs = np.empty((len(rows), BUCKETS), np.float32), np.array([lang for _, lang in rows])
+        for k, (t, _) in enumerate(rows):
+            x[k] = frequencies(t)
+        parts, values = [], []
+        for q, (a, b) in enumerate(ends):
+            own = (langs == a) | (langs == b)
+            if (langs == a).any() and (langs == b).any():
+                w, bias = _machine(x[own], np.where(langs[own] == a, 1.0, -1.0), scales[q], q)
+                parts.append(q)
+                values.append(fixed(np.append(w, bias)).tobytes())
+        return pa.table({"part": pa.array(parts, pa.int32()), "value": pa.array(values, pa.binary())})
+
+    return run
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -148,7 +235,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     d = docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = [model.predict(t) if model and t else (UNKNOWN, 0.0) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
