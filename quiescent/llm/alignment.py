@@ -39,6 +39,8 @@ CACHE = 150_000
 CHUNK = 1 << 18
 #: Characters of text in a block.
 SIZE = 3 << 19
+#: Blocks of a file, a row of about a MB each; a task that reads it holds them all at once.
+FILE_BLOCKS = 16
 #: A space that begins a new stretch where a text has runs of spaces: the one behind a character that is no white space.
 #: The characters of the Unicode property White_Space.
 WHITE = "\t\n\v\f\r \x85\xa0  -     　"
@@ -221,12 +223,23 @@ def aligner_of(path_a: str, path_b: str) -> Aligner:
 
 
 DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-BLOCK = f"block long, docs array<struct<doc_id: {{id}}, n: int, {DOC.replace(' long', ': long').replace(' string', ': string')}>>, stretches array<int>, n_links array<int>, links array<int>, keys array<long>, n array<long>"
+BLOCK = f"block long, docs array<struct<doc_id: {{id}}, n: int, {DOC.replace(' long', ': long').replace(' string', ': string')}>>, stretches binary, n_links binary, links binary, keys array<long>, n array<long>"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, their bytes of one place together. As arrays of Spark they would take a reader several times their size."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    n = int.from_bytes(body[:8], "little")
+    raw = np.frombuffer(pa.decompress(body[8:], 4 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<i4").reshape(-1)
 
 
 def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) -> DataFrame:
     """A row for each block: its documents with their number of stretches, the stretches as places in the
-    block's distinct ones, those as places in the block's distinct pairs of ids ``keys``, and their counts ``n``."""
+    block's distinct ones, those as places in the block's distinct pairs of ids ``keys``, and their counts ``n``. Places are packed."""
     schema = BLOCK.format(id=dict(docs.dtypes)["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +263,7 @@ def align_blocks(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) ->
             keys, place = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
             n = np.bincount(place, np.repeat(times, n_links), len(keys)).astype(np.int64)
             rows = [{"doc_id": i, "n": k, "n_a": s[0], "n_b": s[1], "n_groups": s[2], "n_links": s[3], "groups_sha256": h} for i, k, s, h in zip(ids, lengths.tolist(), sums.tolist(), sha, strict=True)]
-            one = {"block": block, "docs": rows, "stretches": inside.astype(np.int32), "n_links": n_links.astype(np.int32), "links": place.astype(np.int32), "keys": keys, "n": n}
+            one = {"block": block, "docs": rows, "stretches": packed(inside), "n_links": packed(n_links), "links": packed(place), "keys": keys, "n": n}
             yield pa.RecordBatch.from_pylist([one], schema=kinds)
         give_back()
 
@@ -278,7 +291,7 @@ def align(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) -> DataFr
     repeat; extra columns are ignored; an empty table gives an empty one. Equal texts
     count as often as they stand.
     """
-    base = materialize(align_blocks(docs, path_a, path_b), "aligned")
+    base = materialize(align_blocks(docs, path_a, path_b), "aligned", FILE_BLOCKS)
     pairs = base.select("block", F.posexplode(F.arrays_zip("keys", "n")).alias("pos", "p")).select("block", "pos", F.col("p.keys").alias("key"), F.col("p.n").alias("own"))
     totals = materialize(pair_counts(pairs.select("key", F.col("own").alias("n"))), "pairs")
     found = looked_up(pairs, totals, ["key"], ["n", "best"])
@@ -286,7 +299,8 @@ def align(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                col = {c: batch[c][r].values for c in ("docs", "stretches", "n_links", "links", "found")}
+                col = {c: batch[c][r].values for c in ("docs", "found")}
+                inside, n_links, links = (unpacked(batch[c][r].as_py()) for c in ("stretches", "n_links", "links"))
                 out = [col["docs"].field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
                 size = 0 if col["found"] is None else len(col["found"])
                 n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -294,8 +308,8 @@ def align(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) -> DataFr
                     pos = np.asarray(col["found"].field("pos"))
                     n[pos] = np.asarray(col["found"].field("n"))
                     best[pos] = np.asarray(col["found"].field("best").cast(pa.int64()))
-                links, ends = np.asarray(col["links"]), np.concatenate([[0], np.cumsum(np.asarray(col["n_links"], dtype=np.int64))])
-                inside, last = np.asarray(col["stretches"]), np.concatenate([[0], np.cumsum(np.asarray(col["docs"].field("n"), dtype=np.int64))])
+                ends = np.concatenate([[0], np.cumsum(n_links, dtype=np.int64)])
+                last = np.concatenate([[0], np.cumsum(np.asarray(col["docs"].field("n"), dtype=np.int64))])
                 for values in (best, n):
                     upto = np.concatenate([[0], np.cumsum(values[links])])
                     own = upto[ends[1:]] - upto[ends[:-1]]

@@ -36,11 +36,15 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it; what is not discarded before is deleted when the application ends."""
+def materialize(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it; what is not discarded before is deleted when the application ends.
+
+    ``file_rows`` is for tables of large rows: a writer looks at what it holds every hundred
+    rows, and a reader takes thousands of a file's rows at once. With it a file has so many at most.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
